@@ -43,7 +43,7 @@ def with_missing(df: DataFrame, schema) -> DataFrame:
 # ---------------------------------------------------------------- AG-01 safe aggregates
 
 def safe_sum(df: DataFrame, c: str) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    return F.coalesce(F.sum(c), F.lit(0)) if c in df.columns else F.lit(0)
 
 
 def safe_mean(df: DataFrame, c: str) -> Column:

@@ -137,6 +137,19 @@ SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS or
   l_extendedprice*l_discount AS amount, l_shipdate AS applied_at
 FROM li"""),
 
+    "bonus_clean": (("bonus",), """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT c.*, coalesce(c.title, c.note, '未知') AS activity, strftime(c.applied_at, '%Y-%m') AS bonus_month,
+    row_number() OVER (PARTITION BY c.order_no ORDER BY c.applied_at NULLS FIRST, c.account NULLS FIRST,
+      c.amount NULLS FIRST, c.wager_multiple NULLS FIRST, c.status NULLS FIRST, c.needs_wagering NULLS FIRST,
+      c.vip NULLS FIRST, c.type NULLS FIRST, c.title NULLS FIRST, c.note NULLS FIRST) AS rn
+  FROM (SELECT order_no, account, vip, type,
+          CASE WHEN trim(title) IN ('', 'nan', 'None') THEN NULL ELSE trim(title) END AS title,
+          CASE WHEN trim(note) IN ('', 'nan', 'None') THEN NULL ELSE trim(note) END AS note,
+          CASE WHEN trim(status) IN ('', 'nan', 'None') THEN NULL ELSE trim(status) END AS status,
+          needs_wagering, wager_multiple, amount, applied_at FROM bonus) c)
+WHERE rn = 1"""),
+
     "order_ship": ((), """
 SELECT l_orderkey, min(l_shipdate) AS ship_min, max(l_shipdate) AS ship_max FROM li GROUP BY 1"""),
 

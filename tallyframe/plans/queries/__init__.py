@@ -1,2 +1,2 @@
 """Query definitions; importing this package registers every query in the catalogue."""
-from . import q_bets  # noqa: F401
+from . import q_bets, q_pnl  # noqa: F401

@@ -408,8 +408,9 @@ def settle_detail(spark, d) -> DataFrame:
 def settle_summary(spark, d) -> DataFrame:
     """Settlement summary items per month (item, amount) derived from the detail."""
     det = settle_detail(spark, d)
-    g = det.groupBy("month").agg(F.sum("month_perf").alias("a"), F.sum("commission").alias("b"),
-                                 F.sum("prior_perf").alias("c"))
+    g = det.groupBy("month").agg(F.sum("month_perf").cast("decimal(38,6)").alias("a"),
+                                 F.sum("commission").cast("decimal(38,6)").alias("b"),
+                                 F.sum("prior_perf").cast("decimal(38,6)").alias("c"))
     return g.select("month", F.expr("stack(3, '本月业绩', a, '⭐️ 总计发放 ', -b, '先前挂账', c) as (item, amount)"))
 
 

@@ -95,7 +95,7 @@ def main(argv):
         try:
             sp = qs[name](spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
-            print(f"SPARK-ERROR {name}: {str(e)[:400]}")
+            print(f"SPARK-ERROR {name}: {str(e).splitlines()[0][:300]}")
             bad += 1
             continue
         t1 = time.time()
