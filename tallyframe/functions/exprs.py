@@ -98,7 +98,7 @@ def month_key(c) -> Column:
 
 def month_start(m) -> Column:
     """CL-11: first day of a 'YYYY-MM' key."""
-    return F.try_to_date(F.concat(month_key(m), F.lit("-01")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat(month_key(m), F.lit("-01")), "yyyy-MM-dd")
 
 
 def month_end(m) -> Column:
@@ -156,7 +156,7 @@ def vote_month_token(c) -> Column:
 def slot_date(raw) -> Column:
     t = F.regexp_replace(col(raw).cast("string"), r'^="|"$', "")
     d = F.nullif(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-    return F.coalesce(F.try_to_date(d, F.lit("yyyy-MM-dd")), F.to_date(to_ts(t)))
+    return F.coalesce(F.try_to_date(d, "yyyy-MM-dd"), F.to_date(to_ts(t)))
 
 
 def slot_label(raw) -> Column:
