@@ -213,7 +213,7 @@ SELECT strftime(l_shipdate, '%Y-%m') AS month, s_name AS agent_name, CAST(s_supp
 FROM li JOIN supp ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"""),
 
     "cs": ((), """
-SELECT CAST(g.conv_id AS VARCHAR) AS conversation_id, 'm' || CAST(g.conv_id % 50 AS VARCHAR) AS account,
+SELECT CAST(g.conv_id AS VARCHAR) AS conversation_id, CAST((g.conv_id * 7) % 1500 AS VARCHAR) AS account,
   'staff' || CAST(g.conv_id % 7 AS VARCHAR) AS staff,
   CASE WHEN lb.doc_id IS NULL THEN '未评价' WHEN lb.toxic = 1 AND lb.quality = 0 THEN '非常不满意'
        WHEN lb.toxic = 1 THEN '不满意' WHEN lb.quality = 0 THEN '一般'

@@ -1,2 +1,2 @@
 """Query definitions; importing this package registers every query in the catalogue."""
-from . import q_bets, q_member, q_ops, q_pnl  # noqa: F401
+from . import q_bets, q_member, q_ops, q_pnl, q_service  # noqa: F401

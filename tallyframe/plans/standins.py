@@ -486,7 +486,7 @@ def cs(spark, d) -> DataFrame:
     start = F.timestamp_add("MINUTE", (cid * 37).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     return j.select(
         cid.cast("string").alias("conversation_id"),
-        F.concat(F.lit("m"), (cid % 50).cast("string")).alias("account"),
+        ((cid * 7) % 1500).cast("string").alias("account"),
         F.concat(F.lit("staff"), (cid % 7).cast("string")).alias("staff"),
         rating.alias("rating"), review.alias("review"), topic.alias("topic"),
         F.concat(F.lit("对话开始>>"), F.col("body")).alias("content"),
