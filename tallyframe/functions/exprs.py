@@ -285,11 +285,11 @@ def pct(n, d, mode: str = "null", digits: int | None = None) -> Column:
 
 def minutes_between(a, b) -> Column:
     """AG-114: minutes from a to b (b - a), fractional."""
-    return (F.unix_micros(col(b).cast("timestamp")) - F.unix_micros(col(a).cast("timestamp"))) / 6.0e7
+    return F.timestamp_diff("MICROSECOND", col(a), col(b)) / 6.0e7
 
 
 def hours_between(a, b) -> Column:
-    return (F.unix_micros(col(b).cast("timestamp")) - F.unix_micros(col(a).cast("timestamp"))) / 3.6e9
+    return F.timestamp_diff("MICROSECOND", col(a), col(b)) / 3.6e9
 
 
 def sign_status(c, invert: bool = False) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 DIGITS = 6
+SCALE = float(10 ** DIGITS)
 _DOUBLES_FILE = os.path.join(os.path.dirname(__file__), "double_cols.json")
 
 
@@ -44,7 +45,11 @@ def finalize(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType, DecimalType)):
-            out.append((F.round(F.col(f"`{f.name}`").cast("double"), DIGITS) + F.lit(0.0)).alias(f.name))
+            x = F.col(f"`{f.name}`").cast("double")
+            # sign(x) * floor(|x| * 10^d + 0.5) / 10^d: the same IEEE steps as the SQL side, so both
+            # engines produce bit-identical values (their built-in round() break ties differently)
+            r = F.signum(x) * F.floor(F.abs(x) * SCALE + 0.5) / SCALE
+            out.append((r + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
@@ -63,7 +68,8 @@ _SQL_TYPE = {"bigint": "BIGINT", "int": "INTEGER"}
 def wrap_sql(name: str, sql: str, types: dict) -> str:
     """Cast the oracle's output to the Spark output types (round doubles like ``finalize``)."""
     t = types.get(name) or {}
-    repl = [f'round(CAST("{c}" AS DOUBLE), {DIGITS}) + 0.0 AS "{c}"' for c in t.get("double", [])]
+    repl = [f'sign(CAST("{c}" AS DOUBLE)) * floor(abs(CAST("{c}" AS DOUBLE)) * 1e{DIGITS} + 0.5) / 1e{DIGITS} + 0.0 AS "{c}"'
+            for c in t.get("double", [])]
     for k, sqlt in _SQL_TYPE.items():
         repl += [f'CAST("{c}" AS {sqlt}) AS "{c}"' for c in t.get(k, [])]
     if not repl:
