@@ -31,6 +31,8 @@ SKIP_EXACT = (
     "推广渠道", "一级", "二级", "三级", "四级",
     "_snapshot_month", "_snapshot_date", "_imported_at", "_source_file",
 )
+# fixed values: cell texts counted as a blank (0) by the all-zero row test
+BLANK_WORDS = ("", "None", "nan", "null")
 # fixed values: a row with unit agents > 0 is never dropped as empty
 PRESERVE_COL = "单元代理人数"
 
@@ -69,15 +71,15 @@ def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve
 
     def v(c):
         s = F.col(f"`{c}`").cast("string")
-        blank = s.isNull() | (F.trim(s) == "")
+        blank = s.isNull() | F.trim(s).isin(*BLANK_WORDS)
         if literal_nan:
-            return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(to_num_commas(s))
-        return F.when(blank, F.lit(0.0)).otherwise(to_num_commas(s))
+            return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(to_num(s))
+        return F.when(blank, F.lit(0.0)).otherwise(to_num(s))
 
     vals = F.filter(F.array(*[v(c) for c in checked]), lambda x: x.isNotNull())
     empty = (F.size(vals) > 0) & F.forall(vals, lambda x: x == 0)
     if preserve and preserve in df.columns:
-        keep_anyway = F.coalesce(to_num_commas(F.col(f"`{preserve}`")), F.lit(0.0)) > 0
+        keep_anyway = F.coalesce(to_num(F.col(f"`{preserve}`")), F.lit(0.0)) > 0
         empty = empty & ~keep_anyway
     return df.where(~empty)
 

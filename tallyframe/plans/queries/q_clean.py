@@ -51,8 +51,8 @@ _ZEROS = """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS "日期",
   CASE WHEN l_returnflag = 'N' THEN 'abc' ELSE '0.00' END AS z,
   CASE WHEN l_orderkey % 5 = 0 THEN '2' ELSE '0' END AS "单元代理人数" FROM li"""
 
-_NUM = "TRY_CAST(replace(replace(trim({c}), ',', ''), '，', '') AS DOUBLE)"
-_VAL = "CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 0.0 ELSE " + _NUM + " END"
+_NUM = "TRY_CAST(trim({c}) AS DOUBLE)"
+_VAL = "CASE WHEN {c} IS NULL OR trim({c}) IN ('', 'None', 'nan', 'null') THEN 0.0 ELSE " + _NUM + " END"
 
 
 @register("cl06_drop_all_zero_rows", with_ctes(extra={"zz": _ZEROS}, body="""

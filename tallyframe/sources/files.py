@@ -109,8 +109,8 @@ def file_headers(spark: SparkSession, paths: Sequence[str] | str, encoding: str
     return first.select("path", hdr.alias("header"))
 
 
-def classify_files(spark: SparkSession, landing: str, encoding: str = "UTF-8") -> DataFrame:
-    """CL-03 over a landing folder: (path, report_type)."""
+def classify_files(spark: SparkSession, landing, encoding: str = "UTF-8") -> DataFrame:
+    """CL-03 over a landing folder or file list: (path, report_type)."""
     h = file_headers(spark, landing, encoding)
     return h.select("path", "header", route(F.col("path"), F.col("header")).alias("report_type"))
 
@@ -237,7 +237,13 @@ def ingest_batch(spark: SparkSession, landing: str, root: str | None, dry_run: b
     """IO-21 / IO-22: classify every landed file, clean each report type in one plan, then (unless
     ``dry_run``) publish it by its discipline.  One failing report type does not stop the others.
     Returns the log (report_type, files, rows, status)."""
-    files = classify_files(spark, landing, encoding)
+    return ingest_files(spark, landing, root, dry_run, encoding)
+
+
+def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = False,
+                 encoding: str = "UTF-8") -> DataFrame:
+    """IO-21 over an explicit file list (used by the file-drop stream, ST-01)."""
+    files = classify_files(spark, paths, encoding)
     plan: Mapping[str, list[str]] = {}
     for r in files.select("path", "report_type").collect():  # one row per file, not per record
         plan.setdefault(r["report_type"], []).append(r["path"])
