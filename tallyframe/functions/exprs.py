@@ -19,9 +19,14 @@ def col(c) -> Column:
 
 # ---------------------------------------------------------------- text cleaning
 
+# fixed values: blank characters trimmed from text cells (ASCII whitespace, no-break space,
+# ideographic space U+3000 and the byte-order mark) — a short set keeps the per-cell trim cheap
+BLANKS = " \t\n\r\u00a0\u3000\ufeff"
+
+
 def utrim(c) -> Column:
-    """Trim Unicode blanks (U+3000 etc.), which plain ``trim`` leaves in place."""
-    return F.regexp_replace(col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    """Trim Unicode blanks (U+3000 etc.), which plain ``trim`` leaves in place (no regex: a char-set btrim)."""
+    return F.btrim(col(c).cast("string"), F.lit(BLANKS))
 
 
 # fixed values: text markers that mean "no value" in exported reports
@@ -29,14 +34,16 @@ NULL_TEXTS = ("", "nan", "None")
 
 
 def clean_text(c) -> Column:
-    """CL-08: trim; '', 'nan', 'None' -> NULL."""
+    """CL-08: trim; '', 'nan', 'None' -> NULL (the trimmed value is computed once per cell)."""
     t = utrim(c)
-    return F.when(t.isin(*NULL_TEXTS), F.lit(None).cast("string")).otherwise(t)
+    return F.try_element_at(F.array_except(F.array(t), F.array(*[F.lit(x) for x in NULL_TEXTS])), F.lit(1))
 
 
 def unwrap_eq(c) -> Column:
-    """CL-04: spreadsheet-escaped ``="…"`` -> ``…`` (anchored)."""
-    return F.regexp_replace(col(c).cast("string"), r'^="(.*)"$', "$1")
+    """CL-04: spreadsheet-escaped ``="…"`` -> ``…`` (anchored; a prefix/suffix test, no regex)."""
+    t = col(c).cast("string")
+    wrapped = t.startswith('="') & t.endswith('"') & (F.length(t) >= 3)
+    return F.when(wrapped, F.substring(t, 3, F.length(t) - 3)).otherwise(t)
 
 
 def unwrap_eq_loose(c) -> Column:

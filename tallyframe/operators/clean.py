@@ -47,13 +47,14 @@ def unwrap_all(df: DataFrame) -> DataFrame:
 
 
 def drop_total_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """CL-05: drop rows where any cell, trimmed, is a total word."""
+    """CL-05: drop rows where any cell, trimmed, is a total word (plain OR of scalar tests: stays in codegen)."""
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if t == "string"]
     if not cols:
         return df
-    arr = F.array(*[F.col(f"`{c}`").cast("string") for c in cols])
-    words = F.array(*[F.lit(w) for w in TOTAL_WORDS])
-    return df.where(~F.exists(arr, lambda x: F.array_contains(words, F.trim(x))))
+    hit = F.lit(False)
+    for c in cols:
+        hit = hit | F.coalesce(F.trim(F.col(f"`{c}`").cast("string")).isin(*TOTAL_WORDS), F.lit(False))
+    return df.where(~hit)
 
 
 def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve: str | None = PRESERVE_COL,
@@ -63,7 +64,8 @@ def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve
     Checked columns = every column not in ``skip``.  Blank/NULL counts as 0, non-numeric
     text is ignored; at least one checked value must exist.  Rows with ``preserve`` > 0 are
     kept.  ``literal_nan=True`` reproduces the source defect where a NULL cell made a row
-    "not all zero".
+    "not all zero".  Built from scalar expressions only (no array lambdas) so it stays in
+    whole-stage codegen.
     """
     checked = [c for c in df.columns if c not in set(skip)]
     if not checked:
@@ -76,8 +78,13 @@ def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve
             return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(to_num(s))
         return F.when(blank, F.lit(0.0)).otherwise(to_num(s))
 
-    vals = F.filter(F.array(*[v(c) for c in checked]), lambda x: x.isNotNull())
-    empty = (F.size(vals) > 0) & F.forall(vals, lambda x: x == 0)
+    vals = [v(c) for c in checked]
+    any_value = F.lit(False)
+    all_zero = F.lit(True)
+    for x in vals:
+        any_value = any_value | x.isNotNull()
+        all_zero = all_zero & (x.isNull() | (x == 0))
+    empty = any_value & all_zero
     if preserve and preserve in df.columns:
         keep_anyway = F.coalesce(to_num(F.col(f"`{preserve}`")), F.lit(0.0)) > 0
         empty = empty & ~keep_anyway
