@@ -269,6 +269,7 @@ def clean_agent_monthly(df: DataFrame, text_cols: Sequence[str] = AGENT_MONTHLY_
     """CL-24: non-blank agent, parseable month -> YYYY-MM, text columns trimmed, the rest numeric."""
     d = df.where(clean_text("agent_account").isNotNull())
     mth = F.coalesce(F.date_format(F.try_to_date(utrim("month"), "yyyy-MM"), "yyyy-MM"),
+                     F.date_format(F.try_to_date(utrim("month"), "yyyy/MM"), "yyyy-MM"),
                      F.date_format(to_ts("month"), "yyyy-MM"), month_key("month"))
     d = d.withColumn("month", mth).where(F.col("month").rlike(r"^\d{4}-\d{2}$"))
     return d.select(*[(clean_text(c).alias(c) if c in text_cols else

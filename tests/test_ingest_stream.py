@@ -98,3 +98,17 @@ def test_file_ingest_stream(spark, tmpdir_path):
     q.awaitTermination(300)
     assert spark.read.parquet(os.path.join(root, "raw_platform_report")).count() == 1
     time.sleep(0.1)
+
+
+def test_writers_evolving_and_export(spark, tmpdir_path):
+    from tallyframe.sources import publish as P
+    t = os.path.join(tmpdir_path, "tbl")
+    P.append_evolving(spark.createDataFrame([("a", 1)], "k string, v long"), t)
+    P.append_evolving(spark.createDataFrame([("b", 2, "x")], "k string, v long, extra string"), t)
+    got = sorted((r.k, r.extra) for r in P.read_evolving(spark, t).collect())
+    assert got == [("a", None), ("b", "x")]
+    P.write_partitions(spark.createDataFrame([("2026-01", 1), ("2026-02", 2)], "m string, v long"), t + "_p", "m")
+    P.write_partitions(spark.createDataFrame([("2026-02", 9)], "m string, v long"), t + "_p", "m")
+    assert sorted((r.m, r.v) for r in spark.read.parquet(t + "_p").collect()) == [("2026-01", 1), ("2026-02", 9)]
+    P.export_csv(spark.createDataFrame([("甲", 1.5)], "name string, v double"), t + "_csv")
+    assert spark.read.option("header", True).csv(t + "_csv").first()["name"] == "甲"
