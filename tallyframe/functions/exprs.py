@@ -25,7 +25,7 @@ BLANKS = " \t\n\r\u00a0\u3000\ufeff"
 
 
 def utrim(c) -> Column:
-    """Trim Unicode blanks (U+3000 etc.), which plain ``trim`` leaves in place (no regex: a char-set btrim)."""
+    """Trim Unicode blanks (U+3000 etc.), which plain ``trim`` leaves in place (no regex: a char-set btrim). [SC-05]"""
     return F.btrim(col(c).cast("string"), F.lit(BLANKS))
 
 
@@ -47,7 +47,7 @@ def unwrap_eq(c) -> Column:
 
 
 def unwrap_eq_loose(c) -> Column:
-    """CL-04 loose variant: drop every ``="`` and ``"``."""
+    """CL-04 loose variant: drop every ``="`` and ``"``. [SC-02]"""
     return F.replace(F.replace(col(c).cast("string"), F.lit('="'), F.lit("")), F.lit('"'), F.lit(""))
 
 
@@ -90,7 +90,7 @@ TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm",
 
 
 def to_ts(c) -> Column:
-    """CL-09: safe timestamp parse after stripping ``="`` wrappers and quotes; bad -> NULL."""
+    """CL-09: safe timestamp parse after stripping ``="`` wrappers and quotes; bad -> NULL. [SC-08]"""
     t = utrim(F.regexp_replace(col(c).cast("string"), r'^="|"$|^"', ""))
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TS_FORMATS]).cast("timestamp_ntz")
 
@@ -104,7 +104,7 @@ def month_key(c) -> Column:
 
 
 def month_start(m) -> Column:
-    """CL-11: first day of a 'YYYY-MM' key."""
+    """CL-11: first day of a 'YYYY-MM' key. [SC-09]"""
     return F.try_to_date(F.concat(month_key(m), F.lit("-01")), "yyyy-MM-dd")
 
 
@@ -118,7 +118,7 @@ def ym(c) -> Column:
 
 
 def date_key(c) -> Column:
-    """CL-34: first ten characters of a date-ish value (text or timestamp)."""
+    """CL-34: first ten characters of a date-ish value (text or timestamp). [SC-01]"""
     return F.substring(col(c).cast("string"), 1, 10)
 
 
@@ -167,7 +167,7 @@ def slot_date(raw) -> Column:
 
 
 def slot_label(raw) -> Column:
-    """'2026-01-31 23~24' -> '23~24'; a full timestamp -> 'HH:00'."""
+    """'2026-01-31 23~24' -> '23~24'; a full timestamp -> 'HH:00'. [SC-03]"""
     t = F.regexp_replace(col(raw).cast("string"), r'^="|"$', "")
     s = F.nullif(F.regexp_extract(t, r"(\d{1,2}~\d{1,2})", 1), F.lit(""))
     return F.coalesce(s, F.date_format(to_ts(t), "HH:00"))
@@ -266,7 +266,7 @@ def wb_yes(c) -> Column:
 # ---------------------------------------------------------------- ratios (AG-03)
 
 def ratio(n, d, mode: str = "null") -> Column:
-    """Zero-guarded ratio.
+    """Zero-guarded ratio. [AG-03, SC-07, SC-11]
 
     mode='null'     d = 0 or NULL -> NULL
     mode='zero'     d = 0 or NULL -> 0

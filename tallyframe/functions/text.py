@@ -73,7 +73,7 @@ def parse_turns(c) -> Column:
 
 
 def member_text(content, agent=None) -> Column:
-    """TX-02: what the member said: drop system and serving-staff turns, join with a space."""
+    """TX-02: what the member said: drop system and serving-staff turns, join with a space. [UD-06]"""
     turns = parse_turns(content)
     a = utrim(F.coalesce(col(agent).cast("string"), F.lit(""))) if agent is not None else F.lit("")
 
@@ -111,7 +111,7 @@ def keyword_categories(c, categories=ISSUE_CATEGORIES, unmatched: str = LBL_UNMA
 
 def issue_label(unhappy, topic=None, review=None, content=None,
                 categories=ISSUE_CATEGORIES, phrases=CANNED_PHRASES) -> Column:
-    """TX-04: root cause of an unhappy conversation; '' when the row is not unhappy.
+    """TX-04: root cause of an unhappy conversation; '' when the row is not unhappy. [UD-06]
 
     Priority: service topic > keyword categories of the review > of the de-templated
     conversation > '(未匹配)'.

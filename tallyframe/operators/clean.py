@@ -47,7 +47,7 @@ def unwrap_all(df: DataFrame) -> DataFrame:
 
 
 def drop_total_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """CL-05: drop rows where any cell, trimmed, is a total word (plain OR of scalar tests: stays in codegen)."""
+    """CL-05: drop rows where any cell, trimmed, is a total word (plain OR of scalar tests: stays in codegen). [UD-01]"""
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if t == "string"]
     if not cols:
         return df
@@ -59,7 +59,7 @@ def drop_total_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve: str | None = PRESERVE_COL,
                        literal_nan: bool = False) -> DataFrame:
-    """CL-06: drop rows whose checked values are all zero.
+    """CL-06: drop rows whose checked values are all zero. [UD-01]
 
     Checked columns = every column not in ``skip``.  Blank/NULL counts as 0, non-numeric
     text is ignored; at least one checked value must exist.  Rows with ``preserve`` > 0 are
@@ -127,7 +127,7 @@ def rename_cols(df: DataFrame, renames: Mapping[str, str] = RENAMES, strip_units
 
 
 def type_columns(df: DataFrame, spec: Mapping[str, str], drop_all_null: Sequence[str] | None = None) -> DataFrame:
-    """CL-20: dict-driven typing: 'num' (commas, '-' -> NULL), 'pct', 'int', 'bool', 'ts', 'text'.
+    """CL-20: dict-driven typing: 'num' (commas, '-' -> NULL), 'pct', 'int', 'bool', 'ts', 'text'. [UD-07]
 
     Rows where every ``drop_all_null`` column is NULL after typing are dropped.
     """
@@ -183,7 +183,7 @@ def infer_snapshot_month(df: DataFrame, file_col: str = "_source_file", reg_col:
 
 
 def modal_month(df: DataFrame, ts_col: str, group_col: str | None = None, fallback_col: str | None = None) -> DataFrame:
-    """CL-14: most frequent month of a timestamp (smallest month on a tie), per group.
+    """CL-14: most frequent month of a timestamp (smallest month on a tie), per group. [UD-04]
 
     Falls back to a month in ``fallback_col`` (e.g. the file name) when no timestamp parses.
     """

@@ -55,14 +55,14 @@ def fee_structure(comm: DataFrame, month: str | None = None, rates=FEE_RATES) ->
 
 
 def top_net(comm: DataFrame, k: int = 20, month: str | None = None) -> DataFrame:
-    """AG-52: top-k agents with net > 0, with a 万 (x10,000) unit column."""
+    """AG-52: top-k agents with net > 0, with a 万 (x10,000) unit column. [FL-11]"""
     df = pick_month(comm, "commission_month", month).where(F.col("net_after_reversal") > 0)
     return df.select("agent", "net_after_reversal", (F.col("net_after_reversal") / 10000).alias("net_wan")) \
              .orderBy(F.col("net_after_reversal").desc(), "agent").limit(k)
 
 
 def worst_balance(comm: DataFrame, k: int = 20, month: str | None = None) -> DataFrame:
-    """AG-52: bottom-k agents by carried balance < 0."""
+    """AG-52: bottom-k agents by carried balance < 0. [FL-11]"""
     df = pick_month(comm, "commission_month", month).where(F.col("carried_balance") < 0)
     return df.select("agent", "carried_balance", (F.col("carried_balance") / 10000).alias("balance_wan")) \
              .orderBy(F.col("carried_balance").asc(), "agent").limit(k)
@@ -96,14 +96,14 @@ def deficit_list(comm: DataFrame, month: str | None = None) -> DataFrame:
 
 
 def line_stats(team: DataFrame) -> DataFrame:
-    """AG-56 / UD-02: per line: agents, net, sum of negative balances only."""
+    """AG-56 / UD-02: per line: agents, net, sum of negative balances only. [UD-02]"""
     return team.groupBy("line").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
                                     F.coalesce(F.sum(F.when(F.col("carried_balance") < 0, F.col("carried_balance"))),
                                                F.lit(0)).alias("deficit"))
 
 
 def top_teams(team: DataFrame, k: int = 10) -> DataFrame:
-    """AG-57: top-k teams by net with agents and deficit."""
+    """AG-57: top-k teams by net with agents and deficit. [UD-02]"""
     g = team.groupBy("team_name").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
                                       F.coalesce(F.sum(F.when(F.col("carried_balance") < 0, F.col("carried_balance"))),
                                                  F.lit(0)).alias("deficit"))

@@ -55,7 +55,7 @@ def safe_nunique(df: DataFrame, c: str) -> Column:
 
 
 def member_count(df: DataFrame, account: str = "account", agent: str = "agent") -> Column:
-    """AG-02: distinct (account, agent) with NULL agent counted as a value; account only if no agent column."""
+    """AG-02: distinct (account, agent) with NULL agent counted as a value; account only if no agent column. [AG-01]"""
     if agent in df.columns:
         return F.count_distinct(F.struct(col(account), col(agent)))
     return F.count_distinct(col(account))

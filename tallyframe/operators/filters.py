@@ -112,7 +112,7 @@ def default_members(df: DataFrame, source=None, vip=None, register_channel=None,
 
 
 def search(df: DataFrame, cols: Sequence[str], pattern: str, literal: bool = False) -> DataFrame:
-    """FL-05: case-insensitive search over any of the columns; regex by default, literal on request."""
+    """FL-05: case-insensitive search over any of the columns; regex by default, literal on request. [SC-04]"""
     if not pattern:
         return df
     cond: Column = F.lit(False)

@@ -61,7 +61,7 @@ def arpu_by(member: DataFrame, dim: str) -> DataFrame:
 
 
 def monthly_retention(member: DataFrame, calendar: bool = False) -> DataFrame:
-    """AG-39: next-month active / deposit / first-deposit-cohort retention.
+    """AG-39: next-month active / deposit / first-deposit-cohort retention. [WN-05, JN-07]
 
     Flags per (member, month): active = deposits > 0 or turnover > 0; deposit = deposits > 0;
     first = first deposit happened in that month.  "Next month" is the next *available*
@@ -197,7 +197,7 @@ def agent_members(flagged: DataFrame, agent: str | None) -> DataFrame:
 
 def all_members(flagged: DataFrame, vips: Sequence[str] | None = None, status: str | None = None,
                 pattern: str | None = None, sort: str = "turnover") -> DataFrame:
-    """AG-92: all members with VIP / status / regex search filters, sorted desc."""
+    """AG-92: all members with VIP / status / regex search filters, sorted desc. [SL-01]"""
     df = flagged
     if vips is not None:
         df = df.where(F.col("vip").isin(list(vips)))

@@ -29,7 +29,7 @@ LIFETIME = (("company_income", "net_income"), ("turnover", "lifetime_turnover"),
 
 
 def prepare_newreg(member: DataFrame, imported_col: str | None = "imported_at") -> DataFrame:
-    """AG-101: one row per (account, agent) with derived registration fields and lifetime sums."""
+    """AG-101: one row per (account, agent) with derived registration fields and lifetime sums. [FL-10, JN-05, WN-03]"""
     df = member
     if imported_col and imported_col in df.columns:
         # the same month imported twice counts once: keep the latest import per (member, month)
@@ -74,7 +74,7 @@ def newreg_daily(nr: DataFrame) -> DataFrame:
 
 
 def group_quality(nr: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """AG-104: per group: registrations, conversion %, no-deposit %, mean first deposit, net income per
+    """AG-104: per group: registrations, conversion %, no-deposit %, mean first deposit, net income per [UD-05]
     head and total, arbitrage ratio % = (bonus + rebate) / turnover (999 when turnover 0 and give > 0)."""
     g = nr.groupBy(*dims).agg(
         F.count(F.lit(1)).alias("registrations"), F.count_if("has_first_deposit").alias("depositors"),
@@ -100,7 +100,7 @@ DIRECT_SOURCE = "直客"
 
 
 def value_by_source(nr: DataFrame) -> DataFrame:
-    """AG-105: group quality per member source (NULL -> '(未记录)') in the fixed source order."""
+    """AG-105: group quality per member source (NULL -> '(未记录)') in the fixed source order. [SL-05]"""
     df = nr.withColumn("source", F.coalesce(F.col("source"), F.lit(LBL_UNRECORDED)))
     order = F.lit(9)
     for s, i in reversed(SOURCE_ORDER):
@@ -123,7 +123,7 @@ FLAG_ARBITRAGE = "红利套利"
 
 
 def agent_quality_board(nr: DataFrame, min_n: int = 5, k: int = 40) -> DataFrame:
-    """AG-106: per agent with >= min_n registrations; flags 'volume padding' (n >= max(min_n, 10) and
+    """AG-106: per agent with >= min_n registrations; flags 'volume padding' (n >= max(min_n, 10) and [UD-08]
     no-deposit % >= 80) and 'bonus arbitrage' (ratio >= 100); top-k by registrations."""
     q = group_quality(nr, ["agent_label"]).where(F.col("registrations") >= min_n)
     pad = (F.col("registrations") >= max(min_n, 10)) & (F.col("no_deposit_pct") >= 80)
@@ -186,7 +186,7 @@ def rank_with_tail(nr: DataFrame, dim: str, k: int = 20) -> DataFrame:
 
 
 def invite_ranking(nr: DataFrame, k: int = 20) -> DataFrame:
-    """AG-111: per invite code: registrations, depositors and the most frequent agent (smallest on ties)."""
+    """AG-111: per invite code: registrations, depositors and the most frequent agent (smallest on ties). [UD-04]"""
     pairs = nr.where(F.col("invite_code").isNotNull()).groupBy("invite_code", "agent_label").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("has_first_deposit").alias("d"))
     g = pairs.groupBy("invite_code").agg(F.sum("n").alias("registrations"), F.sum("d").alias("depositors"),

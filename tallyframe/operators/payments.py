@@ -24,7 +24,7 @@ def with_minutes(df: DataFrame, start: str, end: str = "completed_at") -> DataFr
 
 
 def deposit_kpis(dep: DataFrame) -> DataFrame:
-    """AG-115: rows, success rate, drop (cancel) rate, mean minutes over successful orders with minutes >= 0."""
+    """AG-115: rows, success rate, drop (cancel) rate, mean minutes over successful orders with minutes >= 0. [FL-10, FL-11]"""
     d = with_minutes(dep, "ordered_at")
     ok = utrim("status") == DEP_SUCCESS
     return d.agg(F.count(F.lit(1)).alias("orders"),
@@ -74,7 +74,7 @@ def withdraw_kpis(wd: DataFrame, slow_minutes: float = 60.0) -> DataFrame:
 
 
 def slow_withdrawals(wd: DataFrame, minutes: float = 60.0, k: int = 50) -> DataFrame:
-    """AG-120: slowest successful withdrawals over ``minutes``, worst first."""
+    """AG-120: slowest successful withdrawals over ``minutes``, worst first. [FL-11]"""
     d = with_minutes(wd, "applied_at")
     return d.where((utrim("status") == WD_SUCCESS) & (F.col("minutes") > minutes)) \
             .select("order_no", "account", "channel", "amount", "applied_at", "completed_at", "minutes") \

@@ -27,7 +27,7 @@ def latest_imported(*dfs: DataFrame, col: str = "_imported_at") -> DataFrame:
 
 
 def freshness(spark, tables: Mapping[str, tuple[DataFrame | None, str, str]]) -> DataFrame:
-    """AG-127: per table: latest 10-char period (month keys normalised) and row count; absent table -> NULL / 0.
+    """AG-127: per table: latest 10-char period (month keys normalised) and row count; absent table -> NULL / 0. [SO-02]
 
     ``tables`` maps name -> (frame or None, period column, kind 'daily' | 'monthly').
     """
@@ -52,7 +52,7 @@ SEVERITY = (("bad", 3), ("check", 2), ("warn", 1), ("ok", 0))
 
 
 def freshness_status(fresh: DataFrame, as_of: str) -> DataFrame:
-    """AG-128: daily tables: gap <= 1 day ok, <= 3 warn, > 3 bad; monthly tables: month gap 0 ok,
+    """AG-128: daily tables: gap <= 1 day ok, <= 3 warn, > 3 bad; monthly tables: month gap 0 ok, [SL-06]
     1 warn, > 1 bad; unparsable / missing -> check.  Sorted by severity desc, table."""
     ref = F.lit(as_of).cast("date")
     d = F.try_to_date(F.col("latest"), "yyyy-MM-dd")
@@ -96,7 +96,7 @@ def check_row_drop(new: DataFrame, existing: DataFrame, min_existing: int = 20,
 
 
 def check_missing_days(df: DataFrame, date_col: str, first: int = 5) -> DataFrame:
-    """AG-131: days inside [min, max] without rows: count and the first ``first`` of them."""
+    """AG-131: days inside [min, max] without rows: count and the first ``first`` of them. [SC-10, SO-04]"""
     d = df.select(F.to_date(date_col).alias("d")).where(F.col("d").isNotNull()).distinct()
     rng = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     cal = rng.select(F.explode(F.sequence("lo", "hi")).alias("d"))

@@ -28,7 +28,7 @@ def slot_kpis(slots: DataFrame) -> DataFrame:
 
 
 def slot_anomaly(slots: DataFrame, metric: str = "turnover", days: int = 7, pct: float = 20.0) -> DataFrame:
-    """AG-42: latest day per slot vs the mean over the days present in the previous ``days`` days.
+    """AG-42: latest day per slot vs the mean over the days present in the previous ``days`` days. [JN-01]
 
     deviation % = (latest - baseline) / baseline x 100; slots with no baseline or a zero
     baseline are not reported; flag 'drop' at <= -pct, 'spike' at >= pct, else 'normal'.

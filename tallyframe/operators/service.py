@@ -47,7 +47,7 @@ def satisfaction_dist(cs: DataFrame) -> DataFrame:
 
 
 def staff_ranking(cs: DataFrame) -> DataFrame:
-    """AG-96: per staff: volume, mean response / duration / turns (1dp), rated, very happy, very unhappy,
+    """AG-96: per staff: volume, mean response / duration / turns (1dp), rated, very happy, very unhappy, [JN-03, UD-03]
     good-rate % = very happy / rated (0 -> 1) (1dp).  Every missing number becomes 0."""
     rated = F.col("rating") != NOT_RATED
     g = cs.where(F.col("staff").isNotNull()).groupBy("staff").agg(
@@ -70,7 +70,7 @@ def by_hour(cs: DataFrame) -> DataFrame:
 
 
 def by_weekday(cs: DataFrame) -> DataFrame:
-    """AG-97: conversations per weekday, Monday first (weekday 0 = Monday), labelled."""
+    """AG-97: conversations per weekday, Monday first (weekday 0 = Monday), labelled. [SL-05]"""
     g = cs.where(F.col("started_at").isNotNull()).groupBy(F.weekday("started_at").alias("weekday")) \
           .agg(F.count(F.lit(1)).alias("conversations"))
     labels = F.array(*[F.lit(w) for w in WEEKDAYS])

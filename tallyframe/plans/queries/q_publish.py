@@ -222,3 +222,27 @@ SELECT month_share, coalesce(month_share > 0.8, false) AS month_aggregated FROM
 SELECT avg(CAST(regexp_full_match(trim(date_txt), '\d{4}-\d{2}') AS DOUBLE)) AS month_share FROM dated)"""))
 def ag133(spark, d):
     return Q.looks_month_aggregated(_dated(spark, d), "date_txt")
+
+
+def _filed(spark, d):
+    o = S.load(spark, d, "orders")
+    f = F.concat(F.lit("2026-0"), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit("/part"),
+                 (F.col("o_orderkey") % 7).cast("string"), F.lit(".csv"))
+    return o.select("o_orderkey", "o_totalprice", f.alias("_source_file"))
+
+
+@register("io09_only_new_files", with_ctes(extra={"fl": """SELECT o_orderkey, o_totalprice,
+  '2026-0' || CAST(o_orderkey % 3 + 1 AS VARCHAR) || '/part' || CAST(o_orderkey % 7 AS VARCHAR) || '.csv' AS _source_file FROM ord"""},
+    body=r"""SELECT * FROM fl n WHERE o_orderkey % 2 = 0 AND NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT CASE WHEN o_orderkey % 7 < 3 THEN 'landing/' || regexp_extract(_source_file, '[^/]+$', 0)
+                                  ELSE _source_file END AS p FROM fl WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 < 5) e
+  WHERE e.p = n._source_file OR regexp_extract(e.p, '[^/]+$', 0) = regexp_extract(n._source_file, '[^/]+$', 0)
+     OR ends_with(e.p, '/' || regexp_extract(n._source_file, '[^/]+$', 0)))"""))
+def io09(spark, d):
+    t = _filed(spark, d)
+    new = t.where(F.col("o_orderkey") % 2 == 0)
+    ex = t.where((F.col("o_orderkey") % 2 == 1) & (F.col("o_orderkey") % 7 < 5))
+    ex = ex.withColumn("_source_file", F.when(F.col("o_orderkey") % 7 < 3,
+                                              F.concat(F.lit("landing/"), F.regexp_extract("_source_file", r"[^/]+$", 0)))
+                       .otherwise(F.col("_source_file")))
+    return P.only_new_files(new, ex)

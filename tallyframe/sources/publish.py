@@ -44,9 +44,16 @@ def date_keys(df: DataFrame, date_col: str) -> DataFrame:
     return df.select(k.alias("k")).where(F.col("k").isNotNull() & ~F.col("k").isin("", "nan", "None")).distinct()
 
 
-def _align(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Schema evolution on append (IO-08): both sides get the union of columns."""
-    return existing, new
+def only_new_files(new: DataFrame, existing: DataFrame, file_col: str = "_source_file") -> DataFrame:
+    """IO-09: rows of files not loaded yet: a file counts as loaded when the table holds the exact
+    path, the same base name, or a path ending with '/<base name>' (SC-06)."""
+    base = lambda c: F.regexp_extract(c, r"[^/]+$", 0)
+    have = existing.select(F.col(file_col).alias("__p"), base(F.col(file_col)).alias("__b")) \
+                   .where(F.col("__p").isNotNull()).distinct()
+    nb = new.withColumn("__nb", base(F.col(file_col)))
+    cond = (nb[file_col] == have["__p"]) | (nb["__nb"] == have["__b"]) | have["__p"].endswith(F.concat(F.lit("/"), nb["__nb"]))
+    # the loaded-file list is small (one row per file, not per record): broadcast it
+    return nb.join(F.broadcast(have), cond, "left_anti").drop("__nb")
 
 
 def union_evolving(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def union_evolving(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_new_keys(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
-    """IO-11: rows of the batch whose key (compared as text) is not in the table yet.
+    """IO-11: rows of the batch whose key (compared as text) is not in the table yet. [JN-08]
 
     The batch is first deduplicated on the key keeping the first row by ``order`` (CL-17).
     """
@@ -70,7 +77,7 @@ def append_new_keys_combined(new: DataFrame, existing: DataFrame, key: str, orde
 
 
 def replace_by_dates(new: DataFrame, existing: DataFrame, date_col: str | None) -> DataFrame:
-    """IO-12: drop existing rows whose day is in the batch, plus stale whole-month rows ('YYYY-MM')
+    """IO-12: drop existing rows whose day is in the batch, plus stale whole-month rows ('YYYY-MM') [JN-08]
     of the batch's months; keep the rest; append the batch.  No date column -> plain append."""
     if date_col is None or date_col not in new.columns:
         return union_evolving(existing, new)
@@ -97,7 +104,7 @@ def replace_report(new: DataFrame, existing: DataFrame, date_col: str) -> DataFr
 
 def merge_snapshot(new: DataFrame, existing: DataFrame, month_col: str = "snapshot_month",
                    keys: Sequence[str] = ("account", "agent"), order: Sequence[str] | None = None) -> DataFrame:
-    """IO-13: snapshot merge.  Months are normalised (YYYYMM -> YYYY-MM) on both sides; the batch is
+    """IO-13: snapshot merge.  Months are normalised (YYYYMM -> YYYY-MM) on both sides; the batch is [JN-08]
     deduplicated per (month, key) keeping the last row; existing rows of the batch months whose
     key is in the batch are replaced, other rows of those months are kept, other months are
     untouched.  Without key columns the batch months are replaced whole.  Keys compare NULL-safe."""
@@ -119,7 +126,7 @@ def merge_snapshot(new: DataFrame, existing: DataFrame, month_col: str = "snapsh
 
 
 def refresh_months(new: DataFrame, existing: DataFrame, month_col: str) -> DataFrame:
-    """IO-14: drop every existing row of the batch's months, append the batch."""
+    """IO-14: drop every existing row of the batch's months, append the batch. [JN-08]"""
     nb = new.withColumn(month_col, month_key(month_col))
     ex = existing.withColumn(month_col, month_key(month_col))
     months = nb.select(month_col).distinct()  # calendar-bounded
