@@ -144,11 +144,15 @@ def funnel(nr: DataFrame) -> DataFrame:
 
 
 def ttf_stats(nr: DataFrame) -> DataFrame:
-    """AG-108: median TTF hours, share under 1h, median first deposit of depositors, count."""
-    return nr.agg(F.median("ttf_hours").alias("median_ttf_hours"),
-                  F.avg(F.when(F.col("ttf_hours").isNotNull(), (F.col("ttf_hours") < 1).cast("double"))).alias("share_under_1h"),
-                  F.median(F.when(F.col("has_first_deposit"), F.col("first_dep"))).alias("median_first_deposit"),
+    """AG-108: median TTF hours, share under 1h, median first deposit of depositors, count (exact
+    distributed medians, see ``operators/quantiles.py``)."""
+    from .quantiles import exact_quantiles
+    base = nr.agg(F.avg(F.when(F.col("ttf_hours").isNotNull(), (F.col("ttf_hours") < 1).cast("double"))).alias("share_under_1h"),
                   F.count("ttf_hours").alias("with_ttf"))
+    m1 = exact_quantiles(nr, "ttf_hours", [0.5]).select(F.col("q_0_5").alias("median_ttf_hours"))
+    m2 = exact_quantiles(nr.where("has_first_deposit"), "first_dep", [0.5]) \
+        .select(F.col("q_0_5").alias("median_first_deposit"))
+    return base.crossJoin(F.broadcast(m1)).crossJoin(F.broadcast(m2))
 
 
 # fixed values: TTF bands in hours (left-closed)
@@ -164,9 +168,12 @@ def ttf_bands(nr: DataFrame) -> DataFrame:
 
 
 def ttf_by(nr: DataFrame, dim: str) -> DataFrame:
-    """AG-108: median TTF and count per dimension."""
-    return nr.where(F.col("ttf_hours").isNotNull()).groupBy(F.coalesce(F.col(dim), F.lit(LBL_UNRECORDED)).alias(dim)) \
-             .agg(F.median("ttf_hours").alias("median_ttf_hours"), F.count(F.lit(1)).alias("members"))
+    """AG-108: exact median TTF and count per dimension."""
+    from .quantiles import exact_quantiles
+    df = nr.where(F.col("ttf_hours").isNotNull()).withColumn(dim, F.coalesce(F.col(dim), F.lit(LBL_UNRECORDED)))
+    cnt = df.groupBy(dim).agg(F.count(F.lit(1)).alias("members"))
+    med = exact_quantiles(df, "ttf_hours", [0.5], group=dim).withColumnRenamed("q_0_5", "median_ttf_hours")
+    return cnt.join(F.broadcast(med), dim, "left")
 
 
 def cohort_pl(nr: DataFrame) -> DataFrame:

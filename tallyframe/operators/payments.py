@@ -59,18 +59,21 @@ def cancel_reasons(dep: DataFrame, k: int = 8) -> DataFrame:
 
 def withdraw_kpis(wd: DataFrame, slow_minutes: float = 60.0) -> DataFrame:
     """AG-119: success / reject / fail rates; mean, exact median and p90 minutes of successful
-    withdrawals with minutes >= 0; count slower than ``slow_minutes``."""
+    withdrawals with minutes >= 0; count slower than ``slow_minutes``.  The quantiles come from the
+    distributed exact quantile (``operators/quantiles.py``), never one task holding all values."""
+    from .quantiles import exact_quantiles
     d = with_minutes(wd, "applied_at")
     st = utrim("status")
     ok_m = F.when((st == WD_SUCCESS) & (F.col("minutes") >= 0), F.col("minutes"))
-    return d.agg(F.count(F.lit(1)).alias("orders"),
+    base = d.agg(F.count(F.lit(1)).alias("orders"),
                  F.avg((st == WD_SUCCESS).cast("double")).alias("success_rate"),
                  F.avg((st == WD_REJECTED).cast("double")).alias("reject_rate"),
                  F.avg((st == WD_FAILED).cast("double")).alias("fail_rate"),
                  F.avg(ok_m).alias("avg_minutes"),
-                 F.percentile(ok_m, 0.5).alias("median_minutes"),
-                 F.percentile(ok_m, 0.9).alias("p90_minutes"),
                  F.count_if(ok_m > slow_minutes).alias("slow_count"))
+    q = exact_quantiles(d.select(ok_m.alias("m")), "m", [0.5, 0.9]) \
+        .select(F.col("q_0_5").alias("median_minutes"), F.col("q_0_9").alias("p90_minutes"))
+    return base.crossJoin(F.broadcast(q))
 
 
 def slow_withdrawals(wd: DataFrame, minutes: float = 60.0, k: int = 50) -> DataFrame:

@@ -69,3 +69,18 @@ def test_loss_guard_and_delete(spark):
     assert [tuple(r) for r in P.delete_report(ex, "m", ["2026-01"]).collect()] == [(1, 2)]
     lp = {r.period: r.rows for r in P.list_periods(ex, "m").collect()}
     assert lp["(空)"] == 1
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+
+    from tallyframe.operators.quantiles import exact_quantiles
+    random.seed(7)
+    rows = [(random.choice("ab"), random.choice([random.random() * 50, 3.0, float(random.randint(0, 2))]))
+            for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q_0_5, r.q_0_9) for r in exact_quantiles(df, "v", [0.5, 0.9], group="g", bins=4, collect_at=20).collect()}
+    ref = {r.g: (r.m, r.p) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"),
+                                                        F.percentile("v", 0.9).alias("p")).collect()}
+    for k in ref:
+        assert abs(got[k][0] - ref[k][0]) < 1e-9 and abs(got[k][1] - ref[k][1]) < 1e-9
