@@ -49,6 +49,11 @@ HEAT_KEYWORDS = ("充值", "提款", "红利", "彩金", "活动", "登录", "
 NULL_WORDS_LOWER = ("nan", "none", "")
 
 
+def blank_to_null(c) -> Column:
+    """Trimmed text, NULL when blank / 'nan' / 'none' (any case)."""
+    return _blank_to_null(c)
+
+
 def _blank_to_null(c) -> Column:
     t = utrim(c)
     return F.when(F.lower(t).isin(*NULL_WORDS_LOWER), F.lit(None).cast("string")).otherwise(t)

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (LBL_UNKNOWN_ACTIVITY, clean_text, col, month_key, pct_to_fraction, slot_date,
+from ..functions.exprs import (LBL_UNKNOWN_ACTIVITY, LBL_UNMATCHED, clean_text, col, month_key, pct_to_fraction, slot_date,
                                slot_hour, slot_label, to_num, to_num_commas, to_ts, unwrap_eq, utrim, yes_no)
 from ..functions.text import issue_label
 from .dedupe import keep_first, keep_last
@@ -74,17 +74,16 @@ def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve
     def v(c):
         s = F.col(f"`{c}`").cast("string")
         blank = s.isNull() | F.trim(s).isin(*BLANK_WORDS)
+        num = F.trim(s).try_cast("double")  # non-numeric -> NULL (ignored); NaN stays NaN (not zero)
         if literal_nan:
-            return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(to_num(s))
-        return F.when(blank, F.lit(0.0)).otherwise(to_num(s))
-
-    vals = [v(c) for c in checked]
-    any_value = F.lit(False)
-    all_zero = F.lit(True)
-    for x in vals:
-        any_value = any_value | x.isNotNull()
-        all_zero = all_zero & (x.isNull() | (x == 0))
-    empty = any_value & all_zero
+            return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(num)
+        return F.when(blank, F.lit(0.0)).otherwise(num)
+
+    # every value referenced once: greatest() skips NULLs (ignored cells) and orders NaN above all,
+    # so "max |v| == 0" <=> at least one checked value and all of them zero
+    vals = [F.abs(v(c)) for c in checked]
+    mx = F.greatest(*vals) if len(vals) > 1 else vals[0]
+    empty = F.coalesce(mx == 0, F.lit(False))
     if preserve and preserve in df.columns:
         keep_anyway = F.coalesce(to_num(F.col(f"`{preserve}`")), F.lit(0.0)) > 0
         empty = empty & ~keep_anyway
@@ -250,8 +249,23 @@ def clean_conversations(df: DataFrame, unhappy_ratings: Sequence[str] = UNHAPPY_
         if dict(d.dtypes).get(c) == "string":
             d = d.withColumn(c, to_num(c))
     d = d.withColumn("snapshot_month", F.date_format("started_at", "yyyy-MM"))
-    unhappy = F.col("rating").isin(*unhappy_ratings)
-    return d.withColumn("issue", issue_label(unhappy, "topic", "review", "content"))
+    return with_issue_label(d, unhappy_ratings)
+
+
+def with_issue_label(df: DataFrame, unhappy_ratings: Sequence[str] = UNHAPPY_RATINGS) -> DataFrame:
+    """TX-04 staged as columns: the de-templated conversation and the two category strings are
+    projected once, so the keyword tests never re-run the canned-line filter per keyword."""
+    from ..functions.text import blank_to_null, keyword_categories, strip_canned
+    d = df.withColumn("__content", blank_to_null("content")).withColumn("__review", blank_to_null("review")) \
+          .withColumn("__topic", blank_to_null("topic"))
+    d = d.withColumn("__stripped", strip_canned("__content"))
+    d = d.withColumn("__rcats", keyword_categories("__review")).withColumn("__ccats", keyword_categories("__stripped"))
+    label = (F.when(F.col("__topic").isNotNull(), F.col("__topic"))
+             .when(F.col("__review").isNotNull(), F.col("__rcats"))
+             .when(F.col("__content").isNotNull() & (F.trim("__stripped") != ""), F.col("__ccats"))
+             .otherwise(F.lit(LBL_UNMATCHED)))
+    out = d.withColumn("issue", F.when(F.col("rating").isin(*unhappy_ratings), label).otherwise(F.lit("")))
+    return out.drop("__content", "__review", "__topic", "__stripped", "__rcats", "__ccats")
 
 
 def clean_payments(df: DataFrame, date_col: str) -> DataFrame:

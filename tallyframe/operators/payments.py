@@ -65,15 +65,12 @@ def withdraw_kpis(wd: DataFrame, slow_minutes: float = 60.0) -> DataFrame:
     d = with_minutes(wd, "applied_at")
     st = utrim("status")
     ok_m = F.when((st == WD_SUCCESS) & (F.col("minutes") >= 0), F.col("minutes"))
-    base = d.agg(F.count(F.lit(1)).alias("orders"),
-                 F.avg((st == WD_SUCCESS).cast("double")).alias("success_rate"),
-                 F.avg((st == WD_REJECTED).cast("double")).alias("reject_rate"),
-                 F.avg((st == WD_FAILED).cast("double")).alias("fail_rate"),
-                 F.avg(ok_m).alias("avg_minutes"),
-                 F.count_if(ok_m > slow_minutes).alias("slow_count"))
-    q = exact_quantiles(d.select(ok_m.alias("m")), "m", [0.5, 0.9]) \
-        .select(F.col("q_0_5").alias("median_minutes"), F.col("q_0_9").alias("p90_minutes"))
-    return base.crossJoin(F.broadcast(q))
+    extra = {"orders": F.count(F.lit(1)), "success_rate": F.avg((st == WD_SUCCESS).cast("double")),
+             "reject_rate": F.avg((st == WD_REJECTED).cast("double")),
+             "fail_rate": F.avg((st == WD_FAILED).cast("double")), "avg_minutes": F.avg("__v"),
+             "slow_count": F.count_if(F.col("__v") > slow_minutes)}
+    q = exact_quantiles(d, ok_m, [0.5, 0.9], extra=extra)
+    return q.withColumnRenamed("q_0_5", "median_minutes").withColumnRenamed("q_0_9", "p90_minutes")
 
 
 def slow_withdrawals(wd: DataFrame, minutes: float = 60.0, k: int = 50) -> DataFrame:

@@ -23,20 +23,27 @@ GKEY = "__g"
 
 
 def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None = None, bins: int = 1024,
-                    collect_at: int = 4096, max_passes: int = 16) -> DataFrame:
+                    collect_at: int = 4096, max_passes: int = 16, extra=None) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per ``group`` (one row per group: group, q_<p> ...).
 
-    ``value`` is a column name or Column; NULLs are ignored.  Groups with no values get NULLs.
+    ``value`` is a column name or Column; NULLs are ignored.  ``extra`` maps output names to
+    aggregate Columns evaluated over ALL rows of the group in the first pass, so callers get their
+    other KPIs from the same (persisted) input instead of recomputing it.
     """
     spark = df.sparkSession
     v = F.col(value) if isinstance(value, str) else value
     g = F.col(group).cast("string") if group else F.lit("")
-    base = df.select(g.alias(GKEY), v.cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    extra = dict(extra or {})
+    val = v.cast("double")
+    base = df.select("*", g.alias(GKEY), F.when(~F.isnan(val), val).alias("__v")) if extra else \
+        df.select(g.alias(GKEY), val.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = {r[GKEY]: (r["n"], r["lo"], r["hi"]) for r in
-                 base.groupBy(GKEY).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
-                                        F.max("__v").alias("hi")).collect()}  # one row per group
+        stats_df = base.groupBy(GKEY).agg(F.count("__v").alias("n"), F.min("__v").alias("lo"),
+                                          F.max("__v").alias("hi"), *[e.alias(k) for k, e in extra.items()])
+        stats_rows = stats_df.collect()  # one row per group
+        extras = {r[GKEY]: [r[k] for k in extra] for r in stats_rows}
+        stats = {r[GKEY]: (r["n"], r["lo"], r["hi"]) for r in stats_rows if r["n"] > 0}
         # targets: (group, rank) -> [lo, hi, below, value]
         targets: dict[tuple[str, int], list] = {}
         for gk, (n, lo, hi) in stats.items():
@@ -51,7 +58,7 @@ def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None
             ids = list(pending)
             tdf = spark.createDataFrame([(i, k[0], t[0], t[1]) for i, (k, t) in enumerate(pending.items())],
                                         f"tid int, {GKEY} string, lo double, hi double")
-            j = base.join(F.broadcast(tdf), GKEY).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+            j = base.select(GKEY, "__v").join(F.broadcast(tdf), GKEY).where(F.col("__v").between(F.col("lo"), F.col("hi")))
             b = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"),
                         F.lit(bins - 1))
             hist = j.groupBy("tid", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"),
@@ -74,28 +81,41 @@ def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None
                             small.append((key, tid))
                         break
                     cum += c
-            for key, _tid in small:
-                t = targets[key]
-                vals = [r["__v"] for r in base.where((F.col(GKEY) == key[0]) & F.col("__v").between(t[0], t[1]))
-                        .select("__v").orderBy("__v").collect()]  # <= collect_at values
-                t[3] = vals[key[1] - t[2]]
+            if small:
+                # one job for every target that is down to <= collect_at candidates
+                sdf = spark.createDataFrame([(i, k[0], targets[k][0], targets[k][1]) for i, (k, _t) in enumerate(small)],
+                                            f"sid int, {GKEY} string, lo double, hi double")
+                cand: dict[int, list] = {}
+                for r in (base.select(GKEY, "__v").join(F.broadcast(sdf), GKEY)
+                              .where(F.col("__v").between(F.col("lo"), F.col("hi"))).select("sid", "__v").collect()):
+                    cand.setdefault(r["sid"], []).append(r["__v"])  # <= collect_at values per target
+                for i, (key, _tid) in enumerate(small):
+                    t = targets[key]
+                    t[3] = sorted(cand[i])[key[1] - t[2]]
         rows = []
-        for gk, (n, _lo, _hi) in stats.items():
+        for gk in extras:
             out = [gk]
+            if gk not in stats:
+                rows.append(tuple(out + [None] * len(qs) + extras[gk]))
+                continue
+            n = stats[gk][0]
             for q in qs:
                 pos = q * (n - 1)
                 r0 = math.floor(pos)
                 r1 = min(r0 + 1, n - 1)
                 a, c = targets[(gk, r0)][3], targets[(gk, r1)][3]
                 out.append(a + (c - a) * (pos - r0))
-            rows.append(tuple(out))
+            rows.append(tuple(out + extras[gk]))
     finally:
         base.unpersist()
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
     names = [f"q_{str(q).replace('.', '_')}" for q in qs]
-    schema = f"{GKEY} string, " + ", ".join(f"{n} double" for n in names)
+    fields = [StructField(GKEY, StringType())] + [StructField(n, DoubleType()) for n in names]
+    fields += [stats_df.schema[k] for k in extra]
+    schema = StructType(fields)
+    if not rows and not group:
+        rows = [tuple([""] + [None] * (len(qs) + len(extra)))]
     res = spark.createDataFrame(rows, schema)
     if group:
         return res.withColumnRenamed(GKEY, group)
-    if not rows:
-        res = spark.createDataFrame([tuple([""] + [None] * len(qs))], schema)
     return res.drop(GKEY)
