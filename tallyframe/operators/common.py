@@ -89,13 +89,16 @@ def top_by(df: DataFrame, keys: Sequence[str], metric: str, k: int | None, agg:
 
 
 def with_share(df: DataFrame, metric: str, name: str = "share_pct", digits: int | None = 2) -> DataFrame:
-    """JN-11: value / grand total x 100 via a one-row broadcast total."""
-    tot = df.agg(F.sum(metric).alias("__tot"))
-    out = df.crossJoin(F.broadcast(tot))
-    v = F.try_divide(F.col(metric) * 100.0, F.nullif(F.col("__tot"), F.lit(0)))
+    """JN-11: value / grand total x 100 on an already *grouped* frame of bounded cardinality
+    (venue x type, type, rating ...).  The total is ``sum() over ()`` of the grouped rows, so the
+    data behind the groups is scanned once (a separate total aggregate would re-run the whole
+    upstream plan, because column pruning makes it differ from the main branch)."""
+    from pyspark.sql.window import Window
+    tot = F.sum(metric).over(Window.partitionBy())
+    v = F.try_divide(F.col(metric) * 100.0, F.nullif(tot, F.lit(0)))
     if digits is not None:
         v = F.round(v, digits)
-    return out.withColumn(name, v).drop("__tot")
+    return df.withColumn(name, v)
 
 
 def hierarchy_totals(df: DataFrame, levels: Sequence[str], metric: str, fill: str | None = None) -> DataFrame:
