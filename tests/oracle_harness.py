@@ -83,7 +83,12 @@ def main(argv):
     pats = [a for a in argv[1:] if not a.startswith("/")]
     from tallyframe.plans.catalog import oracle_queries, spark_queries
     from tallyframe.session import get_spark
-    spark = get_spark("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession  # the driver's kind of session: no package defaults
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = get_spark("local[8]", 8)
     qs = spark_queries()
     sqls = oracle_queries()
     con = duck(sf)
