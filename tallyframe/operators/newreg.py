@@ -126,8 +126,9 @@ def agent_quality_board(nr: DataFrame, min_n: int = 5, k: int = 40) -> DataFrame
     """AG-106: per agent with >= min_n registrations; flags 'volume padding' (n >= max(min_n, 10) and [UD-08]
     no-deposit % >= 80) and 'bonus arbitrage' (ratio >= 100); top-k by registrations."""
     q = group_quality(nr, ["agent_label"]).where(F.col("registrations") >= min_n)
-    pad = (F.col("registrations") >= max(min_n, 10)) & (F.col("no_deposit_pct") >= 80)
-    arb = F.coalesce(F.col("arbitrage_ratio_pct") >= 100, F.lit(False))
+    # the flags compare the displayed (half-even rounded) percentages, like the source report
+    pad = (F.col("registrations") >= max(min_n, 10)) & (F.bround("no_deposit_pct", 0) >= 80)
+    arb = F.coalesce(F.bround("arbitrage_ratio_pct", 1) >= 100, F.lit(False))
     flags = F.concat_ws(" ", F.when(pad, F.lit(FLAG_PADDING)), F.when(arb, F.lit(FLAG_ARBITRAGE)))
     return q.withColumn("risk", flags).orderBy(F.col("registrations").desc(), "agent_label").limit(k)
 

@@ -97,8 +97,8 @@ def ag105b(spark, d):
 
 
 @register("ag106_agent_quality_board", with_ctes("member", extra=_X, body=f"""
-SELECT *, concat_ws(' ', CASE WHEN registrations >= 10 AND no_deposit_pct >= 80 THEN '刷量嫌疑' END,
-                         CASE WHEN coalesce(arbitrage_ratio_pct >= 100, false) THEN '红利套利' END) AS risk
+SELECT *, concat_ws(' ', CASE WHEN registrations >= 10 AND round_even(no_deposit_pct, 0) >= 80 THEN '刷量嫌疑' END,
+                         CASE WHEN coalesce(round_even(arbitrage_ratio_pct, 1) >= 100, false) THEN '红利套利' END) AS risk
 FROM ({_gq(['agent_label'])}) WHERE registrations >= 5 ORDER BY registrations DESC, agent_label LIMIT 40"""))
 def ag106(spark, d):
     return NR.agent_quality_board(_nr(spark, d), 5, 40)

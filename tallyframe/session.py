@@ -47,7 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared, durable folder on a cluster")
+        d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
