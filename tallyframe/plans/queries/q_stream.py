@@ -42,3 +42,27 @@ def st03(spark, d):
     out = scratch_path(spark, f"st03/{run}/out")
     J.start_dedupe_orders(spark, src, out, checkpoint=scratch_path(spark, f"st03/{run}/ckpt")).awaitTermination()
     return spark.read.parquet(out).select(F.col("order_no"))
+
+
+@register("st01_file_drop_ingest", with_ctes("platform", body="""
+SELECT "日期", "注册数", "公司输赢", "首存人数" FROM (
+  SELECT CAST(date AS VARCHAR) AS "日期", CAST(registrations AS VARCHAR) AS "注册数",
+    CAST(company_win AS VARCHAR) AS "公司输赢", CAST(first_depositors AS VARCHAR) AS "首存人数",
+    registrations, company_win, first_depositors FROM platform)
+WHERE NOT (registrations = 0 AND company_win = 0 AND first_depositors = 0)"""))
+def st01(spark, d):
+    """ST-01 / IO-21: platform report rendered as landed CSV (Chinese headers, a total row), then the
+    file-drop stream classifies it by header, cleans it and publishes raw_platform_report."""
+    from .. import standins as S
+    run = uuid.uuid4().hex
+    landing = scratch_path(spark, f"st01/{run}/landing")
+    root = scratch_path(spark, f"st01/{run}/tables")
+    p = S.platform(spark, d).select(F.col("date").cast("string").alias("日期"),
+                                    F.col("registrations").cast("string").alias("注册数"),
+                                    F.col("company_win").cast("string").alias("公司输赢"),
+                                    F.col("first_depositors").cast("string").alias("首存人数"))
+    total = p.agg(F.lit("总计").alias("日期"), F.sum(F.col("注册数").cast("bigint")).cast("string").alias("注册数"),
+                  F.lit("").alias("公司输赢"), F.lit("").alias("首存人数"))
+    p.unionByName(total).write.option("header", True).csv(landing)
+    J.file_ingest_stream(spark, landing, root, scratch_path(spark, f"st01/{run}/ckpt")).awaitTermination()
+    return spark.read.parquet(f"{root}/raw_platform_report").select("日期", "注册数", "公司输赢", "首存人数")
