@@ -34,14 +34,16 @@ def slot_anomaly(slots: DataFrame, metric: str = "turnover", days: int = 7, pct:
     baseline are not reported; flag 'drop' at <= -pct, 'spike' at >= pct, else 'normal'.
     Ordered by slot hour.
     """
+    from pyspark.sql.window import Window
     p = parse_slot(slots)
     sd = p.groupBy("day", "slot").agg(F.sum(metric).alias("v"))
-    latest = sd.agg(F.max("day").alias("latest"))
-    j = sd.crossJoin(F.broadcast(latest))
-    cur = j.where(F.col("day") == F.col("latest")).select("slot", F.col("v").alias("latest_value"))
-    base = (j.where((F.col("day") < F.col("latest")) & (F.col("day") >= F.date_sub(F.col("latest"), days)))
-             .groupBy("slot").agg(F.avg(F.col("v").cast("double")).alias("baseline")))
-    out = cur.join(base, "slot", "inner")
+    # (day, slot) rows are bounded by days x 24, so the latest day comes from a window over them
+    # and latest value + baseline come out of ONE conditional aggregation: one scan of the input
+    sd = sd.withColumn("latest", F.max("day").over(Window.partitionBy()))
+    in_base = (F.col("day") < F.col("latest")) & (F.col("day") >= F.date_sub(F.col("latest"), days))
+    g = sd.groupBy("slot").agg(F.max(F.when(F.col("day") == F.col("latest"), F.col("v"))).alias("latest_value"),
+                               F.avg(F.when(in_base, F.col("v").cast("double"))).alias("baseline"))
+    out = g.where(F.col("latest_value").isNotNull() & F.col("baseline").isNotNull())
     dev = ratio((F.col("latest_value") - F.col("baseline")).cast("double"), F.col("baseline").cast("double")) * 100.0
     out = out.withColumn("deviation_pct", dev).where(F.col("deviation_pct").isNotNull())
     flag = F.when(F.col("deviation_pct") <= -pct, F.lit("drop")).when(F.col("deviation_pct") >= pct, F.lit("spike")) \
