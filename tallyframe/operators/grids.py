@@ -19,12 +19,19 @@ KEYS = ("source_file", "sheet")
 
 def blocks_to_records(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
     """CL-25: row 0 holds a name in every even column; below it (label, value) pairs in columns
-    (c, c+1).  -> one row per (file, sheet, name) with the chosen labels as numeric columns."""
+    (c, c+1).  -> one row per (file, sheet, name) with the chosen labels as numeric columns.
+
+    One pass over the cells: cells are folded to one row per (block, row) — label/name from the
+    even column, value from the odd one — and the block's name comes from a window over the
+    block's rows (bounded by the labels per block)."""
+    from pyspark.sql.window import Window
     k = list(KEYS)
-    names = cells.where((F.col("r") == 0) & (F.col("c") % 2 == 0)).select(*k, "c", utrim("v").alias("name"))
-    lab = cells.where((F.col("r") > 0) & (F.col("c") % 2 == 0)).select(*k, "r", "c", utrim("v").alias("label"))
-    val = cells.where(F.col("c") % 2 == 1).select(*k, "r", (F.col("c") - 1).alias("c"), F.col("v").alias("value"))
-    j = lab.join(val, [*k, "r", "c"]).join(names, [*k, "c"]).where(F.col("label").isin(list(labels)))
+    even = F.col("c") % 2 == 0
+    rows = cells.groupBy(*k, (F.col("c") - F.col("c") % 2).alias("b"), "r").agg(
+        F.max(F.when(even, utrim("v"))).alias("label"), F.max(F.when(~even, F.col("v"))).alias("value"))
+    name = F.max(F.when(F.col("r") == 0, F.col("label"))).over(Window.partitionBy(*k, "b"))
+    j = rows.withColumn("name", name).where((F.col("r") > 0) & F.col("label").isin(list(labels)) &
+                                            F.col("name").isNotNull())
     p = j.groupBy(*k, "name").pivot("label", list(labels)).agg(F.max("value"))
     return p.select(*k, "name", *[wb_num(F.col(f"`{x}`")).alias(x) for x in labels])
 

@@ -104,16 +104,18 @@ WATERFALL = (("毛收入", "gross_income", 1, "start"), ("红利", "bonus_used",
 
 
 def pnl_waterfall(profit_row: DataFrame) -> DataFrame:
-    """AG-14 / WN-08: profit bridge rows (step, label, delta, kind, running) + the final total row."""
+    """AG-14 / WN-08: profit bridge rows (step, label, delta, kind, running) + the final total row.
+
+    All 9 rows come from one ``stack`` over the single profit row (one reference to its plan);
+    the running total is a window over those <= 9 rows.
+    """
     n = len(WATERFALL)
-    stack = ", ".join(f"{i}, '{lbl}', CAST({c} AS DOUBLE) * {s}, '{k}'" for i, (lbl, c, s, k) in enumerate(WATERFALL))
-    rows = profit_row.select(F.expr(f"stack({n}, {stack}) AS (step, label, delta, kind)"))
+    parts = [f"{i}, '{lbl}', CAST({c} AS DOUBLE) * {s}, '{k}'" for i, (lbl, c, s, k) in enumerate(WATERFALL)]
+    parts.append(f"{n}, '净盈利', CAST(profit AS DOUBLE), 'total'")
+    rows = profit_row.select(F.expr(f"stack({n + 1}, {', '.join(parts)}) AS (step, label, delta, kind)"))
     w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("running", F.sum("delta").over(w))
-    total = profit_row.select(F.lit(n).alias("step"), F.lit("净盈利").alias("label"),
-                              F.col("profit").cast("double").alias("delta"), F.lit("total").alias("kind"),
-                              F.col("profit").cast("double").alias("running"))
-    return rows.unionByName(total)
+    running = F.sum(F.when(F.col("kind") != "total", F.col("delta"))).over(w)
+    return rows.withColumn("running", F.when(F.col("kind") == "total", F.col("delta")).otherwise(running))
 
 
 def fx_view(profit_row: DataFrame, rate: float) -> DataFrame:
@@ -162,15 +164,16 @@ COST_ITEMS = (("红利", "bonus_used"), ("返水", "rebate"), ("集团分成", "
 
 
 def ranked_costs(profit_row: DataFrame, top: int = 2) -> DataFrame:
-    """AG-18: cost items ranked by |amount| with the share of the top-``top`` items in all costs."""
+    """AG-18: cost items ranked by |amount| with the share of the top-``top`` items in all costs
+    (windows over the <= 5 stacked rows: the profit row is referenced once)."""
     n = len(COST_ITEMS)
     stack = ", ".join(f"'{lbl}', CAST({c} AS DOUBLE)" for lbl, c in COST_ITEMS)
     rows = profit_row.select(F.expr(f"stack({n}, {stack}) AS (item, amount)"))
-    w = Window.orderBy(F.abs("amount").desc(), "item")
-    rows = rows.withColumn("rank", F.row_number().over(w))
-    tot = rows.agg(F.sum(F.abs("amount")).alias("t"),
-                   F.sum(F.when(F.col("rank") <= top, F.abs("amount"))).alias("tk"))
-    return rows.crossJoin(tot).withColumn("top_share", ratio("tk", "t")).drop("t", "tk")
+    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("amount").desc(), "item")))
+    allw = Window.partitionBy()
+    t = F.sum(F.abs("amount")).over(allw)
+    tk = F.sum(F.when(F.col("rank") <= top, F.abs("amount"))).over(allw)
+    return rows.withColumn("top_share", ratio(tk, t))
 
 
 def daily_sum(df: DataFrame, date: str, metrics: Sequence[str]) -> DataFrame:
