@@ -23,6 +23,8 @@ from .dedupe import keep_last
 # latest-snapshot attributes carried into the new-registration frame
 ATTRS = ("registered_at", "first_deposit_at", "first_deposit", "first_bet", "vip", "status", "source",
          "register_channel", "register_url", "tags")
+ATTR_TYPES = {"registered_at": "timestamp_ntz", "first_deposit_at": "timestamp_ntz", "first_deposit": "double",
+              "first_bet": "double"}
 # fixed values: additive columns summed over snapshots for the cohort lifetime value
 LIFETIME = (("company_income", "net_income"), ("turnover", "lifetime_turnover"), ("bonus", "bonus_n"),
             ("rebate", "rebate_n"))
@@ -40,6 +42,13 @@ def prepare_newreg(member: DataFrame, imported_col: str | None = "imported_at")
         latest.alias("__l"), *[F.coalesce(F.sum(src), F.lit(0)).alias(dst) for src, dst in LIFETIME if src in df.columns])
     out = g.select("account", "agent", *[F.col("__l")[a].alias(a) for a in attrs],
                    *[dst for src, dst in LIFETIME if src in df.columns])
+    # optional report columns may be absent from an upload: missing attributes are NULL, sums 0
+    for a in ATTRS:
+        if a not in out.columns:
+            out = out.withColumn(a, F.lit(None).cast(ATTR_TYPES.get(a, "string")))
+    for _src, dst in LIFETIME:
+        if dst not in out.columns:
+            out = out.withColumn(dst, F.lit(0).cast("decimal(38,4)"))
     out = out.where(F.col("registered_at").isNotNull())
     fd = F.coalesce(F.col("first_deposit").cast("double"), F.lit(0.0))
     fb = F.coalesce(F.col("first_bet").cast("double"), F.lit(0.0))
