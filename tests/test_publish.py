@@ -84,3 +84,16 @@ def test_exact_quantiles_match_percentile(spark):
                                                         F.percentile("v", 0.9).alias("p")).collect()}
     for k in ref:
         assert abs(got[k][0] - ref[k][0]) < 1e-9 and abs(got[k][1] - ref[k][1]) < 1e-9
+
+
+def test_replace_batches_edge_cases(spark, tmpdir_path):
+    from tallyframe.sources.files import read_raw
+    ex = frame(spark, [("2026-01-01", 1), ("2026-01-02", 2)])
+    nb = spark.createDataFrame([("2026-01-02", 9, "new")], "date string, v long, extra string")
+    out = sorted((r.date, r.v, r.extra) for r in P.replace_by_dates(nb, ex, "date").collect())
+    assert out == [("2026-01-01", 1, None), ("2026-01-02", 9, "new")]  # new column appears, NULL elsewhere
+    empty = frame(spark, [])
+    assert sorted(tuple(r) for r in P.replace_by_dates(empty, ex, "date").collect()) == [("2026-01-01", 1), ("2026-01-02", 2)]
+    missing = read_raw(spark, "raw_not_there", ex.schema, tmpdir_path)
+    assert missing.count() == 0 and missing.columns == ["date", "v"]
+    assert P.replace_by_dates(nb, missing, "date").count() == 1
