@@ -18,6 +18,23 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for ~100 TB inputs on a large cluster (opt-in: ``get_spark(extra=CLUSTER_CONF)``).
+# Shuffles start wide and AQE coalesces them to ~256 MB partitions; scans read 512 MB splits;
+# a partition 5x the median and over 1 GB is split by the skew-join rule; broadcasts stay small
+# (64 MB static threshold, AQE may convert at runtime under the same bound).
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "tallyframe", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE, skew-join handling and UTC/NTZ time.
