@@ -1,9 +1,9 @@
 """Member value (AG-35…40) incl. monthly retention (AG-39) and the agent x member matrix (AG-85…93).
 
 Members are keyed by (account, agent) with a NULL agent as its own value; joins on that
-key are null-safe (``<=>``) so direct customers are not lost.  Retention is a join of the
-per-(member, month) flags with the same flags shifted to the next available month — one
-shuffle on the member key — instead of a driver loop over months.
+key are null-safe (``<=>``) so direct customers are not lost.  Retention reads each member's
+next snapshot row with a ``lead`` window per member (bounded: one row per month) and checks it
+is the cohort's next available month — one shuffle on the member key, no driver loop over months.
 """
 
 from __future__ import annotations
@@ -82,13 +82,15 @@ def monthly_retention(member: DataFrame, calendar: bool = False) -> DataFrame:
         # calendar-bounded (one row per month): a single ordered window is cheap here
         months = months.withColumn("next_month", F.lead("snapshot_month").over(Window.orderBy("snapshot_month")))
         months = months.where(F.col("next_month").isNotNull())
-    cur = flags.join(F.broadcast(months), "snapshot_month")
-    nxt = flags.select(F.col("account").alias("n_account"), F.col("agent").alias("n_agent"),
-                       F.col("snapshot_month").alias("n_month"), F.col("active").alias("n_active"),
-                       F.col("deposit").alias("n_deposit"))
-    j = cur.join(nxt, (cur.account == nxt.n_account) & cur.agent.eqNullSafe(nxt.n_agent) & (cur.next_month == nxt.n_month),
-                 "left")
-    na, nd = F.coalesce(F.col("n_active"), F.lit(False)), F.coalesce(F.col("n_deposit"), F.lit(False))
+    # the member's own next snapshot row (a window per member: at most one row per month), instead
+    # of a self-join of the flags; it counts only when it is the cohort's next month
+    wm = Window.partitionBy("account", "agent").orderBy("snapshot_month")
+    f = flags.select("*", F.lead("snapshot_month").over(wm).alias("n_month"), F.lead("active").over(wm).alias("n_active"),
+                     F.lead("deposit").over(wm).alias("n_deposit"))
+    j = f.join(F.broadcast(months), "snapshot_month")
+    hit = F.col("n_month") == F.col("next_month")
+    na = F.coalesce(hit & F.col("n_active"), F.lit(False))
+    nd = F.coalesce(hit & F.col("n_deposit"), F.lit(False))
     g = j.groupBy(F.col("snapshot_month").alias("month"), "next_month").agg(
         F.count_if("active").alias("active_members"),
         F.count_if(F.col("active") & na).alias("active_kept"),
