@@ -24,3 +24,12 @@ def test_query_matches_oracle(spark, con, name):
     sp = QUERIES[name](spark, SF).toPandas()
     dk = con.execute(SQLS[name]).df()
     assert compare(sp, dk) is None
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.count() > 0
+    assert df.columns == ["venue", "type", "bets", "turnover", "pnl", "players", "avg_bet", "platform_pnl",
+                          "hold_pct", "share_pct"]
+    assert set(E.queries()) == set(E.oracle_sql())
