@@ -56,3 +56,17 @@ def test_settlement_marker_required(spark):
     assert len(det) == 1 and det[0].treatment == "退成5%" and det[0].commission == 0.5
     no_marker = cells(spark, [x for x in base if x[0] != 7])
     assert G.settlement_detail(no_marker).count() == 0
+
+
+def test_infer_snapshot_month(spark):
+    rows = [("/land/member_2026-05.csv", "2026-04-30 10:00:00"), ("/land/member_2026-05.csv", "2026-05-02 10:00:00"),
+            ("/land/members.csv", "2026-03-01 00:00:00"), ("/land/members.csv", "2026-02-27 00:00:00"),
+            ("/land/202604会员.csv", None)]
+    df = spark.createDataFrame(rows, "_source_file string, registered_at string")
+    out = {r._source_file: (r._snapshot_month, str(r._snapshot_date))
+           for r in C.infer_snapshot_month(df).select("_source_file", "_snapshot_month", "_snapshot_date").distinct().collect()}
+    assert out["/land/member_2026-05.csv"] == ("2026-05", "2026-05-01")   # month in the name wins
+    assert out["/land/members.csv"] == ("2026-03", "2026-03-01")          # else month of max register time
+    assert out["/land/202604会员.csv"] == ("2026-04", "2026-04-01")        # 20YYMM in the name
+    top = spark.createDataFrame([("/land/top 202512 报表.csv",)], "_source_file string")
+    assert C.infer_snapshot_month(top, reg_col=None, top_report=True).first()._snapshot_month == "2025-12"
