@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +67,13 @@ def in_filter(filt: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def word_hash(word: str) -> int:
-    """64-bit hash of a word, the same in every process."""
-    b = word.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) << 32) | zlib.adler32(b)
+    """64-bit hash of a word, the same in every process (unsigned)."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit hashes as Spark's long."""
+    return np.asarray(h, dtype=np.uint64).view(np.int64)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
