@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, mixing, simhash, warc
+from . import chat, licences, mixing, sanitise, simhash, warc
 from .common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -17,6 +17,14 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.disclosures(table(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+         for k, name in enumerate(sanitise.KINDS[:4])]
+    return found.select("doc_id", *n, F.sha2(sanitise.spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        sanitise.spelt(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_sanitise": op3_sanitise,
     "op4_licence_scan": op4_licence_scan,
     "op6_mix_sources": op6_mix_sources,
     "op9_covering_simhash": op9_covering_simhash,
