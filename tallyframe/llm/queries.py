@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, mixing, sanitise, simhash, warc
+from . import chat, decontaminate, licences, mixing, sanitise, simhash, warc
 from .common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -29,6 +29,11 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "start", "end", "passage")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_bundles": op2_warc_bundles,
     "op3_sanitise": op3_sanitise,
     "op4_licence_scan": op4_licence_scan,
+    "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op9_covering_simhash": op9_covering_simhash,
     "op10_chat_format": op10_chat_format,
