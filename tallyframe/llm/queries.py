@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licences, mixing, sanitise, simhash, warc
+from . import ann, chat, decontaminate, langid, licences, mixing, sanitise, simhash, warc
 from .common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.Index(vectors, k=20).search(vectors.where("vec_id % 20 = 0"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -101,6 +106,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
   CAST(formatted AS BIGINT) AS formatted_chars FROM g"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_projected_neighbours": op1_projected_neighbours,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_sanitise": op3_sanitise,
     "op4_licence_scan": op4_licence_scan,
