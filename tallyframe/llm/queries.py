@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licences, mixing, sanitise, simhash, warc
+from . import ann, chat, decontaminate, langid, licences, mixing, sanitise, simhash, warc, wrappers
 from .common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +51,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
+    "op8_wrapper_text": op8_wrapper_text,
     "op9_covering_simhash": op9_covering_simhash,
     "op10_chat_format": op10_chat_format,
 }
