@@ -1,4 +1,13 @@
-"""Corpus pipeline: documents through stages, each written as Parquet and read again by the next."""
+"""Corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+1. language: documents without a language (no letter, or no language above ``MIN_LANG_SCORE``) go;
+2. duplicates: one document of each group of SimHash near-duplicates stays, that with the least id;
+3. benchmark: documents that hold a copy or edited copy of a benchmark item go;
+4. private: personal data and terms that disclose it are generalised or removed from the texts;
+5. mix: every document is emitted as often as its source's repetition rate says, with its copy number.
+
+Stages 1 to 4 return the columns of documents; the last adds ``copy``.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +15,39 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyframe.llm import decontaminate, langid, mixing, sanitise, simhash
 from tallyframe.session import scratch_path
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+MIN_LANG_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
+    return kept.select(*docs.columns)
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, words=3, radius=2)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = sanitise.sanitise(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language), ("duplicates", duplicates), ("benchmark", benchmark), ("private", private), ("mix", mix)]
 
 #: SQL cannot express the stages; tests hold the pipeline against brute force.
 ORACLE_SQL = None
