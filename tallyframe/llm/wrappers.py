@@ -52,7 +52,7 @@ BOILER_WORDS = frozenset("ad ads advert advertisement advertising sponsor sponso
                          "skip copyright legal disclaimer hidden complementary contentinfo".split())
 ARTICLE_WORDS = frozenset("article main".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
@@ -271,10 +271,13 @@ def labels(wrapper: Item) -> dict[int, int]:
     """Label of each slot of a wrapper by its id(): 3 in an article element, 2 in a block named so,
     1 other content, 0 boilerplate."""
     out: dict[int, int] = {}
+    still: list[Item] = []
 
     def walk(item: Item, level: int, boiler: bool) -> None:
         if item.sig == "#":
             fixed = item.n > 1 and item.const is not None
+            if fixed and not boiler and not level:
+                still.append(item)
             out[id(item)] = 0 if boiler else level if level else 0 if fixed else 1
             return
         name, *words = item.sig.split(".")
@@ -289,6 +292,8 @@ def labels(wrapper: Item) -> dict[int, int]:
             walk(c, level, boiler)
 
     walk(wrapper, 0, False)
+    if not any(out.values()):  # pages that are all equal show nothing that changes
+        out.update((id(s), 1) for s in still)
     return out
 
 
@@ -296,7 +301,7 @@ def label_stream(wrapper: Item, stream: Item) -> str:
     """The labels of a stream's slots, one digit each, by aligning it with its host's wrapper."""
     mine = slots(stream)
     for k, s in enumerate(mine):
-        s.pieces = [k]
+        s.pieces, s.n = [k], 0  # the wrapper has counted this stream's pages already
     for s in slots(wrapper):
         s.pieces = []
     whole = merge(wrapper, stream)
