@@ -66,11 +66,9 @@ def to_num_commas(c) -> Column:
 
 
 def pct_to_fraction(c) -> Column:
-    """'12%' -> 0.12 ; '0.12' -> 0.12 (CL-20)."""
-    t = utrim(c)
-    has_pct = t.endswith("%")
-    v = F.regexp_replace(t, "[%,]", "").try_cast("double")
-    return F.when(has_pct, v / 100.0).otherwise(v)
+    """A percentage with or without its sign -> fraction: '12%' -> 0.12, '5' -> 0.05; blank, '-' and text -> NULL (CL-20)."""
+    v = F.rtrim(utrim(c), F.lit("%")).try_cast("double")
+    return F.when(~F.isnan(v), v / 100.0)
 
 
 # fixed values: yes/no words of the back-office exports
@@ -229,7 +227,7 @@ VENUE_RULES = (
     ("电子", ("电子", "電子", "老虎"), ("PG", "PP")),
     ("棋牌", ("棋牌",), ()),
     ("捕鱼", ("捕鱼", "捕魚"), ()),
-    ("哈希", (), ("HASH",)),
+    ("哈希", ("哈希",), ("HASH",)),
     ("彩票", ("彩",), ()),
 )
 VENUE_OTHER = "其他"

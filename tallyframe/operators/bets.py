@@ -109,12 +109,13 @@ def type_report(bets: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def vip_report(bets: DataFrame, approx: bool = False) -> DataFrame:
-    """AG-70 / SL-03: per VIP level ordered numerically, non-numeric levels last."""
+    """AG-70 / SL-03: per VIP level ordered numerically, non-numeric levels last, with turnover per player and share %."""
     g = _by(bets, ["vip"], approx)
     g = g.withColumn("platform_pnl", -F.col("pnl")) \
          .withColumn("hold_pct", F.round(ratio(F.col("platform_pnl") * 100.0, "turnover"), 3)) \
+         .withColumn("turnover_per_player", F.round(ratio("turnover", "players"), 0)) \
          .withColumn("vip_order", numeric_order("vip"))
-    return g.orderBy("vip_order", "vip")
+    return with_share(g, "turnover", "share_pct", 2).orderBy("vip_order", "vip")
 
 
 def vip_type_matrix(bets: DataFrame, types: Sequence[str]) -> DataFrame:

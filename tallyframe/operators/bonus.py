@@ -125,7 +125,7 @@ def agent_type_report(agent: DataFrame) -> DataFrame:
     """AG-82: per agent type: agents and sums."""
     return agent.where(F.col("agent_type").isNotNull()).groupBy("agent_type").agg(
         F.count_distinct("agent_no").alias("agents"), F.sum("registrations").alias("registrations"),
-        F.sum("turnover").alias("turnover"), F.sum("company_income").alias("company_income"))
+        F.sum("turnover").alias("turnover"), F.sum("bonus").alias("bonus"), F.sum("company_income").alias("company_income"))
 
 
 def agent_rollup(agent: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def drop_all_zero_rows(df: DataFrame, skip: Sequence[str] = SKIP_EXACT, preserve
     def v(c):
         s = F.col(f"`{c}`").cast("string")
         blank = s.isNull() | F.trim(s).isin(*BLANK_WORDS)
-        num = F.trim(s).try_cast("double")  # non-numeric -> NULL (ignored); NaN stays NaN (not zero)
+        num = F.translate(F.trim(s), ",，", "").try_cast("double")  # non-numeric -> NULL (ignored); NaN stays NaN (not zero)
         if literal_nan:
             return F.when(s.isNull(), F.lit(1.0)).when(blank, F.lit(0.0)).otherwise(num)
         return F.when(blank, F.lit(0.0)).otherwise(num)
@@ -163,12 +163,11 @@ def infer_snapshot_month(df: DataFrame, file_col: str = "_source_file", reg_col:
     ``_snapshot_month`` (YYYY-MM) and ``_snapshot_date`` (first of month)."""
     name = F.regexp_extract(col(file_col), r"[^/]+$", 0)
     if top_report:
-        raw = F.regexp_extract(name, r"(\d{6})", 1)
-        from_name = F.when(raw != "", F.concat(F.substring(raw, 1, 4), F.lit("-"), F.substring(raw, 5, 2)))
+        pattern = r"(\d{4})(0[1-9]|1[0-2])"
     else:
-        y = F.regexp_extract(name, r"(20\d{2})[-_]?(\d{2})", 1)
-        m = F.regexp_extract(name, r"(20\d{2})[-_]?(\d{2})", 2)
-        from_name = F.when(y != "", F.concat(y, F.lit("-"), m))
+        pattern = r"(20\d{2})[-_]?(0[1-9]|1[0-2])"
+    y, m = (F.regexp_extract(name, pattern, k) for k in (1, 2))
+    from_name = F.when(y != "", F.concat(y, F.lit("-"), m))
     aggs = [F.first(from_name).alias("__from_name")]
     if reg_col and reg_col in df.columns:
         aggs.append(F.date_format(F.max(to_ts(col(reg_col))), "yyyy-MM").alias("__from_reg"))
@@ -178,7 +177,7 @@ def infer_snapshot_month(df: DataFrame, file_col: str = "_source_file", reg_col:
     month = F.coalesce(*[F.col(a) for a in ("__from_name", "__from_reg", "__from_mtime") if a in per_file.columns])
     per_file = per_file.select(file_col, month.alias("_snapshot_month"))
     out = df.drop("_snapshot_month", "_snapshot_date").join(per_file, file_col, "left")
-    return out.withColumn("_snapshot_date", F.to_date(F.concat(F.col("_snapshot_month"), F.lit("-01"))))
+    return out.withColumn("_snapshot_date", F.try_to_date(F.concat(F.col("_snapshot_month"), F.lit("-01")), "yyyy-MM-dd"))
 
 
 def modal_month(df: DataFrame, ts_col: str, group_col: str | None = None, fallback_col: str | None = None) -> DataFrame:
@@ -192,8 +191,8 @@ def modal_month(df: DataFrame, ts_col: str, group_col: str | None = None, fallba
     best = cnt.groupBy(*keys).agg(F.max_by("month", F.struct(F.col("n"), -F.unix_date(F.to_date(F.concat("month", F.lit("-01"))))))
                                    .alias("modal_month"))
     if fallback_col and group_col:
-        fb = df.groupBy(group_col).agg(F.first(month_key(F.regexp_extract(col(fallback_col), r"(20\d{2}-?\d{2})", 1)))
-                                       .alias("__fb"))
+        y, mm = (F.regexp_extract(col(fallback_col), r"(20\d{2})\D?([01]\d)", k) for k in (1, 2))
+        fb = df.groupBy(group_col).agg(F.min(F.when(y != "", F.concat(y, F.lit("-"), mm))).alias("__fb"))
         best = fb.join(best, group_col, "left").select(group_col, F.coalesce("modal_month", "__fb").alias("modal_month"))
     return best
 

@@ -95,16 +95,16 @@ def deficit_list(comm: DataFrame, month: str | None = None) -> DataFrame:
              .orderBy("carried_balance", "agent")
 
 
-def line_stats(team: DataFrame) -> DataFrame:
-    """AG-56 / UD-02: per line: agents, net, sum of negative balances only. [UD-02]"""
-    return team.groupBy("line").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
+def line_stats(team: DataFrame, month: str | None = None) -> DataFrame:
+    """AG-56 / UD-02: per line of the chosen month (latest when None): agents, net, sum of negative balances only. [UD-02]"""
+    return pick_month(team, "commission_month", month).groupBy("line").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
                                     F.coalesce(F.sum(F.when(F.col("carried_balance") < 0, F.col("carried_balance"))),
                                                F.lit(0)).alias("deficit"))
 
 
-def top_teams(team: DataFrame, k: int = 10) -> DataFrame:
-    """AG-57: top-k teams by net with agents and deficit. [UD-02]"""
-    g = team.groupBy("team_name").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
+def top_teams(team: DataFrame, k: int = 10, month: str | None = None) -> DataFrame:
+    """AG-57: top-k teams of the chosen month (latest when None) by net with agents and deficit. [UD-02]"""
+    g = pick_month(team, "commission_month", month).groupBy("team_name").agg(F.count("agent").alias("agents"), F.sum("net_after_reversal").alias("net"),
                                       F.coalesce(F.sum(F.when(F.col("carried_balance") < 0, F.col("carried_balance"))),
                                                  F.lit(0)).alias("deficit"))
     return g.orderBy(F.col("net").desc(), "team_name").limit(k)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import LBL_DIRECT_NO_AGENT, LBL_EMPTY, ratio, utrim
+from ..functions.exprs import LBL_DIRECT, LBL_EMPTY, fill_label, ratio, utrim
 from ..functions.text import tag_hits
 from .common import member_count
 
@@ -125,9 +125,10 @@ ADDITIVE = ("deposits", "withdrawals", "turnover", "company_win", "bonus", "reba
 
 
 def member_rollup(member: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
-    """AG-85: per (account, agent) over a month subset: max VIP (text order), sums, last non-null
+    """AG-85: per (account, agent; NULL and blank agents are '(直客)') over a month subset: max VIP (text order), sums, last non-null
     status and tags (by month), distinct months."""
     df = member if months is None else member.where(F.col("snapshot_month").isin(list(months)))
+    df = df.withColumn("agent", fill_label("agent", LBL_DIRECT))
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
                               F.when(F.col(c).isNotNull(), F.col("snapshot_month")))
     return df.groupBy("account", "agent").agg(
@@ -160,8 +161,8 @@ def arbitrage_flag(rollup: DataFrame, thresholds=ARBITRAGE, keywords=TAG_KEYWORD
 
 
 def agent_overview(flagged: DataFrame) -> DataFrame:
-    """AG-89: per agent (NULL -> '(直客/无代理)'): members, sums, flagged members, ratios."""
-    g = flagged.groupBy(F.coalesce(F.col("agent"), F.lit(LBL_DIRECT_NO_AGENT)).alias("agent")).agg(
+    """AG-89: per agent (NULL and blank -> '(直客)'): members, sums, flagged members, ratios."""
+    g = flagged.groupBy(fill_label("agent", LBL_DIRECT).alias("agent")).agg(
         F.count(F.lit(1)).alias("members"), *[F.sum(c).alias(c) for c in ("turnover", "company_win", "bonus", "rebate",
                                                                            "company_income")],
         F.count_if(F.col("arbitrage") | (F.col("tag_hits") != "")).alias("flagged"))

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import LBL_DIRECT_NO_AGENT, LBL_UNRECORDED, hours_between, invite_code, ratio, url_domain
+from ..functions.exprs import (LBL_DIRECT_NO_AGENT, LBL_UNRECORDED, fill_label, hours_between, invite_code, ratio, url_domain,
+                               utrim)
 from .common import crosstab_top
 from .dedupe import keep_last
 
@@ -30,12 +31,15 @@ LIFETIME = (("company_income", "net_income"), ("turnover", "lifetime_turnover"),
             ("rebate", "rebate_n"))
 
 
-def prepare_newreg(member: DataFrame, imported_col: str | None = "imported_at") -> DataFrame:
-    """AG-101: one row per (account, agent) with derived registration fields and lifetime sums. [FL-10, JN-05, WN-03]"""
-    df = member
+def prepare_newreg(member: DataFrame, imported_col: str | None = "_imported_at") -> DataFrame:
+    """AG-101: one row per (account, agent) with derived registration fields and lifetime sums; a blank
+    agent is no agent. [FL-10, JN-05, WN-03]"""
+    df = member.withColumn("agent", F.nullif(utrim("agent"), F.lit("")))
     if imported_col and imported_col in df.columns:
-        # the same month imported twice counts once: keep the latest import per (member, month)
-        df = keep_last(df, ["account", "agent", "snapshot_month"], [imported_col])
+        # the same month imported twice counts once: keep the latest import per (member, month); rows of
+        # one import are told apart by all their values
+        rest = [c for c in df.columns if c not in ("account", "agent", "snapshot_month", imported_col)]
+        df = keep_last(df, ["account", "agent", "snapshot_month"], [imported_col, *rest])
     attrs = [a for a in ATTRS if a in df.columns]
     latest = F.max_by(F.struct(*[F.col(a) for a in attrs]), F.col("snapshot_month"))
     g = df.groupBy("account", "agent").agg(
@@ -60,7 +64,7 @@ def prepare_newreg(member: DataFrame, imported_col: str | None = "imported_at")
         fd.alias("first_dep"), (fd > 0).alias("has_first_deposit"),
         fb.alias("first_bet_amt"), (fb > 0).alias("has_first_bet"),
         F.when((fd > 0) & (ttf >= 0), ttf).alias("ttf_hours"),
-        F.coalesce(F.col("agent"), F.lit(LBL_DIRECT_NO_AGENT)).alias("agent_label"),
+        fill_label("agent", LBL_DIRECT_NO_AGENT).alias("agent_label"),
         url_domain("register_url").alias("domain"),
         invite_code("register_url").alias("invite_code"),
     )
@@ -192,23 +196,38 @@ def cohort_pl(nr: DataFrame) -> DataFrame:
 
 
 def rank_with_tail(nr: DataFrame, dim: str, k: int = 20) -> DataFrame:
-    """AG-110: top-k groups by registrations plus one tail row summarising the rest (groups, rows)."""
-    g = nr.groupBy(F.coalesce(F.col(dim), F.lit(LBL_UNRECORDED)).alias(dim)).agg(F.count(F.lit(1)).alias("registrations"))
+    """AG-110: top-k groups by registrations (depositors, first-deposit sum, share without deposit) plus
+    one tail row summarising the rest.
+
+    The tail is all groups less the top ones, so every part comes from one grouped frame, whose
+    exchange is reused.
+    """
+    sums = ("registrations", "depositors", "first_deposit_sum")
+    g = nr.groupBy(F.coalesce(F.col(dim), F.lit(LBL_UNRECORDED)).alias(dim)).agg(
+        F.count(F.lit(1)).alias("registrations"), F.count_if("has_first_deposit").alias("depositors"),
+        F.sum("first_dep").alias("first_deposit_sum"))
     top = g.orderBy(F.col("registrations").desc(), dim).limit(k)
-    top_ranked = top.select(dim, "registrations", F.lit(1).cast("bigint").alias("groups"))
-    tail = g.join(top.select(dim), dim, "left_anti").agg(
-        F.coalesce(F.sum("registrations"), F.lit(0)).alias("registrations"), F.count(F.lit(1)).alias("groups"))
-    tail = tail.select(F.lit("(其余)").alias(dim), "registrations", "groups").where(F.col("groups") > 0)
-    return top_ranked.unionByName(tail)
+    whole = g.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("groups"))
+    shown = top.agg(*[F.sum(c).alias(f"__{c}") for c in sums], F.count(F.lit(1)).alias("__groups"))
+    tail = whole.crossJoin(shown).select(F.lit("(其余)").alias(dim), *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in (*sums, "groups")])
+    out = top.withColumn("groups", F.lit(1).cast("bigint")).unionByName(tail.where(F.col("groups") > 0))
+    return out.select(dim, *sums, no_deposit_pct(), "groups")
+
+
+def no_deposit_pct() -> Column:
+    """Share of registrations without a first deposit, in whole per cent."""
+    return F.round((F.col("registrations") - F.col("depositors")).cast("double") / F.col("registrations") * 100.0, 0).alias("no_deposit_pct")
 
 
 def invite_ranking(nr: DataFrame, k: int = 20) -> DataFrame:
-    """AG-111: per invite code: registrations, depositors and the most frequent agent (smallest on ties). [UD-04]"""
+    """AG-111: per invite code: registrations, depositors, first-deposit sum, share without deposit and the
+    most frequent agent (smallest on ties). [UD-04]"""
     pairs = nr.where(F.col("invite_code").isNotNull()).groupBy("invite_code", "agent_label").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("has_first_deposit").alias("d"))
+        F.count(F.lit(1)).alias("n"), F.count_if("has_first_deposit").alias("d"), F.sum("first_dep").alias("fd"))
     g = pairs.groupBy("invite_code").agg(F.sum("n").alias("registrations"), F.sum("d").alias("depositors"),
+                                         F.sum("fd").alias("first_deposit_sum"),
                                          F.min_by("agent_label", F.struct(-F.col("n"), F.col("agent_label"))).alias("top_agent"))
-    return g.orderBy(F.col("registrations").desc(), "invite_code").limit(k)
+    return g.withColumn("no_deposit_pct", no_deposit_pct()).orderBy(F.col("registrations").desc(), "invite_code").limit(k)
 
 
 def crosstab(nr: DataFrame, a: str, b: str, k: int = 15) -> DataFrame:

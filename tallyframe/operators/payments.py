@@ -51,9 +51,9 @@ def low_success_channels(dep: DataFrame, min_orders: int = 20, max_success: floa
 
 
 def cancel_reasons(dep: DataFrame, k: int = 8) -> DataFrame:
-    """AG-118: most frequent cancel reasons (blank / 'nan' removed)."""
+    """AG-118: most frequent reasons of cancelled orders (blank / 'nan' removed)."""
     r = clean_text("cancel_reason")
-    return dep.select(r.alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason") \
+    return dep.where(utrim("status") == DEP_CANCELLED).select(r.alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason") \
               .agg(F.count(F.lit(1)).alias("orders")).orderBy(F.col("orders").desc(), "reason").limit(k)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import month_key, ratio
+from ..functions.exprs import clean_text, month_key, ratio, to_num_commas
 
 
 def latest_imported(*dfs: DataFrame, col: str = "_imported_at") -> DataFrame:
@@ -69,19 +69,33 @@ def freshness_status(fresh: DataFrame, as_of: str) -> DataFrame:
     return out.withColumn("severity", sev).orderBy(F.col("severity").desc(), "table")
 
 
-def check_completeness(member: DataFrame, platform: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """AG-129 / JN-10: newest register month of the member file; its non-agent registrations vs the
-    platform report's registrations of the same month up to the member file's max register day."""
-    reg = member.where(F.col("registered_at").isNotNull())
-    latest = reg.agg(F.max(F.date_format("registered_at", "yyyy-MM")).alias("month"),
-                     F.max(F.to_date("registered_at")).alias("max_day"))
-    mem = reg.crossJoin(F.broadcast(latest)).where(
-        (F.date_format("registered_at", "yyyy-MM") == F.col("month")) & (F.col("is_agent") != "代理")) \
-        .agg(F.count_distinct(F.struct("account", "agent")).alias("member_regs"))
-    plat = platform.crossJoin(F.broadcast(latest)).where(
-        (F.date_format("date", "yyyy-MM") == F.col("month")) & (F.col("date") <= F.col("max_day"))) \
-        .agg(F.coalesce(F.sum("registrations"), F.lit(0)).alias("platform_regs"))
-    j = latest.crossJoin(mem).crossJoin(plat)
+NOT_AGENT = "非代理"
+
+
+def check_completeness(member: DataFrame, platform: DataFrame, threshold: float = 0.8,
+                       daily_ops: DataFrame | None = None) -> DataFrame:
+    """AG-129 / JN-10: newest register month of the member file; its rows marked as non-agents vs the
+    registrations of the same month up to the member file's max register day, taken from the daily
+    operations sheet (date, registrations) or, where that has none, from the platform report.
+
+    The member file is read once, grouped by month; the other tables by their days.
+    """
+    per_month = (member.where(F.col("registered_at").isNotNull())
+                 .groupBy(F.trunc("registered_at", "MM").alias("first_day"))
+                 .agg(F.max(F.to_date("registered_at")).alias("max_day"), F.count_if(F.col("is_agent") == NOT_AGENT).alias("member_regs")))
+    latest = per_month.agg(F.max(F.struct("first_day", "max_day", "member_regs")).alias("l")).select("l.*")
+
+    def registered(df: DataFrame, name: str) -> DataFrame:
+        days = df.groupBy(F.to_date("date").alias("day")).agg(F.sum("registrations").alias("n"))
+        inside = (F.col("day") >= F.col("first_day")) & (F.col("day") <= F.col("max_day"))
+        return days.join(F.broadcast(latest.select("first_day", "max_day")), inside).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+
+    regs = registered(platform, "platform_regs")
+    if daily_ops is not None:
+        both = regs.crossJoin(registered(daily_ops, "daily_regs"))
+        regs = both.select(F.when(F.col("daily_regs") != 0, F.col("daily_regs")).otherwise(F.col("platform_regs")).alias("platform_regs"))
+    j = latest.select(F.date_format("first_day", "yyyy-MM").alias("month"), "max_day", "member_regs").crossJoin(regs)
     r = ratio(F.col("member_regs").cast("double"), F.col("platform_regs").cast("double"))
     return j.withColumn("coverage", r).withColumn("warn", F.coalesce(r < threshold, F.lit(False)))
 
@@ -108,16 +122,16 @@ def check_missing_days(df: DataFrame, date_col: str, first: int = 5) -> DataFram
 
 
 def check_zero_metric(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """AG-132: the first present key metric that is entirely zero / NULL (flag + name)."""
+    """AG-132: the first present key metric that is entirely zero, NULL or no number (flag + name)."""
     m = next((c for c in metrics if c in df.columns), None)
     if m is None:
         return df.sparkSession.range(1).select(F.lit(None).cast("string").alias("metric"), F.lit(False).alias("all_zero"))
-    g = df.agg(F.count_if(F.coalesce(F.col(m), F.lit(0)) != 0).alias("nz"))
+    g = df.agg(F.count_if(F.coalesce(to_num_commas(m), F.lit(0.0)) != 0).alias("nz"))
     return g.select(F.lit(m).alias("metric"), (F.col("nz") == 0).alias("all_zero"))
 
 
 def looks_month_aggregated(df: DataFrame, date_col: str, share: float = 0.8) -> DataFrame:
     """AG-133: more than ``share`` of the date values look like 'YYYY-MM' (a month-aggregated upload)."""
-    t = F.trim(F.col(date_col).cast("string"))
-    g = df.agg(F.avg(t.rlike(r"^\d{4}-\d{2}$").cast("double")).alias("month_share"))
+    t = clean_text(date_col)  # blank and 'nan' dates do not count
+    g = df.where(t.isNotNull()).agg(F.avg(t.rlike(r"^\d{4}-\d{2}$").cast("double")).alias("month_share"))
     return g.withColumn("month_aggregated", F.coalesce(F.col("month_share") > share, F.lit(False)))

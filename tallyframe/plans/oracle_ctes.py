@@ -74,7 +74,7 @@ SELECT account, agent, snapshot_month,
   orders_n
 FROM (
   SELECT CAST(o_custkey AS VARCHAR) AS account,
-         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE 'ag' || CAST(c_nationkey AS VARCHAR) END AS agent,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 2 = 0 THEN NULL WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE 'ag' || CAST(c_nationkey AS VARCHAR) END AS agent,
          strftime(o_orderdate, '%Y-%m') AS snapshot_month, c_custkey, c_nationkey, c_mktsegment, c_acctbal,
          count(*) AS orders_n, min(o_orderdate) AS m_first,
          min(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS m_first_f,
@@ -156,7 +156,8 @@ SELECT l_orderkey, min(l_shipdate) AS ship_min, max(l_shipdate) AS ship_max FROM
     "deposits": (("order_ship",), """
 SELECT CAST(o_orderkey AS VARCHAR) AS order_no, CAST(o_custkey AS VARCHAR) AS account, o_orderpriority AS channel,
   CASE o_orderstatus WHEN 'F' THEN '存款成功' WHEN 'O' THEN '已取消' ELSE '处理中' END AS status,
-  CASE WHEN o_orderstatus = 'O' THEN CASE o_custkey % 4 WHEN 0 THEN '超时' WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE '用户取消' END END AS cancel_reason,
+  CASE WHEN o_orderstatus = 'O' THEN CASE o_custkey % 4 WHEN 0 THEN '超时' WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE '用户取消' END
+    WHEN o_custkey % 4 = 3 THEN '通道维护' END AS cancel_reason,
   o_totalprice AS amount, o_orderdate AS ordered_at,
   CASE WHEN o_orderstatus = 'F' THEN ship_min END AS completed_at
 FROM ord LEFT JOIN order_ship ON o_orderkey = l_orderkey"""),

@@ -75,6 +75,8 @@ def ag69(spark, d):
 @register("ag70_vip_report", with_ctes("bets", body=f"""
 SELECT vip, bets, turnover, pnl, players, -pnl AS platform_pnl,
   round(-pnl*100.0 / nullif(turnover, 0), 3) AS hold_pct,
+  round(turnover / nullif(players, 0), 0) AS turnover_per_player,
+  round(turnover*100.0 / nullif(sum(turnover) OVER (), 0), 2) AS share_pct,
   coalesce(TRY_CAST(trim(vip) AS INTEGER), 99) AS vip_order
 FROM (SELECT vip, {_BY} FROM bets GROUP BY vip)"""))
 def ag70(spark, d):

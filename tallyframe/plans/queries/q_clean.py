@@ -162,7 +162,7 @@ SELECT DISTINCT venue, CASE WHEN venue LIKE '%真人%' THEN '真人'
   WHEN venue LIKE '%体育%' OR venue LIKE '%體育%' THEN '体育' WHEN venue LIKE '%电竞%' OR venue LIKE '%電競%' THEN '电竞'
   WHEN venue LIKE '%电子%' OR venue LIKE '%電子%' OR venue LIKE '%老虎%' OR upper(venue) LIKE '%PG%' OR upper(venue) LIKE '%PP%' THEN '电子'
   WHEN venue LIKE '%棋牌%' THEN '棋牌' WHEN venue LIKE '%捕鱼%' OR venue LIKE '%捕魚%' THEN '捕鱼'
-  WHEN upper(venue) LIKE '%HASH%' THEN '哈希' WHEN venue LIKE '%彩%' THEN '彩票' ELSE '其他' END AS category FROM venue_daily"""))
+  WHEN venue LIKE '%哈希%' OR upper(venue) LIKE '%HASH%' THEN '哈希' WHEN venue LIKE '%彩%' THEN '彩票' ELSE '其他' END AS category FROM venue_daily"""))
 def cl35(spark, d):
     return S.venue_daily(spark, d).select("venue", X.venue_category("venue").alias("category")).distinct()
 

@@ -166,11 +166,11 @@ def ag40(spark, d):
 
 MONTHS_1998 = [f"1998-{m:02d}" for m in range(1, 13)]
 _IN = ", ".join(f"'{m}'" for m in MONTHS_1998)
-_ROLLUP = f"""SELECT account, agent, max(vip) AS vip, sum(deposits) AS deposits, sum(withdrawals) AS withdrawals,
+_ROLLUP = f"""SELECT account, coalesce(nullif(trim(agent), ''), '(直客)') AS agent, max(vip) AS vip, sum(deposits) AS deposits, sum(withdrawals) AS withdrawals,
   sum(turnover) AS turnover, sum(company_win) AS company_win, sum(bonus) AS bonus, sum(rebate) AS rebate,
   sum(company_income) AS company_income, arg_max(status, snapshot_month) AS status, arg_max(tags, snapshot_month) AS tags,
   count(DISTINCT snapshot_month) AS months
-FROM member WHERE snapshot_month IN ({_IN}) GROUP BY account, agent"""
+FROM member WHERE snapshot_month IN ({_IN}) GROUP BY 1, 2"""
 _TAGS = "['套利', '高风险', '多平台', '跨平台对打', '骗分', '专业玩家', '软件投注']"
 _FLAGGED = f"""SELECT *, round({_r1('bonus + rebate', 'turnover')} * 100.0, 2) AS give_pct,
   round({_r1('company_win', 'turnover')} * 100.0, 3) AS hold_pct,
@@ -198,7 +198,7 @@ def ag87(spark, d):
 @register("ag89_agent_overview", with_ctes("member", extra=_MX, body=f"""
 SELECT *, round({_r1('bonus + rebate', 'turnover')} * 100.0, 2) AS give_pct,
   round({_r1('company_win', 'turnover')} * 100.0, 3) AS hold_pct FROM (
-SELECT coalesce(agent, '(直客/无代理)') AS agent, count(*) AS members, sum(turnover) AS turnover,
+SELECT agent, count(*) AS members, sum(turnover) AS turnover,
   sum(company_win) AS company_win, sum(bonus) AS bonus, sum(rebate) AS rebate, sum(company_income) AS company_income,
   count_if(arbitrage OR tag_hits <> '') AS flagged FROM flagged GROUP BY 1)"""))
 def ag89(spark, d):

@@ -11,15 +11,15 @@ def _r(n, d):
     return f"CAST({n} AS DOUBLE) / nullif(CAST({d} AS DOUBLE), 0)"
 
 
-_LATEST = """SELECT account, agent, l.registered_at, l.first_deposit_at, l.first_deposit, l.first_bet, l.vip, l.status, l.source,
+_LATEST = """SELECT account, agent0 AS agent, l.registered_at, l.first_deposit_at, l.first_deposit, l.first_bet, l.vip, l.status, l.source,
   l.register_channel, l.register_url, l.tags, net_income, lifetime_turnover, bonus_n, rebate_n FROM (
-  SELECT account, agent,
+  SELECT account, nullif(trim(agent), '') AS agent0,
     arg_max({'registered_at': registered_at, 'first_deposit_at': first_deposit_at, 'first_deposit': first_deposit,
              'first_bet': first_bet, 'vip': vip, 'status': status, 'source': source, 'register_channel': register_channel,
              'register_url': register_url, 'tags': tags}, snapshot_month) AS l,
     coalesce(sum(company_income), 0) AS net_income, coalesce(sum(turnover), 0) AS lifetime_turnover,
     coalesce(sum(bonus), 0) AS bonus_n, coalesce(sum(rebate), 0) AS rebate_n
-  FROM member GROUP BY account, agent)"""
+  FROM member GROUP BY 1, 2)"""
 
 _NR = r"""SELECT * EXCLUDE (ttf), strftime(registered_at, '%Y-%m-%d') AS reg_day, strftime(registered_at, '%Y-%m') AS reg_month,
   coalesce(CAST(first_deposit AS DOUBLE), 0.0) AS first_dep, coalesce(CAST(first_deposit AS DOUBLE), 0.0) > 0 AS has_first_deposit,
@@ -145,17 +145,21 @@ def ag109(spark, d):
 
 
 @register("ag110_rank_with_tail", with_ctes("member", extra=dict(_X, g="""SELECT coalesce(domain, '(未记录)') AS domain,
-  count(*) AS registrations FROM nr GROUP BY 1""", t="SELECT * FROM g ORDER BY registrations DESC, domain LIMIT 20"), body="""
-SELECT domain, registrations, CAST(1 AS BIGINT) AS groups FROM t
-UNION ALL SELECT '(其余)', coalesce(sum(registrations), 0), count(*) FROM g WHERE domain NOT IN (SELECT domain FROM t)
-HAVING count(*) > 0"""))
+  count(*) AS registrations, count_if(has_first_deposit) AS depositors, sum(first_dep) AS first_deposit_sum FROM nr GROUP BY 1""",
+  t="SELECT * FROM g ORDER BY registrations DESC, domain LIMIT 20"), body="""
+SELECT *, round(CAST(registrations - depositors AS DOUBLE) / registrations * 100.0, 0) AS no_deposit_pct FROM (
+SELECT *, CAST(1 AS BIGINT) AS groups FROM t
+UNION ALL SELECT '(其余)', sum(registrations), sum(depositors), sum(first_deposit_sum), count(*) FROM g
+WHERE domain NOT IN (SELECT domain FROM t) HAVING count(*) > 0)"""))
 def ag110(spark, d):
     return NR.rank_with_tail(_nr(spark, d), "domain", 20)
 
 
 @register("ag111_invite_ranking", with_ctes("member", extra=_X, body="""
-SELECT invite_code, sum(n) AS registrations, sum(dd) AS depositors, arg_min(agent_label, (-n, agent_label)) AS top_agent FROM (
-  SELECT invite_code, agent_label, count(*) AS n, count_if(has_first_deposit) AS dd FROM nr
+SELECT invite_code, sum(n) AS registrations, sum(dd) AS depositors, sum(fd) AS first_deposit_sum,
+  arg_min(agent_label, (-n, agent_label)) AS top_agent,
+  round(CAST(sum(n) - sum(dd) AS DOUBLE) / sum(n) * 100.0, 0) AS no_deposit_pct FROM (
+  SELECT invite_code, agent_label, count(*) AS n, count_if(has_first_deposit) AS dd, sum(first_dep) AS fd FROM nr
   WHERE invite_code IS NOT NULL GROUP BY 1, 2)
 GROUP BY 1 ORDER BY registrations DESC, invite_code LIMIT 20"""))
 def ag111(spark, d):
@@ -215,7 +219,7 @@ def ag117(spark, d):
 
 @register("ag118_cancel_reasons", with_ctes("deposits", body="""
 SELECT reason, count(*) AS orders FROM (SELECT CASE WHEN trim(cancel_reason) IN ('', 'nan', 'None') THEN NULL
-  ELSE trim(cancel_reason) END AS reason FROM deposits) WHERE reason IS NOT NULL GROUP BY 1
+  ELSE trim(cancel_reason) END AS reason FROM deposits WHERE trim(status) = '已取消') WHERE reason IS NOT NULL GROUP BY 1
 ORDER BY orders DESC, reason LIMIT 8"""))
 def ag118(spark, d):
     return PY.cancel_reasons(S.deposits(spark, d), 8)

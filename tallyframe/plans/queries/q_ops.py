@@ -193,7 +193,7 @@ def ag81(spark, d):
 
 @register("ag82_agent_type_report", with_ctes("agent_daily", body="""
 SELECT agent_type, count(DISTINCT agent_no) AS agents, sum(registrations) AS registrations, sum(turnover) AS turnover,
-  sum(company_income) AS company_income FROM agent_daily WHERE agent_type IS NOT NULL GROUP BY 1"""))
+  sum(bonus) AS bonus, sum(company_income) AS company_income FROM agent_daily WHERE agent_type IS NOT NULL GROUP BY 1"""))
 def ag82(spark, d):
     return B.agent_type_report(S.agent_daily(spark, d))
 
@@ -294,16 +294,16 @@ def ag55(spark, d):
     return CM.deficit_list(S.commission(spark, d))
 
 
-@register("ag56_line_stats", with_ctes("commission", body="""
+@register("ag56_line_stats", with_ctes("commission", body=f"""
 SELECT line, count(agent) AS agents, sum(net_after_reversal) AS net,
-  coalesce(sum(CASE WHEN carried_balance < 0 THEN carried_balance END), 0) AS deficit FROM commission GROUP BY 1"""))
+  coalesce(sum(CASE WHEN carried_balance < 0 THEN carried_balance END), 0) AS deficit FROM {_CM} GROUP BY 1"""))
 def ag56(spark, d):
     return CM.line_stats(S.commission(spark, d))
 
 
-@register("ag57_top_teams", with_ctes("commission", body="""
+@register("ag57_top_teams", with_ctes("commission", body=f"""
 SELECT team_name, count(agent) AS agents, sum(net_after_reversal) AS net,
-  coalesce(sum(CASE WHEN carried_balance < 0 THEN carried_balance END), 0) AS deficit FROM commission GROUP BY 1
+  coalesce(sum(CASE WHEN carried_balance < 0 THEN carried_balance END), 0) AS deficit FROM {_CM} GROUP BY 1
 ORDER BY net DESC, team_name LIMIT 10"""))
 def ag57(spark, d):
     return CM.top_teams(S.commission(spark, d), 10)

@@ -27,13 +27,14 @@ def io11(spark, d):
     return P.append_new_keys(new, existing, "order_no")
 
 
-_DATED = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END
+_DATED = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'nan' WHEN o_orderkey % 89 = 0 THEN '' WHEN o_orderkey % 50 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END
   AS date_txt, o_orderkey, o_totalprice FROM ord"""
 
 
 def _dated(spark, d):
     o = S.load(spark, d, "orders")
-    t = F.when(F.col("o_orderkey") % 50 == 0, F.date_format("o_orderdate", "yyyy-MM")) \
+    t = F.when(F.col("o_orderkey") % 97 == 0, F.lit("nan")).when(F.col("o_orderkey") % 89 == 0, F.lit("")) \
+         .when(F.col("o_orderkey") % 50 == 0, F.date_format("o_orderdate", "yyyy-MM")) \
          .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return o.select(t.alias("date_txt"), "o_orderkey", "o_totalprice")
 
@@ -176,15 +177,13 @@ def ag128(spark, d):
 
 
 @register("ag129_check_completeness", with_ctes("member", "platform", body="""
-SELECT month, max_day, member_regs, platform_regs, CAST(member_regs AS DOUBLE) / nullif(CAST(platform_regs AS DOUBLE), 0) AS coverage,
-  coalesce(CAST(member_regs AS DOUBLE) / nullif(CAST(platform_regs AS DOUBLE), 0) < 0.8, false) AS warn FROM
- (SELECT max(strftime(registered_at, '%Y-%m')) AS month, max(CAST(registered_at AS DATE)) AS max_day FROM member
-  WHERE registered_at IS NOT NULL) l,
- (SELECT count(DISTINCT (account, agent)) AS member_regs FROM member WHERE registered_at IS NOT NULL AND is_agent <> '代理'
-  AND strftime(registered_at, '%Y-%m') = (SELECT max(strftime(registered_at, '%Y-%m')) FROM member)) m,
- (SELECT coalesce(sum(registrations), 0) AS platform_regs FROM platform
-  WHERE strftime(date, '%Y-%m') = (SELECT max(strftime(registered_at, '%Y-%m')) FROM member)
-    AND date <= (SELECT max(CAST(registered_at AS DATE)) FROM member)) p"""))
+SELECT *, CAST(member_regs AS DOUBLE) / nullif(CAST(platform_regs AS DOUBLE), 0) AS coverage,
+  coalesce(CAST(member_regs AS DOUBLE) / nullif(CAST(platform_regs AS DOUBLE), 0) < 0.8, false) AS warn FROM (
+SELECT month, max_day, member_regs, (SELECT coalesce(sum(registrations), 0) FROM platform
+  WHERE strftime(date, '%Y-%m') = month AND CAST(date AS DATE) <= max_day) AS platform_regs FROM (
+  SELECT strftime(registered_at, '%Y-%m') AS month, max(CAST(registered_at AS DATE)) AS max_day,
+    count_if(is_agent = '非代理') AS member_regs FROM member WHERE registered_at IS NOT NULL
+  GROUP BY 1 ORDER BY 1 DESC LIMIT 1))"""))
 def ag129(spark, d):
     return Q.check_completeness(S.member(spark, d), S.platform(spark, d))
 
@@ -199,27 +198,27 @@ def ag130(spark, d):
 
 
 @register("ag131_check_missing_days", with_ctes("agent_daily", extra={
-    "d": "SELECT DISTINCT CAST(date AS DATE) AS d FROM agent_daily WHERE agent_no = '7'",
+    "d": "SELECT DISTINCT CAST(date AS DATE) AS d FROM agent_daily",
     "miss": "SELECT CAST(x AS DATE) AS d FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS x FROM d) "
             "WHERE CAST(x AS DATE) NOT IN (SELECT d FROM d)"}, body="""
 SELECT (SELECT count(*) FROM miss) AS missing_days,
   (SELECT list(strftime(d, '%Y-%m-%d') ORDER BY d) FROM (SELECT d FROM miss ORDER BY d LIMIT 5)) AS first_missing"""))
 def ag131(spark, d):
-    a = S.agent_daily(spark, d).where(F.col("agent_no") == "7")
-    return Q.check_missing_days(a, "date")
+    return Q.check_missing_days(S.agent_daily(spark, d), "date")
 
 
 @register("ag132_check_zero_metric", with_ctes("agent_daily", body="""
-SELECT 'early_settlement' AS metric, count_if(coalesce(early_settlement, 0) <> 0) = 0 AS all_zero FROM agent_daily
-WHERE agent_no = '7'"""))
+SELECT 'early_settlement' AS metric, count_if(coalesce(early_settlement, 0) <> 0) = 0 AS all_zero FROM agent_daily"""))
 def ag132(spark, d):
-    a = S.agent_daily(spark, d).where(F.col("agent_no") == "7")
+    # the metric as an upload spells it: text with thousands separators
+    a = S.agent_daily(spark, d).withColumn("early_settlement", F.format_number(F.col("early_settlement").cast("double"), 2))
     return Q.check_zero_metric(a, ["not_a_column", "early_settlement", "turnover"])
 
 
 @register("ag133_looks_month_aggregated", with_ctes(extra={"dated": _DATED}, body=r"""
 SELECT month_share, coalesce(month_share > 0.8, false) AS month_aggregated FROM (
-SELECT avg(CAST(regexp_full_match(trim(date_txt), '\d{4}-\d{2}') AS DOUBLE)) AS month_share FROM dated)"""))
+SELECT avg(CAST(regexp_full_match(trim(date_txt), '\d{4}-\d{2}') AS DOUBLE)) AS month_share FROM dated
+WHERE trim(date_txt) NOT IN ('', 'nan', 'None'))"""))
 def ag133(spark, d):
     return Q.looks_month_aggregated(_dated(spark, d), "date_txt")
 

@@ -130,7 +130,8 @@ def member(spark, d) -> DataFrame:
     c = load(spark, d, "customer")
     p = F.col("o_totalprice")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    agent = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(None).cast("string")) \
+    agent = F.when((F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderkey") % 2 == 0), F.lit(None).cast("string")) \
+             .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("")) \
              .otherwise(F.concat(F.lit("ag"), F.col("c_nationkey").cast("string")))
     g = j.groupBy(
         F.col("o_custkey").cast("string").alias("account"),
@@ -330,7 +331,8 @@ def deposits(spark, d) -> DataFrame:
     st = F.col("o_orderstatus")
     k = F.col("o_custkey") % 4
     reason = F.when(st == "O", F.when(k == 0, F.lit("超时")).when(k == 1, F.lit("nan"))
-                    .when(k == 2, F.lit("")).otherwise(F.lit("用户取消")))
+                    .when(k == 2, F.lit("")).otherwise(F.lit("用户取消"))) \
+              .when(k == 3, F.lit("通道维护"))  # a reason left on an order that was not cancelled
     return j.select(
         F.col("o_orderkey").cast("string").alias("order_no"),
         F.col("o_custkey").cast("string").alias("account"),

@@ -9,18 +9,18 @@ list (bounded by the number of files), then builds ONE lazy plan per report type
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.exprs import month_key, to_num_commas, utrim
-from ..operators.clean import drop_all_zero_rows, drop_total_rows, unwrap_all
-from ..operators.dedupe import keep_last
-from ..session import scratch_path
+from ..functions.exprs import LBL_UNKNOWN_ACTIVITY, clean_text, month_key, to_num, to_num_commas, to_ts, utrim
+from ..operators.clean import (SKIP_EXACT, clean_payments, drop_all_zero_rows, drop_total_rows, infer_snapshot_month, modal_month,
+                               type_columns, unwrap_all, with_issue_label)
+from ..operators.dedupe import keep_first, keep_last
 from . import publish as P
 
 # fixed values: report type by file name — (pattern, table), case-insensitive, first match wins
@@ -38,25 +38,35 @@ FILE_MAP = (
     (r"游戏报表(?!.*场馆)", "raw_game_report"),
 )
 
-# fixed values: report type by header columns — (all of these columns, table), first match wins
+# fixed values: payment histories and call records are known by name alone — (pattern, table)
+NAME_ONLY = (
+    (r"存款管理", "raw_finance_deposit"),
+    (r"提款管理", "raw_finance_withdraw"),
+    (r"撥打|拨打|電訪|电访", "raw_winback"),
+)
+
+# fixed values: report type by header columns — (all of these columns, one of these if any, table), first match wins
 HEADER_RULES = (
-    (("用户名", "个人输赢"), "raw_top_report"),
-    (("用户名", "杀数"), "raw_top_report"),
-    (("会员账号", "注册时间", "是否为代理"), "raw_member_report"),
-    (("注册数", "公司输赢", "首存人数"), "raw_platform_report"),
-    (("红利", "返水", "代理佣金"), "raw_finance_report"),
-    (("线别", "团队名称"), "raw_agent_commission_team"),
-    (("主线/副线", "团队名称"), "raw_agent_commission_team"),
-    (("是否在团队",), "raw_agent_commission_single"),
-    (("满意度评价",), "raw_cs_conversations"),
-    (("对话内容",), "raw_cs_conversations"),
-    (("订单号", "红利金额"), "raw_bonus_report"),
-    (("红利标题", "申请时间"), "raw_bonus_report"),
-    (("订单号", "订单时间", "订单状态"), "raw_finance_deposit"),
-    (("订单号", "申请时间", "订单状态"), "raw_finance_withdraw"),
-    (("代理帐号", "平台净营利"), "raw_agent_settlement_monthly"),
+    (("用户名", "个人输赢"), (), "raw_top_report"),
+    (("用户名", "杀数"), (), "raw_top_report"),
+    (("会员账号", "注册时间", "是否为代理"), (), "raw_member_report"),
+    (("注册数", "公司输赢", "首存人数"), (), "raw_platform_report"),
+    (("红利", "返水", "代理佣金"), (), "raw_finance_report"),
+    (("线别", "团队名称"), (), "raw_agent_commission_team"),
+    (("主线/副线", "团队名称"), (), "raw_agent_commission_team"),
+    (("是否在团队",), (), "raw_agent_commission_single"),
+    (("满意度评价",), (), "raw_cs_conversations"),
+    (("对话内容",), (), "raw_cs_conversations"),
+    (("订单号", "红利金额"), (), "raw_bonus_report"),
+    (("红利标题", "申请时间"), (), "raw_bonus_report"),
+    (("订单号", "订单时间", "订单状态"), (), "raw_finance_deposit"),
+    (("订单号", "申请时间", "订单状态"), (), "raw_finance_withdraw"),
+    (("代理帐号", "月份"), ("累计挂账额度", "发放佣金"), "raw_agent_settlement_monthly"),
 )
 
+# fixed values: the standard periodic reports; only these lose total rows and all-zero rows
+STANDARD_REPORTS = tuple(t for _, t in FILE_MAP)
+
 # write discipline per table: ('dates', date column) | ('snapshot', month column) | ('keys', key)
 # | ('months', month column) | ('files', None)
 DISCIPLINE = {
@@ -77,7 +87,7 @@ def classify_by_name(name: Column) -> Column:
     """CL-01: ordered case-insensitive regex list over the file's base name."""
     base = F.regexp_extract(name, r"[^/]+$", 0)
     e = None
-    for pat, table in FILE_MAP:
+    for pat, table in FILE_MAP + NAME_ONLY:
         cond = base.rlike("(?i)" + pat)
         e = F.when(cond, F.lit(table)) if e is None else e.when(cond, F.lit(table))
     return e
@@ -86,9 +96,11 @@ def classify_by_name(name: Column) -> Column:
 def classify_by_header(header: Column) -> Column:
     """CL-02: ordered column-subset tests over the header array."""
     e = None
-    for cols, table in HEADER_RULES:
+    for cols, one_of, table in HEADER_RULES:
         need = F.array(*[F.lit(c) for c in cols])
         cond = F.size(F.array_except(need, header)) == 0
+        if one_of:
+            cond = cond & F.arrays_overlap(F.array(*[F.lit(c) for c in one_of]), header)
         e = F.when(cond, F.lit(table)) if e is None else e.when(cond, F.lit(table))
     return e
 
@@ -124,9 +136,10 @@ def read_raw(spark: SparkSession, name: str, schema: StructType | None = None, r
     if root:
         path = f"{root.rstrip('/')}/{name}"
         try:
-            return spark.read.option("mergeSchema", "true").parquet(path)
-        except Exception:  # noqa: BLE001 — missing path means "no table yet"
-            pass
+            return spark.read.option("mergeSchema", "true").parquet(path).drop(P.PERIOD)
+        except AnalysisException as e:  # only a missing path means "no table yet"; a table that cannot be read aborts
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], schema or StructType([]))
 
 
@@ -141,16 +154,37 @@ def read_bets(spark: SparkSession, path: str, months: Sequence[str] | None = Non
     return df if months is None else df.where(F.col("bet_month").isin(list(months)))
 
 
-def read_report_csv(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
-    """IO-04: all-text CSV read, tolerant of bad lines; columns created by trailing commas dropped;
-    ``="…"`` unwrapped in names and cells; ``_source_file`` from the file metadata."""
+#: Columns that give a landed row its place: file, first byte of its split, number in the split.
+PLACE = ("_source_file", "_split", "_row")
+
+
+def read_report_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """IO-04: all-text CSV read of files with ONE header, tolerant of bad lines; columns created by trailing
+    commas dropped; ``="…"`` unwrapped in names and cells; ``PLACE`` columns from the file metadata.
+
+    ``multi_line`` reads quoted cells with line breaks (such a file is one split)."""
     df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("inferSchema", False).csv(paths))
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(paths))
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if not (c.startswith("_c") and c[2:].isdigit())],
-                   F.col("_metadata.file_path").alias("_source_file"))
+                   F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_split"),
+                   F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_modification_time").alias("_file_time"))
     return unwrap_all(df)
 
 
+def read_grouped(spark: SparkSession, files: Sequence[tuple[str, Sequence[str]]], encoding: str = "UTF-8",
+                 multi_line: bool = False) -> DataFrame:
+    """IO-04 over (path, header) pairs: files are read by header, then united by column name, so a column
+    that stands elsewhere in another file is still that column."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, header in files:
+        groups.setdefault(tuple(header), []).append(path)
+    out = None
+    for paths in groups.values():
+        df = read_report_csv(spark, paths, encoding, multi_line)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 # fixed values: the summary sheet of multi-sheet workbooks
 SUMMARY_SHEET = "总表"
 
@@ -195,40 +229,139 @@ class IngestResult:
     status: str
 
 
-def clean_report(df: DataFrame) -> DataFrame:
-    """CL-04…06 applied to a landed report."""
-    return drop_all_zero_rows(drop_total_rows(unwrap_all(df)))
+# fixed values: typed columns of the commission reports
+COMMISSION_NUM = ("存款金额", "提款金额", "总输赢", "场馆费", "红利", "代理冲销", "返水", "账户调整", "存款手续费基数",
+                  "提款手续费基数", "存款手续费", "提款手续费", "补单输赢", "净输赢", "上月结余", "冲账调整", "冲正后净输赢",
+                  "佣金调整", "佣金", "已发放佣金", "剩余佣金", "申请发放佣金", "VIP专享")
+COMMISSION_PCT = ("佣金比例", "二次佣金比例")
+COMMISSION_INT = ("团队人数", "下级人数", "注册人数", "首存人数", "活跃人数", "新增活跃人数", "有效活跃人数")
+COMMISSION_TS = ("成为代理时间", "加入团队时间")
+COMMISSION_BOOL = ("是否在团队", "是否取消代理资格", "是否为主线")
+# fixed values: numeric columns of the conversation export, text columns of the agent-monthly sheet
+CONVERSATION_NUM = ("首次响应", "平均响应", "总时长", "访客消息数", "客服消息数", "撤回消息数", "对话回合数")
+AGENT_MONTHLY_TEXT = ("代理名称", "代理帐号", "发展情况", "开户日期", "月份", "来源栏位")
+UNHAPPY = ("不满意", "非常不满意")
+_OWN = (*PLACE, "_file_time", "_imported_at", "_sheet")
+
+
+def _texts(df: DataFrame, but: Sequence[str] = ()) -> DataFrame:
+    return df.withColumns({c: clean_text(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string" and c not in but and c not in _OWN})
+
+
+def clean_bonus_report(df: DataFrame) -> DataFrame:
+    """CL-21 on a landed bonus report: texts, activity name, month of the application, numbers, and the
+    first row of each order in file order."""
+    df = _texts(df.withColumnRenamed("流水倍数(倍)", "流水倍数"))
+    if "红利标题" in df.columns:
+        note = F.col("申请备注") if "申请备注" in df.columns else F.lit(None)
+        df = df.withColumn("活动名称", F.coalesce(F.col("红利标题"), note, F.lit(LBL_UNKNOWN_ACTIVITY)))
+    if "申请时间" in df.columns:
+        df = df.withColumn("_snapshot_month", F.date_format(to_ts("申请时间"), "yyyy-MM"))
+    df = df.withColumns({c: to_num_commas(c) for c in ("红利金额", "流水倍数") if c in df.columns})
+    return keep_first(df, ["订单号"], PLACE) if "订单号" in df.columns else df
+
+
+def clean_conversation_report(df: DataFrame) -> DataFrame:
+    """CL-22 on a landed conversation export: times, seven numbers, texts, the file's month (its most
+    frequent start month, else that of its name) and the issue of unhappy conversations (TX-04)."""
+    df = df.withColumns({c: to_ts(c) for c in ("开始时间", "结束时间") if c in df.columns})
+    df = df.withColumns({c: to_num(c) for c in CONVERSATION_NUM if c in df.columns})
+    df = _texts(df)
+    if "开始时间" in df.columns:
+        months = modal_month(df, "开始时间", "_source_file", "_source_file").withColumnRenamed("modal_month", "_snapshot_month")
+        df = df.join(months, "_source_file", "left")
+    need = {"满意度评价": "rating", "对话内容": "content", "评价内容": "review", "服务主题": "topic"}
+    staged = df.withColumns({n: F.col(c) if c in df.columns else F.lit(None).cast("string") for c, n in need.items()})
+    return with_issue_label(staged, UNHAPPY).withColumnRenamed("issue", "_extracted_issue").drop(*need.values())
+
+
+def clean_commission_report(df: DataFrame) -> DataFrame:
+    """CL-20 on a landed commission report: the fixed column sets typed, the rest text; empty rows dropped."""
+    df = df.withColumnRenamed("主线/副线", "线别")
+    kinds = {**dict.fromkeys(COMMISSION_NUM, "num"), **dict.fromkeys(COMMISSION_PCT, "pct"), **dict.fromkeys(COMMISSION_INT, "int"),
+             **dict.fromkeys(COMMISSION_TS, "ts"), **dict.fromkeys(COMMISSION_BOOL, "bool")}
+    data = [c for c in df.columns if c not in _OWN]
+    return type_columns(df, {c: kinds.get(c, "text") for c in data}, drop_all_null=data)
+
+
+def clean_payment_report(df: DataFrame, date_col: str) -> DataFrame:
+    """CL-19 / CL-23 on a landed payment history: tabs and header units dropped, texts trimmed, the date required."""
+    return clean_payments(df, date_col)
+
+
+def clean_agent_monthly_report(df: DataFrame) -> DataFrame:
+    """CL-24 on a landed agent-monthly sheet: rows with an agent and a month, texts trimmed, the rest numbers."""
+    df = df.where(clean_text("代理帐号").isNotNull())
+    month = F.coalesce(*[F.date_format(F.try_to_date(utrim("月份"), f), "yyyy-MM") for f in ("yyyy-MM", "yyyy/MM", "yyyyMM")],
+                       F.date_format(to_ts("月份"), "yyyy-MM"))
+    df = df.withColumn("月份", month).where(F.col("月份").isNotNull())
+    return df.select(*[F.col(f"`{c}`") if c in _OWN else (clean_text(F.col(f"`{c}`")) if c in AGENT_MONTHLY_TEXT else to_num_commas(F.col(f"`{c}`"))).alias(c)
+                       for c in df.columns])
+
+
+def clean_report(df: DataFrame, table: str) -> DataFrame:
+    """CL-04…06 and the typed cleaning of each kind (CL-20…24).  Total and all-zero rows are dropped from the
+    standard periodic reports only: elsewhere a row of blanks and zeros is a record."""
+    df = unwrap_all(df)
+    if table in STANDARD_REPORTS:
+        return drop_all_zero_rows(drop_total_rows(df), skip=(*SKIP_EXACT, *_OWN))
+    if table == "raw_bonus_report":
+        return clean_bonus_report(df)
+    if table == "raw_cs_conversations":
+        return clean_conversation_report(df)
+    if table in ("raw_agent_commission_single", "raw_agent_commission_team"):
+        return clean_commission_report(df)
+    if table in ("raw_finance_deposit", "raw_finance_withdraw"):
+        return clean_payment_report(df, DISCIPLINE[table][1])
+    if table == "raw_agent_settlement_monthly":
+        return clean_agent_monthly_report(df)
+    return df
 
 
 def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) -> str:
-    """Combine ``new`` with the existing table by its discipline, guard untouched periods (IO-17),
-    stage under the shared checkpoint folder, then replace the table from the staged copy."""
+    """Put ``new`` into the table by its discipline.
+
+    Period disciplines read and replace only the batch's months (partitions ``_period``), after the loss
+    guard (IO-17) has compared what the batch must not touch; keyed and per-file tables only append.
+    """
     kind, col = DISCIPLINE.get(table, ("files", None))
-    existing = read_raw(spark, table, new.schema, root)
-    if kind == "dates" and col in new.columns:
-        combined = P.replace_by_dates(new, existing, col)
-        touched = P.date_keys(new, col)
-        key = F.substring(F.col(col).cast("string"), 1, 10)
-    elif kind == "snapshot" and col in new.columns:
-        combined = P.merge_snapshot(new, existing, col, ("会员账号", "代理") if "会员账号" in new.columns else ("用户名",))
-        touched, key = new.select(month_key(col).alias("k")).distinct(), month_key(col)
-    elif kind == "months" and col in new.columns:
-        combined = P.refresh_months(new, existing, col)
-        touched, key = new.select(month_key(col).alias("k")).distinct(), month_key(col)
-    elif kind == "keys" and col in new.columns:
-        combined = P.append_new_keys_combined(new, existing, col)
-        touched, key = None, None
+    P.finish_pending(spark, root, table)
+    path = f"{root.rstrip('/')}/{table}"
+    if kind in ("keys", "files") or col not in new.columns:
+        existing = read_raw(spark, table, new.schema, root)
+        if kind == "keys" and col in new.columns:
+            fresh = P.append_new_keys(new, existing, col, PLACE)
+        else:
+            fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
+        P.append_evolving(fresh.drop("_split", "_row", "_file_time"), path)
+        return kind
+    if kind == "snapshot" and table == "raw_top_report" and not new.where(F.col(col).isNull()).isEmpty():
+        raise ValueError("a TOP report needs its month in the file name")
+    text = F.col(col).cast("string")
+    key = P.period_of(text) if kind == "dates" else P.period_of(month_key(col))
+    periods = [r["p"] for r in new.select(key.alias("p")).distinct().collect()]  # months of the batch
+    try:
+        existing = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(P.PERIOD).isin(periods)).drop(P.PERIOD)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = spark.createDataFrame([], new.drop("_split", "_row", "_file_time").schema)
+    if kind == "dates":
+        new = new.drop("_split", "_row", "_file_time")
+        combined, touched = P.replace_by_dates(new, existing, col), P.touched_days(new, col)
+        guard = F.substring(text, 1, 10)
+    elif kind == "snapshot":
+        keys = ("会员账号", "代理") if "会员账号" in new.columns else ()  # without an account the month is replaced whole
+        merged = P.merge_snapshot(new, existing, col, keys, PLACE)
+        combined, touched = merged.drop("_split", "_row", "_file_time"), new.select(month_key(col).alias("k")).distinct()
+        guard = month_key(col)
     else:
-        have = existing.select("_source_file").distinct() if "_source_file" in existing.columns else None
-        fresh = new if have is None else new.join(have, "_source_file", "left_anti")
-        combined, touched, key = P.union_evolving(existing, fresh), None, None
-    if touched is not None and len(existing.columns) > 0:
-        ex = existing.withColumn("__p", key)
-        cb = combined.withColumn("__p", key)
-        P.assert_untouched(ex, cb, "__p", touched)
-    stage = scratch_path(spark, f"staging/{table}-{uuid.uuid4().hex}")
-    combined.write.mode("overwrite").parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}")
+        combined = P.refresh_months(new.drop("_split", "_row", "_file_time"), existing, col)
+        touched, guard = new.select(month_key(col).alias("k")).where("k IS NOT NULL").distinct(), month_key(col)
+    if kind == "months" or kind == "dates":  # rows without a period are added to those there are
+        touched = touched.unionByName(spark.createDataFrame([(None,), ("",), ("nan",), ("None",)], "k string"))
+    P.assert_untouched(existing.withColumn("__p", guard), combined.withColumn("__p", guard), "__p", touched)
+    P.publish_partitions(combined.withColumn(P.PERIOD, key), root, table)
     return kind
 
 
@@ -241,30 +374,36 @@ def ingest_batch(spark: SparkSession, landing: str, root: str | None, dry_run: b
 
 
 def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = False,
-                 encoding: str = "UTF-8") -> DataFrame:
-    """IO-21 over an explicit file list (used by the file-drop stream, ST-01)."""
+                 encoding: str = "UTF-8", raise_failures: bool = False) -> DataFrame:
+    """IO-21 over an explicit file list (used by the file-drop stream, ST-01).
+
+    With ``raise_failures`` the job fails, after all other kinds are done, if one kind failed: the caller
+    repeats the whole list, which is safe since every discipline takes the same files twice as once."""
     files = classify_files(spark, paths, encoding)
-    plan: Mapping[str, list[str]] = {}
-    for r in files.select("path", "report_type").collect():  # one row per file, not per record
-        plan.setdefault(r["report_type"], []).append(r["path"])
-    log = []
-    for rtype, paths in sorted(plan.items()):
+    plan: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in files.select("path", "report_type", "header").collect():  # one row per file, not per record
+        plan.setdefault(r["report_type"], []).append((r["path"], r["header"]))
+    log, broken = [], []
+    for rtype, landed in sorted(plan.items()):
         if rtype == "unknown":
-            log.append(IngestResult(rtype, len(paths), 0, "skipped: unrecognised"))
+            log.append(IngestResult(rtype, len(landed), 0, "skipped: unrecognised"))
             continue
         try:
-            df = P.stamp(clean_report(read_report_csv(spark, paths, encoding)))
+            df = P.stamp(clean_report(read_grouped(spark, landed, encoding, rtype == "raw_cs_conversations"), rtype))
             if DISCIPLINE.get(rtype, ("", ""))[0] == "snapshot" and "_snapshot_month" not in df.columns:
-                from ..operators.clean import infer_snapshot_month
+                top = rtype == "raw_top_report"
                 df = infer_snapshot_month(df, reg_col="注册时间" if "注册时间" in df.columns else None,
-                                          top_report=(rtype == "raw_top_report"))
+                                          mtime_col=None if top else "_file_time", top_report=top)
             n = df.count()
             if dry_run or root is None:
-                log.append(IngestResult(rtype, len(paths), n, "dry run"))
+                log.append(IngestResult(rtype, len(landed), n, "dry run"))
             else:
                 kind = publish_table(spark, rtype, df, root)
-                log.append(IngestResult(rtype, len(paths), n, f"written ({kind})"))
-        except Exception as e:  # noqa: BLE001 — isolate one report type's failure
-            log.append(IngestResult(rtype, len(paths), 0, f"failed: {str(e).splitlines()[0][:200]}"))
+                log.append(IngestResult(rtype, len(landed), n, f"written ({kind})"))
+        except Exception as e:  # noqa: BLE001 — one kind's failure does not keep the others out; it is reported below
+            log.append(IngestResult(rtype, len(landed), 0, f"failed: {str(e).splitlines()[0][:200]}"))
+            broken.append((rtype, e))
+    if broken and raise_failures:
+        raise RuntimeError(f"ingest failed for {', '.join(t for t, _ in broken)}") from broken[0][1]
     return spark.createDataFrame([(x.report_type, x.files, x.rows, x.status) for x in log],
                                  "report_type string, files int, rows long, status string")

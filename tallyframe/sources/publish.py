@@ -18,6 +18,7 @@ not touch must be identical before and after.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -47,13 +48,11 @@ def date_keys(df: DataFrame, date_col: str) -> DataFrame:
 def only_new_files(new: DataFrame, existing: DataFrame, file_col: str = "_source_file") -> DataFrame:
     """IO-09: rows of files not loaded yet: a file counts as loaded when the table holds the exact
     path, the same base name, or a path ending with '/<base name>' (SC-06)."""
-    base = lambda c: F.regexp_extract(c, r"[^/]+$", 0)
-    have = existing.select(F.col(file_col).alias("__p"), base(F.col(file_col)).alias("__b")) \
-                   .where(F.col("__p").isNotNull()).distinct()
-    nb = new.withColumn("__nb", base(F.col(file_col)))
-    cond = (nb[file_col] == have["__p"]) | (nb["__nb"] == have["__b"]) | have["__p"].endswith(F.concat(F.lit("/"), nb["__nb"]))
-    # the loaded-file list is small (one row per file, not per record): broadcast it
-    return nb.join(F.broadcast(have), cond, "left_anti").drop("__nb")
+    # an equal path, or a path that ends with '/<base name>', has an equal base name: one equality covers
+    # all three tests, so this is a plain anti-join on the base name
+    base = F.regexp_extract(F.col(file_col), r"[^/]+$", 0)
+    have = existing.where(F.col(file_col).isNotNull()).select(base.alias("__b")).distinct()
+    return new.withColumn("__nb", base).join(have, F.col("__nb") == F.col("__b"), "left_anti").drop("__nb")
 
 
 def union_evolving(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def replace_by_dates(new: DataFrame, existing: DataFrame, date_col: str | None)
     keys = days.unionByName(months)  # calendar-bounded
     t = F.col(date_col).cast("string")
     ekey = F.when(t.rlike(r"^\d{4}-\d{2}$"), t).otherwise(F.substring(t, 1, 10))
-    kept = existing.join(F.broadcast(keys), ekey == F.col("k"), "left_anti")
+    kept = existing.join(keys, ekey == F.col("k"), "left_anti")
     return union_evolving(kept, new)
 
 
@@ -112,8 +111,8 @@ def merge_snapshot(new: DataFrame, existing: DataFrame, month_col: str = "snapsh
     ex = existing.withColumn(month_col, month_key(month_col))
     present = [k for k in keys if k in nb.columns]
     if not present:
-        months = nb.select(month_col).distinct()
-        return union_evolving(ex.join(F.broadcast(months), month_col, "left_anti"), nb)
+        months = nb.select(F.col(month_col).alias("__m")).distinct()
+        return union_evolving(ex.join(months, F.col(month_col) == F.col("__m"), "left_anti"), nb)
     nb = keep_last(nb, [month_col, *present], list(order) if order else [c for c in nb.columns
                                                                         if c not in (month_col, *present)])
     nk = nb.select(*[F.col(c).alias(f"__n_{c}") for c in (month_col, *present)]).distinct()
@@ -126,11 +125,12 @@ def merge_snapshot(new: DataFrame, existing: DataFrame, month_col: str = "snapsh
 
 
 def refresh_months(new: DataFrame, existing: DataFrame, month_col: str) -> DataFrame:
-    """IO-14: drop every existing row of the batch's months, append the batch. [JN-08]"""
+    """IO-14: drop every existing row of the batch's months, append the batch; a NULL month in the batch
+    replaces nothing. [JN-08]"""
     nb = new.withColumn(month_col, month_key(month_col))
     ex = existing.withColumn(month_col, month_key(month_col))
     months = nb.select(month_col).distinct()  # calendar-bounded
-    return union_evolving(ex.join(F.broadcast(months), ex[month_col].eqNullSafe(months[month_col]), "left_anti"), nb)
+    return union_evolving(ex.join(months.select(F.col(month_col).alias("__m")), F.col(month_col) == F.col("__m"), "left_anti"), nb)
 
 
 def list_periods(df: DataFrame, key: str | None, file_col: str = "_source_file") -> DataFrame:
@@ -167,7 +167,7 @@ def untouched_mismatches(existing: DataFrame, combined: DataFrame, key: str, tou
         F.coalesce(a.period, b.period).alias("period"), F.coalesce("before", F.lit(0)).alias("before"),
         F.coalesce("after", F.lit(0)).alias("after"))
     t = touched.select(F.col(touched.columns[0]).cast("string").alias("period")).distinct()
-    j = j.join(F.broadcast(t), j.period.eqNullSafe(t.period), "left_anti")
+    j = j.join(t, j.period.eqNullSafe(t.period), "left_anti")
     return j.where(F.col("before") != F.col("after"))
 
 
@@ -178,8 +178,84 @@ def assert_untouched(existing: DataFrame, combined: DataFrame, key: str, touched
         raise RuntimeError(f"loss guard: untouched periods changed: {bad.limit(20).collect()}")
 
 
+def touched_days(new: DataFrame, date_col: str) -> DataFrame:
+    """IO-17: the periods a date replace may change: the batch's days and their months (stale 'YYYY-MM' rows)."""
+    days = date_keys(new, date_col)
+    return days.unionByName(days.select(F.substring("k", 1, 7).alias("k"))).distinct()
+
+
 # ---------------------------------------------------------------- writers (IO-08, IO-10, IO-19)
 
+#: Partition column of published tables: 'p' + month, or NO_PERIOD.
+PERIOD = "_period"
+NO_PERIOD = "none"
+
+
+def period_of(c) -> "F.Column":
+    """Partition of a day or month text: its month ('p' keeps it a text when partitions are read back)."""
+    m = F.substring(c, 1, 7)
+    return F.when(m.rlike(r"^\d{4}-\d{2}$"), F.concat(F.lit("p"), m)).otherwise(F.lit(NO_PERIOD))
+
+
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def finish_pending(spark, root: str, table: str) -> None:
+    """Complete publishes that a lost driver left: a staged copy with its success marker is put into the
+    table again (the same partitions, so twice is as once); one without it never counted."""
+    fs, base = _fs(spark, f"{root.rstrip('/')}/_pending/{table}")
+    if not fs.exists(base):
+        return
+    for status in fs.listStatus(base):
+        staged = status.getPath().toString()
+        if _fs(spark, f"{staged}/_SUCCESS")[0].exists(_fs(spark, f"{staged}/_SUCCESS")[1]):
+            _put(spark, staged, f"{root.rstrip('/')}/{table}")
+        fs.delete(status.getPath(), True)
+
+
+def _put(spark, staged: str, path: str) -> None:
+    write_partitions(spark.read.parquet(staged), path, PERIOD)
+
+
+def publish_partitions(df: DataFrame, root: str, table: str) -> None:
+    """Replace the partitions present in ``df`` (column ``_period``) and no others.
+
+    The new partitions are staged whole before the table is touched, and stay staged until it holds
+    them, so a crash at any point loses nothing: ``finish_pending`` repeats the last step.
+    """
+    spark = df.sparkSession
+    staged = f"{root.rstrip('/')}/_pending/{table}/{uuid.uuid4().hex}"
+    df.write.partitionBy(PERIOD).parquet(staged)
+    _put(spark, staged, f"{root.rstrip('/')}/{table}")
+    fs, p = _fs(spark, staged)
+    fs.delete(p, True)
+
+
+def delete_published(spark, root: str, table: str, key: str, periods: Sequence[str]) -> DataFrame:
+    """IO-16 writer: remove days or months from a published table; returns (removed, remaining) of the
+    touched partitions.  Partitions of other months are neither read nor written."""
+    finish_pending(spark, root, table)
+    path = f"{root.rstrip('/')}/{table}"
+    parts = sorted({f"p{str(p)[:7]}" for p in periods})
+    touched = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(PERIOD).isin(parts))
+    k = F.col(key).cast("string")
+    gone = F.lit(False)
+    for p in periods:
+        gone = gone | k.startswith(str(p))
+    kept = touched.where(~F.coalesce(gone, F.lit(False)))
+    left = {r[PERIOD]: r["n"] for r in kept.groupBy(PERIOD).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = touched.count()
+    if left:
+        publish_partitions(kept, root, table)
+    for p in parts:  # a month without rows has no partition to write: its folder goes
+        fs, folder = _fs(spark, f"{path}/{PERIOD}={p}")
+        if p not in left and fs.exists(folder):
+            fs.delete(folder, True)
+    return spark.createDataFrame([(before - sum(left.values()), sum(left.values()))], "removed long, remaining long")
+
+
 def stamp(df: DataFrame, source_file: str | None = None) -> DataFrame:
     """IO-18: lineage columns ``_imported_at`` and ``_source_file`` (file path of each row when read from files)."""
     out = df.withColumn("_imported_at", F.current_timestamp().cast("timestamp_ntz"))

@@ -32,7 +32,8 @@ def file_ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint:
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.select("path").distinct().collect()]  # files of this batch only
         if paths:
-            ingest_files(batch.sparkSession, paths, root)
+            # a failed kind fails the micro-batch: it is not committed, so its files are taken again
+            ingest_files(batch.sparkSession, paths, root, raise_failures=True)
 
     w = lines.writeStream.foreachBatch(per_batch).option(
         "checkpointLocation", checkpoint or scratch_path(spark, "ckpt/file_ingest"))

@@ -19,7 +19,7 @@ def landing(root):
     land = os.path.join(root, "landing")
     write(os.path.join(land, "business-report-2026-01.csv"),
           "日期,注册数,公司输赢,首存人数,\n2026-01-01,5,100.5,2,\n2026-01-02,0,0,0,\n总计,5,100.5,2,\n")
-    write(os.path.join(land, "top.csv"), "用户名,个人输赢,有效投注额\nu1,3,10\n")
+    write(os.path.join(land, "top-202601.csv"), "用户名,个人输赢,有效投注额\nu1,3,10\n")
     write(os.path.join(land, "bonus_202601.csv"),
           "订单号,会员账号,红利金额,申请时间\n=\"A1\",m1,10,2026-01-01 10:00:00\nA2,m2,5,2026-01-02 11:00:00\n")
     write(os.path.join(land, "readme.csv"), "a,b\n1,2\n")
@@ -29,7 +29,7 @@ def landing(root):
 def test_classify_and_dry_run(spark, tmpdir_path):
     land = landing(tmpdir_path)
     types = {os.path.basename(r.path): r.report_type for r in FS.classify_files(spark, land).collect()}
-    assert types == {"business-report-2026-01.csv": "raw_platform_report", "top.csv": "raw_top_report",
+    assert types == {"business-report-2026-01.csv": "raw_platform_report", "top-202601.csv": "raw_top_report",
                      "bonus_202601.csv": "raw_bonus_report", "readme.csv": "unknown"}
     log = {r.report_type: (r.rows, r.status) for r in FS.ingest_batch(spark, land, None, dry_run=True).collect()}
     assert log["raw_platform_report"] == (1, "dry run")  # total row and all-zero row removed
