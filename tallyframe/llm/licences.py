@@ -16,28 +16,27 @@ from pyspark.sql import functions as F
 
 from .common import col, text_key
 
-#: (pattern, replacement): groups are written $1.  Applied in order to the lower-cased text.
-STEPS = [
-    ("\r\n?", "\n"),
+#: Steps on the lower-cased text with a line feed before it: plain replacements (cheap where nothing is
+#: found) and, marked True, regular expressions (groups are written $1) that rarely match.
+LINE_STEPS = [
+    ("\r\n", "\n", False), ("\r", "\n", False),
     # copyright lines
-    ("(^|\n)[ \t*#/;.-]*(copyright|\\(c\\)|©)[^\n]*", "$1"),
+    ("\n[ \t*#/;.-]*(copyright|\\(c\\)|©)[^\n]*", "\n", True),
     # punctuation; & is a word
-    ("&", " and "),
-    ("['`’]", ""),
-    ("[^0-9a-zÀ-￿\n]+", " "),
+    ("&", " and ", False), ("'", "", False), ("`", "", False), ("’", "", False),
+    ("[^0-9a-zÀ-￿\n ]+", " ", True), (" {2,}", " ", True),
     # equivalent spellings
-    ("\\blicenc(e|es|ed|ing|or|ee)\\b", "licens$1"),
-    ("\\bsub licens", "sublicens"),
-    ("\\b(behavi|col|fav|hon|lab)our", "$1or"),
-    ("\\b(acknowledg|judg)ement", "$1ment"),
-    ("\\b(author|custom|initial|organ|personal|recogn|util)is(e|es|ed|ing|ation)\\b", "$1iz$2"),
-    ("\\bnon commercial\\b", "noncommercial"),
-    ("\\bper cent\\b", "percent"),
-    ("\\bcopyright holder", "copyright owner"),
-    ("\\bwhilst\\b", "while"),
-    ("\\bversion ([0-9])", "v$1"),
-    ("\\bv ([0-9])", "v$1"),
-    ("\\bhttps\\b", "http"),
+    ("licence", "license", False), ("licencing", "licensing", False), ("behaviour", "behavior", False),
+    ("colour", "color", False), ("favour", "favor", False), ("honour", "honor", False), ("labour", "labor", False),
+    ("acknowledgement", "acknowledgment", False), ("judgement", "judgment", False), ("authoris", "authoriz", False),
+    ("customis", "customiz", False), ("initialis", "initializ", False), ("organis", "organiz", False),
+    ("personalis", "personaliz", False), ("recognis", "recogniz", False), ("utilis", "utiliz", False),
+    ("whilst", "while", False), ("https", "http", False),
+]
+#: Steps on one line, or on a whole text whose line feeds have become blanks.
+PHRASE_STEPS = [
+    ("sub licens", "sublicens", False), ("non commercial", "noncommercial", False), ("per cent", "percent", False),
+    ("copyright holder", "copyright owner", False), ("version ([0-9])", "v$1", True),
 ]
 
 # Texts of well-known licences and notices.
@@ -97,16 +96,24 @@ LICENCES = [
     "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")]
 
 
+def _apply(text: Column, steps: list[tuple[str, str, bool]]) -> Column:
+    for old, new, regex in steps:
+        text = F.regexp_replace(text, old, new) if regex else F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def canonical_lines(text: Column) -> Column:
-    """The canonical text with its line feeds kept."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    """The canonical text but for phrases, with its line feeds kept."""
+    return _apply(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), LINE_STEPS)
+
+
+def joined(lines: Column) -> Column:
+    """The canonical whole text: wrapped lines are one."""
+    return F.trim(_apply(F.regexp_replace(F.replace(lines, F.lit("\n"), F.lit(" ")), " {2,}", " "), PHRASE_STEPS))
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical_lines(text), "[ \n]+", " "))
+    return joined(canonical_lines(text))
 
 
 def digest(canon: Column) -> Column:
@@ -123,17 +130,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: doc_id, digest of the whole text, licence (of the whole text, or null) and notices
     (licences of which a line is the entire text, sorted, comma-joined; empty if none)."""
     known = F.broadcast(known_digests(docs.sparkSession))
-    lines = canonical_lines(col(text_col))
-    base = docs.select(col(id_col).alias("doc_id"), text_key(col(text_col)).alias("key"), lines.alias("lines"))
-    line = F.explode(F.split("lines", "\n")).alias("line")
-    found = (base.select("doc_id", "key", line).select("doc_id", "key", F.trim("line").alias("line"))
-             .where("line != ''").withColumn("known", digest(F.col("line"))).join(known, "known")
-             .groupBy("doc_id", "key").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
-             .select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "notices"))
-    whole = base.select("doc_id", "key", digest(F.trim(F.regexp_replace("lines", "[ \n]+", " "))).alias("digest"))
-    return (whole.join(known, F.col("digest") == F.col("known"), "left")
-            .join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-            .select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices")))
+    names = sorted({name for name, _ in LICENCES})  # under 64: a set of them is a long
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col("licence")).cast("long")
+    base = docs.select(col(id_col).alias("doc_id"), text_key(col(text_col)).alias("key"), canonical_lines(col(text_col)).alias("lines"))
+    # one pass: the lines of a text meet again as a set of licences; the first line counts the rows that are equal
+    # the digest of the whole is taken before the lines part, else it is taken once per line; the outer
+    # form spares a filter on the number of lines, which would canonicalise a second time
+    whole = base.select("doc_id", "key", digest(joined(F.col("lines"))).alias("digest"), F.split("lines", "\n").alias("lines"))
+    lines = (whole.select("doc_id", "key", "digest", F.posexplode_outer("lines").alias("pos", "line"))
+             .select("doc_id", "key", "digest", "pos", digest(F.trim(_apply(F.col("line"), PHRASE_STEPS))).alias("line")))
+    texts = (lines.join(known.withColumnRenamed("known", "line"), "line", "left").groupBy("doc_id", "key", "digest")
+             .agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("found"), F.sum((F.col("pos") == 0).cast("int")).alias("n")))
+    flags = F.filter(F.array(*[F.lit(n) for n in names]), lambda n, i: F.getbit("found", i) == 1)
+    return (texts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+            .join(known, F.col("digest") == F.col("known"), "left")
+            .select("doc_id", "digest", "licence", F.array_join(flags, ",").alias("notices")))
 
 
 def oracle() -> str:
@@ -141,18 +152,20 @@ def oracle() -> str:
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
+    def run(x: str, steps: list[tuple[str, str, bool]]) -> str:
+        for old, new, regex in steps:
+            x = (f"regexp_replace({x}, {q(old)}, {q(new.replace('$', chr(92)))}, 'g')" if regex else f"replace({x}, {q(old)}, {q(new)})")
+        return x
+
     def lines(x: str) -> str:
-        out = f"lower(coalesce({x}, ''))"
-        for pattern, to in STEPS:
-            out = f"regexp_replace({out}, {q(pattern)}, {q(to.replace('$', chr(92)))}, 'g')"
-        return out
+        return run(f"chr(10) || lower(coalesce({x}, ''))", LINE_STEPS)
 
-    whole = "trim(regexp_replace(lines, '[ \n]+', ' ', 'g'), ' ')"
+    whole = f"trim({run("regexp_replace(replace(lines, chr(10), ' '), ' {2,}', ' ', 'g')", PHRASE_STEPS)}, ' ')"
     values = ", ".join(f"({q(a)}, {q(b)})" for a, b in LICENCES)
     return f"""WITH lic(licence, txt) AS (VALUES {values}),
 known AS (SELECT sha256({whole}) AS known, min(licence) AS licence FROM (SELECT licence, {lines('txt')} AS lines FROM lic) GROUP BY 1),
 base AS (SELECT row_number() OVER () AS n, doc_id, {lines('text')} AS lines FROM documents),
 found AS (SELECT n, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS notices
-  FROM (SELECT n, trim(unnest(string_split(lines, chr(10))), ' ') AS line FROM base) l JOIN known k ON sha256(line) = k.known AND line <> '' GROUP BY n)
+  FROM (SELECT n, trim({run("unnest(string_split(lines, chr(10)))", PHRASE_STEPS)}, ' ') AS line FROM base) l JOIN known k ON sha256(line) = k.known AND line <> '' GROUP BY n)
 SELECT doc_id, sha256({whole}) AS digest, k.licence AS licence, coalesce(f.notices, '') AS notices
 FROM base LEFT JOIN known k ON sha256({whole}) = k.known LEFT JOIN found f USING (n)"""
