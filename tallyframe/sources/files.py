@@ -110,10 +110,15 @@ def route(name: Column, header: Column) -> Column:
     return F.coalesce(classify_by_name(name), classify_by_header(header), F.lit("unknown"))
 
 
+def file_path() -> Column:
+    """A row's file as it is named on disk: the metadata spells blanks and some marks as %XX."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def file_headers(spark: SparkSession, paths: Sequence[str] | str, encoding: str = "UTF-8") -> DataFrame:
     """(path, header array) for every text/CSV file, in one distributed pass."""
     t = spark.read.option("encoding", encoding).text(paths if isinstance(paths, str) else list(paths))
-    t = t.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"),
+    t = t.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("bs"),
                  "value", F.monotonically_increasing_id().alias("mid"))
     first = t.where(F.col("bs") == 0).groupBy("path").agg(F.min_by("value", "mid").alias("line"))
     line = F.regexp_replace(F.col("line"), "^﻿", "")
@@ -129,6 +134,10 @@ def classify_files(spark: SparkSession, landing, encoding: str = "UTF-8") -> Dat
 
 # ---------------------------------------------------------------- reads
 
+#: Only a missing path or a folder without any file means "no table yet"; a table that cannot be read aborts.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_raw(spark: SparkSession, name: str, schema: StructType | None = None, root: str | None = None) -> DataFrame:
     """IO-01: catalog table, else Parquet under ``root``, else an empty frame of ``schema``."""
     if spark.catalog.tableExists(name):
@@ -137,8 +146,8 @@ def read_raw(spark: SparkSession, name: str, schema: StructType | None = None, r
         path = f"{root.rstrip('/')}/{name}"
         try:
             return spark.read.option("mergeSchema", "true").parquet(path).drop(P.PERIOD)
-        except AnalysisException as e:  # only a missing path means "no table yet"; a table that cannot be read aborts
-            if e.getCondition() != "PATH_NOT_FOUND":
+        except AnalysisException as e:
+            if e.getCondition() not in NO_TABLE:
                 raise
     return spark.createDataFrame([], schema or StructType([]))
 
@@ -166,7 +175,7 @@ def read_report_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multi_l
     df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(paths))
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if not (c.startswith("_c") and c[2:].isdigit())],
-                   F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_split"),
+                   file_path().alias("_source_file"), F.col("_metadata.file_block_start").alias("_split"),
                    F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_modification_time").alias("_file_time"))
     return unwrap_all(df)
 
@@ -343,7 +352,7 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
     try:
         existing = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(P.PERIOD).isin(periods)).drop(P.PERIOD)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in NO_TABLE:
             raise
         existing = spark.createDataFrame([], new.drop("_split", "_row", "_file_time").schema)
     if kind == "dates":

@@ -3,11 +3,13 @@
 * ST-01 file-drop ingest: a file-source stream over the landing folder; every micro-batch
   hands the *new files* (the checkpoint guarantees each file once) to the batch ingest
   (classification, cleaning, idempotent publish).
-* ST-02 hour-slot totals: event-time hourly windows per event type with a watermark;
-  append mode emits a window once the watermark passes its end, rows later than the
-  watermark are dropped (documented; use a larger delay to keep more late data).
-* ST-03 duplicate order suppression: ``dropDuplicatesWithinWatermark`` keeps state only
-  for the watermark span, so memory stays bounded on an endless stream.
+* ST-02 hour-slot totals: event-time hourly windows per event type.  State is one row per
+  (hour, type), bounded by the calendar, so no watermark is needed and no late row is lost.
+  Every micro-batch writes the windows it changed under its own number; readers take the
+  latest version of each window, and a repeated batch overwrites its own folder.
+* ST-03 duplicate order suppression: every micro-batch appends the orders whose number the
+  table does not hold yet (IO-11), so a repeat is dropped and a late order kept however far
+  apart they arrive, and a repeated batch adds nothing.
 
 Checkpoints live under the shared folder named by ``spark.checkpoint.dir`` so a restarted
 driver or lost executors resume from the last committed batch.
@@ -19,15 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.dedupe import keep_last
 from ..session import scratch_path
+from ..sources.files import file_path, ingest_files, read_raw
+from ..sources.publish import append_evolving, append_new_keys
 
 
 def file_ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str | None = None,
                        available_now: bool = True) -> StreamingQuery:
     """ST-01: new files in ``landing`` -> batch ingest (IO-21) per micro-batch."""
-    from ..sources.files import ingest_files
-
-    lines = spark.readStream.format("text").load(landing).select(F.col("_metadata.file_path").alias("path"))
+    lines = spark.readStream.format("text").load(landing).select(file_path().alias("path"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.select("path").distinct().collect()]  # files of this batch only
@@ -42,13 +45,13 @@ def file_ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint:
 
 
 def slot_totals(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value",
-                user: str = "user_id", delay: str = "1 hour") -> DataFrame:
+                user: str = "user_id") -> DataFrame:
     """ST-02: hourly event-time totals per type on a streaming (or static) frame.
 
-    Watermarks need an instant type, so a TIMESTAMP_NTZ event time is read as TIMESTAMP in the
+    Windows need an instant type, so a TIMESTAMP_NTZ event time is read as TIMESTAMP in the
     session time zone (UTC here: wall clock unchanged) and window bounds are returned as NTZ.
     """
-    return (events.withColumn(ts, F.col(ts).cast("timestamp_ltz")).withWatermark(ts, delay)
+    return (events.withColumn(ts, F.col(ts).cast("timestamp_ltz"))
                   .groupBy(F.window(ts, "1 hour").alias("w"), F.col(kind).alias("type"))
                   .agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("amount"),
                        F.approx_count_distinct(user).alias("users"))
@@ -58,26 +61,38 @@ def slot_totals(events: DataFrame, ts: str = "ts", kind: str = "event_type", val
 
 
 def start_slot_totals(spark: SparkSession, source: str, out: str, checkpoint: str | None = None,
-                      available_now: bool = True, delay: str = "1 hour") -> StreamingQuery:
-    """ST-02: stream Parquet event files from ``source`` into a Parquet table at ``out`` (append mode)."""
-    schema = spark.read.parquet(source).schema
-    ev = spark.readStream.schema(schema).parquet(source)
-    q = (slot_totals(ev, delay=delay).writeStream.format("parquet").outputMode("append")
-         .option("path", out).option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt/slot_totals")))
+                      available_now: bool = True, files_per_batch: int | None = None) -> StreamingQuery:
+    """ST-02: stream Parquet event files from ``source`` into versions of hourly windows at ``out``."""
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    q = (slot_totals(reader.parquet(source)).writeStream.foreachBatch(per_batch).outputMode("update")
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt/slot_totals")))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
     return q.start()
 
 
-def dedupe_orders(stream: DataFrame, key: str = "order_no", ts: str = "applied_at", delay: str = "1 day") -> DataFrame:
-    """ST-03: drop repeated order numbers seen within the watermark span."""
-    return (stream.withColumn(ts, F.col(ts).cast("timestamp_ltz")).withWatermark(ts, delay)
-                  .dropDuplicatesWithinWatermark([key]).withColumn(ts, F.col(ts).cast("timestamp_ntz")))
+def read_slot_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The current totals: the latest version of each window."""
+    return keep_last(spark.read.parquet(out), ["slot_start", "type"], ["version"], ["slot_end", "events", "amount", "users"])
 
 
 def start_dedupe_orders(spark: SparkSession, source: str, out: str, key: str = "order_no", ts: str = "applied_at",
-                        delay: str = "1 day", checkpoint: str | None = None) -> StreamingQuery:
+                        checkpoint: str | None = None, files_per_batch: int | None = None) -> StreamingQuery:
+    """ST-03: append each order once, the earliest row of its micro-batch."""
     schema = spark.read.parquet(source).schema
-    st = spark.readStream.schema(schema).parquet(source)
-    return (dedupe_orders(st, key, ts, delay).writeStream.format("parquet").outputMode("append")
-            .option("path", out).option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt/dedupe_orders"))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        have = read_raw(batch.sparkSession, out.rstrip("/").rsplit("/", 1)[1], schema, out.rstrip("/").rsplit("/", 1)[0])
+        append_evolving(append_new_keys(batch, have, key, [ts]), out)
+
+    return (reader.parquet(source).writeStream.foreachBatch(per_batch)
+            .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt/dedupe_orders"))
             .trigger(availableNow=True).start())

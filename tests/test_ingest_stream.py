@@ -64,31 +64,34 @@ def test_sheets_months_daily_ops(spark, tmpdir_path):
     assert [(r["日期"], r.a, r.b) for r in d] == [("2026-05-01", 13.0, 2000.0)]
 
 
-def test_slot_totals_stream_matches_batch(spark, tmpdir_path):
+def test_slot_totals_of_two_batches_out_of_order(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "events")
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    ev.write.parquet(src)
-    out = os.path.join(tmpdir_path, "slot_out")
-    q = J.start_slot_totals(spark, src, out, os.path.join(tmpdir_path, "ck1"), delay="0 seconds")
-    q.awaitTermination(300)
-    got = spark.read.parquet(out)
+    cut = ev.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp_ltz)), 0.5)")).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp_ltz")) < cut
+    ev.where(~late).coalesce(1).write.parquet(src)  # the later half arrives first
+    out, ck = os.path.join(tmpdir_path, "slot_out"), os.path.join(tmpdir_path, "ck1")
+    J.start_slot_totals(spark, src, out, ck).awaitTermination(300)
+    ev.where(late).coalesce(1).write.mode("append").parquet(src)
+    J.start_slot_totals(spark, src, out, ck).awaitTermination(300)
     batch = ev.groupBy(F.date_trunc("hour", "ts").alias("slot_start"), F.col("event_type").alias("type")) \
               .agg(F.count(F.lit(1)).alias("events"))
-    # append mode emits every window closed by the watermark: all but the last hour of data
-    latest = ev.agg(F.date_trunc("hour", F.max("ts")).alias("m")).first().m
-    exp = {(r.slot_start, r.type): r.events for r in batch.collect() if r.slot_start < latest}
-    res = {(r.slot_start, r.type): r.events for r in got.collect()}
-    assert res == exp
+    exp = {(r.slot_start, r.type): r.events for r in batch.collect()}
+    assert {(r.slot_start, r.type): r.events for r in J.read_slot_totals(spark, out).collect()} == exp
+
+
+def test_dedupe_orders_of_two_batches_out_of_order(spark, tmpdir_path):
+    src, out, ck = (os.path.join(tmpdir_path, x) for x in ("orders", "dedup", "ck2"))
 
+    def land(rows):
+        spark.createDataFrame(rows, "order_no string, t string").selectExpr("order_no", "to_timestamp_ntz(t) AS applied_at") \
+             .coalesce(1).write.mode("append").parquet(src)
+        J.start_dedupe_orders(spark, src, out, checkpoint=ck).awaitTermination(300)
 
-def test_dedupe_orders_stream(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "orders")
-    rows = [("o1", "2026-01-01 00:00:00"), ("o1", "2026-01-01 01:00:00"), ("o2", "2026-01-01 02:00:00")]
-    spark.createDataFrame(rows, "order_no string, t string").selectExpr("order_no", "to_timestamp_ntz(t) AS applied_at") \
-         .write.parquet(src)
-    out = os.path.join(tmpdir_path, "dedup")
-    J.start_dedupe_orders(spark, src, out, checkpoint=os.path.join(tmpdir_path, "ck2")).awaitTermination(300)
-    assert sorted(r.order_no for r in spark.read.parquet(out).collect()) == ["o1", "o2"]
+    land([("o1", "2026-01-20 00:00:00"), ("o1", "2026-01-20 01:00:00"), ("o2", "2026-01-20 02:00:00")])
+    land([("o1", "2026-01-25 00:00:00"), ("o3", "2026-01-01 00:00:00")])  # a repeat days later, an order days late
+    assert sorted((r.order_no, str(r.applied_at)[:10]) for r in spark.read.parquet(out).collect()) == [
+        ("o1", "2026-01-20"), ("o2", "2026-01-20"), ("o3", "2026-01-01")]
 
 
 def test_file_ingest_stream(spark, tmpdir_path):
@@ -112,3 +115,99 @@ def test_writers_evolving_and_export(spark, tmpdir_path):
     assert sorted((r.m, r.v) for r in spark.read.parquet(t + "_p").collect()) == [("2026-01", 1), ("2026-02", 9)]
     P.export_csv(spark.createDataFrame([("甲", 1.5)], "name string, v double"), t + "_csv")
     assert spark.read.option("header", True).csv(t + "_csv").first()["name"] == "甲"
+
+
+def table(spark, root, name):
+    return FS.read_raw(spark, name, root=root)
+
+
+def test_records_of_other_kinds_are_kept(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    write(os.path.join(land, "b.csv"), '订单号,红利标题,红利金额,申请时间\nA1,,"1,000",2026-01-01 10:00:00\nA1,later,5,2026-01-01 10:00:00\n')
+    write(os.path.join(land, "存款管理 1.csv"), '订单号,订单时间,订单状态,取消原因,订单金额(元)\n\tP1\t,2026-01-01 10:00:00,已取消,,"2,000"\n')
+    write(os.path.join(land, "c.csv"), '对话ID,开始时间,满意度评价,对话内容,首次响应\nc1,2026-01-03 10:00:00,不满意,"a, ""b""\nc",\n')
+    write(os.path.join(land, "k.csv"), "佣金月份,是否在团队,代理名称,佣金比例,佣金\n2026-01,是,x,5,\"1,234\"\n2026-01,否,y,5%,-\n")
+    write(os.path.join(land, "m.csv"), "代理帐号,月份,发放佣金\ng1,2026/01,\"1,000\"\n,2026/01,5\ng2,no,5\n")
+    log = {r.report_type: r.status for r in FS.ingest_batch(spark, land, root).collect()}
+    assert all(v.startswith("written") for v in log.values()) and len(log) == 5, log
+    b = table(spark, root, "raw_bonus_report").collect()
+    assert [(r["订单号"], r["红利金额"], r["活动名称"], r["_snapshot_month"]) for r in b] == [("A1", 1000.0, "未知", "2026-01")]
+    p = table(spark, root, "raw_finance_deposit").first()
+    assert (p["订单号"], p["订单金额"]) == ("P1", "2,000")
+    c = table(spark, root, "raw_cs_conversations").first()
+    assert c["对话内容"] == 'a, "b"\nc' and c["首次响应"] is None and c["_snapshot_month"] == "2026-01" and c["_extracted_issue"] is not None
+    k = {r["代理名称"]: (r["佣金比例"], r["佣金"], r["是否在团队"]) for r in table(spark, root, "raw_agent_commission_single").collect()}
+    assert k == {"x": (0.05, 1234.0, True), "y": (0.05, None, False)}
+    m = table(spark, root, "raw_agent_settlement_monthly").collect()
+    assert [(r["代理帐号"], r["月份"], r["发放佣金"]) for r in m] == [("g1", "2026-01", 1000.0)]
+
+
+def test_columns_in_another_order(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    write(os.path.join(land, "business-report-1.csv"), "日期,注册数,公司输赢,首存人数\n2026-01-01,5,100,2\n")
+    write(os.path.join(land, "business-report-2.csv"), "公司输赢,首存人数,日期,注册数\n200,3,2026-01-02,6\n")
+    FS.ingest_batch(spark, land, root)
+    got = sorted((r["日期"], r["注册数"], r["公司输赢"]) for r in table(spark, root, "raw_platform_report").collect())
+    assert got == [("2026-01-01", "5", "100"), ("2026-01-02", "6", "200")]
+
+
+def test_unreadable_table_aborts(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    write(os.path.join(land, "business-report-1.csv"), "日期,注册数,公司输赢,首存人数\n2026-01-01,5,100,2\n")
+    write(os.path.join(root, "raw_platform_report", "_period=p2026-01", "part-0.parquet"), "no parquet")
+    log = FS.ingest_batch(spark, land, root).collect()
+    assert [r.status[:6] for r in log] == ["failed"]
+    assert os.path.exists(os.path.join(root, "raw_platform_report", "_period=p2026-01", "part-0.parquet"))
+
+
+def test_stream_repeats_what_failed(spark, tmpdir_path):
+    import pytest
+    land, root, ck = (os.path.join(tmpdir_path, x) for x in ("landing", "tables", "ck"))
+    write(os.path.join(land, "business-report-1.csv"), "日期,注册数,公司输赢,首存人数\n2026-01-01,5,100,2\n")
+    bad = os.path.join(root, "raw_platform_report", "_period=p2026-01", "part-0.parquet")
+    write(bad, "no parquet")
+    with pytest.raises(Exception):
+        J.file_ingest_stream(spark, land, root, ck).awaitTermination(300)
+    os.remove(bad)
+    J.file_ingest_stream(spark, land, root, ck).awaitTermination(300)
+    assert table(spark, root, "raw_platform_report").count() == 1
+
+
+def test_stale_months_null_months_and_whole_top_months(spark, tmpdir_path):
+    from tallyframe.sources import publish as P
+    root = os.path.join(tmpdir_path, "tables")
+
+    def put(name, rows, schema):
+        df = spark.createDataFrame(rows, schema).withColumn("_source_file", F.lit("f")) \
+            .withColumns({"_split": F.lit(0), "_row": F.monotonically_increasing_id()})
+        FS.publish_table(spark, name, df, root)
+        return sorted((tuple(r)[:len(rows[0])] for r in table(spark, root, name).drop("_source_file").collect()), key=str)
+
+    day = "`日期` string, v int"
+    put("raw_platform_report", [("2026-01", 1), ("2026-01-03", 2), ("2026-02-01", 3)], day)
+    untouched = os.path.join(root, "raw_platform_report", "_period=p2026-02")
+    before = sorted(os.listdir(untouched))
+    assert put("raw_platform_report", [("2026-01-05", 9)], day) == [("2026-01-03", 2), ("2026-01-05", 9), ("2026-02-01", 3)]
+    assert sorted(os.listdir(untouched)) == before  # other months are not written
+    month = "`月份` string, v int"
+    put("raw_winback", [(None, 1), ("2026-01", 2)], month)
+    FS.publish_table(spark, "raw_winback", spark.createDataFrame([(None, 5), ("202601", 6)], month).withColumn("_source_file", F.lit("g"))
+                     .withColumns({"_split": F.lit(0), "_row": F.lit(1)}), root)
+    assert sorted((str(r["月份"]), r["v"]) for r in table(spark, root, "raw_winback").collect()) == [("2026-01", 6), ("None", 1), ("None", 5)]
+    top = "`用户名` string, _snapshot_month string, v int"
+    put("raw_top_report", [("u1", "2026-01", 1), ("u2", "2026-01", 2)], top)
+    assert put("raw_top_report", [("u2", "202601", 3)], top) == [("u2", "2026-01", 3)]
+    out = P.delete_published(spark, root, "raw_platform_report", "日期", ["2026-01-05", "2026-02"]).first()
+    assert tuple(out) == (2, 1)
+    assert [r["日期"] for r in table(spark, root, "raw_platform_report").collect()] == ["2026-01-03"]
+
+
+def test_a_lost_driver_loses_nothing(spark, tmpdir_path):
+    from tallyframe.sources import publish as P
+    root = os.path.join(tmpdir_path, "tables")
+    staged = os.path.join(root, "_pending", "t", "x")
+    spark.createDataFrame([("a", "p2026-01")], "v string, _period string").write.partitionBy("_period").parquet(staged)
+    write(os.path.join(root, "_pending", "t", "half", "part-0"), "not finished")
+    P.finish_pending(spark, root, "t")
+    assert [r.v for r in spark.read.parquet(os.path.join(root, "t")).collect()] == ["a"]
+    assert os.listdir(os.path.join(root, "_pending", "t")) == []
