@@ -115,6 +115,12 @@ def ym(c) -> Column:
     return F.date_format(col(c), "yyyy-MM")
 
 
+def in_month(c, month: str) -> Column:
+    """A date or time lies in the month 'YYYY-MM': a half-open range on the bare column, so it prunes and is pushed down."""
+    y, m = (int(x) for x in month.split("-"))
+    return (col(c) >= F.lit(f"{y}-{m:02d}-01").cast("date")) & (col(c) < F.lit(f"{y + m // 12}-{m % 12 + 1:02d}-01").cast("date"))
+
+
 def date_key(c) -> Column:
     """CL-34: first ten characters of a date-ish value (text or timestamp). [SC-01]"""
     return F.substring(col(c).cast("string"), 1, 10)

@@ -1,19 +1,19 @@
 """Predicates and filters (FL-01…11).
 
-Date presets are resolved *inside* the plan: one global ``min/max`` aggregate is
-cross-joined (a one-row broadcast) to the data, so nothing is collected to the driver and
-the same lazy plan serves any data size.  Filters on plain columns stay cast-free so
-Parquet pushdown applies.
+Presets and default populations are resolved first, by one aggregate whose single row
+(two dates, two flags) comes to the driver; the filter itself then holds literals on bare
+columns, so partitions are pruned and Parquet row groups skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, utrim
+from ..functions.exprs import col, in_month, utrim
 
 PRESETS = ("all", "this_month", "last_month", "last_7", "last_30", "custom")
 
@@ -52,20 +52,19 @@ def date_preset(df: DataFrame, date_col: str, preset: str = "all", start=None, e
     """FL-01: rows whose day lies in [start_d, end_d] (half-open on end_d + 1 day)."""
     if preset == "all":
         return df
-    b = preset_bounds(df, date_col, preset, start, end).select("start_d", "end_d")
-    ts = col(date_col)
-    j = df.crossJoin(F.broadcast(b))
-    lo = F.col("start_d").cast("timestamp_ntz") if dict(df.dtypes).get(date_col, "").startswith("timestamp") else F.col("start_d")
-    hi = F.date_add(F.col("end_d"), 1)
-    hi = hi.cast("timestamp_ntz") if dict(df.dtypes).get(date_col, "").startswith("timestamp") else hi
-    return j.where((ts >= lo) & (ts < hi)).drop("start_d", "end_d")
+    b = preset_bounds(df, date_col, preset, start, end).first()
+    if b["start_d"] is None or b["end_d"] is None:
+        return df.where(F.lit(False))
+    kind = "timestamp_ntz" if dict(df.dtypes).get(date_col, "").startswith("timestamp") else "date"
+    lo, hi = (F.lit(d.isoformat()).cast(kind) for d in (b["start_d"], b["end_d"] + timedelta(days=1)))
+    return df.where((col(date_col) >= lo) & (col(date_col) < hi))
 
 
 def align_period(df2: DataFrame, date_col: str, month: str | None = None, start=None, end=None) -> DataFrame:
     """FL-02: the same month (``yyyy-MM``) or the same inclusive day range on a second table."""
     c = col(date_col)
     if month is not None:
-        return df2.where(F.date_format(c, "yyyy-MM") == month)
+        return df2.where(in_month(c, month))
     if start is not None and end is not None:
         return df2.where((c >= F.lit(start).cast("date")) & (c < F.date_add(F.lit(end).cast("date"), 1)))
     return df2
@@ -94,16 +93,10 @@ NOT_AGENT = "非代理"
 
 def default_members(df: DataFrame, source=None, vip=None, register_channel=None, agent=None,
                     tag_contains: str | None = None) -> DataFrame:
-    """FL-04: enabled, non-agent members (each condition only when that value occurs) + optional filters.
-
-    The existence test is a one-row aggregate broadcast back, so the plan stays lazy.
-    """
-    flags = df.agg(F.max(F.col("status") == STATUS_ENABLED).alias("__has_en"),
-                   F.max(F.col("is_agent") == NOT_AGENT).alias("__has_na"))
-    j = df.crossJoin(F.broadcast(flags))
-    j = j.where((~F.coalesce(F.col("__has_en"), F.lit(False))) | (F.col("status") == STATUS_ENABLED))
-    j = j.where((~F.coalesce(F.col("__has_na"), F.lit(False))) | (F.col("is_agent") == NOT_AGENT))
-    j = j.drop("__has_en", "__has_na")
+    """FL-04: enabled, non-agent members (each condition only when that value occurs) + optional filters."""
+    has = df.agg(F.max(F.col("status") == STATUS_ENABLED).alias("enabled"), F.max(F.col("is_agent") == NOT_AGENT).alias("member")).first()
+    j = df.where(F.col("status") == STATUS_ENABLED) if has["enabled"] else df
+    j = j.where(F.col("is_agent") == NOT_AGENT) if has["member"] else j
     for c, v in (("source", source), ("vip", vip), ("register_channel", register_channel), ("agent", agent)):
         j = filter_in(j, c, v)
     if tag_contains:

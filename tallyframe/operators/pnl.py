@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import LBL_EMPTY, fill_label, ratio, venue_category, ym
+from ..functions.exprs import LBL_EMPTY, fill_label, in_month, ratio, venue_category
 from .common import long_form, safe_sum
 
 
@@ -127,7 +127,7 @@ def fx_view(profit_row: DataFrame, rate: float) -> DataFrame:
 
 def contribution_by_line(venue: DataFrame, month: str | None = None, metric: str = "company_win") -> DataFrame:
     """AG-16: numeric sum of a venue metric by product line (CL-35) for a month, desc."""
-    df = venue if month is None else venue.where(ym("date") == month)
+    df = venue if month is None else venue.where(in_month("date", month))
     v = F.col(metric)
     if dict(df.dtypes)[metric] == "string":
         v = F.translate(F.regexp_replace(v, r'^="|"$', ""), ",", "").try_cast("double")

@@ -48,7 +48,7 @@ def fl05b(spark, d):
 
 
 @register("fl08_filter_deposit", with_ctes("member", body="""
-SELECT count(*) AS members FROM (SELECT account, agent, arg_max(first_deposit, snapshot_month) AS fd
+SELECT count(*) AS members FROM (SELECT account, nullif(trim(agent), '') AS agent0, arg_max(first_deposit, snapshot_month) AS fd
   FROM member GROUP BY 1, 2 HAVING max(registered_at) IS NOT NULL) WHERE coalesce(CAST(fd AS DOUBLE), 0.0) > 0"""))
 def fl08(spark, d):
     nr = NR.prepare_newreg(S.member(spark, d))

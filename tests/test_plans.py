@@ -26,9 +26,22 @@ def test_no_unbroadcast_cartesian(plans):
     assert bad == []
 
 
-def test_filter_pushdown_and_pruning(spark):
+def test_period_filters_reach_the_scan(spark):
+    """FL-01, FL-02, FL-04, AG-16 on a plain table: the bounds are pushed filters and no join stands above the scan."""
     from pyspark.sql import functions as F
-    df = spark.read.parquet(f"{SF}/lineitem.parquet").where(F.col("l_shipdate") >= "1999-01-01").select("l_orderkey")
-    p = plan_of(df)
-    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in p
-    assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in p
+
+    from tallyframe.operators import filters as FL
+    from tallyframe.operators import pnl
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select(
+        F.col("l_shipdate").alias("date"), F.col("l_returnflag").alias("venue"), F.col("l_quantity").alias("company_win"))
+    people = orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("is_agent"), "o_custkey")
+    people = people.withColumnsRenamed({"o_custkey": "account"})
+    cases = [(FL.date_preset(orders, "o_orderdate", "last_30").select("o_orderkey"), "o_orderdate"),
+             (FL.align_period(orders, "o_orderdate", "1998-07").select("o_orderkey"), "o_orderdate"),
+             (pnl.contribution_by_line(lines, "1998-07"), "l_shipdate")]
+    for df, date in cases:
+        p = plan_of(df)
+        assert f"GreaterThanOrEqual({date}" in p and f"LessThan({date}" in p and "Join" not in p
+    assert "Join" not in plan_of(FL.default_members(people))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan_of(cases[1][0])
