@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import LBL_EMPTY, fill_label, in_month, ratio, venue_category
+from ..functions.exprs import LBL_EMPTY, fill_label, in_month, ratio, venue_category, ym
 from .common import long_form, safe_sum
 
 
