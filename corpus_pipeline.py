@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import decontaminate, langid, mixing, sanitise, simhash
 from tallyframe.session import scratch_path
 
-MIN_LANG_SCORE = 0.4
+MIN_LANG_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
