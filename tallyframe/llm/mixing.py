@@ -7,8 +7,7 @@ table is joined on one row per source, and copies are decided row by row.
 
 Defined cases: null text has size 0; a null source is a source of its own (last in order); a null
 id draws from the text's hash; rows repeated with one id draw alike; a source without words has
-target 0 and its documents are emitted ``floor(cap)`` times or not by rate 0 (they hold no words:
-rate 0); an empty table gives an empty result.  Input columns called like the added ones are
+target 0 and rate 0; an empty table gives an empty result.  Input columns called like the added ones are
 replaced by them.
 """
 
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import col, cut, global_rank, without
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: The source table is broadcast up to this many bytes, and joined by shuffle beyond.
+BROADCAST_BYTES = 8 << 20
 ADDED = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -70,6 +71,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (= size * copies)."""
     targets = source_targets(docs, weights, share, cap, text_col, source_col)
+    if (targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32)).first()[0] or 0) <= BROADCAST_BYTES:
+        targets = F.broadcast(targets)
     key = F.coalesce(col(id_col).cast("string"), F.md5(F.coalesce(col(text_col), F.lit("")).cast("binary")))
     left = docs.select(F.struct(*without(docs, ADDED)).alias("row"), word_count(col(text_col)).alias("size"),
                        uniform(key, seed).alias("u"), col(source_col).alias("src"))
