@@ -20,24 +20,39 @@ first span; empty tables give no rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut, hash_filter, in_filter, signed, text_key
 
-WORD = re.compile(r"[^\W_]+")
+BREAKS = r"[^\p{L}\p{N} ]+"
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+def tokenise(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (runs of letters and digits, lower case) of a column, each text's words as numbers of
+    them, and where each text's words start (one more start than texts).  Null texts have no words."""
+    flat = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(flat, pattern=BREAKS, replacement=" ")))
+    words = pc.list_flatten(lists).dictionary_encode()
+    ids, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if "" in names:  # a text without words comes as one empty word
+        real = ids != names.index("")
+        starts = np.concatenate([[0], np.cumsum(real)])[starts]
+        ids = ids[real]
+    return names, ids, starts
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    names, ids, _ = tokenise(pa.array([text], pa.string()))
+    return [names[i] for i in ids]
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -62,17 +77,17 @@ def item_grams(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
     """item_id, item (its words), g, at and w (the words' hashes) for each n-gram of each item."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, (names, ids, starts) = [], tokenise(b.column(1))
+            of = hashes(names)
             for i in range(b.num_rows):
-                words = words_of(b.column(1)[i].as_py())
-                h = hashes(words)
+                h = of[ids[starts[i]:starts[i + 1]]]
                 g, s = signed(ngrams(h, n)), signed(h)
-                rows += [(b.column(0)[i].as_py(), len(words), int(x), k, s[k:k + n].tolist()) for k, x in enumerate(g)]
+                rows += [(b.column(0)[i].as_py(), len(h), int(x), k, s[k:k + n].tolist()) for k, x in enumerate(g)]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["item_id", "n_words", "g", "at", "w"])
 
-    return items.select(col(id_col).cast("long").alias("item_id"), col(text_col).alias("text")).mapInArrow(
+    return items.select(col(id_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).mapInArrow(
         task, "item_id long, n_words int, g long, at int, w array<long>")
 
 
@@ -80,17 +95,13 @@ def word_counts(docs: DataFrame, wanted: np.ndarray, text_col: str) -> DataFrame
     """h, n: partial counts of the wanted words; the count of all words under a null h."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter = Counter()
-            for t in b.column(0):
-                counts.update(words_of(t.as_py()))
-            total = sum(counts.values())
-            h = hashes(list(counts))
+            names, ids, _ = tokenise(b.column(0))
+            h, n = hashes(names), np.bincount(ids, minlength=len(names))
             keep = in_filter(wanted, h)
-            n = np.fromiter(counts.values(), np.int64, len(counts))[keep]
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep]).tolist() + [None], pa.int64()),
-                                              pa.array(n.tolist() + [total], pa.int64())], names=["h", "n"])
+                                              pa.array(n[keep].tolist() + [len(ids)], pa.int64())], names=["h", "n"])
 
-    return docs.select(col(text_col).alias("text")).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def seeds(items: DataFrame, docs: DataFrame, n: int, chance: float, id_col: str, item_text: str, text_col: str) -> DataFrame:
@@ -115,17 +126,16 @@ def hits(docs: DataFrame, wanted: np.ndarray, sizes: list[int], id_col: str, tex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, places = [], []
+            take, places, (names, ids, starts) = [], [], tokenise(b.column(2))
+            of = hashes(names)
             for i in range(b.num_rows):
-                words = words_of(b.column(2)[i].as_py())
-                uniq = list(set(words))
-                of = dict(zip(uniq, hashes(uniq).tolist()))
-                h = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+                h = of[ids[starts[i]:starts[i + 1]]]
                 found = []
                 for n in sizes:
                     if len(h) >= n:
                         g = ngrams(h, n)
-                        found += [{"g": int(signed(g[k:k + 1])[0]), "at": int(k)} for k in np.flatnonzero(in_filter(wanted, g))]
+                        at = np.flatnonzero(in_filter(wanted, g))
+                        found += [{"g": x, "at": k} for x, k in zip(signed(g[at]).tolist(), at.tolist())]
                 if found:
                     take.append(i)
                     places.append(found)
