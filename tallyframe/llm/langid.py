@@ -245,8 +245,12 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 def training_rows(docs: DataFrame, use: Column, docs_per_lang: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """The ``docs_per_lang`` labelled rows of each language with the smallest hash of their id."""
     narrow = docs.where(use & col(lang_col).isNotNull()).select(col(lang_col).alias("lang"), F.xxhash64(col(id_col).cast("string")).alias("h"))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = narrow.distinct().withColumn("n", least).where(F.col("n") <= docs_per_lang).groupBy("lang").agg(F.max("h").alias("last")).collect()
+    # a language may hold most rows: the smallest hashes of each of 64 shares come first, then those of the language
+    shares = narrow.withColumn("share", F.pmod("h", F.lit(64))).groupBy("lang", "share", "h").agg(F.count("*").alias("rows"))
+    for keys in (["lang", "share"], ["lang"]):
+        least = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        shares = shares.withColumn("n", least).where(F.col("n") <= docs_per_lang)
+    last = shares.groupBy("lang").agg(F.max("h").alias("last")).collect()
     pick = F.lit(False)
     for r in last:
         pick = pick | ((col(lang_col) == r["lang"]) & (F.xxhash64(col(id_col).cast("string")) <= r["last"]))
