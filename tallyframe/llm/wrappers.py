@@ -7,7 +7,7 @@ only one side has becomes optional, one block against several a repeated group.
 host's wrapper, an expression of sequence, optional and repeated groups without unions.  Its slots
 are labelled by where they stand: 3 inside an article element, 2 inside a block so named, 1 other
 content, 0 boilerplate (menus, forms, notices, comments and the like, and slots outside an article that
-never change).  A page's text is what its slots of the highest label above 0 hold.
+several different pages hold unchanged; copies of a page count as one page).  A page's text is what its slots of the highest label above 0 hold.
 
 Scale: pages reduce to distinct (host, stream) pairs in the scan; wrappers grow over *all* streams of a
 host, first in ``SALTS`` shares, then from the partial wrappers, so a host with a third of the pages
@@ -61,12 +61,12 @@ NAME_PART = re.compile(r"[a-z]+")
 class Item:
     """A block (sig, children) or a text slot (sig '#') with its repetition flags."""
 
-    __slots__ = ("sig", "children", "opt", "rep", "pieces", "n", "const", "volume")
+    __slots__ = ("sig", "children", "opt", "rep", "pieces", "page", "const")
 
     def __init__(self, sig: str, children: list | None = None, opt: bool = False, rep: bool = False):
         self.sig, self.children, self.opt, self.rep = sig, children if children is not None else [], opt, rep
         self.pieces: list[int] = []  # of slots: numbers of the text pieces of a page
-        self.n, self.const, self.volume = 1, None, 0  # of slots: pages, the text all pages share, characters
+        self.page, self.const = None, None  # of slots: the only page content that has it, the text all pages share
 
 
 def host_of(url: str | None) -> str:
@@ -159,7 +159,8 @@ def merge(a: Item, b: Item) -> Item:
     """The expression that both items of one kind match."""
     out = Item(a.sig, None, a.opt or b.opt, a.rep or b.rep)
     if a.sig == "#":
-        out.pieces, out.n, out.volume = a.pieces + b.pieces, a.n + b.n, a.volume + b.volume
+        out.pieces = a.pieces + b.pieces
+        out.page = a.page if a.page == b.page else None
         out.const = a.const if a.const == b.const else None
     else:
         out.children = align(a.children, b.children)
@@ -225,7 +226,7 @@ def align(xs: list[Item], ys: list[Item]) -> list[Item]:
 
 def optional(x: Item) -> Item:
     out = Item(x.sig, x.children, True, x.rep)
-    out.pieces, out.n, out.const, out.volume = x.pieces, x.n, x.const, x.volume
+    out.pieces, out.page, out.const = x.pieces, x.page, x.const
     return out
 
 
@@ -243,42 +244,41 @@ def expression(item: Item) -> str:
 
 def dump(item: Item) -> list:
     if item.sig == "#":
-        return ["#", int(item.opt), item.n, item.const, item.volume]
+        return ["#", int(item.opt), item.page, item.const]
     return [item.sig, int(item.opt), int(item.rep), [dump(c) for c in item.children]]
 
 
 def load(data: list) -> Item:
     if data[0] == "#":
         out = Item("#", opt=bool(data[1]))
-        out.n, out.const, out.volume = data[2], data[3], data[4]
+        out.page, out.const = data[2], data[3]
         return out
     return Item(data[0], [load(c) for c in data[3]], bool(data[1]), bool(data[2]))
 
 
+def _digest(said: str) -> str:
+    return hashlib.md5(said.encode("utf-8", "surrogatepass")).hexdigest()[:12]
+
+
 def from_page(page: str) -> tuple[Item, list[str], list[int]]:
     """Tree, pieces and, per piece, the number of the slot that holds it (slots in order)."""
     root, pieces = parse(page)
     where = [0] * len(pieces)
+    shown = sorted(p for s, _, boiler in placed(root) if not boiler for p in s.pieces)
+    page_id = _digest("".join(pieces[p] for p in shown))  # reposts with other menus or adverts are copies
     for k, s in enumerate(slots(root)):
         for p in s.pieces:
             where[p] = k
-        said = "".join(pieces[p] for p in sorted(s.pieces))
-        s.const, s.volume = hashlib.md5(said.encode("utf-8", "surrogatepass")).hexdigest()[:12], len(said)
+        s.page, s.const = page_id, _digest("".join(pieces[p] for p in sorted(s.pieces)))
     return root, pieces, where
 
 
-def labels(wrapper: Item) -> dict[int, int]:
-    """Label of each slot of a wrapper by its id(): 3 in an article element, 2 in a block named so,
-    1 other content, 0 boilerplate."""
-    out: dict[int, int] = {}
-    still: list[Item] = []
-
-    def walk(item: Item, level: int, boiler: bool) -> None:
+def placed(root: Item) -> Iterator[tuple[Item, int, bool]]:
+    """The slots of a tree, each with its level (3 in an article element, 2 in a block named so, else 0)
+    and whether it is in a block of boilerplate."""
+    def walk(item: Item, level: int, boiler: bool) -> Iterator[tuple[Item, int, bool]]:
         if item.sig == "#":
-            fixed = item.n > 1 and item.const is not None
-            if fixed and not boiler and not level:
-                still.append(item)
-            out[id(item)] = 0 if boiler else level if level else 0 if fixed else 1
+            yield item, level, boiler
             return
         name, *words = item.sig.split(".")
         if name == "article":
@@ -289,9 +289,21 @@ def labels(wrapper: Item) -> dict[int, int]:
         told = {name} & BOILER_TAGS | set(words) & BOILER_WORDS if name not in ("html", "body", "article", "main") else set(words) & {"comment", "comments", "sidebar"}
         boiler = boiler or bool(told - {"header"} if level else told)
         for c in item.children:
-            walk(c, level, boiler)
+            yield from walk(c, level, boiler)
 
-    walk(wrapper, 0, False)
+    return walk(root, 0, False)
+
+
+def labels(wrapper: Item) -> dict[int, int]:
+    """Label of each slot of a wrapper by its id(): 3 in an article element, 2 in a block named so,
+    1 other content, 0 boilerplate."""
+    out: dict[int, int] = {}
+    still: list[Item] = []
+    for item, level, boiler in placed(wrapper):
+        fixed = item.page is None and item.const is not None  # several different pages agree on it
+        if fixed and not boiler and not level:
+            still.append(item)
+        out[id(item)] = 0 if boiler else level if level else 0 if fixed else 1
     if not any(out.values()):  # pages that are all equal show nothing that changes
         out.update((id(s), 1) for s in still)
     return out
@@ -301,7 +313,7 @@ def label_stream(wrapper: Item, stream: Item) -> str:
     """The labels of a stream's slots, one digit each, by aligning it with its host's wrapper."""
     mine = slots(stream)
     for k, s in enumerate(mine):
-        s.pieces, s.n = [k], 0  # the wrapper has counted this stream's pages already
+        s.pieces = [k]
     for s in slots(wrapper):
         s.pieces = []
     whole = merge(wrapper, stream)

@@ -49,6 +49,20 @@ def test_text_that_never_changes_on_a_host_is_left_out(spark):
     assert wrappers.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_copies_of_a_page_are_one_witness(spark):
+    copy = "<div><p>Subscribe now</p><h2>Story c</h2><p>words c</p><blockquote>only here</blockquote><table><tr><td>x<td>x</table></div>"
+    data = [(i, "http://h.example/x", f"<div><p>Subscribe now</p><h2>Story {i}</h2><p>words {i}</p></div>", "z") for i in range(4)]
+    data += [(10 + i, "http://h.example/y", copy, "z") for i in range(5)]
+    data += [(15 + i, "http://h.example/y", f"<div class=ad>buy {i}</div><div><h4>a heading</h4><p>reposted</p></div>", "z") for i in range(3)]
+    data += [(20 + i, "http://h.example/z", "<section><h3>whole body</h3><ul><li>p<li>p</ul></section>", "z") for i in range(5)]
+    for parts in (1, 7):
+        got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(data, PAGE).repartition(parts)).collect()}
+        assert [got[i] for i in range(4)] == [f"Story {i} words {i}" for i in range(4)]
+        assert {got[10 + i] for i in range(5)} == {"Story c words c only here x x"}
+        assert {got[15 + i] for i in range(3)} == {"a heading reposted"}
+        assert {got[20 + i] for i in range(5)} == {"whole body p p"}
+
+
 def test_query_holds_the_articles(spark):
     import html
     import re
