@@ -5,9 +5,11 @@ as a tree.  Neighbouring blocks of one kind fold to a repeated group.  Streams o
 aligned again and again: text against text is a slot (constant while all pages agree), a block that
 only one side has becomes optional, one block against several a repeated group.  The result is the
 host's wrapper, an expression of sequence, optional and repeated groups without unions.  Its slots
-are labelled by where they stand: 3 inside an article element, 2 inside a block so named, 1 other
-content, 0 boilerplate (menus, forms, notices, comments and the like, and slots outside an article that
-several different pages hold unchanged; copies of a page count as one page).  A page's text is what its slots of the highest label above 0 hold.
+are labelled: 0 boilerplate (menus, forms, notices, comments and the like by their tags, and slots that
+several different pages hold unchanged, in an article as well; copies of a page count as one page), else by
+where they stand: 3 inside an article element, 2 inside a block so named, 1 other content.  A page's text is
+what its slots above 0 hold; those of a higher label alone if they hold at least as much as those of each lower
+label, so a card in an article element does not stand for the story beside it.
 
 Scale: pages reduce to distinct (host, stream) pairs in the scan; wrappers grow over *all* streams of a
 host, first in ``SALTS`` shares, then from the partial wrappers, so a host with a third of the pages
@@ -29,7 +31,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut
@@ -296,16 +298,17 @@ def placed(root: Item) -> Iterator[tuple[Item, int, bool]]:
 
 def labels(wrapper: Item) -> dict[int, int]:
     """Label of each slot of a wrapper by its id(): 3 in an article element, 2 in a block named so,
-    1 other content, 0 boilerplate."""
+    1 other content, 0 boilerplate or fixed."""
     out: dict[int, int] = {}
-    still: list[Item] = []
+    still: list[tuple[Item, int]] = []
     for item, level, boiler in placed(wrapper):
         fixed = item.page is None and item.const is not None  # several different pages agree on it
-        if fixed and not boiler and not level:
-            still.append(item)
-        out[id(item)] = 0 if boiler else level if level else 0 if fixed else 1
-    if not any(out.values()):  # pages that are all equal show nothing that changes
-        out.update((id(s), 1) for s in still)
+        if fixed and not boiler:
+            still.append((item, level))
+        out[id(item)] = 0 if boiler or fixed else level or 1
+    # where nothing of the host, or nothing in its articles, changes, the pages do not tell text from template
+    least = 0 if not any(out.values()) else 2 if max(out.values()) == 1 else 4
+    out.update((id(s), level or 1) for s, level in still if level >= least)
     return out
 
 
@@ -410,7 +413,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), col(html_col).cast("string").alias("html"))
     read = rows.mapInArrow(task, "page_id long, url string, host string, key string, said array<struct<slot:int,text:string>>")
-    want = F.when(F.contains("labels", F.lit("3")), F.lit("3")).when(F.contains("labels", F.lit("2")), F.lit("2")).otherwise(F.lit("1"))
-    kept = F.filter("said", lambda p: F.substring(F.col("labels"), p["slot"] + 1, F.lit(1)) == F.col("want"))
+    marked = F.transform("said", lambda p: F.struct(F.substring(F.col("labels"), p["slot"] + 1, F.lit(1)).alias("label"), p["text"].alias("text")))
+
+    def chars(label: str) -> Column:
+        return F.aggregate("said", F.lit(0), lambda n, p: n + F.when(p["label"] == label, F.char_length(p["text"])).otherwise(0))
+
+    three, two, one = (F.col("n")[k] for k in range(3))
+    want = (F.when((three > 0) & (three >= two) & (three >= one), "3").when((three + two > 0) & (three + two >= one), "2").otherwise("1"))
+    kept = F.filter("said", lambda p: p["label"] >= F.col("want"))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["text"]), ""), " +", " "))
-    return read.join(table, ["host", "key"], "left").withColumn("want", want).select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+    return (read.join(table, ["host", "key"], "left").withColumn("said", marked).withColumn("n", F.array(*map(chars, "321")))
+            .withColumn("want", want).select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")))

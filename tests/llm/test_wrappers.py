@@ -63,6 +63,22 @@ def test_copies_of_a_page_are_one_witness(spark):
         assert {got[20 + i] for i in range(5)} == {"whole body p p"}
 
 
+def test_wrapper_decides_inside_articles(spark):
+    notice, long = "<div>Read our terms</div>", "a story of many words that is told here at length"
+    data = [(i, "http://a.example", f"<article><h1>Story {i}</h1>{notice}<p>words {i}</article>", "z") for i in range(4)]
+    data += [(10 + i, "http://b.example", f"<main><h1>Title {i}</h1><p>{long} {i}</main><article>card {i}</article>", "z") for i in range(4)]
+    data += [(20 + i, "http://c.example", f"<main><p>By writer {i}<article><p>{long} {i}</article></main>", "z") for i in range(4)]
+    data += [(30 + i, "http://d.example", f"<div><p>{long} {i}</div><article>card {i}</article>", "z") for i in range(4)]
+    data += [(40 + i, "http://e.example", f"<article><p>{long}</article><div>seen {i}</div>", "z") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(data, PAGE)).collect()}
+    for i in range(4):
+        assert got[i] == f"Story {i} words {i}"
+        assert got[10 + i] == f"Title {i} {long} {i} card {i}"
+        assert got[20 + i] == f"{long} {i}"
+        assert got[30 + i] == f"{long} {i} card {i}"
+        assert got[40 + i] == long
+
+
 def test_query_holds_the_articles(spark):
     import html
     import re
