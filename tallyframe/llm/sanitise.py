@@ -8,8 +8,12 @@ within ``WINDOW`` words of e,
     PMI(t; e) = log(N n(t,e) / (n(t) n(e))),   IC(e) = log(N / n(e)),
 
 and t discloses e if PMI >= ``threshold`` * IC, i.e. t alone conveys that share of what there is to
-know about e.  A term needs ``support`` different contexts of the entity (windows with other words
-count once), so a copied text is one context however often it is copied.  A disclosing term is
+know about e.  The pair must also be significant over the entity's different contexts: every mention gives
+the words around it that no earlier mention of the entity in the document has taken, and equal contexts count
+once, so a copied text is one context however often it is copied.  If k of the entity's w contexts hold t,
+and a context holds it by chance with p = n(t) / N, the Chernoff bound exp(-w KL(k/w || p)) on the chance of
+k or more must stay below ``alpha`` over the number of pairs.  So a strong pair passes in one or two
+documents, and a word seen once beside an entity does not.  A disclosing term is
 generalised to its class ([WORD] or [NUMBER]) where the class itself stays below the threshold, else
 removed; it is so wherever it occurs, for it reveals the entity there as well.
 
@@ -21,6 +25,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -109,26 +114,34 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return out
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
-    """(entity, context, terms) of the entities of a text, each with its first context; hashes."""
-    near: dict[int, tuple[int, set[int]]] = {}
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[int]]]:
+    """(entity, context, number of new terms, terms) of the different contexts of a text's entities; hashes.
+    Every word counts for one mention of an entity; the terms that no earlier one has come first."""
+    near: dict[int, set[int]] = {}
+    taken: dict[int, int] = {}
+    out: dict[tuple[int, int], tuple[int, list[int]]] = {}
     words = words_outside(text, spans)
     starts = np.array([w[0] for w in words], dtype=np.int64)
     for s in spans:
         left = int(np.searchsorted(starts, s[0]))
         right = int(np.searchsorted(starts, s[2]))
-        around = [w[2] for w in words[max(0, left - WINDOW):left] + words[right:right + WINDOW]]
-        terms = {word_hash(w) for w in around} | {class_hash(term_class(w)) for w in around}
         e = word_hash(entity(text, s))
-        if e in near:
-            near[e][1].update(terms)
-        else:
-            near[e] = (word_hash(" ".join(around)), terms)
-    return [(e, c, sorted(t)) for e, (c, t) in near.items()]
+        free = taken.get(e, 0)
+        around = [w[2] for w in words[max(free, left - WINDOW):left] + words[max(free, right):right + WINDOW]]
+        taken[e] = max(free, min(right + WINDOW, len(words)))
+        terms = {word_hash(w) for w in around} | {class_hash(term_class(w)) for w in around}
+        seen = near.setdefault(e, set())
+        new = sorted(terms - seen)
+        if around and (c := word_hash(" ".join(around))) and (e, c) not in out:
+            out[e, c] = (len(new), new + sorted(terms & seen))
+        seen |= terms
+    for e in near.keys() - {e for e, _ in out}:  # an entity without words around it still counts
+        out[e, word_hash("")] = (0, [])
+    return [(e, c, k, t) for (e, c), (k, t) in out.items()]
 
 
 SCAN = ("doc_id long, key string, base array<struct<start:int,kind:int,end:int>>, "
-        "mentions array<struct<e:long,c:long,t:array<long>>>")
+        "mentions array<struct<e:long,c:long,k:int,t:array<long>>>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +152,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and entity mentions of every row."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.list_(pa.int64()))]))
+    mention = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("t", pa.list_(pa.int64()))]))
     wrap = lambda h: h - (1 << 64) if h >> 63 else h
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +162,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = t.as_py()
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                said.append([{"e": wrap(e), "c": wrap(c), "t": [wrap(x) for x in ts]} for e, c, ts in mentions(text, spans)] if spans else [])
+                said.append([{"e": wrap(e), "c": wrap(c), "k": k, "t": [wrap(x) for x in ts]} for e, c, k, ts in mentions(text, spans)] if spans else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, span), pa.array(said, mention)],
                                              names=["doc_id", "key", "base", "mentions"])
 
@@ -212,27 +225,43 @@ def occurrences(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
     return _keyed(docs, id_col, text_col).mapInArrow(task, HITS)
 
 
-def disclosing(scanned: DataFrame, counts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """t, disclosure: the terms whose PMI reaches ``threshold`` of some entity's information content."""
+def significant(k: Column, w: Column, p: Column, limit: Column) -> Column:
+    """Whether the Chernoff bound on k or more of w contexts, each with chance p, is below exp(-``limit``)."""
+    q = k / w
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when((p < 1) & (q > p), w * (q * F.log(q / p) + rest) > limit).otherwise(False)
+
+
+def disclosing(scanned: DataFrame, counts: DataFrame, pairs: DataFrame, threshold: float, limit: float) -> DataFrame:
+    """t, disclosure: the terms whose PMI reaches ``threshold`` of some entity's information content, over
+    contexts that are significant."""
     n = scanned.count()
-    n_e = scanned.select(F.explode("mentions.e").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    n_e = scanned.select(F.explode(F.array_distinct("mentions.e")).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    w_e = (scanned.select(F.explode("mentions").alias("m")).select("m.e", "m.c").distinct()
+           .groupBy("e").agg(F.count("*").alias("w")))
     n_t = counts.groupBy("t").agg(F.sum("n").alias("n_t"))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return (pairs.join(n_e, "e").join(n_t, "t").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    sure = significant(F.col("contexts"), F.col("w"), F.col("n_t") / F.lit(float(n)), F.lit(limit))
+    return (pairs.join(n_e, "e").join(w_e, "e").join(n_t, "t").where(sure)
+            .withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
             .where(F.col("disclosure") >= threshold).groupBy("t").agg(F.max("disclosure").alias("disclosure")))
 
 
-def disclosures(docs: DataFrame, threshold: float = 0.7, support: int = 3, id_col: str = "doc_id",
+def disclosures(docs: DataFrame, threshold: float = 0.7, alpha: float = 0.01, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key, base and terms (spans: start, kind, end, in order; kinds index ``KINDS``)
     and removed (starts of the term spans whose class discloses as well)."""
     scanned = cut(scan(docs, id_col, text_col))
-    said = scanned.select(F.explode("mentions").alias("m")).select("m.e", "m.c", F.explode("m.t").alias("t"))
-    pairs = cut(said.groupBy("t", "e", "c").agg(F.count("*").alias("n")).groupBy("t", "e")
-                .agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= support))
+    said = (scanned.select(F.explode("mentions").alias("m"))
+            .select("m.e", "m.c", "m.k", F.posexplode("m.t").alias("pos", "t")).withColumn("new", (F.col("pos") < F.col("k")).cast("int")))
+    pairs = cut(said.groupBy("t", "e", "c").agg(F.sum("new").alias("n")).groupBy("t", "e")
+                .agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")))
+    limit = math.log(max(pairs.count(), 1) / alpha)
+    # n(t) >= n(t, e), so the bound is p ** k at least: what fails with that cannot pass, and its term need not be counted
+    pairs = pairs.where(F.col("contexts") * F.log(F.lit(float(max(scanned.count(), 1))) / F.col("n_te")) > limit)
     counts = term_counts(docs, hash_filter(pairs.select("t").distinct(), "t"), id_col, text_col)
-    telling = cut(disclosing(scanned, counts, pairs, threshold))
+    telling = cut(disclosing(scanned, counts, pairs, threshold, limit))
     hits = (occurrences(docs, hash_filter(telling.select("t"), "t"), id_col, text_col)
             .join(telling.select("t"), "t", "left_semi"))
     classes = {c: int(signed([class_hash(c)])[0]) for c in ("WORD", "NUMBER")}
@@ -271,10 +300,10 @@ def redact(text: str, spans: list[tuple[int, int, int]], removed: set[int]) -> s
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.7, support: int = 3, id_col: str = "doc_id",
+def sanitise(docs: DataFrame, threshold: float = 0.7, alpha: float = 0.01, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with the text sanitised; other columns and the number of rows stay."""
-    found = (disclosures(docs, threshold, support, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
+    found = (disclosures(docs, threshold, alpha, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
              .select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.array_sort(F.concat("base", "terms")).alias("spans"), "removed")
              .dropDuplicates(["d", "k"]))
     rows = docs.select(F.struct("*").alias("row"), col(id_col).cast("long").alias("id"), text_key(col(text_col)).alias("key"))

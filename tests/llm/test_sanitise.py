@@ -57,6 +57,30 @@ def test_disclosing_terms_found_and_others_left(spark):
     assert clean[1] == data[1][1] and "[IP]" in clean[1000]
 
 
+def test_strong_pairs_of_one_or_two_documents(spark):
+    rnd = random.Random(5)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(10)]
+    some = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    data = [(i, some(40), "x", "y") for i in range(400)]
+    # ten mentions in each of two documents that begin with one templated line
+    data += [(1000 + i, "Contact: jo@example.com " + " ".join(f"{some(12)} Zanzibar jo@example.com" for _ in range(10)), "x", "y") for i in range(2)]
+    # ten mentions in one document; copies of a document with one mention; one mention of a rare word; a repeated address
+    data += [(2000, " ".join(f"{some(12)} Kalamata al@example.com" for _ in range(10)), "x", "y")]
+    data += [(3000 + i, f"{data[0][1]} Ljubljana mo@example.com", "x", "y") for i in range(9)]
+    data += [(4000, f"{some(9)} Reykjavik bo@example.com bo@example.com bo@example.com", "x", "y")]
+    terms = {}
+    for r in sanitise.disclosures(spark.createDataFrame(data, DOC)).collect():
+        text = next(t for i, t, *_ in data if i == r["doc_id"])
+        terms[r["doc_id"]] = {text[t["start"]:t["end"]] for t in r["terms"]}
+    assert {i: t for i, t in terms.items() if t} == {1000: {"Zanzibar"}, 1001: {"Zanzibar"}, 2000: {"Kalamata"}}
+
+
+def test_every_word_counts_for_one_mention():
+    text = "one a@b.co two a@b.co three"
+    got = sanitise.mentions(text, sanitise.base_spans(text))
+    assert len(got) == 1 and got[0][2] == len(got[0][3]) == 4  # three words and their class
+
+
 def test_nulls_repeats_empty(spark):
     data = [(1, None, "a", "b"), (None, "", "a", "b"), (2, "a@b.co", "a", "b"), (2, "a@b.co", "a", "b"), (2, "+1 234 567 8901", "a", "b")]
     df = spark.createDataFrame(data, DOC)
