@@ -1,9 +1,11 @@
 """Licence scans by canonical digests (native).
 
-A text is brought to canonical form (lower case, copyright lines dropped, punctuation to blanks,
-equivalent spellings to one, blanks collapsed) and hashed.  Digests of entire texts are joined to
+A text is brought to canonical form (lower case, copyright lines dropped, Unicode punctuation to blanks,
+equivalent spellings to one, blanks collapsed) and hashed.  A copyright line has a year, a copyright sign or
+a placeholder, or is a short line that begins a paragraph; a line that continues a sentence is none.  Digests of entire texts are joined to
 the digests of known licences; the same is done for every line of a text, each as an entire text, to
-find notices.  The known side is the fixed list below, so its broadcast has a proven bound.
+find notices.  The known side is the fixed list below with the files of ``licence_texts``, so its broadcast
+has a proven bound; a table of other texts can be given, whose broadcast is left to Spark's size check.
 
 Defined cases: null text is empty and has the digest of the empty string, which matches nothing;
 repeated rows get equal results; an empty table gives no rows.
@@ -11,20 +13,33 @@ repeated rows get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, text_key
 
+#: What may stand before the words of a line, and four words that end it.
+LEAD, SHORT = "[ \t*#/;.-]*", "[ \t]*[^ \t\n]+(?:[ \t]+[^ \t\n]+){0,3}[ \t]*"
 #: Steps on the lower-cased text with a line feed before it: plain replacements (cheap where nothing is
-#: found) and, marked True, regular expressions (groups are written $1) that rarely match.
+#: found) and, marked True, regular expressions (groups are written $1; no lookaround, which DuckDB lacks).
 LINE_STEPS = [
     ("\r\n", "\n", False), ("\r", "\n", False),
+    # lines that continue a sentence or are items of a list; ~ keeps them from being taken for copyright lines
+    (f"\n({LEAD})(copyright[ \t]+(?:notice|holder|owner|law|licen[cs]e|act|statement|right|protect|claim|infring|interest"
+     "|treat|and |or |in |is |of |to |for |that |which |as |has |may ))", "\n$1~$2", True),
+    (f"\n({LEAD})(\\(c\\)[ \t]+(?:you|your|any|all|an|a|to|if|in|for|this|that|each|under|by|as|or|and|with|which|such|it|no|not"
+     "|where|when)[ \t\n])", "\n$1~$2", True),
     # copyright lines
-    ("\n[ \t*#/;.-]*(copyright|\\(c\\)|©)[^\n]*", "\n", True),
-    # punctuation; & is a word
-    ("&", " and ", False), ("'", "", False), ("`", "", False), ("’", "", False),
-    ("[^0-9a-zÀ-￿\n ]+", " ", True), (" {2,}", " ", True),
+    (f"\n{LEAD}copyright[ \t:,]*(?:\\(c\\)|©|[\\[{{<]|[^\n]{{0,80}}(?:19|20)[0-9][0-9])[^\n]*", "\n", True),
+    (f"\n{LEAD}(?:©|\\(c\\)[^\n]*(?:19|20)[0-9][0-9])[^\n]*", "\n", True),
+    (f"(?:\n{LEAD}\\(c\\){SHORT})+(\n|\\z)", "\n$1", True),
+    (f"(\\A|\n{LEAD})\n{LEAD}copyright[ \t]{SHORT}(\n|\\z)", "$1\n$2", True),
+    # punctuation; & is a word, apostrophes and invisible characters join
+    ("&", " and ", False), ("'", "", False), ("`", "", False), ("’", "", False), ("‘", "", False), ("ʼ", "", False), ("′", "", False),
+    ("­", "", False), ("​", "", False), ("﻿", "", False),
+    ("[^\\p{L}\\p{M}\\p{N}\n ]+", " ", True), (" {2,}", " ", True),
     # equivalent spellings
     ("licence", "license", False), ("licencing", "licensing", False), ("behaviour", "behavior", False),
     ("colour", "color", False), ("favour", "favor", False), ("honour", "honor", False), ("labour", "labor", False),
@@ -73,6 +88,16 @@ APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The licences of ``licence_texts``, whole and without what tells how to apply them."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    whole = [(f.stem, f.read_text(encoding="utf-8")) for f in files]
+    return whole + [(name, t[:t.index(END) + len(END) * k]) for name, t in whole if END in t for k in (0, 1)]
+
+
 LICENCES = [
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT),
     ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC), ("0BSD", ISC.replace(
@@ -93,7 +118,7 @@ LICENCES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ] + [(x, f"SPDX-License-Identifier: {x}") for x in (
     "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0",
-    "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")]
+    "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")] + _texts()
 
 
 def _apply(text: Column, steps: list[tuple[str, str, bool]]) -> Column:
@@ -120,16 +145,19 @@ def digest(canon: Column) -> Column:
     return F.sha2(canon.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """digest, licence of the fixed list (one row per digest)."""
-    rows = spark.createDataFrame(LICENCES, "licence string, text string")
-    return rows.groupBy(digest(canonical(F.col("text"))).alias("known")).agg(F.min("licence").alias("licence"))
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """digest, licence of the fixed list, or of the rows (licence, text) of ``known`` (one row per digest)."""
+    rows = spark.createDataFrame(LICENCES, "licence string, text string") if known is None else known
+    canon = rows.select("licence", canonical(F.col("text")).alias("canon")).where("canon <> ''")
+    return canon.groupBy(digest(F.col("canon")).alias("known")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licence_texts: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, digest of the whole text, licence (of the whole text, or null) and notices
-    (licences of which a line is the entire text, sorted, comma-joined; empty if none)."""
-    known = F.broadcast(known_digests(docs.sparkSession))
+    (licences of which a line is the entire text, sorted, comma-joined; empty if none).  The rows
+    (licence, text) of ``licence_texts`` take the place of the fixed list if given."""
+    known = known_digests(docs.sparkSession, licence_texts)
+    known = F.broadcast(known) if licence_texts is None else known
     names = sorted({name for name, _ in LICENCES})  # under 64: a set of them is a long
     bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col("licence")).cast("long")
     base = docs.select(col(id_col).alias("doc_id"), text_key(col(text_col)).alias("key"), canonical_lines(col(text_col)).alias("lines"))
@@ -140,8 +168,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lines = (whole.select("doc_id", "key", "digest", F.posexplode_outer("lines").alias("pos", "line"))
              .select("doc_id", "key", "digest", "pos", digest(F.trim(_apply(F.col("line"), PHRASE_STEPS))).alias("line")))
     texts = (lines.join(known.withColumnRenamed("known", "line"), "line", "left").groupBy("doc_id", "key", "digest")
-             .agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("found"), F.sum((F.col("pos") == 0).cast("int")).alias("n")))
-    flags = F.filter(F.array(*[F.lit(n) for n in names]), lambda n, i: F.getbit("found", i) == 1)
+             .agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("found") if licence_texts is None else F.collect_set("licence").alias("found"), F.sum((F.col("pos") == 0).cast("int")).alias("n")))
+    flags = (F.filter(F.array(*[F.lit(n) for n in names]), lambda n, i: F.getbit("found", i) == 1) if licence_texts is None
+             else F.array_sort("found"))
     return (texts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
             .join(known, F.col("digest") == F.col("known"), "left")
             .select("doc_id", "digest", "licence", F.array_join(flags, ",").alias("notices")))

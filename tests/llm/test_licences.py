@@ -22,3 +22,28 @@ def test_list_has_one_licence_per_digest(spark):
     known = licences.known_digests(spark)
     assert known.count() == known.select("known").distinct().count() <= len(licences.LICENCES)
     assert len({n for n, _ in licences.LICENCES}) < 64
+
+
+def test_wrapped_sentences_quotes_and_full_texts(spark):
+    import textwrap
+    texts = dict(licences._texts()[::-1])  # the whole texts come last
+    wrapped = licences.ISC.replace("above copyright", "above\ncopyright")
+    curly = licences.MIT.replace('"Software"', "“Software”").replace('"AS IS"', "“AS\u00a0IS”").replace(", EXPRESS", " — EXPRESS")
+    filled = texts["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 The Authors")
+    data = [(1, wrapped, "ISC"), (2, "Copyright 2020 Jo\n\n" + wrapped, "ISC"), (3, curly, "MIT"), (4, "• " + licences.ZLIB.replace("'", "’"), "Zlib"),
+            (5, filled, "Apache-2.0"), (6, " ".join(texts["Apache-2.0"].split(licences.END)[0].split()), "Apache-2.0"),
+            (7, "Copyright Jo Doe\n\n" + licences.MIT, "MIT"), (8, "© Jo\n(c) Al\n(c) others\n" + licences.MIT, "MIT")]
+    for k, name in enumerate(("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense")):
+        data.append((20 + k, texts[name], name))
+    narrow = textwrap.fill(texts["Apache-2.0"].split(licences.END)[0].replace("(c) You", "\n(c) You"), 24, replace_whitespace=False, break_long_words=False)
+    data.append((30, narrow, "Apache-2.0"))
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame([(i, t, "", "") for i, t, _ in data], DOC)).collect()}
+    assert got == {i: want for i, _, want in data}
+
+
+def test_given_licence_texts(spark):
+    own = spark.createDataFrame([(f"Own-{i:03}", f"Own licence number {i}") for i in range(99)] + [("none", "")], "licence string, text string")
+    docs = spark.createDataFrame([(1, "own LICENSE, number 98", "", ""), (2, "x\n\nOwn licence number 7.\nown licence number 5", "", ""),
+                                  (3, licences.MIT, "", ""), (4, None, "", "")], DOC)
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in licences.scan(docs, licence_texts=own).collect()}
+    assert got == {1: ("Own-098", "Own-098"), 2: (None, "Own-005,Own-007"), 3: (None, ""), 4: (None, "")}
