@@ -19,20 +19,22 @@ KEYS = ("source_file", "sheet")
 
 def blocks_to_records(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
     """CL-25: row 0 holds a name in every even column; below it (label, value) pairs in columns
-    (c, c+1).  -> one row per (file, sheet, name) with the chosen labels as numeric columns.
+    (c, c+1).  -> one row per (file, sheet, name) with the chosen labels as numeric columns.  Of blocks
+    with one name the rightmost stands alone; of rows with one label in a block the lowest counts.
 
     One pass over the cells: cells are folded to one row per (block, row) — label/name from the
     even column, value from the odd one — and the block's name comes from a window over the
-    block's rows (bounded by the labels per block)."""
+    block's rows, the last block of a name from one over the name's (both bounded by a sheet's grid)."""
     from pyspark.sql.window import Window
     k = list(KEYS)
     even = F.col("c") % 2 == 0
     rows = cells.groupBy(*k, (F.col("c") - F.col("c") % 2).alias("b"), "r").agg(
         F.max(F.when(even, utrim("v"))).alias("label"), F.max(F.when(~even, F.col("v"))).alias("value"))
     name = F.max(F.when(F.col("r") == 0, F.col("label"))).over(Window.partitionBy(*k, "b"))
-    j = rows.withColumn("name", name).where((F.col("r") > 0) & F.col("label").isin(list(labels)) &
-                                            F.col("name").isNotNull())
-    p = j.groupBy(*k, "name").pivot("label", list(labels)).agg(F.max("value"))
+    named = rows.withColumn("name", name).where(F.col("name").isNotNull() & ~F.lower("name").isin("", "none", "nan"))
+    last = named.withColumn("last", F.max("b").over(Window.partitionBy(*k, "name"))).where(F.col("b") == F.col("last"))
+    j = last.withColumn("label", F.when(F.col("r") > 0, F.col("label")))
+    p = j.groupBy(*k, "name").pivot("label", list(labels)).agg(F.max_by("value", "r"))
     return p.select(*k, "name", *[wb_num(F.col(f"`{x}`")).alias(x) for x in labels])
 
 
@@ -44,12 +46,14 @@ DATE_KWS = ("拨打日期", "日期")
 
 
 def detail_totals(cells: DataFrame, max_header_row: int = 3) -> DataFrame:
-    """CL-26: header = first of rows 0..max_header_row holding an account column; columns found by
+    """CL-26: header = first of rows 0..max_header_row with a cell that is the account word (in a sheet
+    without one, that contains it, e.g. 会员账号); columns found by
     substring (recharge; 七天 else 登入; 拨打日期 else 日期); rows with a blank account skipped;
     per sheet: recharge sum, yes-flag count, row count."""
     k = list(KEYS)
     hdr_cells = cells.where(F.col("r") <= max_header_row)
-    hr = hdr_cells.where(F.col("v").contains(ACCOUNT_KW)).groupBy(*k).agg(F.min("r").alias("hr"))
+    hr = hdr_cells.where(F.col("v").contains(ACCOUNT_KW)).groupBy(*k).agg(
+        F.coalesce(F.min(F.when(utrim("v") == ACCOUNT_KW, F.col("r"))), F.min("r")).alias("hr"))
     h = hdr_cells.join(hr, k).where(F.col("r") == F.col("hr")).select(*k, "hr", "c", utrim("v").alias("h"))
 
     def pick(*kws):

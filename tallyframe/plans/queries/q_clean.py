@@ -180,9 +180,14 @@ def _wb_cells(spark, d):
     stack = F.expr("stack(5, 1, '名单数', listed_s, 2, '已播数', CAST(dialled AS STRING), 3, '接通数', CAST(connected AS STRING), "
                    "4, '有效通话', CAST(valid AS STRING), 5, '召回充值', CAST(recharge AS STRING)) AS (r, label, value)")
     pairs = w.withColumn("listed_s", listed).select("month", "i", stack)
-    lab = pairs.select("month", "r", (F.col("i") * 2).alias("c"), F.col("label").alias("v"))
-    val = pairs.select("month", "r", (F.col("i") * 2 + 1).alias("c"), F.col("value").alias("v"))
-    names = w.select("month", F.lit(0).alias("r"), (F.col("i") * 2).alias("c"), F.col("caller").alias("v"))
+    # each name has an earlier block of other values, and each block an earlier row of its first label
+    old = pairs.withColumn("value", F.lit("99999999"))
+    early = old.where("r = 1").withColumn("r", F.lit(0))
+    pairs = (old.withColumn("c", F.col("i") * 4).unionByName(pairs.unionByName(early).withColumn("c", F.col("i") * 4 + 2))
+             .withColumn("r", F.col("r") + 1))
+    lab = pairs.select("month", "r", "c", F.col("label").alias("v"))
+    val = pairs.select("month", "r", (F.col("c") + 1).alias("c"), F.col("value").alias("v"))
+    names = w.select("month", F.lit(0).alias("r"), F.explode(F.array(F.col("i") * 4, F.col("i") * 4 + 2)).alias("c"), F.col("caller").alias("v"))
     cells = names.unionByName(lab).unionByName(val)
     return cells.select(F.lit("winback.xlsx").alias("source_file"), F.col("month").alias("sheet"),
                         F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "v")
@@ -202,8 +207,9 @@ def _detail_cells(spark, d):
     hr = F.when(F.col("channel").isin("1-URGENT", "2-HIGH"), F.lit(1)).otherwise(F.lit(2))
     ch = dep.select("channel").distinct().withColumn("hr", hr)
     hdr = ch.select("channel", F.col("hr").alias("r"),
-                    F.expr("stack(4, 0, '会员账号', 1, '充值金额(元)', 2, '七天回登', 3, '拨打日期') AS (c, v)"))
-    title = ch.select("channel", F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit("召回明细").alias("v"))
+                    F.expr("stack(4, 0, IF(hr = 1, '会员账号', ' 账号'), 1, '充值金额(元)', 2, '七天回登', 3, '拨打日期') AS (c, v)"))
+    # above a header that is the account word, the title may contain it
+    title = ch.select("channel", F.lit(0).alias("r"), F.lit(0).alias("c"), F.expr("IF(hr = 1, '召回明细', '账号召回明细')").alias("v"))
     body = ok.join(ch, "channel").withColumn("r", F.col("hr") + 1 + F.col("k"))
     acc = body.where(F.col("k") % 13 != 0).select("channel", "r", F.lit(0).alias("c"), F.col("account").alias("v"))
     rec = body.select("channel", "r", F.lit(1).alias("c"),

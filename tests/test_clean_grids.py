@@ -46,6 +46,19 @@ def test_blocks_and_details(spark):
     assert (t.recharge, t.relogins, t.rows) == (1000.0, 2, 2)  # "是" and "y" are both yes-flags
 
 
+def test_header_is_the_account_word(spark):
+    d = cells(spark, [(0, 0, "会员账号召回明细"), (1, 0, " 账号 "), (1, 1, "充值金额"), (2, 0, "u1"), (2, 1, "7")])
+    t = G.detail_totals(d).first()
+    assert (t.recharge, t.rows) == (7.0, 1)
+
+
+def test_last_block_and_label_win(spark):
+    g = cells(spark, [(0, 0, "a"), (1, 0, "x"), (1, 1, "9"), (2, 0, "y"), (2, 1, "5"), (0, 2, "b"), (0, 4, "a"), (1, 4, "x"), (1, 5, "9"),
+                      (2, 4, "x"), (2, 5, "10"), (0, 6, "c"), (1, 6, "x"), (1, 7, "3"), (2, 6, "x"), (0, 8, "nan"), (1, 8, "x"), (1, 9, "1")])
+    out = {r.name: (r.x, r.y) for r in G.blocks_to_records(g, ["x", "y"]).collect()}
+    assert out == {"a": (10.0, 0.0), "b": (0.0, 0.0), "c": (0.0, 0.0)}
+
+
 def test_settlement_marker_required(spark):
     base = [(1, 1, "项目A"), (2, 1, "100"), (1, 2, "项目B"), (2, 2, "abc"), (7, 1, "名称"), (7, 2, "总代"),
             (8, 0, "已回款"), (8, 1, "n1"), (8, 2, "ag1"), (8, 5, "10"), (8, 6, "退成5%"), (8, 8, "0.5"),
