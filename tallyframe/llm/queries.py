@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licences, mixing, sanitise, simhash, warc, wrappers
+from . import (ann, chat, decontaminate, divergence, langid, licences, middle, mixing, pieces, sanitise, simhash, warc,
+               wrappers)
 from .common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -76,6 +77,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.char_length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocab), vocab))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    back = middle.restore(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d,
   CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 f AS (SELECT d, max(page_id) AS first_id FROM p WHERE n >= 1000 GROUP BY d)
@@ -110,6 +130,36 @@ g AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted AS BIGINT) AS formatted_chars FROM g"""
 
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+OP13_SQL = r"""WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT row_id, lang, source, unnest(terms) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS in_lang FROM t GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, v.term, v.in_lang, coalesce(k.n, 0) AS n FROM g JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) k USING (lang, source, term)),
+w AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER s + 5 * count(*) OVER s)::HUGEINT AS p,
+  1 + (1000000000 * (in_lang + 5)::HUGEINT) // (sum(in_lang) OVER s + 5 * count(*) OVER s)::HUGEINT AS q FROM c WINDOW s AS (PARTITION BY lang, source)),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM w a JOIN w b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  WHERE a.lang NOT IN (SELECT lang FROM v)
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM w WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projected_neighbours": op1_projected_neighbours,
     "op2_warc_bundles": op2_warc_bundles,
@@ -121,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper_text": op8_wrapper_text,
     "op9_covering_simhash": op9_covering_simhash,
     "op10_chat_format": op10_chat_format,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +181,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_licence_scan": licences.oracle(),
     "op6_mix_sources": OP6_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
