@@ -254,8 +254,9 @@ def training_rows(docs: DataFrame, use: Column, docs_per_lang: int, id_col: str,
     pick = F.lit(False)
     for r in last:
         pick = pick | ((col(lang_col) == r["lang"]) & (F.xxhash64(col(id_col).cast("string")) <= r["last"]))
-    rows = (docs.where(use & col(text_col).isNotNull() & pick).dropDuplicates([id_col, lang_col])
-            .select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).collect())
+    rows = (docs.where(use & col(text_col).isNotNull() & pick)
+            .select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
+            .groupBy("id", "lang").agg(F.min("text").alias("text")).collect())
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["id"]), r["lang"]))]
 
 
@@ -264,15 +265,15 @@ def identify(docs: DataFrame, train_on: Column | None = None, docs_per_lang: int
     """``docs`` with lang_pred and score (columns of these names are replaced).
 
     The model learns from rows where ``train_on`` holds (all, if not given) and the language is known.
+    It travels inside the task function, so that executors need not have the library.
     """
     use = F.lit(True) if train_on is None else F.coalesce(train_on, F.lit(False))
     model = fit(training_rows(docs, use, docs_per_lang, id_col, text_col, lang_col))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text):
         import pandas as pd
-        return pd.DataFrame(predict_texts(sent.value, [t if isinstance(t, str) else None for t in text]), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict_texts(model, [t if isinstance(t, str) else None for t in text]), columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return (docs.select(*[col(c) for c in kept], predict(col(text_col)).alias("_found"))
