@@ -8,11 +8,13 @@ within ``WINDOW`` words of e,
     PMI(t; e) = log(N n(t,e) / (n(t) n(e))),   IC(e) = log(N / n(e)),
 
 and t discloses e if PMI >= ``threshold`` * IC, i.e. t alone conveys that share of what there is to
-know about e.  The pair must also be significant over the entity's different contexts: every mention gives
-the words around it that no earlier mention of the entity in the document has taken, and equal contexts count
-once, so a copied text is one context however often it is copied.  If k of the entity's w contexts hold t,
-and a context holds it by chance with p = n(t) / N, the Chernoff bound exp(-w KL(k/w || p)) on the chance of
-k or more must stay below ``alpha`` over the number of pairs.  So a strong pair passes in one or two
+know about e.  The pair must also be significant over the entity's independent contexts: every mention gives
+the words around it that no earlier mention of the entity in the document has taken, and contexts of an entity that
+share ``RUN`` words in a row, directly or through others, are one group, so a text is one piece of evidence however
+often it is copied or edited.  If k of the entity's w groups hold t, and a group holds it by chance with
+p = n(t) / N, the Chernoff bound exp(-w KL(k/w || p)) on the chance of k or more must stay below ``alpha`` over
+the number of pairs.  (A group's chance is that of a document; a group that grows by edits holds more words, which
+only terms of the edits profit from, once a group.)  So a strong pair passes in one or two
 documents, and a word seen once beside an entity does not.  A disclosing term is
 generalised to its class ([WORD] or [NUMBER]) where the class itself stays below the threshold, else
 removed; it is so wherever it occurs, for it reveals the entity there as well.
@@ -35,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import col, cut, hash_filter, in_filter, signed, text_key, word_hash
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW = 8
+WINDOW, RUN = 8, 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -114,12 +117,17 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return out
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[int]]]:
-    """(entity, context, number of new terms, terms) of the different contexts of a text's entities; hashes.
-    Every word counts for one mention of an entity; the terms that no earlier one has come first."""
+def runs(words: list[str]) -> list[int]:
+    """Hashes of the runs of ``RUN`` words in a row."""
+    return [word_hash(" ".join(words[k:k + RUN])) for k in range(len(words) - RUN + 1)]
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[int], list[int]]]:
+    """(entity, context, number of new terms, terms, runs of words) of the different contexts of a text's
+    entities; hashes.  Every word counts for one mention of an entity; the terms that no earlier one has come first."""
     near: dict[int, set[int]] = {}
     taken: dict[int, int] = {}
-    out: dict[tuple[int, int], tuple[int, list[int]]] = {}
+    out: dict[tuple[int, int], tuple[int, list[int], list[int]]] = {}
     words = words_outside(text, spans)
     starts = np.array([w[0] for w in words], dtype=np.int64)
     for s in spans:
@@ -127,21 +135,22 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
         right = int(np.searchsorted(starts, s[2]))
         e = word_hash(entity(text, s))
         free = taken.get(e, 0)
-        around = [w[2] for w in words[max(free, left - WINDOW):left] + words[max(free, right):right + WINDOW]]
+        sides = [[w[2] for w in words[max(free, left - WINDOW):left]], [w[2] for w in words[max(free, right):right + WINDOW]]]
+        around = sides[0] + sides[1]
         taken[e] = max(free, min(right + WINDOW, len(words)))
         terms = {word_hash(w) for w in around} | {class_hash(term_class(w)) for w in around}
         seen = near.setdefault(e, set())
         new = sorted(terms - seen)
         if around and (c := word_hash(" ".join(around))) and (e, c) not in out:
-            out[e, c] = (len(new), new + sorted(terms & seen))
+            out[e, c] = (len(new), new + sorted(terms & seen), sorted({g for side in sides for g in runs(side)}))
         seen |= terms
     for e in near.keys() - {e for e, _ in out}:  # an entity without words around it still counts
-        out[e, word_hash("")] = (0, [])
-    return [(e, c, k, t) for (e, c), (k, t) in out.items()]
+        out[e, word_hash("")] = (0, [], [])
+    return [(e, c, *said) for (e, c), said in out.items()]
 
 
 SCAN = ("doc_id long, key string, base array<struct<start:int,kind:int,end:int>>, "
-        "mentions array<struct<e:long,c:long,k:int,t:array<long>>>")
+        "mentions array<struct<e:long,c:long,k:int,t:array<long>,g:array<long>>>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,7 +161,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and entity mentions of every row."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("t", pa.list_(pa.int64()))]))
+    mention = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("t", pa.list_(pa.int64())), ("g", pa.list_(pa.int64()))]))
     wrap = lambda h: h - (1 << 64) if h >> 63 else h
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = t.as_py()
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                said.append([{"e": wrap(e), "c": wrap(c), "k": k, "t": [wrap(x) for x in ts]} for e, c, k, ts in mentions(text, spans)] if spans else [])
+                said.append([{"e": wrap(e), "c": wrap(c), "k": k, "t": [wrap(x) for x in ts], "g": [wrap(x) for x in gs]} for e, c, k, ts, gs in mentions(text, spans)] if spans else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, span), pa.array(said, mention)],
                                              names=["doc_id", "key", "base", "mentions"])
 
@@ -225,6 +234,21 @@ def occurrences(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
     return _keyed(docs, id_col, text_col).mapInArrow(task, HITS)
 
 
+def context_groups(scanned: DataFrame) -> DataFrame:
+    """e, c, context: the group of each context of an entity; contexts that share a run of words are of one group.
+
+    A run links its contexts to the least of them, so the links are as many as the runs of the contexts."""
+    node = F.xxhash64("e", "c").alias("node")
+    contexts = scanned.select(F.explode("mentions").alias("m")).select("m.e", "m.c", "m.g").dropDuplicates(["e", "c"])
+    runs_of = cut(contexts.select(node, "e", F.explode("g").alias("g")))
+    least = runs_of.groupBy(F.col("e").alias("e0"), F.col("g").alias("g0")).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    links = (runs_of.join(least, (F.col("e") == F.col("e0")) & (F.col("g") == F.col("g0"))).where("node != b")
+             .select(F.col("node").alias("a"), "b"))
+    roots = simhash.components(links).select(F.col("node").alias("linked"), "root")
+    return (contexts.select("e", "c", node).join(roots, F.col("node") == F.col("linked"), "left")
+            .select("e", "c", F.coalesce("root", "node").alias("context")))
+
+
 def significant(k: Column, w: Column, p: Column, limit: Column) -> Column:
     """Whether the Chernoff bound on k or more of w contexts, each with chance p, is below exp(-``limit``)."""
     q = k / w
@@ -232,13 +256,12 @@ def significant(k: Column, w: Column, p: Column, limit: Column) -> Column:
     return F.when((p < 1) & (q > p), w * (q * F.log(q / p) + rest) > limit).otherwise(False)
 
 
-def disclosing(scanned: DataFrame, counts: DataFrame, pairs: DataFrame, threshold: float, limit: float) -> DataFrame:
+def disclosing(scanned: DataFrame, groups: DataFrame, counts: DataFrame, pairs: DataFrame, threshold: float, limit: float) -> DataFrame:
     """t, disclosure: the terms whose PMI reaches ``threshold`` of some entity's information content, over
-    contexts that are significant."""
+    groups of contexts that are significant."""
     n = scanned.count()
     n_e = scanned.select(F.explode(F.array_distinct("mentions.e")).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    w_e = (scanned.select(F.explode("mentions").alias("m")).select("m.e", "m.c").distinct()
-           .groupBy("e").agg(F.count("*").alias("w")))
+    w_e = groups.select("e", "context").distinct().groupBy("e").agg(F.count("*").alias("w"))
     n_t = counts.groupBy("t").agg(F.sum("n").alias("n_t"))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -253,15 +276,17 @@ def disclosures(docs: DataFrame, threshold: float = 0.7, alpha: float = 0.01, id
     """Per row: doc_id, key, base and terms (spans: start, kind, end, in order; kinds index ``KINDS``)
     and removed (starts of the term spans whose class discloses as well)."""
     scanned = cut(scan(docs, id_col, text_col))
-    said = (scanned.select(F.explode("mentions").alias("m"))
-            .select("m.e", "m.c", "m.k", F.posexplode("m.t").alias("pos", "t")).withColumn("new", (F.col("pos") < F.col("k")).cast("int")))
-    pairs = cut(said.groupBy("t", "e", "c").agg(F.sum("new").alias("n")).groupBy("t", "e")
+    groups = cut(context_groups(scanned))
+    said = (scanned.select(F.explode("mentions").alias("m")).select("m.*").groupBy("e", "c", "k", "t").agg(F.count("*").alias("rows"))
+            .join(groups, ["e", "c"]).select("e", "context", "k", "rows", F.posexplode("t").alias("pos", "t"))
+            .withColumn("new", F.when(F.col("pos") < F.col("k"), F.col("rows")).otherwise(0)))
+    pairs = cut(said.groupBy("t", "e", "context").agg(F.sum("new").alias("n")).groupBy("t", "e")
                 .agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")))
     limit = math.log(max(pairs.count(), 1) / alpha)
     # n(t) >= n(t, e), so the bound is p ** k at least: what fails with that cannot pass, and its term need not be counted
     pairs = pairs.where(F.col("contexts") * F.log(F.lit(float(max(scanned.count(), 1))) / F.col("n_te")) > limit)
     counts = term_counts(docs, hash_filter(pairs.select("t").distinct(), "t"), id_col, text_col)
-    telling = cut(disclosing(scanned, counts, pairs, threshold, limit))
+    telling = cut(disclosing(scanned, groups, counts, pairs, threshold, limit))
     hits = (occurrences(docs, hash_filter(telling.select("t"), "t"), id_col, text_col)
             .join(telling.select("t"), "t", "left_semi"))
     classes = {c: int(signed([class_hash(c)])[0]) for c in ("WORD", "NUMBER")}

@@ -78,7 +78,7 @@ def test_strong_pairs_of_one_or_two_documents(spark):
 def test_every_word_counts_for_one_mention():
     text = "one a@b.co two a@b.co three"
     got = sanitise.mentions(text, sanitise.base_spans(text))
-    assert len(got) == 1 and got[0][2] == len(got[0][3]) == 4  # three words and their class
+    assert len(got) == 1 and got[0][2] == len(got[0][3]) == 4 and got[0][4] == []  # three words and their class
 
 
 def test_nulls_repeats_empty(spark):
@@ -94,3 +94,107 @@ def test_nulls_repeats_empty(spark):
 def test_redaction_of_overlaps():
     assert sanitise.redact("ab 12 cd", [(0, 4, 2), (3, 2, 5), (3, 3, 4)], set()) == "[WORD] [CARD] cd"
     assert sanitise.redact("ab cd", [(0, 4, 2)], {0}) == " cd"
+
+
+def copies_with_edits(rnd, n, edits, contact):
+    base = [f"{rnd.choice('bdfgklmnprstvz')}{rnd.choice('aeiou')}{rnd.choice('bdfgklmnprst')}{k:02}" for k in range(18)]
+    base = ["".join(c if c.isalpha() else "abcdefghij"[int(c)] for c in w) for w in base]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k in range(edits):
+            words[rnd.randrange(18)] = "edit" + "".join(rnd.choice("abcdefghij") for _ in range(6))
+        words.insert(9, contact)
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_copies_are_one_piece_of_evidence(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(10)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    data = [" ".join(some(40)) for _ in range(400)]
+    for edits, contact in ((1, "ed@example.com"), (2, "mo@example.com"), (1, "+1 555 867 5309")):
+        data += copies_with_edits(rnd, 40, edits, contact)
+    planted = [" ".join(some(9) + ["Zanzibar", "jo@example.org"] + some(12)) for _ in range(20)]
+    planted += [" ".join(some(12) + ["10.1.2.3", "host", "Kalamata"] + some(7)) for _ in range(12)]
+    data += planted
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(data)], DOC)
+    got = sanitise.disclosures(docs).collect()
+    for r in got:
+        text = data[r["doc_id"]]
+        told = {text[t["start"]:t["end"]] for t in r["terms"]}
+        assert told == {w for w in ("Zanzibar", "Kalamata", "host") if w in text.split()}, (r["doc_id"], told)
+
+
+def brute_terms(texts, threshold=0.7, alpha=0.01):
+    """The disclosing terms by the definition, over dictionaries of all documents."""
+    import math
+    from collections import defaultdict
+    n = len(texts)
+    n_t, n_e, near, contexts = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(dict)
+    for text in texts:
+        spans = sanitise.base_spans(text)
+        seen = {w.lower() for w in sanitise.WORD.findall(text)}
+        for w in seen:
+            n_t[w] += 1
+        for c in ("WORD", "NUMBER"):
+            n_t["[" + c] += any(sanitise.term_class(w) == c or c == "WORD" for w in seen)
+        words, free, said = sanitise.words_outside(text, spans), defaultdict(int), defaultdict(set)
+        for s in spans:
+            e = sanitise.entity(text, s)
+            left, right = sum(w[0] < s[0] for w in words), sum(w[0] < s[2] for w in words)
+            a = [w[2] for w in words[max(free[e], left - sanitise.WINDOW):left]]
+            b = [w[2] for w in words[max(free[e], right):right + sanitise.WINDOW]]
+            free[e] = max(free[e], min(right + sanitise.WINDOW, len(words)))
+            said[e] |= {*a, *b} | {"[" + sanitise.term_class(w) for w in a + b}
+            if a or b:
+                contexts[e][tuple(a + b)] = {tuple(x[k:k + sanitise.RUN]) for x in (a, b) for k in range(len(x) - sanitise.RUN + 1)}
+        for e, terms in said.items():
+            n_e[e] += 1
+            for t in terms:
+                near[t, e] += 1
+    holds, w = defaultdict(set), {}
+    for e, cs in contexts.items():
+        root = {c: c for c in cs}
+        changed = True
+        while changed:
+            changed = False
+            for c in cs:
+                for d in cs:
+                    if cs[c] & cs[d] and root[c] != root[d]:
+                        root[c] = root[d] = min(root[c], root[d])
+                        changed = True
+        w[e] = len(set(root.values()))
+        for c in cs:
+            for t in {*c} | {"[" + sanitise.term_class(x) for x in c}:
+                holds[t, e].add(root[c])
+    limit, out = math.log(max(len(near), 1) / alpha), set()
+    for (t, e), k in near.items():
+        p, q, ic = n_t[t] / n, len(holds[t, e]) / w[e], math.log(n / n_e[e])
+        if p >= 1 or q <= p or ic <= 0:
+            continue
+        bound = w[e] * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
+        if bound > limit and math.log(n * k / (n_t[t] * n_e[e])) / ic >= threshold:
+            out.add(t)
+    return {t for t in out if t[0] != "["}
+
+
+def test_terms_match_the_definition(spark):
+    rnd = random.Random(21)
+    vocab = [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(4)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    texts = []
+    for i in range(300):
+        words = some(rnd.randint(0, 30))
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(8)
+            at = rnd.randint(0, len(words))
+            words[at:at] = [f"u{k}@example.com"] + ([f"code{chr(97 + k)}"] if rnd.random() < 0.8 and k < 5 else [])
+        texts.append(" ".join(words))
+    texts += copies_with_edits(rnd, 20, 1, "u1@example.com")
+    want = brute_terms(texts)
+    got = set()
+    for r in sanitise.disclosures(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOC)).collect():
+        got |= {texts[r["doc_id"]][t["start"]:t["end"]].lower() for t in r["terms"]}
+    assert got == want and want >= {"codea"}
