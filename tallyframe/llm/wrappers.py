@@ -5,15 +5,20 @@ as a tree.  Neighbouring blocks of one kind fold to a repeated group.  Streams o
 aligned again and again: text against text is a slot (constant while all pages agree), a block that
 only one side has becomes optional, one block against several a repeated group.  The result is the
 host's wrapper, an expression of sequence, optional and repeated groups without unions.  Its slots
-are labelled: 0 boilerplate (menus, forms, notices, comments and the like by their tags, and slots that
-several different pages hold unchanged, in an article as well; copies of a page count as one page), else by
-where they stand: 3 inside an article element, 2 inside a block so named, 1 other content.  A page's text is
+are labelled: 0 boilerplate, else by where they stand: 3 inside an article element, 2 inside a block so named, 1 other
+content.  Boilerplate are menus, forms, notices, comments and the like by their tags and names, and slots that
+different pages hold unchanged (copies of a page count as one page) where their place speaks for the template too.
+Inside an article or main block that takes ``MANY`` different pages, a slot that no page lacks, a place before the
+first or behind the last slot that varies, and an element that is not prose (heading, paragraph, quote, table and the
+like): a constant headline, a quote that all articles share or a short host's repeated words stay.  Outside, two
+pages do for other elements, and ``FEW`` for prose before or behind all that varies; prose between varying slots stays.  A page's text is
 what its slots above 0 hold; those of a higher label alone if they hold at least as much as those of each lower
 label, so a card in an article element does not stand for the story beside it.
 
 Scale: pages reduce to distinct (host, stream) pairs in the scan; wrappers grow over *all* streams of a
-host, first in ``SALTS`` shares, then from the partial wrappers, so a host with a third of the pages
-costs one row per distinct stream.  Labels come back as one short string per (host, stream), and texts
+host by a tree: groups of about ``FAN`` streams are merged, then groups of the results, each round cut to the shared folder,
+so no task sees more than a group, however many streams a host has.  A wrapper goes once to each group of
+streams that it labels.  Labels come back as one short string per (host, stream), and texts
 are cut out in a second scan that shuffles no text where the label table is small (checked).
 
 Defined cases: null or empty html gives an empty text; a null address is a host of its own; unclosed
@@ -29,6 +34,7 @@ import json
 import re
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,7 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import col, cut
 
-SALTS, DEPTH, TANDEM, BROADCAST_BYTES = 8, 200, 4, 32 << 20
+FAN, DEPTH, TANDEM, BROADCAST_BYTES = 64, 200, 4, 32 << 20
+#: Different pages that must agree on a slot: on prose outside articles, and on a slot in an article.
+FEW, MANY = 3, 8
 
 # HTML element classes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
@@ -46,6 +54,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg math o
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 BOILER_TAGS = frozenset("head nav footer aside form menu button dialog fieldset header".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre table figure figcaption dl address details".split())
 # Words of class, id and role names.
 BOILER_WORDS = frozenset("ad ads advert advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr "
                          "notice alert popup modal overlay comment comments disqus reply replies respond sidebar side aside "
@@ -63,12 +72,13 @@ NAME_PART = re.compile(r"[a-z]+")
 class Item:
     """A block (sig, children) or a text slot (sig '#') with its repetition flags."""
 
-    __slots__ = ("sig", "children", "opt", "rep", "pieces", "page", "const")
+    __slots__ = ("sig", "children", "opt", "rep", "pieces", "pages", "const")
 
     def __init__(self, sig: str, children: list | None = None, opt: bool = False, rep: bool = False):
         self.sig, self.children, self.opt, self.rep = sig, children if children is not None else [], opt, rep
         self.pieces: list[int] = []  # of slots: numbers of the text pieces of a page
-        self.page, self.const = None, None  # of slots: the only page content that has it, the text all pages share
+        self.pages: tuple[str, ...] = ()  # of slots: page contents that have it (the least MANY)
+        self.const: str | None = None  # of slots: the text all pages share
 
 
 def host_of(url: str | None) -> str:
@@ -162,7 +172,7 @@ def merge(a: Item, b: Item) -> Item:
     out = Item(a.sig, None, a.opt or b.opt, a.rep or b.rep)
     if a.sig == "#":
         out.pieces = a.pieces + b.pieces
-        out.page = a.page if a.page == b.page else None
+        out.pages = a.pages if a.pages == b.pages else tuple(sorted({*a.pages, *b.pages})[:MANY])
         out.const = a.const if a.const == b.const else None
     else:
         out.children = align(a.children, b.children)
@@ -228,7 +238,7 @@ def align(xs: list[Item], ys: list[Item]) -> list[Item]:
 
 def optional(x: Item) -> Item:
     out = Item(x.sig, x.children, True, x.rep)
-    out.pieces, out.page, out.const = x.pieces, x.page, x.const
+    out.pieces, out.pages, out.const = x.pieces, x.pages, x.const
     return out
 
 
@@ -246,14 +256,14 @@ def expression(item: Item) -> str:
 
 def dump(item: Item) -> list:
     if item.sig == "#":
-        return ["#", int(item.opt), item.page, item.const]
+        return ["#", int(item.opt), item.pages, item.const]
     return [item.sig, int(item.opt), int(item.rep), [dump(c) for c in item.children]]
 
 
 def load(data: list) -> Item:
     if data[0] == "#":
         out = Item("#", opt=bool(data[1]))
-        out.page, out.const = data[2], data[3]
+        out.pages, out.const = tuple(data[2]), data[3]
         return out
     return Item(data[0], [load(c) for c in data[3]], bool(data[1]), bool(data[2]))
 
@@ -266,49 +276,75 @@ def from_page(page: str) -> tuple[Item, list[str], list[int]]:
     """Tree, pieces and, per piece, the number of the slot that holds it (slots in order)."""
     root, pieces = parse(page)
     where = [0] * len(pieces)
-    shown = sorted(p for s, _, boiler in placed(root) if not boiler for p in s.pieces)
+    shown = sorted(p for place in placed(root) if not place.boiler for p in place.slot.pieces)
     page_id = _digest("".join(pieces[p] for p in shown))  # reposts with other menus or adverts are copies
     for k, s in enumerate(slots(root)):
         for p in s.pieces:
             where[p] = k
-        s.page, s.const = page_id, _digest("".join(pieces[p] for p in sorted(s.pieces)))
+        s.pages, s.const = (page_id,), _digest("".join(pieces[p] for p in sorted(s.pieces)))
     return root, pieces, where
 
 
-def placed(root: Item) -> Iterator[tuple[Item, int, bool]]:
-    """The slots of a tree, each with its level (3 in an article element, 2 in a block named so, else 0)
-    and whether it is in a block of boilerplate."""
-    def walk(item: Item, level: int, boiler: bool) -> Iterator[tuple[Item, int, bool]]:
+class Place(NamedTuple):
+    """Where a slot stands: its level (3 in an article element, 2 in a block named so, else 0), whether in boilerplate,
+    the outermost article it is in (or none), and whether prose holds it and a page may lack it there."""
+
+    slot: Item
+    level: int
+    boiler: bool
+    region: int
+    prose: bool
+    lacking: bool
+
+
+def placed(root: Item) -> Iterator[Place]:
+    """The slots of a tree, in order, with their places."""
+    def walk(item: Item, at: Place) -> Iterator[Place]:
+        at = at._replace(lacking=at.lacking or item.opt)
         if item.sig == "#":
-            yield item, level, boiler
+            yield at._replace(slot=item)
             return
         name, *words = item.sig.split(".")
+        level = at.level
         if name == "article":
             level = 3
         elif name == "main" or name in ("div", "section", "td") and any(w in ARTICLE_WORDS for w in words):
             level = max(level, 2)
         # the header of an article is part of it
         told = {name} & BOILER_TAGS | set(words) & BOILER_WORDS if name not in ("html", "body", "article", "main") else set(words) & {"comment", "comments", "sidebar"}
-        boiler = boiler or bool(told - {"header"} if level else told)
+        boiler = at.boiler or bool(told - {"header"} if level else told)
+        enters = bool(level) and not at.level  # what lacks in a whole article tells nothing about its parts
+        at = at._replace(level=level, boiler=boiler, region=id(item) if enters else at.region, prose=at.prose or name in PROSE,
+                         lacking=at.lacking and not enters)
         for c in item.children:
-            yield from walk(c, level, boiler)
+            yield from walk(c, at)
 
-    return walk(root, 0, False)
+    return walk(root, Place(root, 0, False, 0, False, False))
 
 
 def labels(wrapper: Item) -> dict[int, int]:
     """Label of each slot of a wrapper by its id(): 3 in an article element, 2 in a block named so,
     1 other content, 0 boilerplate or fixed."""
     out: dict[int, int] = {}
-    still: list[tuple[Item, int]] = []
-    for item, level, boiler in placed(wrapper):
-        fixed = item.page is None and item.const is not None  # several different pages agree on it
-        if fixed and not boiler:
-            still.append((item, level))
-        out[id(item)] = 0 if boiler or fixed else level or 1
-    # where nothing of the host, or nothing in its articles, changes, the pages do not tell text from template
-    least = 0 if not any(out.values()) else 2 if max(out.values()) == 1 else 4
-    out.update((id(s), level or 1) for s, level in still if level >= least)
+    regions: dict[int, list[Place]] = {}
+    for place in placed(wrapper):
+        out[id(place.slot)] = 0 if place.boiler else place.level or 1
+        if not place.boiler:
+            regions.setdefault(place.region, []).append(place)
+    for region, places in regions.items():
+        varies = [k for k, x in enumerate(places) if x.slot.const is None or len(x.slot.pages) < 2]
+        if not varies and (region or len(regions) == 1):
+            continue  # the pages do not tell text from template
+        first, last = (varies[0], varies[-1]) if varies else (len(places), -1)
+        for k, x in enumerate(places):
+            outer = k < first or k > last
+            agree = len(x.slot.pages) if x.slot.const is not None else 0
+            if region:
+                fixed = agree >= MANY and outer and not x.prose and not x.lacking
+            else:
+                fixed = agree >= FEW and outer if x.prose else agree >= 2
+            if fixed:
+                out[id(x.slot)] = 0
     return out
 
 
@@ -362,33 +398,41 @@ def _merged(rows: list[str]) -> str:
     return json.dumps(dump(whole))
 
 
+def _dealt(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the number of a group of about ``FAN`` rows of their host (by the hash of column ``name``), and
+    the number of groups of each host."""
+    groups = rows.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("groups"))
+    return rows.join(groups, "host").withColumn("part", F.pmod(F.xxhash64(name), F.col("groups"))), groups
+
+
 def infer(found: DataFrame) -> DataFrame:
-    """host, wrapper: streams of a host aligned in ``SALTS`` shares, then the shares' wrappers."""
-    def share(keys, f):
+    """host, wrapper: the streams of a host aligned in groups of about ``FAN``, then the groups' results, until one is left."""
+    def merged(keys, f):
         import pandas as pd
         order = f.sort_values(["key", "stream"])
-        return pd.DataFrame({"host": [keys[0]], "part": [keys[1]], "stream": [_merged(order["stream"].tolist())]})
-
-    def whole(keys, f):
-        import pandas as pd
-        return pd.DataFrame({"host": [keys[0]], "wrapper": [_merged(f.sort_values("part")["stream"].tolist())]})
+        return pd.DataFrame({"host": [keys[0]], "key": [str(keys[1])], "stream": [_merged(order["stream"].tolist())]})
 
-    parts = (found.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-             .groupBy("host", "part").applyInPandas(share, "host string, part int, stream string"))
-    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string")
+    while True:
+        dealt, groups = _dealt(found.select("host", "key", "stream"), "key")
+        found = cut(dealt.groupBy("host", "part").applyInPandas(merged, STREAM))
+        if groups.where("groups > 1").isEmpty():
+            return found.select("host", F.col("stream").alias("wrapper"))
 
 
 def label_table(found: DataFrame, wrappers: DataFrame) -> DataFrame:
     """host, key, labels of every distinct stream."""
-    def task(frames):
+    def task(keys, streams_of, wrapper):
         import pandas as pd
         sys.setrecursionlimit(20_000)
-        for f in frames:
-            out = [label_stream(load(json.loads(w)), load(json.loads(s))) for w, s in zip(f["wrapper"], f["stream"])]
-            yield pd.DataFrame({"host": f["host"], "key": f["key"], "labels": out})
-
-    one = found.groupBy("host", "key").agg(F.min("stream").alias("stream"))
-    return one.join(wrappers, "host").mapInPandas(task, "host string, key string, labels string")
+        out = [label_stream(load(json.loads(wrapper["wrapper"].iloc[0])), load(json.loads(s))) for s in streams_of["stream"]]
+        return pd.DataFrame({"host": streams_of["host"], "key": streams_of["key"], "labels": out})
+
+    dealt, groups = _dealt(found.groupBy("host", "key").agg(F.min("stream").alias("stream")), "key")
+    sent = wrappers.join(groups, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    filled = sent.join(dealt.select("host", "part").distinct(), ["host", "part"], "left_semi")  # a hash may leave a group empty
+    return (dealt.select("host", "part", "key", "stream").groupBy("host", "part")
+            .cogroup(filled.select("host", "part", "wrapper").groupBy("host", "part"))
+            .applyInPandas(task, "host string, key string, labels string"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
