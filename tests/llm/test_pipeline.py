@@ -104,3 +104,38 @@ def test_contract():
     assert "pipeline" in names
     for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    extra = ["copy", "Score", "SIZE", "taken", "a.b", "lang_pred", "row", "key", "id", "k", "rate", "u", "src", "target", "_found", "d", "spans"]
+    text = "the quick brown fox jumps over the lazy dog and this is plain english text of some length "
+    data = [(k, f"{text * 2} number {k} " + " ".join(f"w{k}x{j}" for j in range(30)) + (" mail a@b.co" if k % 2 else ""), "en", f"s{k % 3}", 1,
+             *(f"{c}-{k}" for c in extra)) for k in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra, "copy_1"]
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in extra)
+    assert {r["doc_id"] for r in rows} <= set(range(12)) and any("[EMAIL]" in r["text"] for r in rows)
+
+
+def test_executors_need_not_have_the_library(tmp_path):
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+            "import __spark_entry__ as e\n"
+            "from tallyframe.session import get_spark\n"
+            "spark = get_spark('local[4]', 4, extra={'spark.checkpoint.dir': sys.argv[1]})\n"
+            "def gone(batches):\n"
+            "    import importlib.util\n"
+            "    assert importlib.util.find_spec('tallyframe') is None\n"
+            "    yield from batches\n"
+            "assert spark.range(1).mapInArrow(gone, 'id long').count() == 1\n"
+            "for n, q in sorted(e.queries().items()):\n"
+            "    if n == 'pipeline' or n.startswith('op'):\n"
+            f"        q(spark, {SF!r}).write.format('noop').mode('overwrite').save()\n"
+            "        print('ran', n, flush=True)\n")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "shared")], cwd=tmp_path, env=env, timeout=900,
+                          capture_output=True, text=True)
+    assert done.stdout.count("ran ") == 14, done.stdout[-500:] + done.stderr[-3000:]
