@@ -28,7 +28,6 @@ counted match by match; only the three named columns are read, so extra columns
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,42 +38,49 @@ from pyspark.sql import functions as F
 
 from .common import col, cut
 
-#: ASCII letters and all that is not ASCII.
+#: Terms are runs of ASCII letters and of all that is not ASCII; in UTF-8 the other bytes become blanks, and A-Z small.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = {c: c + 32 for c in range(65, 91)}
-#: Counted terms, and sums of pairs, that a task holds before it writes them out.
-TERMS, SUMS = 1 << 19, 1 << 21
+BLANKED = bytes(c | 32 if chr(c).isascii() and chr(c).isalpha() else c if c > 127 else 32 for c in range(256))
+#: Counted terms, and corrections of pairs, that a task holds before it writes them out.
+TERMS, SUMS = 1 << 19, 1 << 20
+#: Bytes up to which the groups of all languages are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that hold it) of every group."""
+    """lang, source, term, n (occurrences) and docs (rows that hold it) of every group, dealt by (lang, term)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(TERM).findall
-        n: Counter = Counter()
-        held: Counter = Counter()
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held_terms = 0
 
         def written() -> pa.RecordBatch:
-            keys = list(n)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([n[k] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())],
-                                             names=["lang", "source", "term", "n", "docs"])
-            n.clear()
-            held.clear()
-            return out
+            names, n, held = [], [], []
+            for group, (every, docs) in counts.items():
+                names += [group] * len(every)
+                n += every.values()
+                held += map(docs.__getitem__, every)
+            terms = pa.array([t for every, _ in counts.values() for t in every], pa.binary()).cast(pa.string())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*[pa.array([g[k] for g in names], pa.string()) for k in (0, 1)], terms, pa.array(n, pa.int64()), pa.array(held, pa.int64())],
+                                              names=["lang", "source", "term", "n", "docs"])
 
         for b in batches:
-            for la, so, te in zip(*(b.column(k) for k in range(3))):
-                la, so = la.as_py(), so.as_py()
-                for term, k in Counter(find(te.as_py().translate(UPPER))).items():
-                    n[la, so, term] += k
-                    held[la, so, term] += 1
-                if len(n) >= TERMS:
+            texts = b.column(2).cast(pa.binary())
+            for la, so, te in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
+                terms = te.as_py().translate(BLANKED).split()
+                every, docs = counts.setdefault((la, so), (Counter(), Counter()))
+                held_terms -= len(every)
+                every.update(terms)
+                docs.update(set(terms))
+                held_terms += len(every)
+                if held_terms >= TERMS:
                     yield written()
+                    held_terms = 0
         yield written()
 
     rows = docs.select(*[F.coalesce(col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     counted = rows.mapInArrow(task, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column, smooth: int, scale: int) -> Column:
@@ -84,78 +90,105 @@ def share(n: Column, total: Column, terms: Column, smooth: int, scale: int) -> C
     return F.lit(1).cast("long") + F.call_function("div", above, below)
 
 
+class _Path:
+    """The open path of the tree of one language, and the corrections of the nodes closed so far."""
+
+    def __init__(self) -> None:
+        self.lang: str | None = None
+        self.start()
+
+    def start(self) -> None:
+        self.number: dict[str, int] = {}
+        self.s, self.n, self.p, self.z, self.m = (np.zeros(0, dtype=np.int64) for _ in range(5))
+        self.keys, self.values, self.held = [], [], 0
+
+    def numbers(self, codes: np.ndarray, names: list[str]) -> np.ndarray:
+        """The numbers of the sources of a row."""
+        return np.fromiter((self.number.setdefault(names[c], len(self.number)) for c in codes.tolist()), np.int64, len(codes))
+
+    def insert(self, s: np.ndarray, n: np.ndarray, p: np.ndarray, z: np.ndarray, count: int) -> None:
+        """Add ``count`` terms whose sources ``s`` hold them ``n`` times; rows come in order of (source, n)."""
+        both = min(len(s), len(self.s))
+        same = (s[:both] == self.s[:both]) & (n[:both] == self.n[:both])
+        shared = both if same.all() else int(same.argmin())
+        self.close(shared)
+        self.s, self.n, self.p, self.z = s, n, p, z
+        self.m = np.concatenate((self.m[:shared], np.zeros(len(s) - shared, dtype=np.int64)))
+        self.m[-1] += count
+
+    def close(self, depth: int) -> None:
+        """Close the nodes below ``depth``: each has all terms of those under it, and is corrected with each ancestor once."""
+        if depth >= len(self.m):
+            return
+        terms = np.cumsum(self.m[depth:][::-1])[::-1]
+        step = max(1, SUMS // len(self.m))
+        for at in range(depth, len(self.m), step):
+            d = np.arange(at, min(at + step, len(self.m)))
+            node, above = np.nonzero(d[:, None] > np.arange(d[-1] + 1)[None, :])
+            node += at
+            p, z, pa_, za = self.p[node], self.z[node], self.p[above], self.z[above]
+            fix = np.abs(p - pa_) - np.abs(p - za) - np.abs(z - pa_) + np.abs(z - za)
+            self.keys.append(self.s[node] << 32 | self.s[above])
+            self.values.append(fix * terms[node - depth])
+            self.held += len(node)
+            if self.held >= SUMS:
+                self.add_up()
+        if depth:
+            self.m[depth - 1] += terms[0]
+
+    def add_up(self) -> None:
+        """One sum for each pair."""
+        if not self.keys:
+            return
+        keys, values = np.concatenate(self.keys), np.concatenate(self.values)
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+        sums = np.add.reduceat(values, first) if len(first) else values
+        self.keys, self.values, self.held = [keys[first]], [sums], len(first)
+
+    def written(self) -> pa.RecordBatch:
+        """The sums of the pairs so far, which start anew."""
+        self.add_up()
+        names = pa.array(list(self.number), pa.string())
+        keys = self.keys[0] if self.keys else np.zeros(0, dtype=np.int64)
+        values = self.values[0] if self.values else keys
+        out = pa.RecordBatch.from_arrays([pa.array([self.lang] * len(keys), pa.string()), names.take(pa.array(keys >> 32)),
+                                          names.take(pa.array(keys & 0xFFFFFFFF)), pa.array(values)], names=["lang", "a", "b", "value"])
+        self.keys, self.values, self.held = [], [], 0
+        return out
+
+    def finish(self, lang: str | None) -> pa.RecordBatch:
+        """Close the whole tree; the next rows are of ``lang``."""
+        self.close(0)
+        out = self.written()
+        self.start()
+        self.lang = lang
+        return out
+
+
 def tree_corrections(rows: DataFrame) -> DataFrame:
     """lang, a, b (a after b in source order), value: the corrections of the terms that both hold.
 
     ``rows`` has lang, items (source, n, p, z; by source) and m (terms with these items).
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []  # sources of the open language
-        number: dict[str, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        state = {"lang": None, "held": 0}
-        path: list[tuple[str, int]] = []  # the open path: (source, n), and by depth its numbers, shares and multiplicities
-        index, p, z = (np.zeros(64, dtype=np.int64) for _ in range(3))
-        m: list[int] = []
-
-        def close(depth: int) -> None:
-            """Close the nodes below ``depth``: correct each with its ancestors, pass its terms to its parent."""
-            while len(path) > depth:
-                d = len(path) - 1
-                if d:
-                    fix = np.abs(p[d] - p[:d]) - np.abs(p[d] - z[:d]) - np.abs(z[d] - p[:d]) + np.abs(z[d] - z[:d])
-                    s, top = int(index[d]), int(index[:d].max()) + 1
-                    row = sums.get(s)
-                    if row is None or len(row) < top:
-                        grown = np.zeros(max(top, 2 * (0 if row is None else len(row)), 16), dtype=np.int64)
-                        if row is not None:
-                            grown[:len(row)] = row
-                        state["held"] += len(grown) - (0 if row is None else len(row))
-                        row = sums[s] = grown
-                    row[index[:d]] += m[d] * fix
-                    m[d - 1] += m[d]
-                path.pop()
-                m.pop()
-
-        def written() -> pa.RecordBatch:
-            a, b, v = [], [], []
-            for s, row in sums.items():
-                there = np.flatnonzero(row)
-                a += [names[s]] * len(there)
-                b += [names[k] for k in there]
-                v += row[there].tolist()
-            sums.clear()
-            state["held"] = 0
-            return pa.RecordBatch.from_arrays([pa.array([state["lang"]] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(v, pa.int64())],
-                                              names=["lang", "a", "b", "value"])
-
+        tree = _Path()
         for batch in batches:
-            for lang, items, count in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if lang != state["lang"]:
-                    close(0)
-                    yield written()
-                    state["lang"] = lang
-                    names.clear()
-                    number.clear()
-                shared = 0
-                while shared < min(len(path), len(items)) and path[shared] == (items[shared]["source"], items[shared]["n"]):
-                    shared += 1
-                close(shared)
-                if len(items) > len(p):
-                    index, p, z = (np.concatenate((x, np.zeros(len(items), dtype=np.int64))) for x in (index, p, z))
-                for d in range(shared, len(items)):
-                    item = items[d]
-                    if item["source"] not in number:
-                        number[item["source"]] = len(names)
-                        names.append(item["source"])
-                    path.append((item["source"], item["n"]))
-                    index[d], p[d], z[d] = number[item["source"]], item["p"], item["z"]
-                    m.append(0)
-                m[len(items) - 1] += count
-                if state["held"] >= SUMS:
-                    yield written()
-        close(0)
-        yield written()
+            langs, counts = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            ends = batch.column(1).offsets.to_numpy()
+            items = batch.column(1).values
+            coded = items.field("source").dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            n, p, z = (items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "p", "z"))
+            for k, lang in enumerate(langs):
+                if lang != tree.lang:
+                    yield tree.finish(lang)
+                at, to = ends[k], ends[k + 1]
+                tree.insert(tree.numbers(codes[at:to], names), n[at:to], p[at:to], z[at:to], int(counts[k]))
+                if tree.held >= SUMS:
+                    yield tree.written()
+        yield tree.finish(None)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select("lang", "items", "m").repartitionByRange(n, "lang", "items").sortWithinPartitions("lang", "items")
@@ -166,10 +199,11 @@ def audit(docs: DataFrame, min_docs: int = 30, smooth: int = 5, scale: int = 1_0
           lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value and rank: how far each source is from each other one of its language
     (part ``pair``), and the ``top`` terms that it uses more than the language does (part ``term``)."""
-    counts = cut(term_counts(docs, lang_col, source_col, text_col))
+    whole = Window.partitionBy("lang", "term")
+    held = cut(term_counts(docs, lang_col, source_col, text_col)
+               .withColumn("in_docs", F.sum("docs").over(whole)).withColumn("in_lang", F.sum("n").over(whole))
+               .where(F.col("in_docs") >= min_docs).select("lang", "source", "term", "n", "in_lang"))
     groups = docs.select(*[F.coalesce(col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]).distinct()
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("in_lang")).where(F.col("in_docs") >= min_docs)
-    held = cut(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"))
     per_term = held.groupBy("lang", "term").agg(F.max("in_lang").alias("in_lang"))
     langs = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -177,10 +211,10 @@ def audit(docs: DataFrame, min_docs: int = 30, smooth: int = 5, scale: int = 1_0
               .select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "lang_total")])
               .withColumn("z", F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms"), smooth, scale)).otherwise(0)))
     shares = cut(shares)
+    if (shares.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        shares = F.broadcast(shares)
 
-    cells = cut(held.join(shares.drop("z", "lang_total"), ["lang", "source"])
-                .withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"), smooth, scale))
-                .join(shares.select("lang", "source", "z", "lang_total"), ["lang", "source"]))
+    cells = cut(held.join(shares, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"), smooth, scale)))
     items = F.sort_array(F.collect_list(F.struct("source", "n", "p", "z")))
     rows = (cells.groupBy("lang", "term").agg(items.alias("items")).where(F.size("items") > 1)
             .groupBy("lang", "items").agg(F.count("*").alias("m")))
