@@ -187,7 +187,7 @@ def ttf_by(nr: DataFrame, dim: str) -> DataFrame:
     df = nr.where(F.col("ttf_hours").isNotNull()).withColumn(dim, F.coalesce(F.col(dim), F.lit(LBL_UNRECORDED)))
     cnt = df.groupBy(dim).agg(F.count(F.lit(1)).alias("members"))
     med = exact_quantiles(df, "ttf_hours", [0.5], group=dim).withColumnRenamed("q_0_5", "median_ttf_hours")
-    return cnt.join(F.broadcast(med), dim, "left")
+    return cnt.join(med, dim, "left")
 
 
 def cohort_pl(nr: DataFrame) -> DataFrame:

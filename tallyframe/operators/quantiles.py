@@ -2,120 +2,112 @@
 
 Spark's exact ``percentile`` / ``median`` merge one frequency map per group in a single task,
 so a global median over billions of distinct values would pull them all into one reducer.
-Here the order statistics at ranks floor(q(n-1)) and ceil(q(n-1)) are found by histogram
-refinement: every pass is one distributed aggregate of (target, bin) counts over the values
-still inside each target's [lo, hi] interval; the driver sees only the bin counts
-(targets x bins rows) and, at the end, at most ``collect_at`` candidate values per target.
-Each pass narrows the interval ~``bins``-fold, so 100 billion values need ~4 passes.
-The result equals the linearly interpolated quantile (``percentile`` / ``quantile_cont``).
+Here the order statistics at ranks floor(q(n-1)) and the one above are found by descent over the
+digits of the values.  Every double has an exponent (with its sign) and 52 bits of mantissa, which order
+it; these are cut into four digits of at most 2^18 values.  At each level the values that share the digits so far
+with a wanted rank are counted by the next digit, a window over those few counts finds the digit that holds the
+rank, and the descent goes on inside it.  After the last digit one value is left.
+
+The plan is lazy and has a fixed number of levels for any range of values; the driver holds no state, and a level
+sees one row per digit and rank, never the values of a group.  The values are counted once, by (group, value), and
+Spark reuses that exchange in every level.  The result equals the linearly interpolated quantile
+(``percentile`` / ``quantile_cont``).
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GKEY = "__g"
+#: Bits of the mantissa behind the second, third and fourth digit.
+SHIFTS = (34, 17, 0)
+#: Exponents of doubles start here (the least subnormal is 2^-1074).
+LEAST_EXPONENT = -1074
+INFINITE = 4096
+
+
+def with_digits(counts: DataFrame) -> DataFrame:
+    """``counts`` with the four digits d0 to d3 of ``v``: equal prefixes of digits hold neighbouring values, in order."""
+    two, size, near = F.lit(2.0), F.col("size"), F.col("near")
+    plain = (size > 0) & (size < float("inf"))
+    floor = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(LEAST_EXPONENT)).cast("double")
+    # the logarithm is rounded: correct it by the exact powers of two beside it
+    exact = F.when(F.pow(two, near) > size, near - 1).when((near < 1023) & (F.pow(two, near + 1) <= size), near + 1).otherwise(near)
+    scaled = (size / F.pow(two, F.col("exponent")) - 1) * F.lit(float(1 << 52))
+    # one step after the other: Spark keeps them apart, so no step is spelt out inside the next
+    out = counts.withColumn("size", F.abs("v")).withColumn("near", F.when(plain, floor).otherwise(0.0)).withColumn("exponent", exact)
+    out = out.withColumn("bits", F.when(plain, F.signum("v") * scaled).otherwise(0.0).cast("bigint"))
+    first = F.when(size == 0, 0.0).when(plain, F.col("exponent") - LEAST_EXPONENT + 1).otherwise(float(INFINITE))
+    return out.select("g", "c", "v", (F.signum("v") * first).cast("int").alias("d0"),
+                      *[F.shiftright("bits", k).alias(f"d{j + 1}") for j, k in enumerate(SHIFTS)])
+
+
+def order_statistics(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``ranks`` (g, rank) with the value at that rank (from 0) among ``counts`` (g, v, c) of the group."""
+    keyed = with_digits(counts)
+    found = ranks.select(F.col("g").alias("g0"), "rank", F.col("rank").alias("left"))
+    path: list[str] = []
+    for k in range(len(SHIFTS) + 1):
+        same = F.col("g").eqNullSafe(F.col("g0"))
+        for d in path:
+            same = same & F.col(d).eqNullSafe(F.col(f"{d}_at"))
+        held = [f"{d}_at" for d in path]
+        if path:
+            here = keyed.join(found, same).groupBy("g0", "rank", "left", *held, f"d{k}")
+        else:  # the first digit is the same for all ranks
+            here = keyed.groupBy("g", "d0")
+        here = here.agg(F.sum("c").alias("n"), F.max("v").alias("v"))
+        order = Window.partitionBy(*(["g0", "rank"] if path else ["g"])).orderBy(f"d{k}")
+        here = here.withColumn("upto", F.sum("n").over(order))
+        if not path:
+            here = here.join(found, same)
+        found = (here.where((F.col("left") >= F.col("upto") - F.col("n")) & (F.col("left") < F.col("upto")))
+                 .select("g0", "rank", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), *held,
+                         F.col(f"d{k}").alias(f"d{k}_at"), "v"))
+        if k < len(SHIFTS):
+            found = found.drop("v")
+        path.append(f"d{k}")
+    return found.select(F.col("g0").alias("g"), "rank", "v")
 
 
-def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None = None, bins: int = 1024,
-                    collect_at: int = 4096, max_passes: int = 16, extra=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None = None,
+                    extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per ``group`` (one row per group: group, q_<p> ...).
 
-    ``value`` is a column name or Column; NULLs are ignored.  ``extra`` maps output names to
-    aggregate Columns evaluated over ALL rows of the group in the first pass, so callers get their
-    other KPIs from the same (persisted) input instead of recomputing it.
+    ``value`` is a column name or Column; NULL and NaN are ignored; a group without values has NULL quantiles, and a
+    NULL group is a group.  ``extra`` maps output names to aggregate Columns over ALL rows of the group; there
+    the value is called ``__v``.  Without ``group`` there is one row, for an empty frame as well.
     """
-    spark = df.sparkSession
-    v = F.col(value) if isinstance(value, str) else value
-    g = F.col(group).cast("string") if group else F.lit("")
-    extra = dict(extra or {})
-    val = v.cast("double")
-    base = df.select("*", g.alias(GKEY), F.when(~F.isnan(val), val).alias("__v")) if extra else \
-        df.select(g.alias(GKEY), val.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats_df = base.groupBy(GKEY).agg(F.count("__v").alias("n"), F.min("__v").alias("lo"),
-                                          F.max("__v").alias("hi"), *[e.alias(k) for k, e in extra.items()])
-        stats_rows = stats_df.collect()  # one row per group
-        extras = {r[GKEY]: [r[k] for k in extra] for r in stats_rows}
-        stats = {r[GKEY]: (r["n"], r["lo"], r["hi"]) for r in stats_rows if r["n"] > 0}
-        # targets: (group, rank) -> [lo, hi, below, value]
-        targets: dict[tuple[str, int], list] = {}
-        for gk, (n, lo, hi) in stats.items():
-            for q in qs:
-                pos = q * (n - 1)
-                for r in {math.floor(pos), min(math.floor(pos) + 1, n - 1)}:
-                    targets[(gk, r)] = [lo, hi, 0, lo if lo == hi else None]
-        for _ in range(max_passes):
-            pending = {k: t for k, t in targets.items() if t[3] is None}
-            if not pending:
-                break
-            ids = list(pending)
-            tdf = spark.createDataFrame([(i, k[0], t[0], t[1]) for i, (k, t) in enumerate(pending.items())],
-                                        f"tid int, {GKEY} string, lo double, hi double")
-            j = base.select(GKEY, "__v").join(F.broadcast(tdf), GKEY).where(F.col("__v").between(F.col("lo"), F.col("hi")))
-            b = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"),
-                        F.lit(bins - 1))
-            hist = j.groupBy("tid", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"),
-                                                        F.max("__v").alias("mx")).collect()  # <= targets x bins rows
-            by_t: dict[int, list] = {}
-            for r in hist:
-                by_t.setdefault(r["tid"], []).append((r["bin"], r["c"], r["mn"], r["mx"]))
-            small = []
-            for tid, rows in by_t.items():
-                key = ids[tid]
-                t = targets[key]
-                need = key[1] - t[2]
-                cum = 0
-                for _b, c, mn, mx in sorted(rows):
-                    if cum + c > need:
-                        t[0], t[1], t[2] = mn, mx, t[2] + cum
-                        if mn == mx:
-                            t[3] = mn
-                        elif c <= collect_at:
-                            small.append((key, tid))
-                        break
-                    cum += c
-            if small:
-                # one job for every target that is down to <= collect_at candidates
-                sdf = spark.createDataFrame([(i, k[0], targets[k][0], targets[k][1]) for i, (k, _t) in enumerate(small)],
-                                            f"sid int, {GKEY} string, lo double, hi double")
-                cand: dict[int, list] = {}
-                for r in (base.select(GKEY, "__v").join(F.broadcast(sdf), GKEY)
-                              .where(F.col("__v").between(F.col("lo"), F.col("hi"))).select("sid", "__v").collect()):
-                    cand.setdefault(r["sid"], []).append(r["__v"])  # <= collect_at values per target
-                for i, (key, _tid) in enumerate(small):
-                    t = targets[key]
-                    t[3] = sorted(cand[i])[key[1] - t[2]]
-        rows = []
-        for gk in extras:
-            out = [gk]
-            if gk not in stats:
-                rows.append(tuple(out + [None] * len(qs) + extras[gk]))
-                continue
-            n = stats[gk][0]
-            for q in qs:
-                pos = q * (n - 1)
-                r0 = math.floor(pos)
-                r1 = min(r0 + 1, n - 1)
-                a, c = targets[(gk, r0)][3], targets[(gk, r1)][3]
-                out.append(a + (c - a) * (pos - r0))
-            rows.append(tuple(out + extras[gk]))
-    finally:
-        base.unpersist()
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-    names = [f"q_{str(q).replace('.', '_')}" for q in qs]
-    fields = [StructField(GKEY, StringType())] + [StructField(n, DoubleType()) for n in names]
-    fields += [stats_df.schema[k] for k in extra]
-    schema = StructType(fields)
-    if not rows and not group:
-        rows = [tuple([""] + [None] * (len(qs) + len(extra)))]
-    res = spark.createDataFrame(rows, schema)
-    if group:
-        return res.withColumnRenamed(GKEY, group)
-    return res.drop(GKEY)
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    base = df.withColumn("__v", F.when(~F.isnan(v), v))
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
+    base = base.withColumn("__g", key)
+    aggs = [F.count("__v").alias("__n"), *[e.alias(k) for k, e in (extra or {}).items()]]
+    stats = base.groupBy("__g").agg(*aggs) if group else base.agg(*aggs).withColumn("__g", F.lit(""))
+    counts = base.where(F.col("__v").isNotNull()).groupBy(F.col("__g").alias("g"), F.col("__v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    total = counts.groupBy("g").agg(F.sum("c").alias("n"))
+
+    def place(q: float, n: Column) -> Column:
+        return F.lit(float(q)) * (n - 1)
+
+    wanted = []
+    for q in qs:
+        low = F.floor(place(q, F.col("n")))
+        wanted += [low, F.least(low + 1, F.col("n") - 1)]
+    ranks = total.select("g", F.explode(F.array_distinct(F.array(*wanted))).alias("rank"))
+    values = order_statistics(counts, ranks).groupBy(F.col("g").alias("g1")).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two ranks a quantile at most
+    out = stats.join(values, F.col("__g") == F.col("g1"), "left")
+
+    def quantile(q: float) -> Column:
+        pos = place(q, F.col("__n"))
+        low = F.floor(pos)
+        a, b, part = F.col("at")[low], F.col("at")[F.least(low + 1, F.col("__n") - 1)], pos - low
+        apart = b - a  # beyond the largest double for values far apart
+        return F.when(a == b, a).when(F.abs(apart) == float("inf"), a * (1 - part) + b * part).otherwise(a + apart * part)
+
+    named = [quantile(q).alias(f"q_{str(q).replace('.', '_')}") for q in qs]
+    shown = [F.when(F.col("__g") != "", F.substring("__g", 2, 1 << 30)).alias(group)] if group else []
+    return out.select(*shown, *named, *(extra or {}))

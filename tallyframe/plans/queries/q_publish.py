@@ -202,7 +202,7 @@ def ag130(spark, d):
     "miss": "SELECT CAST(x AS DATE) AS d FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS x FROM d) "
             "WHERE CAST(x AS DATE) NOT IN (SELECT d FROM d)"}, body="""
 SELECT (SELECT count(*) FROM miss) AS missing_days,
-  (SELECT list(strftime(d, '%Y-%m-%d') ORDER BY d) FROM (SELECT d FROM miss ORDER BY d LIMIT 5)) AS first_missing"""))
+  coalesce((SELECT list(strftime(d, '%Y-%m-%d') ORDER BY d) FROM (SELECT d FROM miss ORDER BY d LIMIT 5)), []) AS first_missing"""))
 def ag131(spark, d):
     return Q.check_missing_days(S.agent_daily(spark, d), "date")
 

@@ -79,13 +79,54 @@ def test_exact_quantiles_match_percentile(spark):
     rows = [(random.choice("ab"), random.choice([random.random() * 50, 3.0, float(random.randint(0, 2))]))
             for _ in range(5000)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.q_0_5, r.q_0_9) for r in exact_quantiles(df, "v", [0.5, 0.9], group="g", bins=4, collect_at=20).collect()}
+    got = {r.g: (r.q_0_5, r.q_0_9) for r in exact_quantiles(df, "v", [0.5, 0.9], group="g").collect()}
     ref = {r.g: (r.m, r.p) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"),
                                                         F.percentile("v", 0.9).alias("p")).collect()}
     for k in ref:
         assert abs(got[k][0] - ref[k][0]) < 1e-9 and abs(got[k][1] - ref[k][1]) < 1e-9
 
 
+def test_exact_quantiles_of_wide_and_odd_values(spark):
+    import random
+
+    from tallyframe.operators.quantiles import exact_quantiles
+    rnd = random.Random(1)
+    wide = [10.0 ** rnd.uniform(-300, 200) * rnd.choice((1, 1, -1)) for _ in range(3000)]
+    wide += [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1.0, 2.0, 4.0, 1 - 2.0 ** -53, 1 + 2.0 ** -52] * 3
+    near = [3.0 + k * 2.0 ** -51 for k in range(500)] * 2
+    groups = {"wide": wide, "near": near, "huge": [1.7e308, 1.7e308, -1.7e308, -1.7e308], "one": [7.5], "inf": [float("inf"), 1.0, float("-inf")],
+              "none": [None, float("nan")], None: [1.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], group="g", extra={"rows": F.count(F.lit(1))}).collect()}
+    assert len(got) == len(groups) and all(got[g]["rows"] == len(vs) for g, vs in groups.items())
+    for g, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None and v == v)
+        for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+            mine = got[g][f"q_{str(q).replace('.', '_')}"]
+            if not vs:
+                assert mine is None
+                continue
+            pos = q * (len(vs) - 1)
+            a, b = vs[int(pos)], vs[min(int(pos) + 1, len(vs) - 1)]
+            part = pos - int(pos)
+            want = a if a == b else a * (1 - part) + b * part if abs(b - a) == float("inf") else a + (b - a) * part
+            assert mine == want or (mine != mine and want != want), (g, q, mine, want)
+    empty = exact_quantiles(df.limit(0), "v", [0.5], extra={"rows": F.count(F.lit(1))}).collect()
+    assert [tuple(r) for r in empty] == [(None, 0)]
+
+
+def test_quantile_plans_run_no_job(spark):
+    from tallyframe.operators.quantiles import exact_quantiles
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    sc.setJobGroup("plan", "plan")
+    out = exact_quantiles(df, "v", [0.5, 0.9])
+    assert not tracker.getJobIdsForGroup("plan")
+    sc.setJobGroup("run", "run")
+    assert tuple(out.first()) == (499.5, 899.1)
+
+
 def test_replace_batches_edge_cases(spark, tmpdir_path):
     from tallyframe.sources.files import read_raw
     ex = frame(spark, [("2026-01-01", 1), ("2026-01-02", 2)])
