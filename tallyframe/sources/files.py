@@ -10,17 +10,18 @@ list (bounded by the number of files), then builds ONE lazy plan per report type
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.exprs import LBL_UNKNOWN_ACTIVITY, clean_text, month_key, to_num, to_num_commas, to_ts, utrim
 from ..operators.clean import (SKIP_EXACT, clean_payments, drop_all_zero_rows, drop_total_rows, infer_snapshot_month, modal_month,
                                type_columns, unwrap_all, with_issue_label)
 from ..operators.dedupe import keep_first, keep_last
+from ..operators.quality import check_missing_days, check_row_drop, check_zero_metric, looks_month_aggregated
 from . import publish as P
 
 # fixed values: report type by file name — (pattern, table), case-insensitive, first match wins
@@ -115,14 +116,18 @@ def file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def file_headers(spark: SparkSession, paths: Sequence[str] | str, encoding: str = "UTF-8") -> DataFrame:
-    """(path, header array) for every text/CSV file, in one distributed pass."""
-    t = spark.read.option("encoding", encoding).text(paths if isinstance(paths, str) else list(paths))
+#: A comma outside quotes.
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def file_headers(spark: SparkSession, paths: Sequence[str] | str, encoding: str = "UTF-8", nested: bool = False) -> DataFrame:
+    """(path, header array) for every text/CSV file, in one distributed pass; with ``nested`` those of all subfolders."""
+    t = spark.read.option("encoding", encoding).option("recursiveFileLookup", nested).text(paths if isinstance(paths, str) else list(paths))
     t = t.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("bs"),
                  "value", F.monotonically_increasing_id().alias("mid"))
     first = t.where(F.col("bs") == 0).groupBy("path").agg(F.min_by("value", "mid").alias("line"))
     line = F.regexp_replace(F.col("line"), "^﻿", "")
-    hdr = F.transform(F.split(line, ","), lambda x: utrim(F.regexp_replace(x, r'^="(.*)"$|^"(.*)"$', "$1$2")))
+    hdr = F.transform(F.split(line, COMMA), lambda x: utrim(F.regexp_replace(x, r'^="(.*)"$|^"(.*)"$', "$1$2")))
     return first.select("path", hdr.alias("header"))
 
 
@@ -167,21 +172,36 @@ def read_bets(spark: SparkSession, path: str, months: Sequence[str] | None = Non
 PLACE = ("_source_file", "_split", "_row")
 
 
-def read_report_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """IO-04: all-text CSV read of files with ONE header, tolerant of bad lines; columns created by trailing
-    commas dropped; ``="…"`` unwrapped in names and cells; ``PLACE`` columns from the file metadata.
+#: Text of a line with more cells than the header (IO-04); null in all other rows.
+FAULT = "_fault"
+
 
+def read_report_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multi_line: bool = False, faults: bool = False) -> DataFrame:
+    """IO-04: all-text CSV read of files with ONE header; columns created by trailing commas dropped; ``="…"``
+    unwrapped in names and cells; ``PLACE`` columns from the file metadata.
+
+    A line with fewer cells is filled with NULL.  One with more cells that are not blank cannot be told apart into
+    columns: it is left out, or, with ``faults``, kept with its text in column ``_fault`` for the caller to put aside.
     ``multi_line`` reads quoted cells with line breaks (such a file is one split)."""
-    df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(paths))
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if not (c.startswith("_c") and c[2:].isdigit())],
+    reader = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False))
+    names = reader.csv(paths).columns
+    schema = StructType([StructField(c, StringType()) for c in [*names, FAULT]])
+    # without pruning of cells a line of another length is noticed, whichever columns are asked for
+    df = reader.option("columnNameOfCorruptRecord", FAULT).option("columnPruning", False).schema(schema).csv(paths)
+    cells = F.split(F.col(FAULT), COMMA)
+    surplus = F.exists(F.slice(cells, len(names) + 1, F.greatest(F.size(cells), F.lit(1))), lambda c: F.trim(c) != "")
+    if names:  # Spark does not read the texts of faulty lines alone, so a data column is always read with them
+        surplus = surplus & (F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) >= "")
+    df = df.select(*[F.col(f"`{c}`") for c in names if not (c.startswith("_c") and c[2:].isdigit())],
+                   F.when(surplus, F.col(FAULT)).alias(FAULT),
                    file_path().alias("_source_file"), F.col("_metadata.file_block_start").alias("_split"),
                    F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_modification_time").alias("_file_time"))
-    return unwrap_all(df)
+    return unwrap_all(df) if faults else unwrap_all(df.where(F.col(FAULT).isNull()).drop(FAULT))
 
 
 def read_grouped(spark: SparkSession, files: Sequence[tuple[str, Sequence[str]]], encoding: str = "UTF-8",
-                 multi_line: bool = False) -> DataFrame:
+                 multi_line: bool = False, faults: bool = False) -> DataFrame:
     """IO-04 over (path, header) pairs: files are read by header, then united by column name, so a column
     that stands elsewhere in another file is still that column."""
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -189,7 +209,7 @@ def read_grouped(spark: SparkSession, files: Sequence[tuple[str, Sequence[str]]]
         groups.setdefault(tuple(header), []).append(path)
     out = None
     for paths in groups.values():
-        df = read_report_csv(spark, paths, encoding, multi_line)
+        df = read_report_csv(spark, paths, encoding, multi_line, faults)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -198,24 +218,34 @@ def read_grouped(spark: SparkSession, files: Sequence[tuple[str, Sequence[str]]]
 SUMMARY_SHEET = "总表"
 
 
+def read_folders(spark: SparkSession, root: str, folder: str, skip: Sequence[str] = (), encoding: str = "UTF-8") -> DataFrame:
+    """The CSV files of the subfolders of ``root`` whose path matches ``folder``, read by header and united by column name;
+    ``_folder`` is what the expression's group holds.  Quoted cells may have line breaks."""
+    heads = file_headers(spark, root, encoding, nested=True)
+    name = F.regexp_extract("path", folder, 1)
+    landed = [(r["path"], r["header"]) for r in heads.where(~name.isin(list(skip))).collect()]  # one row per file
+    if not landed:
+        return spark.createDataFrame([], "_source_file string, _folder string")
+    df = read_grouped(spark, landed, encoding, multi_line=True).drop("_split", "_row", "_file_time")
+    return df.withColumn("_folder", F.regexp_extract("_source_file", folder, 1))
+
+
 def union_sheets(spark: SparkSession, root: str) -> DataFrame:
-    """IO-05: sheets landed as ``sheet=<name>/`` folders -> one frame tagged ``_sheet``; summary sheet
-    and fully empty rows dropped.  Partition discovery gives the sheet name for free."""
-    df = spark.read.option("header", True).option("basePath", root).csv(root)
-    df = df.withColumnRenamed("sheet", "_sheet").where(F.col("_sheet") != SUMMARY_SHEET)
-    data = [c for c in df.columns if c != "_sheet"]
-    return df.dropna(how="all", subset=data)
+    """IO-05: sheets landed as ``sheet=<name>/`` folders -> one frame tagged ``_sheet``, by column name; summary sheet
+    and fully empty rows dropped."""
+    df = read_folders(spark, root, r"/sheet=([^/]+)/[^/]+$", skip=(SUMMARY_SHEET,)).drop("_source_file")
+    df = df.withColumnRenamed("_folder", "_sheet")
+    data = [clean_text(F.col(f"`{c}`")) for c in df.columns if c != "_sheet"]
+    return df.where(F.coalesce(*data).isNotNull()) if data else df
 
 
 def read_month_folders(spark: SparkSession, root: str) -> DataFrame:
-    """IO-06: CSV files under ``<root>/<YYYYMM or YYYY-MM>/`` with the month from the folder and
+    """IO-06: CSV files under ``<root>/<YYYYMM or YYYY-MM>/``, by column name, with the month from the folder and
     provenance ``<month>/<file>``."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(root)
-    p = F.col("_metadata.file_path")
-    folder = F.regexp_extract(p, r"/(\d{6}|\d{4}-\d{2})/[^/]+$", 1)
-    m = month_key(F.nullif(folder, F.lit("")))
-    return df.select("*", m.alias("_snapshot_month"),
-                     F.concat_ws("/", folder, F.regexp_extract(p, r"[^/]+$", 0)).alias("_source_file"))
+    df = read_folders(spark, root, r"/(\d{6}|\d{4}-\d{2})/[^/]+$")
+    place = F.concat_ws("/", "_folder", F.regexp_extract("_source_file", r"[^/]+$", 0))
+    month = month_key(F.nullif("_folder", F.lit("")))
+    return df.withColumns({"_snapshot_month": month, "_source_file": place}).drop("_folder")
 
 
 def daily_ops(tabs: DataFrame, date_col: str = "日期", tab_ord: str = "tab_ord", row_ord: str = "row_ord") -> DataFrame:
@@ -232,10 +262,16 @@ def daily_ops(tabs: DataFrame, date_col: str = "日期", tab_ord: str = "tab_ord
 
 @dataclass
 class IngestResult:
+    """A kind's line of the log: ``rows`` were written (or would be, in a dry run), of ``landed`` cleaned rows; ``faulty``
+    lines were put aside; ``warnings`` are the upload checks that failed."""
+
     report_type: str
     files: int
     rows: int
     status: str
+    landed: int = 0
+    faulty: int = 0
+    warnings: tuple[str, ...] = ()
 
 
 # fixed values: typed columns of the commission reports
@@ -327,8 +363,9 @@ def clean_report(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
-def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) -> str:
-    """Put ``new`` into the table by its discipline.
+def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) -> tuple[str, int | None]:
+    """Put ``new`` into the table by its discipline; returns the discipline and, where only some rows may be new
+    to the table, how many were (else None: all are written).
 
     Period disciplines read and replace only the batch's months (partitions ``_period``), after the loss
     guard (IO-17) has compared what the batch must not touch; keyed and per-file tables only append.
@@ -342,8 +379,11 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
             fresh = P.append_new_keys(new, existing, col, PLACE)
         else:
             fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
-        P.append_evolving(fresh.drop("_split", "_row", "_file_time"), path)
-        return kind
+        fresh = fresh.drop("_split", "_row", "_file_time")
+        n = fresh.count()
+        if n:
+            P.append_evolving(fresh, path)
+        return kind, n
     if kind == "snapshot" and table == "raw_top_report" and not new.where(F.col(col).isNull()).isEmpty():
         raise ValueError("a TOP report needs its month in the file name")
     text = F.col(col).cast("string")
@@ -371,14 +411,60 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
         touched = touched.unionByName(spark.createDataFrame([(None,), ("",), ("nan",), ("None",)], "k string"))
     P.assert_untouched(existing.withColumn("__p", guard), combined.withColumn("__p", guard), "__p", touched)
     P.publish_partitions(combined.withColumn(P.PERIOD, key), root, table)
-    return kind
+    return kind, None
+
+
+# fixed values: the key metrics of the periodic reports, by table
+ZERO_METRICS = {"raw_platform_report": ("注册数", "公司输赢", "首存人数"), "raw_top_report": ("有效投注额", "个人输赢")}
+
+
+def upload_checks(spark: SparkSession, table: str, new: DataFrame, root: str | None) -> list[str]:
+    """AG-130…133 on a cleaned upload of a table that is replaced by days: what a person should look at before they trust it.
+    The batch is compared with the rows that the table holds for the same days."""
+    kind, date = DISCIPLINE.get(table, ("files", None))
+    if kind != "dates" or date not in new.columns:
+        return []
+    day = F.substring(F.col(date).cast("string"), 1, 10)
+    out = []
+    if looks_month_aggregated(new, date).first()["month_aggregated"]:
+        out.append("AG-133: dates are whole months")
+    gaps = check_missing_days(new.where(day.rlike(r"^\d{4}-\d{2}-\d{2}$")).select(F.try_to_date(day, "yyyy-MM-dd").alias("d")), "d").first()
+    if gaps["missing_days"]:
+        out.append(f"AG-131: {gaps['missing_days']} days without rows, first {', '.join(gaps['first_missing'])}")
+    metric = check_zero_metric(new, ZERO_METRICS.get(table, ())).first()
+    if metric["all_zero"]:
+        out.append(f"AG-132: {metric['metric']} is zero everywhere")
+    if root:
+        span = new.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+        months = sorted({p["p"] for p in new.select(P.period_of(day).alias("p")).distinct().collect()})  # calendar-bounded
+        try:
+            held = spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/{table}").where(F.col(P.PERIOD).isin(months))
+        except AnalysisException as e:
+            if e.getCondition() not in NO_TABLE:
+                raise
+            return out
+        drop = check_row_drop(new, held.where(day.between(span["lo"], span["hi"]))).first()
+        if drop["warn"]:
+            out.append(f"AG-130: {drop['new_rows']} rows for days that hold {drop['existing_rows']}")
+    return out
+
+
+def put_aside(faults: DataFrame, root: str, table: str) -> None:
+    """IO-04: the lines that could not be read, with their file, under ``_quarantine``; a file's lines once."""
+    path = f"{root.rstrip('/')}/_quarantine/{table}"
+    try:
+        faults = P.only_new_files(faults, faults.sparkSession.read.parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() not in NO_TABLE:
+            raise
+    P.append_evolving(faults, path)
 
 
 def ingest_batch(spark: SparkSession, landing: str, root: str | None, dry_run: bool = False,
                  encoding: str = "UTF-8") -> DataFrame:
     """IO-21 / IO-22: classify every landed file, clean each report type in one plan, then (unless
     ``dry_run``) publish it by its discipline.  One failing report type does not stop the others.
-    Returns the log (report_type, files, rows, status)."""
+    Returns the log (report_type, files, rows written, status, landed, faulty, warnings)."""
     return ingest_files(spark, landing, root, dry_run, encoding)
 
 
@@ -398,21 +484,29 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
             log.append(IngestResult(rtype, len(landed), 0, "skipped: unrecognised"))
             continue
         try:
-            df = P.stamp(clean_report(read_grouped(spark, landed, encoding, rtype == "raw_cs_conversations"), rtype))
+            read = read_grouped(spark, landed, encoding, rtype == "raw_cs_conversations", faults=True)
+            faults = read.where(F.col(FAULT).isNotNull()).select("_source_file", F.col(FAULT).alias("line"), F.col("_split").alias("split"),
+                                                                 F.col("_row").alias("place"))
+            faulty = faults.count()
+            df = P.stamp(clean_report(read.where(F.col(FAULT).isNull()).drop(FAULT), rtype))
             if DISCIPLINE.get(rtype, ("", ""))[0] == "snapshot" and "_snapshot_month" not in df.columns:
                 top = rtype == "raw_top_report"
                 df = infer_snapshot_month(df, reg_col="注册时间" if "注册时间" in df.columns else None,
                                           mtime_col=None if top else "_file_time", top_report=top)
             n = df.count()
+            warnings = tuple(upload_checks(spark, rtype, df, root))
             if dry_run or root is None:
-                log.append(IngestResult(rtype, len(landed), n, "dry run"))
+                log.append(IngestResult(rtype, len(landed), n, "dry run", n, faulty, warnings))
             else:
-                kind = publish_table(spark, rtype, df, root)
-                log.append(IngestResult(rtype, len(landed), n, f"written ({kind})"))
+                kind, fresh = publish_table(spark, rtype, df, root)
+                if faulty:
+                    put_aside(faults, root, rtype)
+                status = f"written ({kind})" if fresh is None or fresh == n else f"skipped: already loaded ({kind})" if not fresh else f"written in part ({kind})"
+                log.append(IngestResult(rtype, len(landed), n if fresh is None else fresh, status, n, faulty, warnings))
         except Exception as e:  # noqa: BLE001 — one kind's failure does not keep the others out; it is reported below
             log.append(IngestResult(rtype, len(landed), 0, f"failed: {str(e).splitlines()[0][:200]}"))
             broken.append((rtype, e))
     if broken and raise_failures:
         raise RuntimeError(f"ingest failed for {', '.join(t for t, _ in broken)}") from broken[0][1]
-    return spark.createDataFrame([(x.report_type, x.files, x.rows, x.status) for x in log],
-                                 "report_type string, files int, rows long, status string")
+    return spark.createDataFrame([astuple(x) for x in log], "report_type string, files int, rows long, status string, "
+                                 "landed long, faulty long, warnings array<string>")

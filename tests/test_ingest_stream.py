@@ -64,6 +64,63 @@ def test_sheets_months_daily_ops(spark, tmpdir_path):
     assert [(r["日期"], r.a, r.b) for r in d] == [("2026-05-01", 13.0, 2000.0)]
 
 
+def test_folders_are_read_by_header(spark, tmpdir_path):
+    s, m = os.path.join(tmpdir_path, "sheets"), os.path.join(tmpdir_path, "months")
+    write(os.path.join(s, "sheet=01", "p.csv"), 'id,text,win\nc1,"one\ntwo, three",5\n')
+    write(os.path.join(s, "sheet=b c", "p.csv"), 'win,id,"text, long"\n7,c2,x\n,,\n')
+    got = sorted((r["id"], r["win"], r["text"], r["text, long"], r["_sheet"]) for r in FS.union_sheets(spark, s).collect())
+    assert got == [("c1", "5", "one\ntwo, three", None, "01"), ("c2", "7", None, "x", "b c")]
+    write(os.path.join(m, "202605", "a.csv"), "registrations,win\n1,2\n")
+    write(os.path.join(m, "2026-06", "b.csv"), "win,registrations\n30,4\n")
+    got = sorted((r["_snapshot_month"], r["registrations"], r["win"], r["_source_file"]) for r in FS.read_month_folders(spark, m).collect())
+    assert got == [("2026-05", "1", "2", "202605/a.csv"), ("2026-06", "4", "30", "2026-06/b.csv")]
+
+
+def test_lines_with_surplus_cells_are_put_aside(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    write(os.path.join(land, "business-report-1.csv"), '日期,注册数,公司输赢,首存人数,\n2026-01-01,5,"1,000",2,\n2026-01-02,6,1,2,3,4\n2026-01-03,7\n2026-01-04,8,1,2,,,\n')
+    for _ in range(2):
+        log = FS.ingest_batch(spark, land, root).collect()
+        assert [(r.rows, r.landed, r.faulty) for r in log] == [(3, 3, 1)]
+    assert sorted((r["日期"], r["注册数"], r["公司输赢"]) for r in table(spark, root, "raw_platform_report").collect()) == [
+        ("2026-01-01", "5", "1,000"), ("2026-01-03", "7", None), ("2026-01-04", "8", "1")]
+    aside = spark.read.parquet(os.path.join(root, "_quarantine", "raw_platform_report")).collect()
+    assert [r.line for r in aside] == ["2026-01-02,6,1,2,3,4"] and aside[0]["_source_file"].endswith("business-report-1.csv")
+
+
+def test_log_tells_what_was_loaded_before(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    chat = "对话ID,开始时间,满意度评价,对话内容\nc{0},2026-01-03 10:00:00,满意,hello\n"
+    write(os.path.join(land, "m1", "chat.csv"), chat.format(1))
+    write(os.path.join(land, "b1", "b.csv"), "订单号,红利标题,红利金额,申请时间\nA1,t,1,2026-01-01 10:00:00\n")
+    log = {r.report_type: r for r in FS.ingest_batch(spark, [f"{land}/m1", f"{land}/b1"], root).collect()}
+    assert {k: (r.rows, r.status) for k, r in log.items()} == {"raw_cs_conversations": (1, "written (files)"), "raw_bonus_report": (1, "written (keys)")}
+    write(os.path.join(land, "m2", "chat.csv"), chat.format(2))
+    write(os.path.join(land, "b2", "b2.csv"), "订单号,红利标题,红利金额,申请时间\nA1,t,1,2026-01-01 10:00:00\nA2,t,1,2026-01-01 10:00:00\n")
+    log = {r.report_type: r for r in FS.ingest_batch(spark, [f"{land}/m2", f"{land}/b2"], root).collect()}
+    c, b = log["raw_cs_conversations"], log["raw_bonus_report"]
+    assert (c.rows, c.landed, c.status) == (0, 1, "skipped: already loaded (files)")
+    assert (b.rows, b.landed, b.status) == (1, 2, "written in part (keys)")
+    assert table(spark, root, "raw_cs_conversations").count() == 1 and table(spark, root, "raw_bonus_report").count() == 2
+
+
+def test_upload_checks_in_the_job(spark, tmpdir_path):
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    head = "日期,注册数,公司输赢,首存人数\n"
+
+    def warnings(name, text, dry=False):
+        write(os.path.join(land, name, "business-report.csv"), head + text)
+        return [w[:6] for w in FS.ingest_batch(spark, os.path.join(land, name), root, dry_run=dry).first().warnings]
+
+    month = "".join(f"2026-01-{d:02},{d},100,2\n" for d in range(1, 31))
+    assert warnings("whole", month) == []
+    assert warnings("gap", "2026-02-01,1,1,1\n2026-02-05,1,1,1\n") == ["AG-131"]
+    assert warnings("zero", "2026-03-01,0,1,1\n2026-03-02,0,1,1\n") == ["AG-132"]
+    assert warnings("months", "2026-04,5,1,1\n", dry=True) == ["AG-133"]
+    assert warnings("less", "2026-01-01,1,1,1\n" + "2026-01-02,1,1,1\n" * 8 + "2026-01-30,1,1,1\n", dry=True) == ["AG-131", "AG-130"]
+    assert warnings("other month", "2026-05-01,1,1,1\n2026-05-02,1,1,1\n") == []  # few rows, but none for these days before
+
+
 def test_slot_totals_of_two_batches_out_of_order(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "events")
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
