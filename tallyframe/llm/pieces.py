@@ -26,8 +26,9 @@ and name before anything is added, so extra columns with clashing names are neve
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +41,10 @@ from .common import col
 SPACE = "▁"
 #: Parts of texts, and pairs of pieces, that a task remembers.
 MEMO = 1 << 18
+#: Below every score.
+NEVER = float("-inf")
 #: Rows that a task turns at a time.
-ROWS = 512
+ROWS = 1024
 
 
 class Vocabulary(NamedTuple):
@@ -107,32 +110,34 @@ class Encoder:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.known = 0
 
     def merged(self, text: str) -> list[str]:
         """What BPE makes of a short text: the best-scored pair merges first, the leftmost of equal ones."""
-        scores, parts = self.vocab.scores, list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return parts
+        score, parts = self.vocab.scores.get, list(text)
+        gains = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > NEVER:
+            at = gains.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            for k in (at - 1, at):
+                if 0 <= k < len(gains):
+                    gains[k] = score(parts[k] + parts[k + 1], NEVER)
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether BPE leaves ``left`` and ``right`` as they are when one follows the other."""
-        if len(self.pairs) >= MEMO:
-            self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        """Whether BPE leaves ``left`` and ``right`` as they are when one follows the other; found once and kept."""
+        self.known += 1
+        found = self.pairs[left][right] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
 
     def last_tokens(self, part: str) -> list[str]:
         """The last token of every prefix of ``part`` (an empty string for the empty prefix)."""
-        last: list[str | None] = [None] * (len(part) + 1)
-        last[0] = ""
+        if self.known >= MEMO:
+            self.known = 0
+            self.pairs.clear()
+        last: list[str | None] = ["", *[None] * len(part)]
         pairs, compatible = self.pairs, self.compatible
         for at, token in self.automaton.iter(part):  # all tokens that end at one position, then those of the next
             at += 1
@@ -141,16 +146,16 @@ class Encoder:
                 left = last[before]
                 if left is None:  # no token ends there: a character without a piece
                     left = last[before] = part[before - 1]
-                fits = pairs.get((left, token))
+                fits = pairs[left].get(token)
                 if compatible(left, token) if fits is None else fits:
                     last[at] = token
         if None in last:
             last = [last[0], *[part[k] if t is None else t for k, t in enumerate(last[1:])]]
         return last
 
-    def part_ids(self, part: str) -> tuple[int, ...]:
-        """The ids of one part, recovered backwards from the table of last tokens."""
-        last, at, ids, piece = self.last_tokens(part), len(part), [], self.vocab.pieces.get
+    def ids(self, last: list[str]) -> tuple[int, ...]:
+        """The ids of a part, recovered backwards from the table of its last tokens."""
+        at, ids, piece = len(last) - 1, [], self.vocab.pieces.get
         while at:
             token = last[at]
             k = piece(token)
@@ -166,12 +171,13 @@ class Encoder:
             return []
         if len(self.parts) >= MEMO:
             self.parts.clear()
-        parts = self.find((SPACE if self.vocab.dummy_prefix else "") + text.replace(" ", SPACE))
-        known = self.parts
-        for p in set(parts):
-            if p not in known:
-                known[p] = self.part_ids(p)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+        known, ids = self.parts, []
+        for part in self.find((SPACE if self.vocab.dummy_prefix else "") + text.replace(" ", SPACE)):
+            found = known.get(part)
+            if found is None:
+                found = known[part] = self.ids(self.last_tokens(part))
+            ids += found
+        return ids
 
 
 def spell(vocab: Vocabulary, ids: list[int]) -> str:
@@ -192,7 +198,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                ids = [np.array(encoder.encode(t.as_py()), dtype=np.int32) for t in b.column(1)]
+                ids = [np.array(x, dtype=np.int32) for x in map(encoder.encode, b.column(1).to_pylist())]
                 ends = np.array([0, *accumulate(map(len, ids))], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
