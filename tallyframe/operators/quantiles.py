@@ -97,9 +97,11 @@ def exact_quantiles(df: DataFrame, value, qs: Sequence[float], group: str | None
         low = F.floor(place(q, F.col("n")))
         wanted += [low, F.least(low + 1, F.col("n") - 1)]
     ranks = total.select("g", F.explode(F.array_distinct(F.array(*wanted))).alias("rank"))
+    if not group:
+        ranks = F.broadcast(ranks)  # two rows a quantile at most
     values = order_statistics(counts, ranks).groupBy(F.col("g").alias("g1")).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two ranks a quantile at most
-    out = stats.join(values, F.col("__g") == F.col("g1"), "left")
+    out = stats.join(values if group else F.broadcast(values), F.col("__g") == F.col("g1"), "left")  # without a group: one row
 
     def quantile(q: float) -> Column:
         pos = place(q, F.col("__n"))
