@@ -203,8 +203,7 @@ def vote_month(df: DataFrame, date_col: str, group_col: str | None = None) -> Da
     keys = [group_col] if group_col else []
     tok = vote_month_token(date_col)
     cnt = df.where(tok.isNotNull()).groupBy(*keys, tok.alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return cnt.groupBy(*keys).agg(
-        F.max_by("month", F.struct(F.col("n"), -F.unix_date(F.to_date(F.concat("month", F.lit("-01")))))).alias("month"))
+    return cnt.groupBy(*keys).agg(F.min_by("month", F.struct(-F.col("n"), F.col("month"))).alias("month"))
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

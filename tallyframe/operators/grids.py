@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import to_num_commas, utrim, wb_num, wb_yes
+from ..functions.exprs import month_from_name, to_num_commas, utrim, vote_month_token, wb_num, wb_yes
 
 KEYS = ("source_file", "sheet")
 
@@ -22,20 +22,19 @@ def blocks_to_records(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
     (c, c+1).  -> one row per (file, sheet, name) with the chosen labels as numeric columns.  Of blocks
     with one name the rightmost stands alone; of rows with one label in a block the lowest counts.
 
-    One pass over the cells: cells are folded to one row per (block, row) — label/name from the
-    even column, value from the odd one — and the block's name comes from a window over the
-    block's rows, the last block of a name from one over the name's (both bounded by a sheet's grid)."""
-    from pyspark.sql.window import Window
+    Cells fold to rows of a block (label from the even column, value from the odd one), rows to one row per
+    block, blocks to one per name: three aggregations, each partial before its shuffle, no window."""
     k = list(KEYS)
     even = F.col("c") % 2 == 0
     rows = cells.groupBy(*k, (F.col("c") - F.col("c") % 2).alias("b"), "r").agg(
         F.max(F.when(even, utrim("v"))).alias("label"), F.max(F.when(~even, F.col("v"))).alias("value"))
-    name = F.max(F.when(F.col("r") == 0, F.col("label"))).over(Window.partitionBy(*k, "b"))
-    named = rows.withColumn("name", name).where(F.col("name").isNotNull() & ~F.lower("name").isin("", "none", "nan"))
-    last = named.withColumn("last", F.max("b").over(Window.partitionBy(*k, "name"))).where(F.col("b") == F.col("last"))
-    j = last.withColumn("label", F.when(F.col("r") > 0, F.col("label")))
-    p = j.groupBy(*k, "name").pivot("label", list(labels)).agg(F.max_by("value", "r"))
-    return p.select(*k, "name", *[wb_num(F.col(f"`{x}`")).alias(x) for x in labels])
+    blocks = rows.groupBy(*k, "b").agg(
+        F.max(F.when(F.col("r") == 0, F.col("label"))).alias("name"),
+        F.struct(*[F.max_by("value", F.when((F.col("r") > 0) & (F.col("label") == x), F.col("r"))).alias(f"v{i}")
+                   for i, x in enumerate(labels)]).alias("values"))
+    named = blocks.where(F.col("name").isNotNull() & ~F.lower("name").isin("", "none", "nan"))
+    last = named.groupBy(*k, "name").agg(F.max_by("values", "b").alias("values"))
+    return last.select(*k, "name", *[wb_num(F.col(f"values.v{i}")).alias(x) for i, x in enumerate(labels)])
 
 
 # fixed values: header keywords of the per-caller detail sheets
@@ -45,40 +44,95 @@ RELOGIN_KWS = ("七天", "登入")
 DATE_KWS = ("拨打日期", "日期")
 
 
-def detail_totals(cells: DataFrame, max_header_row: int = 3) -> DataFrame:
-    """CL-26: header = first of rows 0..max_header_row with a cell that is the account word (in a sheet
-    without one, that contains it, e.g. 会员账号); columns found by
-    substring (recharge; 七天 else 登入; 拨打日期 else 日期); rows with a blank account skipped;
-    per sheet: recharge sum, yes-flag count, row count."""
-    k = list(KEYS)
-    hdr_cells = cells.where(F.col("r") <= max_header_row)
-    hr = hdr_cells.where(F.col("v").contains(ACCOUNT_KW)).groupBy(*k).agg(
-        F.coalesce(F.min(F.when(utrim("v") == ACCOUNT_KW, F.col("r"))), F.min("r")).alias("hr"))
-    h = hdr_cells.join(hr, k).where(F.col("r") == F.col("hr")).select(*k, "hr", "c", utrim("v").alias("h"))
+#: Shares into which the rows of a sheet are dealt, so that a sheet of any length is many tasks.
+SHARES = 32
+
+
+def header_roles(cells: DataFrame, max_header_row: int = 3) -> DataFrame:
+    """CL-26: one row per sheet: its header row ``hr`` and the columns of its roles (``c_acc``, ``c_rec``, ``c_rel``,
+    ``c_dat``; NULL if absent).  The header is the first of rows 0..max_header_row with a cell that is the account
+    word (in a sheet without one, that contains it, e.g. 会员账号); columns are found by substring, the first keyword
+    of a role that any cell holds, leftmost among equals.  Only the header rows are read."""
+    k, h = list(KEYS), utrim("v")
 
     def pick(*kws):
-        # first keyword that matches any header cell wins; leftmost column among its matches
-        e = None
-        for rank, kw in enumerate(kws):
-            cond = F.col("h").contains(kw)
-            e = F.when(cond, F.lit(rank)) if e is None else e.when(cond, F.lit(rank))
-        return e
-
-    roles = h.select(*k, "hr", "c",
-                     pick(ACCOUNT_KW).alias("acc"), pick(RECHARGE_KW).alias("rec"),
-                     pick(*RELOGIN_KWS).alias("rel"), pick(*DATE_KWS).alias("dat"))
-    cols = roles.groupBy(*k, "hr").agg(
-        *[F.min_by("c", F.when(F.col(role).isNotNull(), F.struct(role, "c"))).alias(f"c_{role}")
-          for role in ("acc", "rec", "rel", "dat")])
-    body = cells.join(cols, k).where(F.col("r") > F.col("hr"))
-    rows = body.groupBy(*k, "r").agg(
-        F.max(F.when(F.col("c") == F.col("c_acc"), F.col("v"))).alias("account"),
-        F.max(F.when(F.col("c") == F.col("c_rec"), F.col("v"))).alias("recharge"),
-        F.max(F.when(F.col("c") == F.col("c_rel"), F.col("v"))).alias("relogin"))
-    rows = rows.where(F.coalesce(utrim("account"), F.lit("")) != "")
-    return rows.groupBy(*k).agg(F.sum(wb_num("recharge")).alias("recharge"),
-                                F.count_if(wb_yes("relogin")).alias("relogins"),
-                                F.count(F.lit(1)).alias("rows"))
+        rank = None
+        for i, kw in enumerate(kws):
+            rank = F.when(h.contains(kw), F.lit(i)) if rank is None else rank.when(h.contains(kw), F.lit(i))
+        return F.min_by("c", F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("c"))))
+
+    rows = cells.where(F.col("r") <= max_header_row).groupBy(*k, "r").agg(
+        F.bool_or(h == ACCOUNT_KW).alias("exact"), pick(ACCOUNT_KW).alias("c_acc"), pick(RECHARGE_KW).alias("c_rec"),
+        pick(*RELOGIN_KWS).alias("c_rel"), pick(*DATE_KWS).alias("c_dat")).where(F.col("c_acc").isNotNull())
+    best = rows.groupBy(*k).agg(F.min_by(F.struct(F.col("r").alias("hr"), "c_acc", "c_rec", "c_rel", "c_dat"),
+                                         F.struct(~F.col("exact"), F.col("r"))).alias("h"))
+    return best.select(*k, "h.*")
+
+
+def detail_rows(cells: DataFrame, max_header_row: int = 3) -> DataFrame:
+    """CL-26: the rows below each sheet's header as (file, sheet, r, account, recharge, relogin, called), rows
+    with a blank account skipped.
+
+    A sheet's rows are dealt to ``SHARES`` shares and its one row of roles is copied to each, so a sheet that
+    holds a third of all cells is joined and folded by many tasks; the fold uses the join's partitioning."""
+    k = [*KEYS, "share"]
+    roles = header_roles(cells, max_header_row).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    body = cells.withColumn("share", F.pmod("r", F.lit(SHARES))).join(roles, k).where(F.col("r") > F.col("hr"))
+    rows = body.groupBy(*k, "r").agg(*[F.max(F.when(F.col("c") == F.col(c), F.col("v"))).alias(name) for c, name in
+                                       (("c_acc", "account"), ("c_rec", "recharge"), ("c_rel", "relogin"), ("c_dat", "called"))])
+    return rows.where(F.coalesce(utrim("account"), F.lit("")) != "").drop("share")
+
+
+def _totals() -> list:
+    return [F.sum(wb_num("recharge")).alias("recharge"), F.count_if(wb_yes("relogin")).alias("relogins"),
+            F.count(F.lit(1)).alias("rows")]
+
+
+def detail_totals(cells: DataFrame, max_header_row: int = 3) -> DataFrame:
+    """CL-26: per sheet: recharge sum, yes-flag count and row count of its ``detail_rows``."""
+    return detail_rows(cells, max_header_row).groupBy(*KEYS).agg(*_totals())
+
+
+# fixed values: the statistics sheet of a call workbook, its labels and the columns of the call table
+STATS_SHEET = "统计结果"
+STATS = {"名单数": "名单数", "已播数": "已播数", "接通数": "接通数", "有效通话": "有效通话", "是否申请彩金": "申请彩金"}
+
+
+def month_of_name(name, year: int | None = None):
+    """Month 'YYYY-MM' that a file name tells: '2026…5月', '2026-05' or '2026/5'; else its month number (CL-16) in ``year``."""
+    base = F.regexp_extract(name, r"[^/]+$", 0)
+
+    def told(pattern):
+        m = F.regexp_extract(base, pattern, 2).try_cast("int")
+        return F.when(m.between(1, 12), F.format_string("%s-%02d", F.regexp_extract(base, pattern, 1), m))
+
+    number = month_from_name(base)
+    bare = F.when(number.between(1, 12), F.format_string("%d-%02d", F.lit(year).cast("int"), number)) if year else F.lit(None).cast("string")
+    return F.coalesce(told(r"(20\d{2})\D{0,3}(\d{1,2})\s*月"), told(r"(20\d{2})[-/](\d{1,2})"), bare)
+
+
+def call_records(cells: DataFrame, year: int | None = None) -> DataFrame:
+    """CL-25 + CL-26 + CL-15: a call workbook -> one row per (source_file, caller) of the call table.
+
+    The callers and their five counts come from the statistics sheet; recharge and re-logins from the caller's own
+    sheet (same name, trimmed, in any case; of several the first by name; 0 without one).  ``月份`` is the month that
+    most call dates of these sheets name (the smaller on ties), else that of the file name, else NULL."""
+    stats = blocks_to_records(cells.where(F.col("sheet") == STATS_SHEET), list(STATS))
+    stats = stats.withColumn("fold", F.lower("name")).drop("sheet")
+    per_month = detail_rows(cells.where(F.col("sheet") != STATS_SHEET)).groupBy(*KEYS, vote_month_token("called").alias("month")).agg(*_totals())
+    per_month = per_month.withColumn("fold", F.lower(utrim("sheet")))
+    by_sheet = per_month.groupBy(*KEYS, "fold").agg(F.sum("recharge").alias("recharge"), F.sum("relogins").alias("relogins"))
+    totals = by_sheet.groupBy("source_file", "fold").agg(F.min_by(F.struct("sheet", "recharge", "relogins"), "sheet").alias("t"))
+    chosen = totals.select("source_file", "fold", "t.*")
+    votes = per_month.where(F.col("month").isNotNull()).join(chosen.select("source_file", "sheet"), [*KEYS], "left_semi") \
+                     .join(stats.select("source_file", "fold"), ["source_file", "fold"], "left_semi") \
+                     .groupBy("source_file", "month").agg(F.sum("rows").alias("n"))
+    month = votes.groupBy("source_file").agg(F.min_by("month", F.struct(-F.col("n"), F.col("month"))).alias("voted"))
+    out = stats.join(chosen.drop("sheet"), ["source_file", "fold"], "left").join(month, "source_file", "left")
+    whole = [F.col(x).cast("long").alias(name) for x, name in STATS.items()]
+    return out.select("source_file", F.col("name").alias("专员"), *whole, F.coalesce("relogins", F.lit(0)).alias("七天回登"),
+                      F.coalesce("recharge", F.lit(0.0)).alias("召回充值"),
+                      F.coalesce("voted", month_of_name(F.col("source_file"), year)).alias("月份"))
 
 
 # fixed values: positional settlement sheet — marker words on row 7 and the 9 detail columns
@@ -115,3 +169,44 @@ def settlement_detail(cells: DataFrame) -> DataFrame:
                               for i, name in enumerate(DETAIL_COLS)])
     need = [F.coalesce(F.col(x), F.lit("")) != "" for x in ("name", "agent", "treatment")]
     return out.where(need[0] & need[1] & need[2])
+
+
+# fixed values: words in the name of a workbook's settlement sheet; columns of the two settlement tables
+SETTLEMENT_SHEET = "代理(帐|账)"
+SETTLEMENT_SUMMARY = {"item": "项目", "amount": "金额"}
+SETTLEMENT_DETAIL = {"status": "回款状态", "name": "名称", "agent": "总代账号", "prior_perf": "先前挂账业绩", "month_perf": "本月业绩",
+                     "total_perf": "业绩总计", "treatment": "适用待遇", "rate": "比例", "commission": "实际佣金"}
+
+
+def workbook_kinds(cells: DataFrame) -> DataFrame:
+    """CL-03 for workbooks: (source_file, kind, sheet): 'settlement' with the sheet that holds it (its marker words on row
+    7; one that is named so first, then by name), 'calls' if there is a statistics sheet, else 'unknown'."""
+    v = utrim("v")
+    sheets = cells.groupBy(*KEYS).agg(F.bool_or((F.col("r") == 7) & (v == MARKERS[0])).alias("m0"),
+                                      F.bool_or((F.col("r") == 7) & (v == MARKERS[1])).alias("m1"))
+    marked = F.coalesce(F.col("m0") & F.col("m1"), F.lit(False))
+    order = F.struct(~F.col("sheet").rlike(SETTLEMENT_SHEET), F.col("sheet"))
+    books = sheets.groupBy("source_file").agg(F.min_by("sheet", F.when(marked, order)).alias("sheet"),
+                                              F.bool_or(F.col("sheet") == STATS_SHEET).alias("calls"))
+    kind = F.when(F.col("sheet").isNotNull(), "settlement").when(F.col("calls"), "calls").otherwise("unknown")
+    return books.select("source_file", kind.alias("kind"), "sheet")
+
+
+def last_workbook(df: DataFrame) -> DataFrame:
+    """Of workbooks that tell the same month the last one by name stands; rows without a month are left out."""
+    last = df.groupBy("月份").agg(F.max("source_file").alias("source_file"))
+    return df.join(last, ["月份", "source_file"], "left_semi")
+
+
+def workbook_tables(cells: DataFrame, kinds: DataFrame, year: int | None = None) -> dict[str, DataFrame]:
+    """Cells of landed workbooks -> the rows of each table they fill (月份 may be NULL where nothing tells the month)."""
+    calls = cells.join(kinds.where(F.col("kind") == "calls").select("source_file"), "source_file", "left_semi")
+    settled = cells.join(kinds.where(F.col("kind") == "settlement").select(*KEYS), [*KEYS], "left_semi")
+    month = month_of_name(F.col("source_file"), year).alias("月份")
+
+    def named(df, columns):
+        return df.select("source_file", *[F.col(c).alias(n) for c, n in columns.items()], month)
+
+    return {"raw_winback": call_records(calls, year),
+            "raw_agent_settlement_summary": named(settlement_summary(settled), SETTLEMENT_SUMMARY),
+            "raw_agent_settlement_detail": named(settlement_detail(settled), SETTLEMENT_DETAIL)}

@@ -9,6 +9,7 @@ list (bounded by the number of files), then builds ONE lazy plan per report type
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import astuple, dataclass
 
@@ -20,8 +21,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.exprs import LBL_UNKNOWN_ACTIVITY, clean_text, month_key, to_num, to_num_commas, to_ts, utrim
 from ..operators.clean import (SKIP_EXACT, clean_payments, drop_all_zero_rows, drop_total_rows, infer_snapshot_month, modal_month,
                                type_columns, unwrap_all, with_issue_label)
+from ..operators import grids as G
 from ..operators.dedupe import keep_first, keep_last
 from ..operators.quality import check_missing_days, check_row_drop, check_zero_metric, looks_month_aggregated
+from ..session import scratch_path
 from . import publish as P
 
 # fixed values: report type by file name — (pattern, table), case-insensitive, first match wins
@@ -63,6 +66,7 @@ HEADER_RULES = (
     (("订单号", "订单时间", "订单状态"), (), "raw_finance_deposit"),
     (("订单号", "申请时间", "订单状态"), (), "raw_finance_withdraw"),
     (("代理帐号", "月份"), ("累计挂账额度", "发放佣金"), "raw_agent_settlement_monthly"),
+    (("source_file", "sheet", "r", "c", "v"), (), "workbook_cells"),
 )
 
 # fixed values: the standard periodic reports; only these lose total rows and all-zero rows
@@ -81,6 +85,7 @@ DISCIPLINE = {
     "raw_bonus_report": ("keys", "订单号"), "raw_cs_conversations": ("files", None),
     "raw_agent_commission_single": ("months", "佣金月份"), "raw_agent_commission_team": ("months", "佣金月份"),
     "raw_agent_settlement_monthly": ("months", "月份"), "raw_winback": ("months", "月份"),
+    "raw_agent_settlement_summary": ("months", "月份"), "raw_agent_settlement_detail": ("months", "月份"),
 }
 
 
@@ -460,6 +465,59 @@ def put_aside(faults: DataFrame, root: str, table: str) -> None:
     P.append_evolving(faults, path)
 
 
+# fixed values: the year of a call or settlement workbook whose dates and name tell a month but no year
+WORKBOOK_YEAR = 2026
+
+
+def read_cells(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Landed cell lists -> (cells, lines without a workbook or a place in a sheet)."""
+    whole = F.col("source_file").isNotNull() & F.col("r").try_cast("int").isNotNull() & F.col("c").try_cast("int").isNotNull()
+    cells = df.where(whole).select("source_file", F.coalesce("sheet", F.lit("")).alias("sheet"), F.col("r").try_cast("int").alias("r"),
+                                   F.col("c").try_cast("int").alias("c"), "v")
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in ("source_file", "sheet", "r", "c", "v")])
+    return cells, df.where(~whole).select("_source_file", line.alias("line"), F.col("_split").alias("split"), F.col("_row").alias("place"))
+
+
+def ingest_workbooks(spark: SparkSession, cells: DataFrame, root: str | None, dry_run: bool = False,
+                     year: int | None = WORKBOOK_YEAR) -> list[IngestResult]:
+    """IO-21 for workbooks as ``cells(source_file, sheet, r, c, v)``: call records and settlements are told apart, parsed
+    (CL-25…27) and published by month (IO-14); of workbooks with one month the last by name stands.  A workbook whose
+    month nothing tells is not written; both it and an unknown one get a line of the log.  One table's failure does
+    not keep the others out: its line says so."""
+    base = scratch_path(spark, f"workbooks/{uuid.uuid4().hex}")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    # the cell lists are parsed once; header and sheet filters then reach a columnar scan, and each table is built once
+    cells = kept(cells, "cells")
+    kinds = kept(G.workbook_kinds(cells), "kinds")
+    found = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    log = [IngestResult("workbook", found["unknown"], 0, "skipped: unrecognised")] if "unknown" in found else []
+    for table, rows in G.workbook_tables(cells, kinds, year).items():
+        if ("calls" if table == "raw_winback" else "settlement") not in found:
+            continue
+        try:
+            rows = kept(rows, table)
+            dated = rows.where(F.col("月份").isNotNull())
+            df = P.stamp(G.last_workbook(dated).withColumnRenamed("source_file", "_source_file"))
+            lost = rows.where(F.col("月份").isNull()).agg(F.count_distinct("source_file")).first()[0]
+            n, files = df.agg(F.count(F.lit(1)), F.count_distinct("_source_file")).first()
+            warnings = (f"no month found for {lost} workbooks",) if lost else ()
+            if dry_run or root is None:
+                log.append(IngestResult(table, files, n, "dry run", n, 0, warnings))
+            elif not n:
+                log.append(IngestResult(table, files, 0, "skipped: no rows", 0, 0, warnings))
+            else:
+                kind, _ = publish_table(spark, table, df, root)
+                log.append(IngestResult(table, files, n, f"written ({kind})", n, 0, warnings))
+        except Exception as e:  # noqa: BLE001 — reported in the log, and raised by the caller if it repeats failures
+            log.append(IngestResult(table, 0, 0, f"failed: {str(e).splitlines()[0][:200]}"))
+    P.remove(spark, base)
+    return log
+
+
 def ingest_batch(spark: SparkSession, landing: str, root: str | None, dry_run: bool = False,
                  encoding: str = "UTF-8") -> DataFrame:
     """IO-21 / IO-22: classify every landed file, clean each report type in one plan, then (unless
@@ -484,10 +542,20 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
             log.append(IngestResult(rtype, len(landed), 0, "skipped: unrecognised"))
             continue
         try:
-            read = read_grouped(spark, landed, encoding, rtype == "raw_cs_conversations", faults=True)
+            read = read_grouped(spark, landed, encoding, rtype in ("raw_cs_conversations", "workbook_cells"), faults=True)
             faults = read.where(F.col(FAULT).isNotNull()).select("_source_file", F.col(FAULT).alias("line"), F.col("_split").alias("split"),
                                                                  F.col("_row").alias("place"))
+            if rtype == "workbook_cells":
+                cells, placeless = read_cells(read.where(F.col(FAULT).isNull()))
+                faults = faults.unionByName(placeless)
             faulty = faults.count()
+            if rtype == "workbook_cells":
+                done = ingest_workbooks(spark, cells, root, dry_run)
+                if faulty and root and not dry_run:
+                    put_aside(faults, root, rtype)
+                log += [IngestResult(rtype, len(landed), 0, "read", 0, faulty), *done]
+                broken += [(x.report_type, RuntimeError(x.status)) for x in done if x.status.startswith("failed")]
+                continue
             df = P.stamp(clean_report(read.where(F.col(FAULT).isNull()).drop(FAULT), rtype))
             if DISCIPLINE.get(rtype, ("", ""))[0] == "snapshot" and "_snapshot_month" not in df.columns:
                 top = rtype == "raw_top_report"

@@ -18,6 +18,7 @@ not touch must be identical before and after.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -202,9 +203,16 @@ def _fs(spark, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def remove(spark, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def finish_pending(spark, root: str, table: str) -> None:
     """Complete publishes that a lost driver left: a staged copy with its success marker is put into the
-    table again (the same partitions, so twice is as once); one without it never counted."""
+    table again (the same partitions, so twice is as once); one without it never counted.  Deletions from
+    tables without periods are completed likewise (``_finish_rewrite``)."""
+    _finish_rewrite(spark, root, table)
     fs, base = _fs(spark, f"{root.rstrip('/')}/_pending/{table}")
     if not fs.exists(base):
         return
@@ -233,18 +241,37 @@ def publish_partitions(df: DataFrame, root: str, table: str) -> None:
     fs.delete(p, True)
 
 
-def delete_published(spark, root: str, table: str, key: str, periods: Sequence[str]) -> DataFrame:
-    """IO-16 writer: remove days or months from a published table; returns (removed, remaining) of the
-    touched partitions.  Partitions of other months are neither read nor written."""
+def _told(key: str, periods: Sequence[str], include_null: bool):
+    """Rows of the chosen periods: a day or month also stands for its longer texts, other values for themselves only;
+    with ``include_null`` rows without one (NULL, blank, 'nan', 'None') too."""
+    k = F.col(f"`{key}`").cast("string")
+    gone = F.lit(False)
+    for p in map(str, periods):
+        gone = gone | (k.startswith(p) if re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", p) else k == p)
+    if include_null:
+        gone = gone | k.isNull() | F.trim(k).isin("", "nan", "None")
+    return F.coalesce(gone, F.lit(False))
+
+
+def delete_published(spark, root: str, table: str, key: str, periods: Sequence[str], include_null: bool = False) -> DataFrame:
+    """IO-16 writer for every discipline: remove the rows whose ``key`` (a day, a month, a source file, ...) is one of ``periods``,
+    or has none (``include_null``); returns (removed, remaining) of the months or files that hold such rows.
+
+    Only these are written again: months of a table with periods, single files of a keyed or per-file table.
+    A key that the table does not have removes nothing."""
     finish_pending(spark, root, table)
     path = f"{root.rstrip('/')}/{table}"
-    parts = sorted({f"p{str(p)[:7]}" for p in periods})
-    touched = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(PERIOD).isin(parts))
-    k = F.col(key).cast("string")
-    gone = F.lit(False)
-    for p in periods:
-        gone = gone | k.startswith(str(p))
-    kept = touched.where(~F.coalesce(gone, F.lit(False)))
+    whole = spark.read.option("mergeSchema", "true").parquet(path)
+    gone = _told(key, periods, include_null) if key in whole.columns else F.lit(False)
+    if PERIOD not in whole.columns:
+        return _delete_from_files(spark, root, table, whole, gone)
+    days = [str(p) for p in periods]
+    if not include_null and all(re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", p) for p in days) and period_key(table) == key:
+        parts = sorted({f"p{p[:7]}" for p in days})  # the table's own period: its partitions are known without a scan
+    else:
+        parts = sorted(r[PERIOD] for r in whole.where(gone).select(PERIOD).distinct().collect())  # calendar-bounded
+    touched = whole.where(F.col(PERIOD).isin(parts))
+    kept = touched.where(~gone)
     left = {r[PERIOD]: r["n"] for r in kept.groupBy(PERIOD).agg(F.count(F.lit(1)).alias("n")).collect()}
     before = touched.count()
     if left:
@@ -253,7 +280,57 @@ def delete_published(spark, root: str, table: str, key: str, periods: Sequence[s
         fs, folder = _fs(spark, f"{path}/{PERIOD}={p}")
         if p not in left and fs.exists(folder):
             fs.delete(folder, True)
-    return spark.createDataFrame([(before - sum(left.values()), sum(left.values()))], "removed long, remaining long")
+    return _report(spark, before - sum(left.values()), sum(left.values()))
+
+
+def period_key(table: str) -> str | None:
+    """The column whose month a table is partitioned by."""
+    from .files import DISCIPLINE
+    return DISCIPLINE.get(table, (None, None))[1]
+
+
+def _report(spark, removed: int, remaining: int) -> DataFrame:
+    return spark.range(1).select(F.lit(removed).cast("long").alias("removed"), F.lit(remaining).cast("long").alias("remaining"))
+
+
+def _delete_from_files(spark, root: str, table: str, whole: DataFrame, gone) -> DataFrame:
+    """A table without periods: the files with such rows are replaced by one staged copy of their other rows.
+
+    The staged copy carries the list of the files that it replaces, and its list is written last: a deletion without
+    it never counted, one with it is completed by ``_finish_rewrite`` however often it is begun again."""
+    place = F.col("_metadata.file_path")
+    files = sorted(r["f"] for r in whole.where(gone).select(place.alias("f")).distinct().collect())  # names of files only
+    if not files:
+        return _report(spark, 0, 0)
+    touched = whole.where(place.isin(files))
+    counts = touched.agg(F.count_if(gone).alias("removed"), F.count_if(~gone).alias("remaining")).first()
+    staged = f"{root.rstrip('/')}/_pending_files/{table}/{uuid.uuid4().hex}"
+    if counts["remaining"]:
+        touched.where(~gone).write.parquet(f"{staged}/rows")
+    spark.createDataFrame([(f,) for f in files], "f string").coalesce(1).write.parquet(f"{staged}/replaced")
+    _finish_rewrite(spark, root, table)
+    return _report(spark, counts["removed"], counts["remaining"])
+
+
+def _finish_rewrite(spark, root: str, table: str) -> None:
+    """Put staged files into the table and take out those that they replace; each step may be repeated after a crash.
+    Between the two a reader may see rows twice, never too few."""
+    path = f"{root.rstrip('/')}/{table}"
+    fs, base = _fs(spark, f"{root.rstrip('/')}/_pending_files/{table}")
+    if not fs.exists(base):
+        return
+    for status in fs.listStatus(base):
+        staged = status.getPath().toString()
+        if fs.exists(_fs(spark, f"{staged}/replaced/_SUCCESS")[1]):
+            rows = _fs(spark, f"{staged}/rows")[1]
+            for part in fs.listStatus(rows) if fs.exists(rows) else []:
+                name = part.getPath().getName()
+                if name.endswith(".parquet"):
+                    fs.rename(part.getPath(), _fs(spark, f"{path}/{name}")[1])
+            for r in spark.read.parquet(f"{staged}/replaced").collect():  # names of files only
+                old = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["f"]))
+                fs.delete(old, False)
+        fs.delete(status.getPath(), True)
 
 
 def stamp(df: DataFrame, source_file: str | None = None) -> DataFrame:

@@ -83,3 +83,45 @@ def test_infer_snapshot_month(spark):
     assert out["/land/202604会员.csv"] == ("2026-04", "2026-04-01")        # 20YYMM in the name
     top = spark.createDataFrame([("/land/top 202512 报表.csv",)], "_source_file string")
     assert C.infer_snapshot_month(top, reg_col=None, top_report=True).first()._snapshot_month == "2025-12"
+
+
+def call_book(spark, name="/land/calls.xlsx", months=("2026-4-30", "2026年5月2日", "2026/05/03")):
+    """A call workbook: two callers in the statistics sheet, one with a sheet of their own, and a sheet of nobody's."""
+    stats = [(0, 0, "Ann"), (0, 2, "李四"), (1, 0, "名单数"), (1, 1, "1，200"), (2, 0, "是否申请彩金"), (2, 1, "7"), (1, 2, "已播数"), (1, 3, "40")]
+    own = [(0, 0, "明细"), (1, 1, " 账号 "), (1, 2, "充值金额"), (1, 3, "登入"), (1, 4, "七天回登"), (1, 5, "日期"), (1, 6, "拨打日期")]
+    for i, m in enumerate(months):
+        own += [(2 + i, 1, f"u{i}"), (2 + i, 2, "1,000.5"), (2 + i, 3, "是"), (2 + i, 4, "是" if i else "否"), (2 + i, 5, "2020-01-01"), (2 + i, 6, m)]
+    own += [(9, 1, "  "), (9, 2, "99")]
+    other = [(0, 0, "账号"), (0, 1, "拨打日期")] + [(i, c, v) for i in range(1, 9) for c, v in ((0, "x"), (1, "2020-01-01"))]
+    rows = [("统计结果", *x) for x in stats] + [(" ANN ", *x) for x in own] + [("别人", *x) for x in other]
+    return spark.createDataFrame([(name, *x) for x in rows], "source_file string, sheet string, r int, c int, v string")
+
+
+def test_call_records(spark):
+    got = {r["专员"]: r for r in G.call_records(call_book(spark)).collect()}
+    a, b = got["Ann"], got["李四"]
+    assert (a["名单数"], a["申请彩金"], a["七天回登"], a["召回充值"], a["月份"]) == (1200, 7, 2, 3001.5, "2026-05")
+    assert (b["名单数"], b["已播数"], b["七天回登"], b["召回充值"], b["月份"]) == (0, 40, 0, 0.0, "2026-05")
+    undated = call_book(spark, "/2025-01/五月.xlsx", ("", "x", "2026-13-01"))
+    assert {r["月份"] for r in G.call_records(undated.where("v <> '2026-13-01'"), 2026).collect()} == {"2026-05"}
+    assert {r["月份"] for r in G.call_records(undated.where("v <> '2026-13-01'")).collect()} == {None}
+    assert G.call_records(undated.limit(0)).count() == 0
+
+
+def test_month_of_name(spark):
+    names = {"/x/2026年5月.xlsx": "2026-05", "a 2025-11 b": "2025-11", "2025/3月/十一月.xlsx": "2024-11", "12月代理帐": "2024-12", "x": None,
+             "2026-13": None, "99月": None, None: None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.m for r in df.select("n", G.month_of_name(df.n, 2024).alias("m")).collect()} == names
+
+
+def test_rows_of_a_hot_sheet_are_dealt(spark):
+    """One sheet with nearly all rows: the fold of its rows uses the join's partitioning (sheet and share), totals are partial."""
+    n = 3000
+    head = cells(spark, [(0, 0, "账号"), (0, 1, "充值金额")], "hot")
+    body = spark.range(1, n + 1).selectExpr("'f.xlsx' AS source_file", "'hot' AS sheet", "int(id) AS r", "explode(array(0, 1)) AS c", "string(id) AS v")
+    df = G.detail_totals(head.unionByName(body))
+    t = df.first()
+    assert (t.recharge, t.rows) == (n * (n + 1) / 2, n)
+    spread = G.detail_rows(head.unionByName(body))
+    assert spread.count() == n and "Window" not in df._jdf.queryExecution().executedPlan().toString()

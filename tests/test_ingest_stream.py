@@ -268,3 +268,72 @@ def test_a_lost_driver_loses_nothing(spark, tmpdir_path):
     P.finish_pending(spark, root, "t")
     assert [r.v for r in spark.read.parquet(os.path.join(root, "t")).collect()] == ["a"]
     assert os.listdir(os.path.join(root, "_pending", "t")) == []
+
+
+def test_workbooks_as_landed_cells(spark, tmpdir_path):
+    """CL-25…27 in the job: call records and settlements by month, the last workbook of a month, what has no month or place."""
+    import csv
+
+    from tests.test_clean_grids import call_book
+    land, root = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "tables")
+    os.makedirs(land)
+
+    def settled(name, amount):
+        rows = [(1, 1, "本月业绩"), (2, 1, amount), (1, 2, "备注"), (2, 2, "n/a"), (4, 3, "实际佣金合计"), (5, 3, "50"), (7, 1, "名称"), (7, 2, "总代"),
+                (8, 0, "已回款"), (8, 1, "n1"), (8, 2, "g1"), (8, 3, "1,000"), (8, 6, "退成5%"), (8, 8, "9.5"), (9, 1, "n2"), (9, 2, "g2")]
+        return [(name, "4月代理帐", *x) for x in rows]
+
+    def book(file, *cells):
+        with open(os.path.join(land, file), "w", encoding="utf-8", newline="") as fh:
+            csv.writer(fh).writerows([("source_file", "sheet", "r", "c", "v"), *[x for part in cells for x in part]])
+
+    calls = [tuple(r) for r in call_book(spark, "calls.xlsx").collect()]
+    book("a.csv", calls, settled("2026年4月a.xlsx", "100"), settled("2026年4月b.xlsx", "200"), settled("no month.xlsx", "7"),
+         [("other.xlsx", "s", 0, 0, "line\nbreak, and comma"), ("other.xlsx", "s", "x", 0, "no place")])
+    log = {r.report_type: r for r in FS.ingest_batch(spark, land, root).collect()}
+    assert {t: (r.files, r.rows, r.status) for t, r in log.items()} == {
+        "workbook_cells": (1, 0, "read"), "workbook": (1, 0, "skipped: unrecognised"), "raw_winback": (1, 2, "written (months)"),
+        "raw_agent_settlement_summary": (1, 2, "written (months)"), "raw_agent_settlement_detail": (1, 1, "written (months)")}
+    assert log["workbook_cells"].faulty == 1 and log["raw_agent_settlement_detail"].warnings == ["no month found for 1 workbooks"]
+    assert sorted((r["专员"], r["月份"], r["七天回登"], r["_source_file"]) for r in table(spark, root, "raw_winback").collect()) == [
+        ("Ann", "2026-05", 2, "calls.xlsx"), ("李四", "2026-05", 0, "calls.xlsx")]
+    assert sorted((r["项目"], r["金额"], r["月份"]) for r in table(spark, root, "raw_agent_settlement_summary").collect()) == [
+        ("实际佣金合计", 50.0, "2026-04"), ("本月业绩", 200.0, "2026-04")]
+    d = table(spark, root, "raw_agent_settlement_detail").first()
+    assert (d["名称"], d["总代账号"], d["先前挂账业绩"], d["适用待遇"], d["实际佣金"], d["月份"]) == ("n1", "g1", 1000.0, "退成5%", 9.5, "2026-04")
+    assert spark.read.parquet(os.path.join(root, "_quarantine", "workbook_cells")).count() == 1
+    # a later upload replaces the month that it repeats and adds the other
+    os.remove(os.path.join(land, "a.csv"))
+    book("b.csv", calls, [tuple(r) for r in call_book(spark, "calls6.xlsx", ("2026-06-01",)).collect()])
+    FS.ingest_batch(spark, land, root)
+    assert sorted((r["专员"], r["月份"]) for r in table(spark, root, "raw_winback").collect()) == [
+        ("Ann", "2026-05"), ("Ann", "2026-06"), ("李四", "2026-05"), ("李四", "2026-06")]
+
+
+def test_delete_from_tables_of_every_kind(spark, tmpdir_path):
+    """IO-16: keyed and per-file tables lose rows by file or value, tables with periods by file too, and rows without a period."""
+    from tallyframe.sources import publish as P
+    root = os.path.join(tmpdir_path, "tables")
+
+    def put(name, rows, schema):
+        FS.publish_table(spark, name, spark.createDataFrame(rows, schema).withColumns({"_split": F.lit(0), "_row": F.monotonically_increasing_id()}), root)
+
+    bonus = "`订单号` string, _snapshot_month string, _source_file string"
+    put("raw_bonus_report", [("A1", "2026-01", "f 1.csv"), ("A2", "2026-02", "f 1.csv"), ("A3", None, "f 1.csv")], bonus)
+    put("raw_bonus_report", [("A4", "2026-01", "f2.csv")], bonus)
+    assert tuple(P.delete_published(spark, root, "raw_bonus_report", "_source_file", ["f2.csv"]).first()) == (1, 0)
+    assert tuple(P.delete_published(spark, root, "raw_bonus_report", "_snapshot_month", ["2026-02"], include_null=True).first()) == (2, 1)
+    assert [r["订单号"] for r in table(spark, root, "raw_bonus_report").collect()] == ["A1"]
+    assert tuple(P.delete_published(spark, root, "raw_bonus_report", "no_such_column", ["x"]).first()) == (0, 0)
+    # a deletion that a lost driver left is completed by the next one
+    staged = os.path.join(root, "_pending_files", "raw_bonus_report", "x")
+    old = [r.f for r in spark.read.parquet(os.path.join(root, "raw_bonus_report")).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+    spark.createDataFrame([("A9", "2026-01", "f9")], bonus).write.parquet(os.path.join(staged, "rows"))
+    spark.createDataFrame([(f,) for f in old], "f string").write.parquet(os.path.join(staged, "replaced"))
+    P.finish_pending(spark, root, "raw_bonus_report")
+    assert [r["订单号"] for r in spark.read.parquet(os.path.join(root, "raw_bonus_report")).collect()] == ["A9"]
+    month = "`月份` string, v int, _source_file string"
+    put("raw_winback", [(None, 1, "f1"), ("2026-01", 2, "f1"), ("2026-02", 3, "f2")], month)
+    assert tuple(P.delete_published(spark, root, "raw_winback", "月份", [], include_null=True).first()) == (1, 0)
+    assert tuple(P.delete_published(spark, root, "raw_winback", "_source_file", ["f2"]).first()) == (1, 0)
+    assert [r["v"] for r in table(spark, root, "raw_winback").collect()] == [2]
