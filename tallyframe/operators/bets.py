@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_order, ratio
-from .common import with_share
+from .common import top_and_total, with_share
 
 
 def _players(approx: bool):
@@ -137,7 +137,6 @@ def top_players(bets: DataFrame, k: int = 100) -> DataFrame:
 
 def concentration(bets: DataFrame, k: int = 100) -> DataFrame:
     """AG-73: turnover of the top-k players / total turnover x 100."""
-    top = top_players(bets, k).agg(F.sum("turnover").alias("top_turnover"))
-    tot = bets.agg(F.sum("turnover").alias("total_turnover"))
-    return top.crossJoin(tot).withColumn(
+    players = bets.groupBy("account", "vip").agg(F.sum("turnover").alias("turnover"))
+    return top_and_total(players, "turnover", k).withColumnsRenamed({"top": "top_turnover", "total": "total_turnover"}).withColumn(
         "concentration_pct", F.coalesce(ratio(F.col("top_turnover") * 100.0, "total_turnover"), F.lit(0.0)))

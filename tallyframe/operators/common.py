@@ -101,6 +101,21 @@ def with_share(df: DataFrame, metric: str, name: str = "share_pct", digits: int
     return df.withColumn(name, v)
 
 
+def top_and_total(grouped: DataFrame, metric: str, k: int, buckets: int = 64) -> DataFrame:
+    """AG-36 / AG-73: (top, total) of a metric over a *grouped* frame, as one row from one scan of the data.
+
+    Grouped rows are dealt to buckets by all their columns and ranked there; of each bucket the k largest values and the
+    sum of the rest remain (``buckets`` x (k + 1) rows at most), and these are ranked once more.  Which of equal values
+    counts does not change a sum, so no tie-break is needed."""
+    from pyspark.sql.window import Window
+    b = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in grouped.columns]), F.lit(buckets)).alias("b")
+    largest = F.col("v").desc_nulls_last()
+    ranked = grouped.select(b, F.col(metric).alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(largest)))
+    few = ranked.groupBy("b", F.when(F.col("i") <= k, F.col("i")).alias("i")).agg(F.sum("v").alias("v"))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy().orderBy(F.col("i").isNull(), largest)))
+    return few.agg(F.sum(F.when(F.col("i").isNotNull() & (F.col("n") <= k), F.col("v"))).alias("top"), F.sum("v").alias("total"))
+
+
 def hierarchy_totals(df: DataFrame, levels: Sequence[str], metric: str, fill: str | None = None) -> DataFrame:
     """AG-30 / AG-33: totals at every prefix level via ROLLUP; ``depth`` tells subtotal rows apart.
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import LBL_DIRECT, LBL_EMPTY, fill_label, ratio, utrim
 from ..functions.text import tag_hits
-from .common import member_count
+from .common import member_count, top_and_total
 
 
 def _key():
@@ -43,9 +43,8 @@ def top_report(member: DataFrame) -> DataFrame:
 def top_n_share(top: DataFrame, metric: str = "turnover", n: int = 20, month: str | None = None) -> DataFrame:
     """AG-36: sum of the n largest values / total for a snapshot month (all rows when month is None)."""
     df = top if month is None else top.where(F.col("snapshot_month") == month)
-    topn = df.orderBy(F.col(metric).desc(), "user").limit(n).agg(F.sum(metric).alias("top_sum"))
-    tot = df.agg(F.sum(metric).alias("total"))
-    return topn.crossJoin(tot).withColumn("top_share", ratio(F.col("top_sum").cast("double"), F.col("total").cast("double")))
+    sums = top_and_total(df.select("user", metric), metric, n).withColumnRenamed("top", "top_sum")
+    return sums.withColumn("top_share", ratio(F.col("top_sum").cast("double"), F.col("total").cast("double")))
 
 
 def member_distribution(member: DataFrame, dim: str) -> DataFrame:

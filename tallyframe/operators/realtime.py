@@ -34,9 +34,12 @@ def slot_anomaly(slots: DataFrame, metric: str = "turnover", days: int = 7, pct:
     baseline are not reported; flag 'drop' at <= -pct, 'spike' at >= pct, else 'normal'.
     Ordered by slot hour.
     """
+    return day_deviations(parse_slot(slots).groupBy("day", "slot").agg(F.sum(metric).alias("v")), days, pct)
+
+
+def day_deviations(sd: DataFrame, days: int = 7, pct: float = 20.0) -> DataFrame:
+    """AG-42 on (day, slot, v) rows, one per slot of a day (also the state of ST-02)."""
     from pyspark.sql.window import Window
-    p = parse_slot(slots)
-    sd = p.groupBy("day", "slot").agg(F.sum(metric).alias("v"))
     # (day, slot) rows are bounded by days x 24, so the latest day comes from a window over them
     # and latest value + baseline come out of ONE conditional aggregation: one scan of the input
     sd = sd.withColumn("latest", F.max("day").over(Window.partitionBy()))

@@ -269,12 +269,19 @@ def cl27s(spark, d):
 
 # ---------------------------------------------------------------- set operators / joins
 
-@register("so03_intersect_active", with_ctes("member", body="""
-SELECT account FROM member WHERE snapshot_month = '1998-11' INTERSECT SELECT account FROM member WHERE snapshot_month = '1998-12'"""))
+_PREV = "strftime(CAST(snapshot_month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')"
+
+
+def _month_before():
+    return F.date_format(F.add_months(F.to_date(F.concat("snapshot_month", F.lit("-01"))), -1), "yyyy-MM")
+
+
+@register("so03_intersect_active", with_ctes("member", body=f"""
+SELECT snapshot_month, account FROM member INTERSECT SELECT {_PREV}, account FROM member"""))
 def so03(spark, d):
+    """Accounts active in a month and in the next, for every month."""
     m = S.member(spark, d)
-    return m.where(F.col("snapshot_month") == "1998-11").select("account") \
-            .intersect(m.where(F.col("snapshot_month") == "1998-12").select("account"))
+    return m.select("snapshot_month", "account").intersect(m.select(_month_before().alias("snapshot_month"), "account"))
 
 
 @register("so04_days_without_bonus", with_ctes("platform", "bonus", body="""
@@ -290,14 +297,14 @@ def so05(spark, d):
     return S.winback(spark, d).select("month").union(S.market(spark, d).select("month")).distinct()
 
 
-@register("jn07_semi_next_month_active", with_ctes("member", body="""
-SELECT count(*) AS kept FROM (SELECT DISTINCT account, agent FROM member WHERE snapshot_month = '1998-11') a
-WHERE EXISTS (SELECT 1 FROM member b WHERE b.snapshot_month = '1998-12' AND b.account = a.account
-              AND b.agent IS NOT DISTINCT FROM a.agent)"""))
+@register("jn07_semi_next_month_active", with_ctes("member", body=f"""
+SELECT snapshot_month, count(*) AS kept FROM (SELECT DISTINCT snapshot_month, account, agent FROM member) a
+WHERE EXISTS (SELECT 1 FROM (SELECT {_PREV} AS m, account, agent FROM member) b WHERE b.m = a.snapshot_month AND b.account = a.account
+              AND b.agent IS NOT DISTINCT FROM a.agent) GROUP BY 1"""))
 def jn07(spark, d):
+    """Members of each month that are active in the next one too."""
     m = S.member(spark, d)
-    a = m.where(F.col("snapshot_month") == "1998-11").select("account", "agent").distinct()
-    b = m.where(F.col("snapshot_month") == "1998-12").select(F.col("account").alias("b_account"),
-                                                              F.col("agent").alias("b_agent"))
-    j = a.join(b, (a.account == b.b_account) & a.agent.eqNullSafe(b.b_agent), "left_semi")
-    return j.agg(F.count(F.lit(1)).alias("kept"))
+    a = m.select("snapshot_month", "account", "agent").distinct()
+    b = m.select(_month_before().alias("b_month"), F.col("account").alias("b_account"), F.col("agent").alias("b_agent"))
+    j = a.join(b, (a.snapshot_month == b.b_month) & (a.account == b.b_account) & a.agent.eqNullSafe(b.b_agent), "left_semi")
+    return j.groupBy("snapshot_month").agg(F.count(F.lit(1)).alias("kept"))

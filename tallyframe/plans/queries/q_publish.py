@@ -41,14 +41,13 @@ def _dated(spark, d):
 
 def _replace_inputs(spark, d):
     t = _dated(spark, d)
-    existing = t.where(F.col("o_orderkey") % 3 != 0)
-    new = t.where((F.col("o_orderkey") % 3 == 0) & (F.col("o_orderkey") % 50 != 0) &
-                  F.col("date_txt").between("1998-06-01", "1998-08-31"))
-    return new, existing
+    batch = ((F.col("o_orderkey") % 3 == 0) & (F.col("o_orderkey") % 50 != 0) &
+             F.col("date_txt").between("1998-06-01", "1998-08-31"))
+    return t.where(batch), t.where(~batch)  # every order is on one side
 
 
 _REPL_X = {"dated": _DATED,
-           "ex": "SELECT * FROM dated WHERE o_orderkey % 3 <> 0",
+           "ex": "SELECT * FROM dated WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 50 <> 0 AND date_txt BETWEEN '1998-06-01' AND '1998-08-31')",
            "nb": "SELECT * FROM dated WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 <> 0 AND date_txt BETWEEN '1998-06-01' AND '1998-08-31'",
            "keys": "SELECT DISTINCT substr(date_txt, 1, 10) AS k FROM nb UNION SELECT DISTINCT substr(date_txt, 1, 7) FROM nb",
            "combined": r"""SELECT * FROM ex WHERE (CASE WHEN regexp_full_match(date_txt, '\d{4}-\d{2}') THEN date_txt
@@ -191,10 +190,10 @@ def ag129(spark, d):
 @register("ag130_check_row_drop", """
 SELECT new_rows, existing_rows, existing_rows >= 20 AND new_rows < existing_rows * 0.7 AS warn FROM
  (SELECT count(*) AS new_rows FROM orders WHERE o_orderkey % 10 = 0) a,
- (SELECT count(*) AS existing_rows FROM orders WHERE o_orderkey % 10 < 5) b""")
+ (SELECT count(*) AS existing_rows FROM orders WHERE o_orderkey % 10 <> 0) b""")
 def ag130(spark, d):
     o = S.load(spark, d, "orders")
-    return Q.check_row_drop(o.where(F.col("o_orderkey") % 10 == 0), o.where(F.col("o_orderkey") % 10 < 5))
+    return Q.check_row_drop(o.where(F.col("o_orderkey") % 10 == 0), o.where(F.col("o_orderkey") % 10 != 0))
 
 
 @register("ag131_check_missing_days", with_ctes("agent_daily", extra={
@@ -232,15 +231,15 @@ def _filed(spark, d):
 
 @register("io09_only_new_files", with_ctes(extra={"fl": """SELECT o_orderkey, o_totalprice,
   '2026-0' || CAST(o_orderkey % 3 + 1 AS VARCHAR) || '/part' || CAST(o_orderkey % 7 AS VARCHAR) || '.csv' AS _source_file FROM ord"""},
-    body=r"""SELECT * FROM fl n WHERE o_orderkey % 2 = 0 AND NOT EXISTS (
+    body=r"""SELECT * FROM fl n WHERE (o_orderkey % 2 = 0 OR o_orderkey % 7 = 6) AND NOT EXISTS (
   SELECT 1 FROM (SELECT DISTINCT CASE WHEN o_orderkey % 7 < 3 THEN 'landing/' || regexp_extract(_source_file, '[^/]+$', 0)
-                                  ELSE _source_file END AS p FROM fl WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 < 5) e
+                                  ELSE _source_file END AS p FROM fl WHERE NOT (o_orderkey % 2 = 0 OR o_orderkey % 7 = 6)) e
   WHERE e.p = n._source_file OR regexp_extract(e.p, '[^/]+$', 0) = regexp_extract(n._source_file, '[^/]+$', 0)
      OR ends_with(e.p, '/' || regexp_extract(n._source_file, '[^/]+$', 0)))"""))
 def io09(spark, d):
     t = _filed(spark, d)
-    new = t.where(F.col("o_orderkey") % 2 == 0)
-    ex = t.where((F.col("o_orderkey") % 2 == 1) & (F.col("o_orderkey") % 7 < 5))
+    upload = (F.col("o_orderkey") % 2 == 0) | (F.col("o_orderkey") % 7 == 6)
+    new, ex = t.where(upload), t.where(~upload)  # every row is on one side; part6 files are new
     ex = ex.withColumn("_source_file", F.when(F.col("o_orderkey") % 7 < 3,
                                               F.concat(F.lit("landing/"), F.regexp_extract("_source_file", r"[^/]+$", 0)))
                        .otherwise(F.col("_source_file")))

@@ -30,6 +30,22 @@ def st02(spark, d):
     return J.read_slot_totals(spark, out).select("slot_start", "slot_end", "type", "events", "amount")
 
 
+@register("st02_slot_anomaly_stream", """
+WITH sd AS (SELECT CAST(ts AS DATE) AS day, strftime(ts, '%H:00') AS slot, count(*) AS v FROM events GROUP BY 1, 2),
+ g AS (SELECT slot, max(CASE WHEN day = l THEN v END) AS latest_value,
+   avg(CASE WHEN day < l AND day >= l - INTERVAL 7 DAY THEN CAST(v AS DOUBLE) END) AS baseline
+   FROM (SELECT *, max(day) OVER () AS l FROM sd) GROUP BY slot)
+SELECT *, CASE WHEN deviation_pct <= -20 THEN 'drop' WHEN deviation_pct >= 20 THEN 'spike' ELSE 'normal' END AS flag,
+  CAST(substr(slot, 1, 2) AS INTEGER) AS hour FROM (
+  SELECT *, (latest_value - baseline) / nullif(baseline, 0) * 100.0 AS deviation_pct FROM g
+  WHERE latest_value IS NOT NULL AND baseline IS NOT NULL) WHERE deviation_pct IS NOT NULL""")
+def st02a(spark, d):
+    run = uuid.uuid4().hex
+    out, anomalies = scratch_path(spark, f"st02/{run}/out"), scratch_path(spark, f"st02/{run}/anomalies")
+    J.start_slot_totals(spark, _glob(d, "events"), out, scratch_path(spark, f"st02/{run}/ckpt"), anomalies=anomalies).awaitTermination()
+    return J.read_slot_anomalies(spark, anomalies)
+
+
 @register("st03_dedupe_orders_stream", with_ctes("bonus", body="SELECT DISTINCT order_no FROM bonus"))
 def st03(spark, d):
     from .. import standins as S

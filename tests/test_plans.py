@@ -45,3 +45,29 @@ def test_period_filters_reach_the_scan(spark):
         assert f"GreaterThanOrEqual({date}" in p and f"LessThan({date}" in p and "Join" not in p
     assert "Join" not in plan_of(FL.default_members(people))
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan_of(cases[1][0])
+
+
+def test_share_reports_scan_their_tables_once(spark, plans):
+    """AG-36, AG-73: top k and total come from one grouped frame; also in a k beyond the rows and with NULLs and ties."""
+    from tallyframe.operators.common import top_and_total
+    assert plans["ag73_concentration"].count("FileScan parquet") == \
+        plans["ag72_top_players"].count("FileScan parquet")
+    assert plans["ag36_top20_share"].count("FileScan parquet") == plans["ag37_member_distribution"].count("FileScan parquet")
+    df = spark.createDataFrame([(f"a{i}", None if i % 10 == 0 else float(i // 2)) for i in range(500)], "a string, v double")
+    values = sorted((i // 2 for i in range(500) if i % 10), reverse=True)
+    for k in (1, 7, 100, 1000):
+        assert tuple(top_and_total(df, "v", k).first()) == (sum(values[:k]), sum(values))
+    assert tuple(top_and_total(df.limit(0), "v", 3).first()) == (None, None)
+
+
+def test_month_filter_prunes_the_bet_table(spark, tmpdir_path):
+    """IO-03: a table written by bet_month is read through its partitions only."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.sources.files import read_bets
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", F.date_format("l_shipdate", "yyyy-MM").alias("bet_month"))
+    lines.repartition("bet_month").write.partitionBy("bet_month").parquet(f"{tmpdir_path}/bets")
+    df = read_bets(spark, f"{tmpdir_path}/bets", ["1998-06", "1998-07"])
+    assert "bet_month" in plan_of(df).split("PartitionFilters: [")[1].split("]")[0] and "DataFilters: []" in plan_of(df)
+    assert df.count() == lines.where(F.col("bet_month").isin("1998-06", "1998-07")).count() > 0
+    assert df.select(F.input_file_name()).distinct().count() == 2
