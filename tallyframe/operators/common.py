@@ -16,6 +16,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import col
 
@@ -93,7 +94,6 @@ def with_share(df: DataFrame, metric: str, name: str = "share_pct", digits: int
     (venue x type, type, rating ...).  The total is ``sum() over ()`` of the grouped rows, so the
     data behind the groups is scanned once (a separate total aggregate would re-run the whole
     upstream plan, because column pruning makes it differ from the main branch)."""
-    from pyspark.sql.window import Window
     tot = F.sum(metric).over(Window.partitionBy())
     v = F.try_divide(F.col(metric) * 100.0, F.nullif(tot, F.lit(0)))
     if digits is not None:
@@ -107,7 +107,6 @@ def top_and_total(grouped: DataFrame, metric: str, k: int, buckets: int = 64) ->
     Grouped rows are dealt to buckets by all their columns and ranked there; of each bucket the k largest values and the
     sum of the rest remain (``buckets`` x (k + 1) rows at most), and these are ranked once more.  Which of equal values
     counts does not change a sum, so no tie-break is needed."""
-    from pyspark.sql.window import Window
     b = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in grouped.columns]), F.lit(buckets)).alias("b")
     largest = F.col("v").desc_nulls_last()
     ranked = grouped.select(b, F.col(metric).alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(largest)))
@@ -179,20 +178,21 @@ def pivot_sum(df: DataFrame, row: str, pivot_col: str, values: Iterable, metric:
 
 def crosstab_top(df: DataFrame, a: str, b: str, metric: str | None = None, k: int = 15,
                  how: str = "count") -> DataFrame:
-    """AG-112: cross-tab of two dimensions restricted to the top-k rows and top-k columns by marginal.
+    """AG-112: cross-tab of two dimensions restricted to the top-k rows and top-k columns by marginal (ties to the lesser
+    value; a NULL takes its place in the order, but gets no row).
 
-    Long form (a, b, value); the pair aggregate is computed once and the top-k marginals
-    are derived from it (k rows each, broadcast semi-joins), never from all pairs.
+    Long form (a, b, value).  Both marginals come from one pass by grouping sets, the k names of each side are one
+    row of two arrays, and only pairs of these names are grouped: never all pairs.
     """
-    if how == "count":
-        agg = F.count(F.lit(1)).cast("double")
-    else:
-        agg = F.sum(metric).cast("double")
-    pairs = df.groupBy(a, b).agg(agg.alias("value"))
-    ta = pairs.groupBy(a).agg(F.sum("value").alias("m")).orderBy(F.col("m").desc(), F.col(a).asc_nulls_first()).limit(k)
-    tb = pairs.groupBy(b).agg(F.sum("value").alias("m")).orderBy(F.col("m").desc(), F.col(b).asc_nulls_first()).limit(k)
-    return (pairs.join(F.broadcast(ta.select(a)), [a], "left_semi")
-                 .join(F.broadcast(tb.select(b)), [b], "left_semi"))
+    agg = (F.count(F.lit(1)) if how == "count" else F.sum(metric)).cast("double")
+    of_b = F.grouping(a).alias("of_b")  # 1 where the row is a value of b
+    marginals = df.groupingSets([[a], [b]], a, b).agg(agg.alias("m"), of_b)
+    order = Window.partitionBy("of_b").orderBy(F.col("m").desc(), F.coalesce(a, b).asc_nulls_first())
+    top = marginals.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    names = top.agg(F.collect_list(F.when(F.col("of_b") == 0, F.col(a))).alias("top_a"),
+                    F.collect_list(F.when(F.col("of_b") == 1, F.col(b))).alias("top_b"))  # k values each
+    inside = F.array_contains("top_a", F.col(a)) & F.array_contains("top_b", F.col(b))
+    return df.join(F.broadcast(names), inside).groupBy(a, b).agg(agg.alias("value"))
 
 
 def moving_average(daily: DataFrame, order_col: str, c: str, n: int = 7, name: str | None = None) -> DataFrame:
@@ -201,7 +201,6 @@ def moving_average(daily: DataFrame, order_col: str, c: str, n: int = 7, name: s
     The frame is already one row per day (bounded by the calendar), so the single
     ordered window is cheap; never apply it to raw rows.
     """
-    from pyspark.sql.window import Window
     w = Window.orderBy(order_col).rowsBetween(-(n - 1), 0)
     return daily.withColumn(name or f"{c}_ma{n}", F.avg(c).over(w))
 

@@ -1,6 +1,13 @@
 """Bet-detail queries (AG-64…73, FL-06, IO-03) on the bet stand-in."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ...operators import bets as B
+from ...session import scratch_path
+from ...sources.files import read_bets
+from ...sources.publish import write_partitions
 from .. import standins as S
 from ..catalog import register
 from ..oracle_ctes import with_ctes
@@ -31,6 +38,16 @@ def io03(spark, d):
     return B.bet_months(S.bets(spark, d))
 
 
+@register("io03_read_bet_table", with_ctes("bets", body="""
+SELECT bet_month, count(*) AS bets, sum(turnover) AS turnover FROM bets GROUP BY bet_month"""))
+def io03_table(spark, d):
+    """The bet table written by month and read back: months from its folders, then each month through its partition."""
+    path = scratch_path(spark, f"io03/{uuid.uuid4().hex}")
+    write_partitions(S.bets(spark, d).select("turnover", "bet_month"), path, "bet_month")
+    months = [r["bet_month"] for r in B.bet_months(read_bets(spark, path)).collect()]  # calendar-bounded
+    return read_bets(spark, path, months).groupBy("bet_month").agg(F.count(F.lit(1)).alias("bets"), F.sum("turnover").alias("turnover"))
+
+
 @register("ag65_bet_options", with_ctes("bets", body="SELECT DISTINCT type, vip, venue FROM bets"))
 def ag65(spark, d):
     return B.bet_options(S.bets(spark, d))

@@ -1,5 +1,7 @@
 """New registrations (AG-101…113), payments (AG-114…120), win-back (AG-121…123), market settlement (AG-124…126)."""
 
+from pyspark.sql import functions as F
+
 from ...operators import newreg as NR
 from ...operators import payments as PY
 from .. import standins as S
@@ -60,6 +62,26 @@ def ag101(spark, d):
     return _nr(spark, d)
 
 
+# the months of two thirds of the members were imported again, with another turnover
+_TWICE = """SELECT *, TIMESTAMP '2026-01-01' AS _imported_at FROM member UNION ALL
+  SELECT * REPLACE (turnover * 2 AS turnover), TIMESTAMP '2026-01-02' FROM member WHERE CAST(account AS BIGINT) % 3 <> 0"""
+_REST = ("registered_at", "first_deposit_at", "first_deposit", "first_bet", "deposits", "withdrawals", "turnover", "company_win", "bonus",
+         "rebate", "company_income", "vip", "status", "is_agent", "source", "register_channel", "register_url", "tags", "orders_n")
+_LAST_IMPORT = f"""SELECT * FROM imported QUALIFY row_number() OVER (PARTITION BY account, nullif(trim(agent), ''), snapshot_month
+  ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in ('_imported_at', *_REST))}) = 1"""
+
+
+@register("wn03_latest_import", with_ctes("member", extra={
+    "imported": _TWICE, "last_import": _LAST_IMPORT, "latest": _LATEST.replace("FROM member", "FROM last_import"), "nr": _NR},
+    body="SELECT * FROM nr"))
+def wn03(spark, d):
+    """A month imported twice counts once, by its latest import."""
+    m = S.member(spark, d)
+    again = m.where(F.col("account").cast("bigint") % 3 != 0).withColumn("turnover", F.col("turnover") * 2)
+    stamped = [df.withColumn("_imported_at", F.lit(t).cast("timestamp_ntz")) for df, t in ((m, "2026-01-01"), (again, "2026-01-02"))]
+    return NR.prepare_newreg(stamped[0].unionByName(stamped[1]))
+
+
 @register("ag102_newreg_kpis", with_ctes("member", extra=_X, body=f"""
 SELECT *, registrations - direct AS agent_sourced, {_r('depositors', 'registrations')} * 100.0 AS depositor_pct FROM (
 SELECT count(*) AS registrations, count(DISTINCT account) AS accounts, count_if(has_first_deposit) AS depositors,

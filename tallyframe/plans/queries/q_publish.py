@@ -1,8 +1,11 @@
 """Publish disciplines as pure new x existing -> combined plans (IO-11…17) and quality checks (AG-127…133)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...operators import quality as Q
+from ...session import scratch_path
 from ...sources import publish as P
 from .. import standins as S
 from ..catalog import register
@@ -18,15 +21,27 @@ def _bonus_split(spark, d):
     return b.where(F.col("applied_at") >= "1998-07-01"), b.where(F.col("applied_at") < "1999-01-01")
 
 
-@register("io11_append_new_keys", with_ctes("bonus", body=f"""
+_NEW_KEYS = with_ctes("bonus", body=f"""
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY {_ORDER}) AS rn
   FROM bonus WHERE applied_at >= TIMESTAMP '1998-07-01') n
-WHERE rn = 1 AND order_no NOT IN (SELECT order_no FROM bonus WHERE applied_at < TIMESTAMP '1999-01-01' AND order_no IS NOT NULL)"""))
+WHERE rn = 1 AND order_no NOT IN (SELECT order_no FROM bonus WHERE applied_at < TIMESTAMP '1999-01-01' AND order_no IS NOT NULL)""")
+
+
+@register("io11_append_new_keys", _NEW_KEYS)
 def io11(spark, d):
     new, existing = _bonus_split(spark, d)
     return P.append_new_keys(new, existing, "order_no")
 
 
+@register("io11_upload_to_keyed_table", _NEW_KEYS)
+def io11_upload(spark, d):
+    """The same upload against the written table, whose rows lie in the order of their keys."""
+    new, existing = _bonus_split(spark, d)
+    path = scratch_path(spark, f"io11/{uuid.uuid4().hex}")
+    P.append_keyed(existing, path, "order_no")
+    return P.append_new_keys(new, P.within_key_runs(spark.read.parquet(path), new, "order_no"), "order_no")
+
+
 _DATED = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'nan' WHEN o_orderkey % 89 = 0 THEN '' WHEN o_orderkey % 50 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END
   AS date_txt, o_orderkey, o_totalprice FROM ord"""
 
@@ -187,6 +202,28 @@ def ag129(spark, d):
     return Q.check_completeness(S.member(spark, d), S.platform(spark, d))
 
 
+_DAILY_OPS = """
+SELECT source, month, max_day, member_regs, regs AS platform_regs, CAST(member_regs AS DOUBLE) / nullif(CAST(regs AS DOUBLE), 0) AS coverage,
+  coalesce(CAST(member_regs AS DOUBLE) / nullif(CAST(regs AS DOUBLE), 0) < 0.8, false) AS warn FROM (
+SELECT s.source, l.month, l.max_day, l.member_regs, coalesce(nullif((SELECT sum(registrations + 1) FROM platform
+    WHERE s.source = 'sheet' AND strftime(date, '%Y-%m') = l.month AND CAST(date AS DATE) <= l.max_day), 0),
+  (SELECT sum(registrations) FROM platform WHERE strftime(date, '%Y-%m') = l.month AND CAST(date AS DATE) <= l.max_day), 0) AS regs
+FROM (VALUES ('sheet'), ('sheet of other months')) s(source), (
+  SELECT strftime(registered_at, '%Y-%m') AS month, max(CAST(registered_at AS DATE)) AS max_day, count_if(is_agent = '非代理') AS member_regs
+  FROM member WHERE registered_at IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 1) l)"""
+
+
+@register("jn10_daily_ops_first", with_ctes("member", "platform", body=_DAILY_OPS))
+def jn10(spark, d):
+    """Registrations of the operations sheet where it has some, else of the platform report."""
+    member, platform = S.member(spark, d), S.platform(spark, d)
+    sheet = platform.select("date", (F.col("registrations") + 1).alias("registrations"))
+    other = sheet.withColumn("date", F.add_months("date", -1200))
+    both = [Q.check_completeness(member, platform, daily_ops=ops).select(F.lit(name).alias("source"), "*")
+            for name, ops in (("sheet", sheet), ("sheet of other months", other))]
+    return both[0].unionByName(both[1])
+
+
 @register("ag130_check_row_drop", """
 SELECT new_rows, existing_rows, existing_rows >= 20 AND new_rows < existing_rows * 0.7 AS warn FROM
  (SELECT count(*) AS new_rows FROM orders WHERE o_orderkey % 10 = 0) a,

@@ -373,22 +373,20 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
     to the table, how many were (else None: all are written).
 
     Period disciplines read and replace only the batch's months (partitions ``_period``), after the loss
-    guard (IO-17) has compared what the batch must not touch; keyed and per-file tables only append.
+    guard (IO-17) has compared what the batch must not touch, from the period column of the staged copy; keyed and
+    per-file tables only append, and keyed ones read only the ranges of keys that the batch has.
     """
     kind, col = DISCIPLINE.get(table, ("files", None))
     P.finish_pending(spark, root, table)
     path = f"{root.rstrip('/')}/{table}"
     if kind in ("keys", "files") or col not in new.columns:
         existing = read_raw(spark, table, new.schema, root)
+        own = ("_split", "_row", "_file_time")
         if kind == "keys" and col in new.columns:
-            fresh = P.append_new_keys(new, existing, col, PLACE)
-        else:
-            fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
-        fresh = fresh.drop("_split", "_row", "_file_time")
-        n = fresh.count()
-        if n:
-            P.append_evolving(fresh, path)
-        return kind, n
+            fresh = P.append_new_keys(new, P.within_key_runs(existing, new, col), col, PLACE)
+            return kind, P.append_keyed(fresh.drop(*own), path, col)
+        fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
+        return kind, P.append_counted(fresh.drop(*own), path)
     if kind == "snapshot" and table == "raw_top_report" and not new.where(F.col(col).isNull()).isEmpty():
         raise ValueError("a TOP report needs its month in the file name")
     text = F.col(col).cast("string")
@@ -414,8 +412,9 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
         touched, guard = new.select(month_key(col).alias("k")).where("k IS NOT NULL").distinct(), month_key(col)
     if kind == "months" or kind == "dates":  # rows without a period are added to those there are
         touched = touched.unionByName(spark.createDataFrame([(None,), ("",), ("nan",), ("None",)], "k string"))
-    P.assert_untouched(existing.withColumn("__p", guard), combined.withColumn("__p", guard), "__p", touched)
-    P.publish_partitions(combined.withColumn(P.PERIOD, key), root, table)
+    before = existing.withColumn("__p", guard)
+    P.publish_partitions(combined.withColumn(P.PERIOD, key), root, table,
+                         lambda copy: P.assert_untouched(before, copy.withColumn("__p", guard), "__p", touched))
     return kind, None
 
 

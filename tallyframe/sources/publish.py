@@ -13,16 +13,17 @@ calendar-bounded) set of periods / keys in the new batch, unioned with the batch
   overwrite, so only the touched partitions are rewritten (never the whole table).
 
 ``assert_untouched`` is the loss guard: per-period row counts of periods the batch does
-not touch must be identical before and after.
+not touch must be identical before and after.  The writer holds it against the staged copy, from
+the period column alone, before the copy counts.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LBL_BLANK, month_key
@@ -72,6 +73,43 @@ def append_new_keys(new: DataFrame, existing: DataFrame, key: str, order: Sequen
     return batch.join(have, batch[key].cast("string") == have["__k"], "left_anti")
 
 
+#: Characters that tell runs of keys apart, and how many runs a batch may have before one range stands for all.
+RUN_PREFIX = 8
+MAX_RUNS = 64
+
+
+def within_key_runs(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """IO-11: the rows of the table whose key may be in the batch, by literal ranges that prune files and row groups.
+
+    Keys that begin alike (order numbers carry their day) are one run, from its least to its greatest key; a batch of more
+    than ``MAX_RUNS`` runs is one run.  The ranges only leave out keys that the batch cannot hold, so any table and any batch
+    is right; how much is skipped rests on how the keys lie in the files (``append_keyed`` keeps them in order).
+    Only the batch is read, and at most ``MAX_RUNS`` + 1 rows reach the driver.  A batch without keys needs no row."""
+    k = F.col(key).cast("string")
+    batch = new.select(k.alias("k")).where(F.col("k").isNotNull())
+    ends = [F.min("k").alias("lo"), F.max("k").alias("hi")]
+    runs = batch.groupBy(F.substring("k", 1, RUN_PREFIX)).agg(*ends).select("lo", "hi").limit(MAX_RUNS + 1).collect()
+    if len(runs) > MAX_RUNS:
+        runs = batch.agg(*ends).collect()
+    inside = F.lit(False)
+    for r in runs:
+        inside = inside | k.between(r["lo"], r["hi"])
+    return existing.where(inside)
+
+
+def append_keyed(df: DataFrame, path: str, key: str) -> int:
+    """IO-11 writer: append with the keys in order, one range of keys to a file, so that later uploads skip by statistics;
+    returns the rows written."""
+    return append_counted(df.repartitionByRange(F.col(key)).sortWithinPartitions(key), path)
+
+
+def append_counted(df: DataFrame, path: str) -> int:
+    """IO-08: append, and the number of rows, which the write itself counts."""
+    rows = Observation()
+    append_evolving(df.observe(rows, F.count(F.lit(1)).alias("n")), path)
+    return rows.get["n"]
+
+
 def append_new_keys_combined(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
     return union_evolving(existing, append_new_keys(new, existing, key, order))
 
@@ -218,26 +256,40 @@ def finish_pending(spark, root: str, table: str) -> None:
         return
     for status in fs.listStatus(base):
         staged = status.getPath().toString()
-        if _fs(spark, f"{staged}/_SUCCESS")[0].exists(_fs(spark, f"{staged}/_SUCCESS")[1]):
+        if fs.exists(_fs(spark, f"{staged}/{WHOLE}")[1]):
             _put(spark, staged, f"{root.rstrip('/')}/{table}")
         fs.delete(status.getPath(), True)
 
 
+#: Marker of a staged copy that is whole and has passed its guard; the write itself leaves none.
+WHOLE = "_SUCCESS"
+
+
 def _put(spark, staged: str, path: str) -> None:
     write_partitions(spark.read.parquet(staged), path, PERIOD)
 
 
-def publish_partitions(df: DataFrame, root: str, table: str) -> None:
-    """Replace the partitions present in ``df`` (column ``_period``) and no others.
+def publish_partitions(df: DataFrame, root: str, table: str, guard: Callable[[DataFrame], None] | None = None) -> None:
+    """Replace the partitions present in ``df`` (column ``_period``) and no others; a frame without rows replaces none.
 
-    The new partitions are staged whole before the table is touched, and stay staged until it holds
-    them, so a crash at any point loses nothing: ``finish_pending`` repeats the last step.
+    The new partitions are staged whole before the table is touched, ``guard`` reads the staged copy and may raise, and
+    only then is the copy marked as one that counts.  It stays until the table holds it, so a crash at any point
+    loses nothing: ``finish_pending`` repeats the last step, and an unmarked copy never counted.
     """
     spark = df.sparkSession
     staged = f"{root.rstrip('/')}/_pending/{table}/{uuid.uuid4().hex}"
-    df.write.partitionBy(PERIOD).parquet(staged)
-    _put(spark, staged, f"{root.rstrip('/')}/{table}")
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(PERIOD).parquet(staged)
     fs, p = _fs(spark, staged)
+    copy = spark.read.schema(df.schema).parquet(staged)
+    try:
+        if guard is not None:
+            guard(copy)
+    except RuntimeError:
+        fs.delete(p, True)
+        raise
+    if not copy.isEmpty():
+        fs.create(_fs(spark, f"{staged}/{WHOLE}")[1]).close()
+        _put(spark, staged, f"{root.rstrip('/')}/{table}")
     fs.delete(p, True)
 
 

@@ -10,7 +10,8 @@
   are compacted.  The same job compares the latest day with its baseline (AG-42).
 * ST-03 duplicate order suppression: every micro-batch appends the orders whose number the
   table does not hold yet (IO-11), so a repeat is dropped and a late order kept however far
-  apart they arrive, and a repeated batch adds nothing.
+  apart they arrive, and a repeated batch adds nothing.  Of the table only the ranges of keys that
+  the micro-batch has are read.
 
 Checkpoints live under the shared folder named by ``spark.checkpoint.dir`` so a restarted
 driver or lost executors resume from the last committed batch.
@@ -28,7 +29,7 @@ from ..operators.dedupe import keep_last
 from ..operators.realtime import day_deviations
 from ..session import scratch_path
 from ..sources.files import file_path, ingest_files, read_raw
-from ..sources.publish import _fs, append_evolving, append_new_keys, remove
+from ..sources.publish import _fs, append_keyed, append_new_keys, remove, within_key_runs
 
 
 def file_ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str | None = None,
@@ -149,7 +150,7 @@ def start_dedupe_orders(spark: SparkSession, source: str, out: str, key: str = "
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         have = read_raw(batch.sparkSession, out.rstrip("/").rsplit("/", 1)[1], schema, out.rstrip("/").rsplit("/", 1)[0])
-        append_evolving(append_new_keys(batch, have, key, [ts]), out)
+        append_keyed(append_new_keys(batch, within_key_runs(have, batch, key), key, [ts]), out, key)
 
     return (reader.parquet(source).writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt/dedupe_orders"))

@@ -138,3 +138,103 @@ def test_replace_batches_edge_cases(spark, tmpdir_path):
     missing = read_raw(spark, "raw_not_there", ex.schema, tmpdir_path)
     assert missing.count() == 0 and missing.columns == ["date", "v"]
     assert P.replace_by_dates(nb, missing, "date").count() == 1
+
+
+def rows_read(df):
+    """Rows that the scans of an executed plan gave out."""
+    df._jdf.collectToPython()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_uploads_read_only_the_key_ranges_they_have(spark, tmpdir_path):
+    """IO-11, ST-03: a table of three days of orders is skipped by statistics; late keys make a range of their own; the rows stay right."""
+    path = f"{tmpdir_path}/orders"
+    for day in (1, 2, 3):
+        orders = spark.range(4000).select(F.format_string(f"2026010{day}%06d", "id").alias("order_no"), F.lit(day).alias("v"))
+        assert P.append_keyed(orders.orderBy(F.rand(1)), path, "order_no") == 4000
+    table = spark.read.parquet(path)
+    late = [("20260101000007", 9), ("20260104000001", 9), ("20260104000002", 9), ("20260104000002", 8), (None, 9)]
+    new = spark.createDataFrame(late, "order_no string, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = P.within_key_runs(table, new, "order_no")
+        assert 0 < rows_read(near) <= 4000 < table.count()
+        none = P.within_key_runs(table, new.where("order_no > '20260102'"), "order_no")
+        assert rows_read(none) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    whole = P.append_new_keys(new, table, "order_no").collect()
+    assert sorted(map(str, P.append_new_keys(new, near, "order_no").collect())) == sorted(map(str, whole))
+    assert sorted((str(r.order_no), r.v) for r in whole) == [("20260104000001", 9), ("20260104000002", 8), ("None", 9)]
+    # more runs than the bound: one range; no key at all: no row
+    many = spark.range(0, 100).select(F.format_string("%08d-x", "id").alias("order_no"), F.lit(1).alias("v"))
+    assert P.within_key_runs(many, many, "order_no").count() == 100
+    assert P.within_key_runs(table, new.where("order_no IS NULL"), "order_no").count() == 0
+    assert P.within_key_runs(table, new.limit(0), "order_no").count() == 0
+    numbers = spark.range(50).withColumnRenamed("id", "order_no")  # keys compare as texts
+    assert {r.order_no for r in P.within_key_runs(numbers, numbers.where("order_no IN (5, 41)"), "order_no").collect()} == {5, 41}
+
+
+def test_the_guard_reads_the_staged_copy(spark, tmpdir_path, monkeypatch):
+    """IO-17: a publish that would lose an untouched day stops before the table changes, and leaves nothing to take up again."""
+    import os
+
+    import pytest
+
+    from tallyframe.sources import files as FS
+    root = f"{tmpdir_path}/tables"
+    schema = "`日期` string, v int"
+
+    def put(rows):
+        new = spark.createDataFrame(rows, schema).withColumns({"_split": F.lit(0), "_row": F.monotonically_increasing_id(), "_source_file": F.lit("f")})
+        return FS.publish_table(spark, "raw_platform_report", new, root)
+
+    def held():
+        return sorted((r["日期"], r["v"]) for r in FS.read_raw(spark, "raw_platform_report", root=root).collect())
+
+    put([("2026-01-01", 1), ("2026-01-02", 2), ("2026-02-01", 3)])
+    right = P.replace_by_dates
+    monkeypatch.setattr(P, "replace_by_dates", lambda new, old, c: right(new, old.where(F.col(c) != "2026-01-01"), c))
+    with pytest.raises(RuntimeError, match="loss guard"):
+        put([("2026-01-02", 9)])
+    assert held() == [("2026-01-01", 1), ("2026-01-02", 2), ("2026-02-01", 3)]
+    assert os.listdir(f"{root}/_pending/raw_platform_report") == []
+    monkeypatch.undo()
+    put([("2026-01-02", 9)])
+    assert held() == [("2026-01-01", 1), ("2026-01-02", 9), ("2026-02-01", 3)]
+    # a copy that was staged but not yet guarded never counted
+    spark.createDataFrame([("2026-01-01", 7, "p2026-01")], "`日期` string, v int, _period string").write.partitionBy("_period").parquet(
+        f"{root}/_pending/raw_platform_report/x")
+    os.remove(f"{root}/_pending/raw_platform_report/x/_SUCCESS")
+    P.finish_pending(spark, root, "raw_platform_report")
+    assert held()[0] == ("2026-01-01", 1)
+    P.publish_partitions(spark.createDataFrame([], "`日期` string, v int, _period string"), root, "raw_platform_report")
+    assert len(held()) == 3
+
+
+def test_crosstab_groups_top_names_only(spark):
+    """AG-112: ties, NULLs, sums, empty input, k beyond the names; against a plain computation."""
+    from collections import Counter
+
+    from tallyframe.operators.common import crosstab_top
+    rows = [(f"a{i % 7}" if i % 11 else None, f"b{i % 5}" if i % 13 else None, i % 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, v int")
+
+    def want(k, weigh):
+        ta, tb, pairs = Counter(), Counter(), Counter()
+        for a, b, v in rows:
+            ta[a] += weigh(v)
+            tb[b] += weigh(v)
+            pairs[a, b] += weigh(v)
+
+        def top(c):
+            return {x for x, _ in sorted(c.items(), key=lambda e: (-e[1], e[0] is not None, e[0] or ""))[:k]} - {None}
+        return {p: float(n) for p, n in pairs.items() if p[0] in top(ta) and p[1] in top(tb)}
+
+    for k in (1, 3, 50):
+        got = {(r.a, r.b): r.value for r in crosstab_top(df, "a", "b", k=k).collect()}
+        assert got == want(k, lambda v: 1)
+        got = {(r.a, r.b): r.value for r in crosstab_top(df, "a", "b", "v", k, "sum").collect()}
+        assert got == want(k, lambda v: v)
+    assert crosstab_top(df.limit(0), "a", "b").count() == 0
