@@ -19,7 +19,8 @@ stopping radius reaches.  Queries are cut to chunks, so a task holds one block a
 Defined cases: vectors that are null, zero, of another than the most common length (ties: the shortest)
 or with null or non-finite components take no part, nor do rows without id; of an id with several
 vectors the least counts, so repeated rows count once; ties in score go to the smaller id; fewer
-candidates than k are all returned; an empty table gives no rows.
+candidates than k are all returned; an empty table gives no rows.  Vectors are read whole, whatever their length.
+Only the two named columns are read, so others may have any names.
 """
 
 from __future__ import annotations

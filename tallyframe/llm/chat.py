@@ -12,7 +12,8 @@ string per conversation is the output.  ``seq`` may be any sortable column (also
 
 Defined cases: null role or text is empty; events of a message without a ``begin`` still fold; a
 null conv_id is a conversation of its own; equal ``seq`` fold in order of kind, role and text; an
-empty log gives no rows.
+empty log gives no rows; texts of any length are folded and rendered whole; equal events all count.  Only the columns
+named above are read, so others may have any names.
 """
 
 from __future__ import annotations

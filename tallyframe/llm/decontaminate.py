@@ -15,7 +15,8 @@ only as (document, seed) rows whose join AQE may split.
 
 Defined cases: null or empty texts and items match nothing; items shorter than n words are seeded by
 their whole word sequence if it is rare; of items with one id the greatest text counts; equal rows are reported once per (id, text, item); ties in score go to the
-first span; empty tables give no rows.
+first span; empty tables give no rows.  Texts of any length are read whole, and each is aligned only around its seeds;
+a score exactly at ``min_score`` counts.  ``keep_clean`` packs the row, so other columns of any names pass unchanged.
 """
 
 from __future__ import annotations

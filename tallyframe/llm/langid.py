@@ -8,12 +8,14 @@ with the largest sum of marginals over all its words, its score that sum's share
 
 Training fits the weights on the driver from a bounded sample: ``docs_per_lang`` labelled rows per
 language (those with the smallest hash of their id), spliced into sequences of passages of several
-languages so that transitions see switches.  Prediction covers every row: one ``mapInArrow`` pass, no
-shuffle; the model (``FEATURES`` x languages numbers) is broadcast.  A chain is a line, cut every
+languages so that transitions see switches.  Prediction covers every row: one pandas UDF, no shuffle; the
+model (``FEATURES`` x languages numbers) travels inside the task function.  A chain is a line, cut every
 ``CHAIN`` words; all words of whole texts are labelled, so memory is bounded by one text.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, and so is every text if no
-row can be learned from; ties go to the language first in order; repeated rows get equal results.
+row can be learned from; ties go to the language first in order; repeated rows get equal results; an empty table gives no
+rows; texts of any length are labelled whole.  Input columns called like the two added ones are replaced by them, in
+any case of their letters; columns of any other names stay as they are.
 """
 
 from __future__ import annotations
@@ -276,5 +278,5 @@ def identify(docs: DataFrame, train_on: Column | None = None, docs_per_lang: int
         return pd.DataFrame(predict_texts(model, [t if isinstance(t, str) else None for t in text]), columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return (docs.select(*[col(c) for c in kept], predict(col(text_col)).alias("_found"))
-            .select(*[col(c) for c in kept], "_found.lang_pred", "_found.score"))
+    found = docs.select(F.struct(*[col(c) for c in kept]).alias("row"), predict(col(text_col)).alias("found"))
+    return found.select("row.*", "found.lang_pred", "found.score")

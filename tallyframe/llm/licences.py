@@ -8,7 +8,8 @@ find notices.  The known side is the fixed list below with the files of ``licenc
 has a proven bound; a table of other texts can be given, whose broadcast is left to Spark's size check.
 
 Defined cases: null text is empty and has the digest of the empty string, which matches nothing;
-repeated rows get equal results; an empty table gives no rows.
+repeated rows get equal results; an empty table gives no rows; texts of any length are read whole; of licences with one
+digest the first name counts.  Only the two named columns are read, so others may have any names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ table is joined on one row per source, and copies are decided row by row.
 
 Defined cases: null text has size 0; a null source is a source of its own (last in order); a null
 id draws from the text's hash; rows repeated with one id draw alike; a source without words has
-target 0 and rate 0; an empty table gives an empty result.  Input columns called like the added ones are
+target 0 and rate 0; an empty table gives an empty result; texts of any length are counted whole; sources are told
+apart by code points, so none tie.  Input columns called like the added ones are
 replaced by them.
 """
 

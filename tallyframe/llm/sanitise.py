@@ -21,8 +21,10 @@ removed; it is so wherever it occurs, for it reveals the entity there as well.
 
 Three passes of ``mapInArrow`` read texts (mentions; document counts of candidate terms; places of the
 disclosing ones; terms are pre-selected by a filter of fixed size), all counts are Spark aggregates over all documents, and hot terms or entities
-only meet as partial counts.  Defined cases: null text is empty; equal rows get equal spans; an empty
-table gives no rows.
+only meet as partial counts.  Defined cases: null text is empty (``sanitise`` leaves it null); equal rows get equal spans;
+an empty table gives no rows; texts of any length are read whole, one at a time; a pair exactly at the threshold
+discloses; spans that start alike are ordered by kind, and what spans cover together is replaced once.  ``sanitise``
+packs the row, so other columns of any names stay as they are.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ share a spelling if and only if they differ in at most two bits, and at most 65
 one.  Components follow by alternating large and small stars, each round cut to the shared folder.
 
 Defined cases: null text and text without words have fingerprint zero and are linked like any other;
-repeated rows share a component; a null id never names a component unless all its ids are null.
+repeated rows share a component; a null id never names a component unless all its ids are null; a bit that is set in just
+half of the hashes is 0; texts of any length are read whole; an empty table gives no rows.  ``keep_one`` packs the
+row, so other columns of any names pass unchanged.
 """
 
 from __future__ import annotations

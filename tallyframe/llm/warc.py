@@ -13,7 +13,8 @@ leaves orphans that no index row names.  Files are reached through ``pyarrow.fs`
 Memory holds one frame (or one record, if longer) per task.  Defined cases: a null payload is empty;
 a null id sorts below all others; of equal payloads every row with the largest id is a response;
 equal rows get equal record identifiers; a null address becomes ``urn:page:<id>``; control characters
-and blanks in an address are percent-encoded; an empty table gives an empty index.
+and blanks in an address are percent-encoded; an empty table gives an empty index.  A payload of any length is one
+record, written whole.  Only the three named columns of pages are read, so others may have any names.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ are cut out in a second scan that shuffles no text where the label table is smal
 
 Defined cases: null or empty html gives an empty text; a null address is a host of its own; unclosed
 elements close where the next block demands it, unclosed comments and scripts run to the end; elements
-nested deeper than ``DEPTH`` count as their ancestor; repeated rows get equal results.
+nested deeper than ``DEPTH`` count as their ancestor; repeated rows get equal results; pages of any length are read
+whole; of labels that hold equally much the higher one counts; an empty table gives no rows.  Only the three named
+columns are read, so others may have any names.
 """
 
 from __future__ import annotations
