@@ -72,3 +72,11 @@ def test_month_filter_prunes_the_bet_table(spark, tmpdir_path):
     assert "bet_month" in plan_of(df).split("PartitionFilters: [")[1].split("]")[0] and "DataFilters: []" in plan_of(df)
     assert df.count() == lines.where(F.col("bet_month").isin("1998-06", "1998-07")).count() > 0
     assert df.select(F.input_file_name()).distinct().count() == 2
+
+
+def test_crosstab_computes_its_frame_once(spark):
+    """AG-112: marginals and pairs come from one exchange of the registrations."""
+    df = spark_queries()["ag112_crosstab_top"](spark, SF)
+    df._jdf.collectToPython()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2 and "ReusedExchange" in final  # orders and customer
