@@ -25,8 +25,7 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.disclosures(table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-         for k, name in enumerate(sanitise.KINDS[:4])]
+    n = [sanitise.count_kind(F.col("base"), k).cast("long").alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS[:4])]
     return found.select("doc_id", *n, F.sha2(sanitise.spelt(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         sanitise.spelt(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 

@@ -306,6 +306,11 @@ def disclosures(docs: DataFrame, threshold: float = 0.7, alpha: float = 0.01, id
                     F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    """How many of the spans are of a kind (the lambda has one parameter: Spark gives a second one the place in the array)."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def spelt(spans: Column) -> Column:
     """``kind:start:end`` of the spans, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -5,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm import sanitise
+from tallyframe.llm.queries import op3_sanitise
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -33,6 +35,17 @@ def test_base_spans(text):
     assert sanitise.base_spans(text) == brute(text)
 
 
+def test_counts_per_kind(spark, tmp_path):
+    texts = ["a@b.co c@d.co +1 234 567 8901", "10.0.0.1 and 10.0.0.2, 4111 1111 1111 1111", "+1 234 567 8901 +1 234 567 8902 a@b.co", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op3_sanitise(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        want = brute(text or "")
+        assert [got[i][f"n_{k}"] for k in sanitise.KINDS[:4]] == [sum(s[1] == k for s in want) for k in range(4)], i
+        spelt = ",".join(f"{sanitise.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i]["spans"] == spelt and got[i]["base_sha256"] == hashlib.sha256(spelt.encode()).hexdigest()
+
+
 def test_long_runs_stay_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "a@" * 100_000):
         sanitise.base_spans(text)
