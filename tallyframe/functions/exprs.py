@@ -39,6 +39,15 @@ def clean_text(c) -> Column:
     return F.try_element_at(F.array_except(F.array(t), F.array(*[F.lit(x) for x in NULL_TEXTS])), F.lit(1))
 
 
+def project_text(c) -> Column:
+    """CL-08 for projections of many rows: as ``clean_text`` at a third of its time.  Not for filters or what filters
+    are pushed through: there Spark repeats the argument for each comparison."""
+    t = utrim(c)
+    for x in NULL_TEXTS:
+        t = F.nullif(t, F.lit(x))
+    return t
+
+
 def unwrap_eq(c) -> Column:
     """CL-04: spreadsheet-escaped ``="…"`` -> ``…`` (anchored; a prefix/suffix test, no regex)."""
     t = col(c).cast("string")

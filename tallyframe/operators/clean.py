@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (LBL_UNKNOWN_ACTIVITY, LBL_UNMATCHED, clean_text, col, month_key, pct_to_fraction, slot_date,
-                               slot_hour, slot_label, to_num, to_num_commas, to_ts, unwrap_eq, utrim, yes_no)
+from ..functions.exprs import (LBL_UNKNOWN_ACTIVITY, LBL_UNMATCHED, clean_text, col, month_key, pct_to_fraction, project_text,
+                               slot_date, slot_hour, slot_label, to_num, to_num_commas, to_ts, unwrap_eq, utrim, yes_no)
 from ..functions.text import issue_label
 from .dedupe import keep_first, keep_last
 
@@ -220,7 +220,7 @@ def clean_bonus(df: DataFrame) -> DataFrame:
     d = df
     for c in text:
         if c in d.columns:
-            d = d.withColumn(c, clean_text(unwrap_eq(c)))
+            d = d.withColumn(c, project_text(unwrap_eq(c)))  # no filter passes the ranking below
     d = d.withColumn("activity", activity_name("title", "note"))
     for c in ("amount", "wager_multiple"):
         if c in d.columns and dict(d.dtypes)[c] == "string":

@@ -1,10 +1,10 @@
 """Deterministic dedupe / latest-row operators (CL-17, WN-02…04, WN-07, JN-04).
 
 Input order does not exist in Spark, so "first"/"last" always take an explicit order with
-key tiebreaks.  Implemented as ``groupBy(keys).agg(max_by(struct(row), struct(order)))``
-rather than ``row_number()`` over a window: ``max_by`` aggregates partially on the map
-side, so a hot key (one account holding a third of all rows) is reduced inside every
-task before the shuffle instead of being sorted whole in one task.
+key tiebreaks.  Implemented as ``row_number() = 1``: Spark keeps the first row of each key inside
+every task before the shuffle (WindowGroupLimit), so a hot key (one account holding a third of all
+rows) is not sorted whole in one task, and columns that nobody reads are not carried along, as they
+were in the struct of a ``max_by``.
 """
 
 from __future__ import annotations
@@ -13,36 +13,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import col
 
 
-def _order_struct(order: Sequence):
-    parts = []
-    for i, o in enumerate(order):
-        if isinstance(o, tuple):  # (column, "desc")
-            c, direction = o
-            c = col(c)
-            parts.append((-c if direction == "desc" else c).alias(f"o{i}"))
-        else:
-            parts.append(col(o).alias(f"o{i}"))
-    return F.struct(*parts)
+def _order_by(order: Sequence, last: bool) -> list:
+    """Sort keys of ``order``, for the greatest row first if ``last``; a (column, "desc") part counts negated."""
+    out = []
+    for o in order:
+        c, direction = o if isinstance(o, tuple) else (o, "asc")
+        c = -col(c) if direction == "desc" else col(c)
+        out.append(c.desc_nulls_last() if last else c.asc_nulls_first())
+    return out
+
+
+def _first_row(df: DataFrame, keys: Sequence[str], order: list, cols: Sequence[str] | None) -> DataFrame:
+    cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__place", place).where(F.col("__place") == 1).select(*keys, *[F.col(c) for c in cols])
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str] | None = None) -> DataFrame:
     """WN-02/03/07: one row per key, the greatest by ``order`` (NULLs in order sort first)."""
-    cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in cols])
-    g = df.groupBy(*keys).agg(F.max_by(row, _order_struct(order)).alias("__r"))
-    return g.select(*keys, *[F.col("__r")[c].alias(c) for c in cols])
+    return _first_row(df, keys, _order_by(order, True), cols)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str] | None = None) -> DataFrame:
     """CL-17 / WN-07: one row per key, the smallest by ``order``."""
-    cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in cols])
-    g = df.groupBy(*keys).agg(F.min_by(row, _order_struct(order)).alias("__r"))
-    return g.select(*keys, *[F.col("__r")[c].alias(c) for c in cols])
+    return _first_row(df, keys, _order_by(order, False), cols)
 
 
 def latest_per(df: DataFrame, key: str, order: Sequence, value_cols: Sequence[str]) -> DataFrame:

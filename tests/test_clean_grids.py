@@ -21,6 +21,27 @@ def test_type_columns_and_renames(spark):
     assert t.a == 1234.5 and abs(t.b - 0.12) < 1e-12 and t.c is True and t.e is None and t["流水倍数"] == "xy"
 
 
+def test_one_row_per_key_by_any_order(spark):
+    """CL-17, WN-02/03: nulls in the order come first, null keys are one key, "desc" turns one part; and the first row of
+    a key is found inside every task, before the shuffle, of needed columns only."""
+    from tallyframe.operators.dedupe import keep_first, keep_last
+    data = [(k, a, b, f"{k}{a}{b}") for k in ("x", "y", None) for a in (None, 1, 2) for b in (1.0, 2.0)]
+    df = spark.createDataFrame(data, "k string, a int, b double, v string").repartition(5)
+    for keep, order, best in ((keep_first, ["a", "b"], (None, 1.0)), (keep_last, ["a", "b"], (2, 2.0)),
+                              (keep_first, ["b", ("a", "desc")], (None, 1.0)), (keep_last, [("a", "desc"), "b"], (1, 2.0))):
+        got = {r.k: r.v for r in keep(df, ["k"], order).collect()}
+        assert got == {k: f"{k}{best[0]}{best[1]}" for k in ("x", "y", None)}
+    plan = keep_first(df, ["k"], ["a"], ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "min_by" not in plan and "SortAggregate" not in plan and "v#" not in plan.split("Exchange hashpartitioning")[0]
+
+
+def test_project_text_is_clean_text(spark):
+    from tallyframe.functions import exprs as X
+    df = spark.createDataFrame([(x,) for x in ("", " ", "nan", " None\t", "None ", "Nan", "x nan", "\u3000a b\ufeff", None)], "s string")
+    rows = df.select(X.clean_text("s").alias("a"), X.project_text("s").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == [None] * 5 + ["Nan", "x nan", "a b", None]
+
+
 def test_dedupe_and_modal(spark):
     df = spark.createDataFrame([("o1", 2, "f1"), ("o1", 1, "f2"), ("o2", 5, "f1")], "k string, ord long, f string")
     out = sorted((r.k, r.f) for r in C.dedupe_first(df, ["k"], ["ord"]).collect())
