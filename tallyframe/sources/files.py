@@ -10,7 +10,7 @@ list (bounded by the number of files), then builds ONE lazy plan per report type
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import astuple, dataclass
 
 from pyspark.errors import AnalysisException
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.exprs import LBL_UNKNOWN_ACTIVITY, clean_text, month_key, to_num, to_num_commas, to_ts, utrim
+from ..functions.exprs import LBL_UNKNOWN_ACTIVITY, clean_text, month_key, project_text, to_num, to_num_commas, to_ts, utrim
 from ..operators.clean import (SKIP_EXACT, clean_payments, drop_all_zero_rows, drop_total_rows, infer_snapshot_month, modal_month,
                                type_columns, unwrap_all, with_issue_label)
 from ..operators import grids as G
@@ -116,9 +116,9 @@ def route(name: Column, header: Column) -> Column:
     return F.coalesce(classify_by_name(name), classify_by_header(header), F.lit("unknown"))
 
 
-def file_path() -> Column:
+def file_path(place: str = "_metadata.file_path") -> Column:
     """A row's file as it is named on disk: the metadata spells blanks and some marks as %XX."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.col(place), F.lit("+"), F.lit("%2B")))
 
 
 #: A comma outside quotes.
@@ -128,9 +128,10 @@ COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 def file_headers(spark: SparkSession, paths: Sequence[str] | str, encoding: str = "UTF-8", nested: bool = False) -> DataFrame:
     """(path, header array) for every text/CSV file, in one distributed pass; with ``nested`` those of all subfolders."""
     t = spark.read.option("encoding", encoding).option("recursiveFileLookup", nested).text(paths if isinstance(paths, str) else list(paths))
-    t = t.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("bs"),
+    t = t.select(F.col("_metadata.file_path").alias("place"), F.col("_metadata.file_block_start").alias("bs"),
                  "value", F.monotonically_increasing_id().alias("mid"))
-    first = t.where(F.col("bs") == 0).groupBy("path").agg(F.min_by("value", "mid").alias("line"))
+    first = t.where(F.col("bs") == 0).groupBy("place").agg(F.min_by("value", "mid").alias("line"))
+    first = first.select(file_path("place").alias("path"), "line")  # spelt out once a file, not once a line
     line = F.regexp_replace(F.col("line"), "^﻿", "")
     hdr = F.transform(F.split(line, COMMA), lambda x: utrim(F.regexp_replace(x, r'^="(.*)"$|^"(.*)"$', "$1$2")))
     return first.select("path", hdr.alias("header"))
@@ -294,14 +295,14 @@ UNHAPPY = ("不满意", "非常不满意")
 _OWN = (*PLACE, "_file_time", "_imported_at", "_sheet")
 
 
-def _texts(df: DataFrame, but: Sequence[str] = ()) -> DataFrame:
-    return df.withColumns({c: clean_text(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string" and c not in but and c not in _OWN})
+def _texts(df: DataFrame, but: Sequence[str] = (), text: Callable[[Column], Column] = clean_text) -> DataFrame:
+    return df.withColumns({c: text(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string" and c not in but and c not in _OWN})
 
 
 def clean_bonus_report(df: DataFrame) -> DataFrame:
     """CL-21 on a landed bonus report: texts, activity name, month of the application, numbers, and the
     first row of each order in file order."""
-    df = _texts(df.withColumnRenamed("流水倍数(倍)", "流水倍数"))
+    df = _texts(df.withColumnRenamed("流水倍数(倍)", "流水倍数"), text=project_text)
     if "红利标题" in df.columns:
         note = F.col("申请备注") if "申请备注" in df.columns else F.lit(None)
         df = df.withColumn("活动名称", F.coalesce(F.col("红利标题"), note, F.lit(LBL_UNKNOWN_ACTIVITY)))
@@ -368,9 +369,9 @@ def clean_report(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
-def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) -> tuple[str, int | None]:
+def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str, unique: bool = False) -> tuple[str, int | None]:
     """Put ``new`` into the table by its discipline; returns the discipline and, where only some rows may be new
-    to the table, how many were (else None: all are written).
+    to the table, how many were (else None: all are written).  ``unique``: the batch has one row a key already.
 
     Period disciplines read and replace only the batch's months (partitions ``_period``), after the loss
     guard (IO-17) has compared what the batch must not touch, from the period column of the staged copy; keyed and
@@ -383,7 +384,7 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str) ->
         existing = read_raw(spark, table, new.schema, root)
         own = ("_split", "_row", "_file_time")
         if kind == "keys" and col in new.columns:
-            fresh = P.append_new_keys(new, P.within_key_runs(existing, new, col), col, PLACE)
+            fresh = P.append_new_keys(new, P.within_key_runs(existing, new, col), col, PLACE, unique)
             return kind, P.append_keyed(fresh.drop(*own), path, col)
         fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
         return kind, P.append_counted(fresh.drop(*own), path)
@@ -453,6 +454,12 @@ def upload_checks(spark: SparkSession, table: str, new: DataFrame, root: str | N
     return out
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: what follows scans columns instead of working it out again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_aside(faults: DataFrame, root: str, table: str) -> None:
     """IO-04: the lines that could not be read, with their file, under ``_quarantine``; a file's lines once."""
     path = f"{root.rstrip('/')}/_quarantine/{table}"
@@ -486,8 +493,7 @@ def ingest_workbooks(spark: SparkSession, cells: DataFrame, root: str | None, dr
     base = scratch_path(spark, f"workbooks/{uuid.uuid4().hex}")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
+        return staged(df, f"{base}/{name}")
 
     # the cell lists are parsed once; header and sheet filters then reach a columnar scan, and each table is built once
     cells = kept(cells, "cells")
@@ -530,7 +536,10 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
     """IO-21 over an explicit file list (used by the file-drop stream, ST-01).
 
     With ``raise_failures`` the job fails, after all other kinds are done, if one kind failed: the caller
-    repeats the whole list, which is safe since every discipline takes the same files twice as once."""
+    repeats the whole list, which is safe since every discipline takes the same files twice as once.
+
+    The files of a kind are parsed once and cleaned once, into columnar scratch copies that every count, check and
+    write scans."""
     files = classify_files(spark, paths, encoding)
     plan: dict[str, list[tuple[str, list[str]]]] = {}
     for r in files.select("path", "report_type", "header").collect():  # one row per file, not per record
@@ -540,8 +549,10 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
         if rtype == "unknown":
             log.append(IngestResult(rtype, len(landed), 0, "skipped: unrecognised"))
             continue
+        base = scratch_path(spark, f"ingest/{uuid.uuid4().hex}")
+        kind = DISCIPLINE.get(rtype, ("files", None))[0]
         try:
-            read = read_grouped(spark, landed, encoding, rtype in ("raw_cs_conversations", "workbook_cells"), faults=True)
+            read = staged(read_grouped(spark, landed, encoding, rtype in ("raw_cs_conversations", "workbook_cells"), faults=True), f"{base}/landed")
             faults = read.where(F.col(FAULT).isNotNull()).select("_source_file", F.col(FAULT).alias("line"), F.col("_split").alias("split"),
                                                                  F.col("_row").alias("place"))
             if rtype == "workbook_cells":
@@ -556,16 +567,17 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
                 broken += [(x.report_type, RuntimeError(x.status)) for x in done if x.status.startswith("failed")]
                 continue
             df = P.stamp(clean_report(read.where(F.col(FAULT).isNull()).drop(FAULT), rtype))
-            if DISCIPLINE.get(rtype, ("", ""))[0] == "snapshot" and "_snapshot_month" not in df.columns:
+            if kind == "snapshot" and "_snapshot_month" not in df.columns:
                 top = rtype == "raw_top_report"
                 df = infer_snapshot_month(df, reg_col="注册时间" if "注册时间" in df.columns else None,
                                           mtime_col=None if top else "_file_time", top_report=top)
+            df = staged(df, f"{base}/clean")
             n = df.count()
             warnings = tuple(upload_checks(spark, rtype, df, root))
             if dry_run or root is None:
                 log.append(IngestResult(rtype, len(landed), n, "dry run", n, faulty, warnings))
             else:
-                kind, fresh = publish_table(spark, rtype, df, root)
+                kind, fresh = publish_table(spark, rtype, df, root, unique=rtype == "raw_bonus_report")
                 if faulty:
                     put_aside(faults, root, rtype)
                 status = f"written ({kind})" if fresh is None or fresh == n else f"skipped: already loaded ({kind})" if not fresh else f"written in part ({kind})"
@@ -573,6 +585,8 @@ def ingest_files(spark: SparkSession, paths, root: str | None, dry_run: bool = F
         except Exception as e:  # noqa: BLE001 — one kind's failure does not keep the others out; it is reported below
             log.append(IngestResult(rtype, len(landed), 0, f"failed: {str(e).splitlines()[0][:200]}"))
             broken.append((rtype, e))
+        finally:
+            P.remove(spark, base)
     if broken and raise_failures:
         raise RuntimeError(f"ingest failed for {', '.join(t for t, _ in broken)}") from broken[0][1]
     return spark.createDataFrame([astuple(x) for x in log], "report_type string, files int, rows long, status string, "

@@ -62,12 +62,13 @@ def union_evolving(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def append_new_keys(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
+def append_new_keys(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str] | None = None,
+                    unique: bool = False) -> DataFrame:
     """IO-11: rows of the batch whose key (compared as text) is not in the table yet. [JN-08]
 
-    The batch is first deduplicated on the key keeping the first row by ``order`` (CL-17).
+    The batch is first deduplicated on the key keeping the first row by ``order`` (CL-17), unless it is ``unique`` already.
     """
-    batch = keep_first(new, [key], list(order) if order else [c for c in new.columns if c != key])
+    batch = new if unique else keep_first(new, [key], list(order) if order else [c for c in new.columns if c != key])
     k = F.col(key).cast("string")
     have = existing.select(k.alias("__k")).where(F.col("__k").isNotNull()).distinct()
     return batch.join(have, batch[key].cast("string") == have["__k"], "left_anti")

@@ -47,6 +47,39 @@ def test_ingest_idempotent(spark, tmpdir_path):
     assert sorted(r["订单号"] for r in bonus.collect()) == ["A1", "A2"]
 
 
+def test_landed_files_are_parsed_and_cleaned_once(spark, tmpdir_path, monkeypatch):
+    """IO-21: checks and publishing scan the staged rows: no CSV and no grouping is behind what they are given; the
+    staged copies are gone afterwards; rows and log are those of a plain read."""
+    land, root = landing(tmpdir_path), os.path.join(tmpdir_path, "tables")
+    write(os.path.join(land, "pay.csv"), "订单号,订单时间,订单状态,订单金额(元)\n" + "".join(
+        f"p{i},2026-01-0{i % 3 + 1} 10:00:00, 存款成功 ,1\n" for i in range(9)) + "p9,2026-01-01 10:00:00,x,1,surplus\n")
+    write(os.path.join(land, "bonus_2.csv"), "申请时间,订单号,红利金额\n2026-01-03 11:00:00,A2,7\n2026-01-03 11:00:00,A3,nan\n")
+    seen, publish, check = {}, FS.publish_table, FS.upload_checks
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watch(of):
+        def inner(spark, table, df, *more, **named):
+            seen.setdefault(table, []).append(plan(df))
+            return of(spark, table, df, *more, **named)
+        return inner
+
+    monkeypatch.setattr(FS, "publish_table", watch(publish))
+    monkeypatch.setattr(FS, "upload_checks", watch(check))
+    log = {r.report_type: r for r in FS.ingest_batch(spark, land, root).collect()}
+    assert set(seen) == {"raw_platform_report", "raw_top_report", "raw_bonus_report", "raw_finance_deposit"}
+    for table, plans in seen.items():
+        assert len(plans) == 2 and all("FileScan parquet" in p and "FileScan csv" not in p and "Exchange" not in p for p in plans), table
+    pay = log["raw_finance_deposit"]
+    assert (pay.rows, pay.landed, pay.faulty) == (9, 9, 1) and log["raw_bonus_report"].rows == 3
+    bonus = {r["订单号"]: r["红利金额"] for r in spark.read.parquet(os.path.join(root, "raw_bonus_report")).collect()}
+    assert bonus["A1"] == 10.0 and bonus["A3"] is None and bonus["A2"] in (5.0, 7.0) and len(bonus) == 3
+    assert {r["订单状态"] for r in spark.read.parquet(os.path.join(root, "raw_finance_deposit")).collect()} == {"存款成功"}
+    left = FS.scratch_path(spark, "ingest")
+    assert not os.path.exists(left) or os.listdir(left) == []
+
+
 def test_sheets_months_daily_ops(spark, tmpdir_path):
     s = os.path.join(tmpdir_path, "sheets")
     write(os.path.join(s, "sheet=01", "p.csv"), "对话ID,满意度评价\nc1,满意\n,\n")
