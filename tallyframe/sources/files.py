@@ -384,7 +384,9 @@ def publish_table(spark: SparkSession, table: str, new: DataFrame, root: str, un
         existing = read_raw(spark, table, new.schema, root)
         own = ("_split", "_row", "_file_time")
         if kind == "keys" and col in new.columns:
-            fresh = P.append_new_keys(new, P.within_key_runs(existing, new, col), col, PLACE, unique)
+            fresh = new if unique else keep_first(new, [col], PLACE)
+            if not existing.isEmpty():
+                fresh = P.append_new_keys(fresh, P.within_key_runs(existing, fresh, col), col, unique=True)
             return kind, P.append_keyed(fresh.drop(*own), path, col)
         fresh = P.only_new_files(new, existing) if "_source_file" in existing.columns else new
         return kind, P.append_counted(fresh.drop(*own), path)

@@ -279,6 +279,7 @@ def publish_partitions(df: DataFrame, root: str, table: str, guard: Callable[[Da
     """
     spark = df.sparkSession
     staged = f"{root.rstrip('/')}/_pending/{table}/{uuid.uuid4().hex}"
+    df = df.hint("rebalance", PERIOD)  # a task holds few months, and a large month is dealt to several, so files stay few
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(PERIOD).parquet(staged)
     fs, p = _fs(spark, staged)
     copy = spark.read.schema(df.schema).parquet(staged)
